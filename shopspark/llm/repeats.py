@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import keyed, same_row
+from .common import checkpointed, same_row
 
 #: Occurrences of one minimiser that a task may hold at a time (payloads of some hundred bytes each).
 HOT_LIMIT = 65_536
@@ -141,7 +141,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, hot_limit: int = HOT_LIMIT) -> D
     """doc_id, _h, start, length (units) of every run of windows that also start elsewhere. docs: keyed()."""
     hits = docs.mapInArrow(_find(unit), HITS)
     repeated = hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_limit).alias("hot"))
-    hits = hits.join(repeated, "anchor")
+    hits = hits.join(checkpointed(repeated), "anchor")  # written, so that AQE can split a frequent minimiser's side of the join
     by_doc = hits.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("anchor", "s", "e", "p", "hot")).alias("hits"))
     packed = docs.join(by_doc, same_row(docs, by_doc)).select(docs["doc_id"], docs["_h"], "text", "hits").mapInArrow(_pack(unit), PACKED)
     cold = packed.filter(F.col("payload").isNotNull()).select("doc_id", "_h", "anchor", "s", "e", "p", "payload")
