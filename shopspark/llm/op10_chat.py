@@ -12,6 +12,10 @@ from .common import checkpointed, read_table
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+#: Branches of up to 2 ** MAX_ROUNDS replies; what goes on is a cycle.
+MAX_ROUNDS = 24
+
+
 def escape(text):
     r"""Reversible: a backslash is doubled, and the bar of "<|" gets one, so no control string survives in a text."""
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
@@ -40,15 +44,22 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     up = up.join(here.withColumnRenamed("node", "up"), ["tree", "up"], "left_semi").select("tree", "node", "up")
     state = nodes.select("tree", "node", "score", F.lit(1).cast("long").alias("depth")).join(up, ["tree", "node"], "left")
     levels: list[DataFrame] = []
-    for _ in range(40):
+    ended = None
+    for _ in range(MAX_ROUNDS):
         state = checkpointed(state)
-        level = state.filter(F.col("up").isNotNull() & (F.col("up") != F.col("node"))).select("tree", "node", "up")
-        if level.isEmpty():
+        going = F.col("up").isNotNull() & (F.col("up") != F.col("node"))
+        stop = state.filter(~going)
+        ended = stop if ended is None else ended.unionByName(stop)
+        state = state.filter(going)
+        if state.isEmpty():
             break
-        levels.append(level)
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        state = state.join(above, ["tree", "up"], "left").select("tree", "node", (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("up2").alias("up"))
-    return levels, state.select("tree", "node", "depth", "score")
+        levels.append(state.select("tree", "node", "up"))
+        above = state.unionByName(ended).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        state = state.join(above, ["tree", "up"]).select("tree", "node", (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("up2").alias("up"))
+    else:  # what still goes on after so many rounds leads into a cycle
+        endless = state.select("tree", "node")
+        levels = [level.join(endless, ["tree", "node"], "left_anti") for level in levels]
+    return levels, ended.select("tree", "node", "depth", "score")
 
 
 def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -58,7 +69,7 @@ def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """
     levels, totals = jump_tables(nodes)
     parents = nodes.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
-    leaves = totals.join(parents, ["tree", "node"], "left_anti")
+    leaves = totals.join(parents, ["tree", "node"], "left_anti")  # totals has no branch into a cycle
     order = W.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node")
     paths = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("above"))
     for i in reversed(range(len(levels))):
@@ -75,8 +86,8 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     columns are ignored. Returns tree_id, rank, n_turns, formatted, and mask: array of start and end (code
     points, end exclusive) of each assistant text in formatted. Null role or text: empty; null score: 0; null
     tree_id is a tree like any other; rows with a null message_id are no part of a tree. Of rows that repeat
-    a message_id the first by (role, text) counts. A parent that doesn't exist makes a root. Trees whose
-    messages all lie on a cycle have no leaf and give no row. An empty table gives an empty result.
+    a message_id the first by (role, text) counts. A parent that doesn't exist makes a root. Branches that
+    lead into a cycle give no row. An empty table gives an empty result.
     """
     first = W.partitionBy("tree", "node").orderBy("role", "text", "parent", "score")
     nodes = messages.select(
