@@ -23,7 +23,7 @@ from . import textkernel as tk
 from .common import keyed, read_table
 
 LENGTH = 200
-MINIMISER_BYTES = 40
+MINIMISER_BYTES = 32
 
 
 def _sampled_order(data: np.ndarray, at: np.ndarray, avail: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,8 +29,9 @@ HOT_LIMIT = 65_536
 #: Payload bytes that the kernel takes at a time; whole minimisers only.
 FLUSH_BYTES = 4 << 20
 
-HITS = "doc_id long, _h long, anchor long, s int, e int, p int"
-PACKED = "doc_id long, _h long, anchor long, s int, e int, p int, payload binary, w1 array<long>, w2 array<long>"
+#: at: first window, windows after it and distance of the minimiser, as 32 + 16 + 16 bits of one number.
+HITS = "doc_id long, _h long, anchor long, at long"
+PACKED = "doc_id long, _h long, anchor long, at long, payload binary, w1 array<long>, w2 array<long>"
 SPANS = "doc_id long, _h long, start int, length int"
 
 
@@ -64,10 +65,9 @@ def _find(unit: Unit):
                 buf, off = tk.raw(part.column("text"))
                 _, _, bounds, hashes = unit.split(buf, off)
                 t, s, e, p, h = tk.super_windows(_grams(buf, hashes, unit.k), bounds, unit.window, unit.k)
-                base = bounds[t]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(t)), part.column("_h").take(pa.array(t)), pa.array(h.view(np.int64)), *(pa.array((x - base).astype(np.int32)) for x in (s, e, p))],
-                    names=["doc_id", "_h", "anchor", "s", "e", "p"],
+                    [part.column("doc_id").take(pa.array(t)), part.column("_h").take(pa.array(t)), pa.array(h.view(np.int64)), pa.array((s - bounds[t] << 32) | (e - s << 16) | (p - s))],
+                    names=["doc_id", "_h", "anchor", "at"],
                 )
 
     return run
@@ -85,7 +85,9 @@ def _pack(unit: Unit):
                 n = np.diff(np.asarray(own.offsets))
                 row = np.repeat(np.arange(part.num_rows), n)
                 hit = own.flatten()
-                anchor, s, e, p, hot = (hit.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                anchor, at, hot = (hit.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                s = at >> 32
+                e = s + (at >> 16 & 0xFFFF)
                 data = buf.tobytes()
                 first, last = bounds[row] + s, bounds[row] + e + unit.window
                 a, b = (first, last) if us is None else (us[first], ue[last - 1])
@@ -98,8 +100,8 @@ def _pack(unit: Unit):
                 else:
                     w1 = w2 = [None] * len(s)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), part.column("_h").take(pa.array(row)), pa.array(anchor, pa.int64()), *(pa.array(x, pa.int32()) for x in (s, e, p)), pa.array(payload, pa.binary()), pa.array(w1, pa.list_(pa.int64())), pa.array(w2, pa.list_(pa.int64()))],
-                    names=["doc_id", "_h", "anchor", "s", "e", "p", "payload", "w1", "w2"],
+                    [part.column("doc_id").take(pa.array(row)), part.column("_h").take(pa.array(row)), pa.array(anchor, pa.int64()), pa.array(at, pa.int64()), pa.array(payload, pa.binary()), pa.array(w1, pa.list_(pa.int64())), pa.array(w2, pa.list_(pa.int64()))],
+                    names=["doc_id", "_h", "anchor", "at", "payload", "w1", "w2"],
                 )
 
     return run
@@ -110,7 +112,9 @@ def _count(unit: Unit):
 
     def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        s, e, p = (table.column(c).to_numpy() for c in ("s", "e", "p"))
+        at = table.column("at").to_numpy()
+        s = at >> 32
+        e, p = s + (at >> 16 & 0xFFFF), s + (at & 0xFFFF)
         i, start, m = unit.kernel(table.column("payload").to_pylist(), s, e, p, table.column("anchor").to_numpy())
         at = pa.array(i)
         return pa.RecordBatch.from_arrays(
@@ -142,11 +146,11 @@ def repeated_spans(docs: DataFrame, unit: Unit, hot_limit: int = HOT_LIMIT) -> D
     hits = docs.mapInArrow(_find(unit), HITS)
     repeated = hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_limit).alias("hot"))
     hits = hits.join(checkpointed(repeated), "anchor")  # written, so that AQE can split a frequent minimiser's side of the join
-    by_doc = hits.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("anchor", "s", "e", "p", "hot")).alias("hits"))
+    by_doc = hits.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("anchor", "at", "hot")).alias("hits"))
     packed = docs.join(by_doc, same_row(docs, by_doc)).select(docs["doc_id"], docs["_h"], "text", "hits").mapInArrow(_pack(unit), PACKED)
-    cold = packed.filter(F.col("payload").isNotNull()).select("doc_id", "_h", "anchor", "s", "e", "p", "payload")
+    cold = packed.filter(F.col("payload").isNotNull()).select("doc_id", "_h", "anchor", "at", "payload")
     spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_count(unit), SPANS)
-    each = packed.filter(F.col("w1").isNotNull()).select("doc_id", "_h", "s", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("doc_id", "_h", (F.col("s") + F.col("i")).alias("start"), "w.w1", "w.w2")
+    each = packed.filter(F.col("w1").isNotNull()).select("doc_id", "_h", F.shiftright("at", 32).cast("int").alias("s"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("doc_id", "_h", (F.col("s") + F.col("i")).alias("start"), "w.w1", "w.w2")
     twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     hot = each.join(twice, ["w1", "w2"]).select("doc_id", "_h", "start", F.lit(unit.window).alias("length"))
     return spans.unionByName(hot)
