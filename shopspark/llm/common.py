@@ -30,6 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def round_result(df: DataFrame) -> DataFrame:
+    """checkpointed(), for the rounds of an iteration: the frame comes back without what the optimizer knew of it.
+
+    A checkpointed frame keeps its plan's estimated size, constraints and partitionings. A join multiplies the sizes, so
+    over the rounds of an iteration their digits double and planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    rows = checkpointed(df)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
+
+
 def lower_ascii(col):
     """Lower-case A-Z only, so that results don't depend on a locale or on Unicode case tables."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import round_result
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,23 +19,23 @@ def components(edges: DataFrame) -> DataFrame:
     shrink geometrically; all rounds are aggregations with map-side combine and joins, checkpointed.
     """
     e = edges.filter("a <> b")
-    cur = checkpointed(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    cur = round_result(e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     maps: list[DataFrame] = []
     while not cur.isEmpty():
         m = cur.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         for _ in range(2):
-            m = checkpointed(m)
+            m = round_result(m)
             m = m.join(m.select(F.col("a").alias("m"), F.col("m").alias("m2")), "m").select("a", F.col("m2").alias("m"))
-        m = checkpointed(m)
+        m = round_result(m)
         maps.append(m)
         cur = cur.join(m, "a").select(F.col("b"), F.col("m").alias("x")).join(m.select(F.col("a").alias("b"), F.col("m").alias("y")), "b")
-        cur = checkpointed(cur.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        cur = round_result(cur.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     if not maps:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[0].select(F.col("a").alias("node"), F.col("m").alias("component"))
     for m in maps[1:]:
         out = out.join(m.select(F.col("a").alias("component"), "m"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
-    return checkpointed(out)
+    return round_result(out)
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table
+from .common import read_table, round_result
 
 #: Fixed values of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -46,7 +46,7 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     levels: list[DataFrame] = []
     ended = None
     for _ in range(MAX_ROUNDS):
-        state = checkpointed(state)
+        state = round_result(state)
         going = F.col("up").isNotNull() & (F.col("up") != F.col("node"))
         stop = state.filter(~going)
         ended = stop if ended is None else ended.unionByName(stop)
@@ -73,7 +73,7 @@ def best_branches(nodes: DataFrame, branches: int = 1) -> DataFrame:
     order = W.partitionBy("tree").orderBy(F.col("score").desc(), F.col("depth").desc(), "node")
     paths = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("above"))
     for i in reversed(range(len(levels))):
-        paths = checkpointed(paths)
+        paths = round_result(paths)
         more = paths.join(levels[i], ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("above") + (1 << i)).alias("above"))
         paths = paths.unionByName(more)
     return paths
