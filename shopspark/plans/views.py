@@ -84,7 +84,7 @@ VIEWS = {
   CASE l_suppkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS risk, CASE l_partkey % 4 WHEN 0 THEN 'drilling;reaming' WHEN 1 THEN 'drilling;boring;honing' WHEN 2 THEN 'milling;grinding' ELSE 'milling' END AS operations,
   l_quantity / 10 AS best_ra, 6 + l_partkey % 7 AS best_it, l_partkey % 5 <> 0 AS gdt_capable FROM {lineitem}""",
     "v_truth": """SELECT item_id, item_id % 7 AS fixture, text AS expected_text, item_id % 3 = 0 AS required FROM {benchmark}""",
-    "v_found": """SELECT r.run AS run_id, b.item_id * 10 + r.run AS finding_no, b.item_id % 7 AS fixture, CASE (b.item_id + r.run) % 4 WHEN 0 THEN b.text WHEN 1 THEN upper(b.text) WHEN 2 THEN '  ' || b.text || ' ' ELSE 'none ' || b.text END AS raw_text
+    "v_found": """SELECT r.run AS run_id, b.item_id * 10 + r.run AS finding_no, b.item_id % 7 AS fixture, CASE (b.item_id + r.run) % 4 WHEN 0 THEN b.text WHEN 1 THEN replace(b.text, ' ', '  ') WHEN 2 THEN '  ' || b.text || ' ' ELSE 'none ' || b.text END AS raw_text
   FROM {benchmark} b CROSS JOIN (SELECT DISTINCT r_regionkey % 3 AS run FROM {region}) r WHERE (b.item_id * 7 + r.run) % 5 <> 0""",
 }
 DUCK = re.compile(r"\{(\w+)\}")
