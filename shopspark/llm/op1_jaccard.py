@@ -6,6 +6,7 @@ one representative of a class goes on.
 1. Prefix index. Tokens have one global order (common ones last, a hint from a sample that can't change
    results). Two sets that link share at least l tokens among the first ones of both. The index lists hold
    only such leading tokens; a set that shares too few of them with any other set is skipped as a whole.
+   Then whole sets are held to their percentage of shared tokens in the same way.
 2. Lists are linked to candidate groups: two sets that link lie in the same group. Groups above a task's
    budget are cut into blocks by size (the position at which a partner can stand); blocks whose sizes
    can't meet are never paired.
@@ -32,7 +33,7 @@ from .graph import components, sorted_groups
 SHINGLE_WORDS = 4
 PERCENT = 85
 #: Share of a set (percent) by which its prefix is longer than a single common token needs.
-EXTRA_PERCENT = 5
+EXTRA_PERCENT = 3
 #: What a task compares at a time.
 BLOCK_TOKENS, BLOCK_SETS = 400_000, 1000
 #: At most so many common tokens are put last in the order.
@@ -170,7 +171,8 @@ def links_inside(sets: list[np.ndarray], label: np.ndarray, visitor: np.ndarray,
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "task"):
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+            tokens = group.column("tokens").combine_chunks()
+            sets = np.split(tokens.flatten().to_numpy().view(np.uint64), np.cumsum(np.diff(np.asarray(tokens.offsets)))[:-1])
             cid = group.column("cid").to_numpy()
             got = links_inside(sets, group.column("label").to_numpy(), group.column("visitor").to_numpy(zero_copy_only=False).astype(bool), percent)
             i, j = np.array(got, np.int64).reshape(-1, 2).T
@@ -184,7 +186,8 @@ def _full_sets(n: int):
         for batch in batches:
             for part in tk.chunks(batch):
                 sets = shingle_sets(*tk.raw(part.column("text")), n)
-                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cid", "tokens"])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("cid"), tk.lists(pa.array(flat.view(np.int64)), np.array([len(x) for x in sets], np.int64))], names=["cid", "tokens"])
 
     return run
 
@@ -204,28 +207,41 @@ def set_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
 
 def candidates(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """cid, n, rep_id, rep_h, hs: representatives that may link to another, with the leading tokens they share."""
-    c = classes.select("d1", "d2", "n", "cid", F.col("rep_id").alias("r"), "rep_h")
-    reps = rows.join(c, ["d1", "d2", "n"]).filter(F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("_h") == F.col("rep_h"))).dropDuplicates(["cid", "d1", "d2"])
-    leading = reps.select("cid", "n", F.explode("prefix").alias("h"))
+    # Rows that aren't their class's representative go: found by keys alone, so that prefixes needn't move where copies are few.
+    own = classes.select("d1", "d2", "n", "cid", F.col("rep_id").alias("r"), "rep_h")
+    copies = rows.select("doc_id", "_h", "n", "d1", "d2").join(own, ["d1", "d2", "n"]).filter(~(F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("_h") == F.col("rep_h"))))
+    copies = maybe_broadcast(checkpointed(copies.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"))))
+    reps = rows.filter("n > 0").join(copies, (rows["_h"] == copies["_hash"]) & rows["doc_id"].eqNullSafe(copies["_id"]), "left_anti")
+    # A class is named by its digest's first half until few are left; tokens of a name that two classes share only look more shared.
+    leading = reps.select(F.col("d1").alias("name"), F.explode("prefix").alias("h"))
     shared = leading.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
-    some = leading.join(shared, "h").groupBy("cid", "n").agg(F.collect_list("h").alias("hs")).filter(F.size("hs") >= shared_at_least(F.col("n"), percent))
-    some = checkpointed(some)
+    some = leading.join(shared, "h").groupBy("name").agg(F.collect_set("h").alias("hs"))
+    sized = classes.select(F.col("d1").alias("name"), "cid", "n", "rep_id", "rep_h")
+    enough = F.size("hs") >= shared_at_least(F.col("n"), percent)
+    some = checkpointed(some.join(sized, "name").filter(enough).select("cid", "n", "rep_id", "rep_h", "hs"))
     again = some.select("cid", "n", F.explode("hs").alias("h"))  # now only among those left
     shared = again.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
-    left = again.join(shared, "h").groupBy("cid", "n").agg(F.collect_list("h").alias("hs")).filter(F.size("hs") >= shared_at_least(F.col("n"), percent))
-    return checkpointed(left.join(classes.select("cid", "rep_id", "rep_h"), "cid").dropDuplicates(["cid"]))
+    left = again.join(shared, "h").groupBy("cid").agg(F.collect_set("h").alias("hs"))
+    return checkpointed(some.drop("hs").join(left, "cid").filter(enough).dropDuplicates(["cid"]))
 
 
 def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent: int, block_tokens: int = BLOCK_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Links (a, b: cid) that connect all representatives which links connect."""
-    entry = some.select("cid", F.explode("hs").alias("h"))
-    leader = entry.groupBy("h").agg(F.min("cid").alias("b"))
-    groups = components(entry.join(leader, "h").select(F.col("cid").alias("a"), "b"))
-    member = checkpointed(some.select("cid", "n", "rep_id", "rep_h").join(groups.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("component", "grp"))
-    n_member = member.count()
-    want = maybe_broadcast(member.select("cid", F.col("rep_id").alias("doc_id"), F.col("rep_h").alias("_h")), n_member)
+    want = maybe_broadcast(some.select("cid", F.col("rep_id").alias("doc_id"), F.col("rep_h").alias("_h")))
     texts = docs.join(want, same_row(docs, want)).select("cid", "text").dropDuplicates(["cid"])
-    sets = checkpointed(texts.mapInArrow(_full_sets(n), "cid long, tokens binary"))
+    sets = checkpointed(texts.mapInArrow(_full_sets(n), "cid long, tokens array<long>"))
+    # Whole sets now: one that links shares the percentage of its tokens with others among those left.
+    token = sets.select("cid", F.explode("tokens").alias("t"))
+    shared = token.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("t")
+    held = token.join(shared, "t").groupBy("cid").agg(F.count(F.lit(1)).alias("held"))
+    some = checkpointed(some.join(held, "cid").filter(100 * F.col("held") >= percent * F.col("n")).drop("held"))
+    # Size classes: partners differ by at most one class, so each pair meets in a window of two classes.
+    cls = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) - 1e-9).cast("int")
+    both = F.explode(F.array(F.col("cls"), F.col("cls") - 1))
+    entry = some.withColumn("cls", cls).select("cid", F.explode("hs").alias("h"), "cls").select("cid", "h", both.alias("win"))
+    leader = entry.groupBy("h", "win").agg(F.min("cid").alias("b"))
+    groups = components(entry.join(leader, ["h", "win"]).select(F.col("cid").alias("a"), "b"))
+    member = checkpointed(some.select("cid", "n").join(groups.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("component", "grp"))
     over = (F.sum("n") > block_tokens) | (F.count(F.lit(1)) > block_sets)
     large = member.groupBy("grp").agg(over.alias("large")).filter("large").select("grp")
     small = member.join(large, "grp", "left_anti").join(sets, "cid")
@@ -233,9 +249,7 @@ def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent:
     big = member.join(large, "grp")
     if big.isEmpty():
         return checkpointed(found)
-    # Size classes: partners differ by at most one class, so each pair meets in a window of two classes.
-    cls = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) - 1e-9).cast("int")
-    windowed = big.withColumn("cls", cls).select("cid", "n", "grp", F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("win"))
+    windowed = big.withColumn("cls", cls).select("cid", "n", "grp", both.alias("win"))
     subs = F.greatest(F.ceil(F.sum("n") / block_tokens), F.ceil(F.count(F.lit(1)) / block_sets)).cast("int")
     shape = windowed.groupBy("grp", "win").agg(subs.alias("subs"), F.count(F.lit(1)).alias("sets"))
     placed = checkpointed(windowed.join(shape, ["grp", "win"]).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("subs")).cast("int")))

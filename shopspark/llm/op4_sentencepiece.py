@@ -86,7 +86,7 @@ def units(buf: np.ndarray, off: np.ndarray, alone: np.ndarray) -> tuple[np.ndarr
 def _distinct_units(alone: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch, limit=4 << 20):
+            for part in tk.chunks(batch, limit=2 << 20):
                 buf, off = _spaced(*tk.raw(part.column("text")))
                 s, e, _ = units(buf, off, alone)
                 h, at, n = np.unique(tk.span_hashes(buf, s, e), return_index=True, return_counts=True)
@@ -191,20 +191,23 @@ class Known:
 
 
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for data, got in zip(batch.column("ids").to_pylist(), batch.column("more").to_pylist(), strict=True):
-            ids = np.frombuffer(data, np.int32)
-            if got:
-                own = [np.array(x["ids"], np.int32) for x in sorted(got, key=lambda x: x["k"])]
-                holes = np.flatnonzero(ids == -1)
-                n = np.ones(len(ids), np.int64)
-                n[holes] = [len(x) for x in own]
-                ids = np.repeat(ids, n)
-                ids[ids == -1] = np.concatenate(own)
-            out.append(ids)
-        n = np.array([len(x) for x in out], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), tk.lists(pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)), n)], names=["doc_id", "_h", "ids"])
+    """Put the other units' pieces into their places, a few hundred texts at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            out = []
+            for data, got in zip(batch.column("ids").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                ids = np.frombuffer(data, np.int32)
+                if got:
+                    own = [np.array(x["ids"], np.int32) for x in sorted(got, key=lambda x: x["k"])]
+                    holes = np.flatnonzero(ids == -1)
+                    n = np.ones(len(ids), np.int64)
+                    n[holes] = [len(x) for x in own]
+                    ids = np.repeat(ids, n)
+                    ids[ids == -1] = np.concatenate(own)
+                out.append(ids)
+            n = np.array([len(x) for x in out], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_h"), tk.lists(pa.array(np.concatenate(out)), n)], names=["doc_id", "_h", "ids"])
 
 
 def encode(docs: DataFrame, model: str = MODEL, known_units: int = KNOWN_UNITS) -> DataFrame:
