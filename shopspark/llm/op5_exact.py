@@ -81,8 +81,10 @@ def deduplicate(docs: DataFrame, table: str | None = None, buckets: int = BUCKET
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows one."""
-    kept = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = deduplicate(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_digest")).distinct()
+    digest = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    out = docs.join(kept, (digest == kept["_digest"]) & docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "text"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
