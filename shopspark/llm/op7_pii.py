@@ -169,8 +169,10 @@ def training_zones(texts: list[str], seed: int = 0) -> list[tuple[str, dict[tupl
 
 def fit(rows: DataFrame, fit_texts: int = FIT_TEXTS) -> SemiCRF:
     """Train on zones of at most fit_texts texts that hold a digit or an at sign; nothing else reaches the driver."""
-    sample = rows.filter(F.col("text").rlike("[0-9]@|@[a-z]|[0-9]{4}|[0-9]\\.[0-9]")).select("_h", F.substring("text", 1, 20000).alias("text")).orderBy("_h", "text").limit(fit_texts)
-    data = training_zones([r["text"] for r in sample.collect()])
+    some = rows.filter(F.col("text").rlike("[0-9]@|@[a-z]|[0-9]{4}|[0-9]\\.[0-9]"))
+    keys = [r["_h"] for r in some.select("_h").distinct().orderBy("_h").limit(fit_texts).collect()]  # numbers only; texts follow for the chosen
+    texts = some.filter(F.col("_h").isin(keys)).select("_h", "text").distinct().collect() if keys else []
+    data = training_zones([r["text"] for r in sorted(texts, key=lambda r: (r["_h"], r["text"]))])
     random.Random(1).shuffle(data)
     return SemiCRF(["outside", *KINDS], span_features, candidate).fit(data[: 6 * fit_texts], epochs=5)
 
