@@ -23,7 +23,7 @@ from .common import ensure_checkpoint_dir, keyed, read_table
 
 #: Path of a SentencePiece model; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KNOWN_UNITS = 1_000_000
+KNOWN_UNITS = 300_000
 SPACE = "▁"
 
 
@@ -86,7 +86,7 @@ def units(buf: np.ndarray, off: np.ndarray, alone: np.ndarray) -> tuple[np.ndarr
 def _distinct_units(alone: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.chunks(batch, limit=2 << 20):
+            for part in tk.chunks(batch):
                 buf, off = _spaced(*tk.raw(part.column("text")))
                 s, e, _ = units(buf, off, alone)
                 h, at, n = np.unique(tk.span_hashes(buf, s, e), return_index=True, return_counts=True)
@@ -238,14 +238,16 @@ def decoder(pieces: Pieces):
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         out = []
-        flat = ids.flatten().to_numpy().astype(np.int64)
-        off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(ids.offsets)))])
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            own = flat[a:b]
-            n = size[own]
-            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            text = data[at].tobytes()
-            out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+        for k in range(0, len(ids), 256):
+            some = ids.slice(k, 256)
+            flat = some.flatten().to_numpy().astype(np.int64)
+            off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(some.offsets)))])
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                own = flat[a:b]
+                n = size[own]
+                at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                text = data[at].tobytes()
+                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
         return pa.array(out, pa.string())
 
     return decode
