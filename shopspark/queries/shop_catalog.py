@@ -44,7 +44,7 @@ def tool_page(shop):
 def reference_lookup(shop):
     from ..functions.guards import in_range
 
-    df = cat.in_scope(shop.v_ref, operation="milling", iso_group="P", tool_material=None)
+    df = cat.in_scope(shop.v_ref_all, operation="milling", iso_group="P", tool_material=None)
     return df.select("record_id", "parameter_type", "min_value", "max_value", cat.is_usable_for_authority(c("evidence_status"), c("source_reference"), c("source_type")).alias("authoritative"), in_range(F.lit(65.0), F.lit("m/min"), c("min_value"), c("max_value"), c("unit")).alias("holds_65"))
 
 
@@ -88,7 +88,7 @@ def csv_ingest(shop):
 
 @query("range_parse", "SELECT plan_id, seq, feed_rev AS low, feed_rev + 1 AS high FROM v_step WHERE plan_id % 7 = 0")
 def range_parse(shop):
-    s = shop.v_step.filter("plan_id % 7 = 0")
+    s = shop.v_step
     comma = lambda x: F.replace(F.format_number(x, 2), F.lit("."), F.lit(","))
     got = ingest.number_range(F.concat(comma(c("feed_rev")), F.lit(" – "), comma(c("feed_rev") + 1), F.lit("*")))
     return s.select("plan_id", "seq", got["low"].alias("low"), F.round(got["high"], 2).alias("high"))

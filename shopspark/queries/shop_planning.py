@@ -72,7 +72,7 @@ _EDGES = "e AS (SELECT plan_id, seq AS src, seq + 1 AS dst FROM v_step WHERE too
 
 
 def _edges(shop):
-    s = shop.v_step.filter("plan_id % 4 = 0 AND seq < 8")
+    s = shop.v_step
     on = s.filter("tool_id % 5 <> 0").select("plan_id", c("seq").alias("src"), (c("seq") + 1).alias("dst"))
     return on.union(s.filter("tool_id % 37 = 0 AND seq > 1").select("plan_id", "seq", c("seq") - 1)).distinct()
 
@@ -89,7 +89,7 @@ def step_ancestors(shop):
 
 @query("step_levels", "WITH RECURSIVE e AS (SELECT plan_id, seq AS src, seq + 1 AS dst FROM v_step WHERE tool_id % 5 <> 0 AND plan_id % 4 = 0 AND seq < 8), n AS (SELECT plan_id, src AS node FROM e UNION SELECT plan_id, dst FROM e), t AS (SELECT plan_id, node, 0 AS d FROM n UNION SELECT t.plan_id, e.dst, d + 1 FROM t JOIN e ON e.plan_id = t.plan_id AND e.src = t.node) SELECT plan_id, node, max(d) AS level FROM t GROUP BY plan_id, node")
 def step_levels(shop):
-    e = shop.v_step.filter("plan_id % 4 = 0 AND seq < 8 AND tool_id % 5 <> 0").select("plan_id", c("seq").alias("src"), (c("seq") + 1).alias("dst"))
+    e = shop.v_step.filter("tool_id % 5 <> 0").select("plan_id", c("seq").alias("src"), (c("seq") + 1).alias("dst"))
     return graph.levels(e, e.select("plan_id", c("src").alias("node")).union(e.select("plan_id", "dst")).distinct())
 
 
@@ -127,9 +127,9 @@ def cycle_time(shop):
   SELECT plan_id, seq, record_id, CASE WHEN record_id IS NULL THEN 'INSUFFICIENT_DATA' WHEN vc < min_value THEN 'BELOW_REFERENCE_RANGE' WHEN vc > max_value THEN 'ABOVE_REFERENCE_RANGE' ELSE 'WITHIN_REFERENCE_RANGE' END AS status, (min_value + max_value) / 2 AS midpoint FROM s LEFT JOIN (SELECT plan_id, seq, record_id, min_value, max_value FROM j WHERE n = 1) USING (plan_id, seq)""")
 def reference_ranges(shop):
     """The first matching record decides. Scopes are few, so records are reduced per scope before the steps meet them."""
-    s = shop.v_step.filter("plan_id % 10 = 0").select("plan_id", "seq", "vc", "operation", "iso_group")
+    s = shop.v_step.select("plan_id", "seq", "vc", "operation", "iso_group")
     scopes = s.select("operation", "iso_group").distinct()
-    r = shop.v_ref.filter("parameter_type = 'cutting_speed'").select("record_id", c("operation").alias("ro"), c("iso_group").alias("ri"), "min_value", "max_value")
+    r = shop.v_ref_all.filter("parameter_type = 'cutting_speed'").select("record_id", c("operation").alias("ro"), c("iso_group").alias("ri"), "min_value", "max_value")
     first = scopes.join(r, wildcard(c("ro"), c("operation")) & wildcard(c("ri"), c("iso_group"))).groupBy("operation", "iso_group").agg(F.min_by(F.struct("record_id", "min_value", "max_value"), "record_id").alias("r"))
     j = s.alias("s").join(first.alias("f"), c("s.operation").eqNullSafe(c("f.operation")) & c("s.iso_group").eqNullSafe(c("f.iso_group")), "left")
     status = F.when(c("r").isNull(), "INSUFFICIENT_DATA").when(c("vc") < c("r.min_value"), "BELOW_REFERENCE_RANGE").when(c("vc") > c("r.max_value"), "ABOVE_REFERENCE_RANGE").otherwise("WITHIN_REFERENCE_RANGE")

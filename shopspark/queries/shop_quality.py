@@ -20,7 +20,7 @@ def tool_life_summary(shop):
 @query("tool_life_series", "SELECT tool_index, cycle - 1 AS i, countdown, sensor, sensor - lag(sensor) OVER (PARTITION BY tool_index ORDER BY cycle) AS step FROM v_obs WHERE tool_index % 10 = 0")
 def tool_life_series(shop):
     w = W.partitionBy("tool_index").orderBy("cycle")
-    return shop.v_obs.filter("tool_index % 10 = 0").select("tool_index", (F.row_number().over(w) - 1).cast("long").alias("i"), "countdown", "sensor", (c("sensor") - F.lag("sensor").over(w)).alias("step"))
+    return shop.v_obs.select("tool_index", (F.row_number().over(w) - 1).cast("long").alias("i"), "countdown", "sensor", (c("sensor") - F.lag("sensor").over(w)).alias("step"))
 
 
 @query("tool_life_dataset", "SELECT count(*) AS n, count(DISTINCT tool_index) AS tools, count(*) FILTER (WHERE countdown = 0) AS ends FROM v_obs")
@@ -62,8 +62,8 @@ def plan_completeness(shop):
 @query("operation_links", "SELECT s.plan_id, s.seq, ch.characteristic_id, CASE WHEN ch.feature_id IS NULL THEN 'GLOBAL' ELSE 'PRODUCES' END AS role FROM v_step s JOIN v_char ch ON ch.plan_id = s.plan_id AND (ch.feature_id IS NULL OR ch.feature_id = s.tool_id * 1000 + s.line_no) WHERE s.plan_id % 5 = 0")
 def operation_links(shop):
     """Characteristics of a step's feature, and of no feature; two equi joins instead of one with OR."""
-    s = shop.v_step.filter("plan_id % 5 = 0").select("plan_id", "seq", (c("tool_id") * 1000 + c("line_no")).alias("feature_id"))
-    ch = shop.v_char.filter("plan_id % 5 = 0").select("plan_id", "feature_id", "characteristic_id")
+    s = shop.v_step.select("plan_id", "seq", (c("tool_id") * 1000 + c("line_no")).alias("feature_id"))
+    ch = shop.v_char.select("plan_id", "feature_id", "characteristic_id")
     own = s.join(ch, ["plan_id", "feature_id"]).select("plan_id", "seq", "characteristic_id", F.lit("PRODUCES").alias("role"))
     return own.unionByName(s.drop("feature_id").join(ch.filter("feature_id IS NULL").drop("feature_id"), "plan_id").select("plan_id", "seq", "characteristic_id", F.lit("GLOBAL").alias("role")))
 
