@@ -20,13 +20,49 @@ def interfaces(df_interface: Column, more: Column) -> Column:
 
 
 def candidates(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str) -> DataFrame:
-    """All triples whose machine and tool do the operation. Holders and the pre-filtered machines are catalogs of a few hundred rows."""
-    m = machines.filter(F.array_contains(items(F.col("processes")), operation)).select("machine_id", F.col("max_rpm").alias("m_rpm"), interfaces(F.col("spindle_interface"), F.col("more_interfaces")).alias("own"), "max_tool_d", "max_tool_len")
-    t = tools.filter(F.array_contains(items(F.col("operations")), operation)).select("tool_id", F.col("max_rpm").alias("t_rpm"), "d_mm", "length_mm", "shank_mm", "insert_shape", items(F.col("iso_groups")).alias("groups"))
-    h = holders.select("holder_id", F.col("max_rpm").alias("h_rpm"), "machine_interface", "tool_interface", "clamp_min", "clamp_max")
+    """All triples whose machine and tool do the operation: a product, for small catalogs only."""
+    m, t, h = _catalogs(machines, tools, holders, operation)
     return t.crossJoin(m).crossJoin(h)
 
 
+def _catalogs(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the rules read of the machines and tools that do the operation, and of the holders."""
+    m = machines.filter(F.array_contains(items(F.col("processes")), operation)).select("machine_id", F.col("max_rpm").alias("m_rpm"), F.array_sort(interfaces(F.col("spindle_interface"), F.col("more_interfaces"))).alias("own"), "max_tool_d", "max_tool_len")
+    t = tools.filter(F.array_contains(items(F.col("operations")), operation)).select("tool_id", F.col("max_rpm").alias("t_rpm"), "d_mm", "length_mm", "shank_mm", "insert_shape", items(F.col("iso_groups")).alias("groups"))
+    return m, t, holders.select("holder_id", F.col("max_rpm").alias("h_rpm"), "machine_interface", "tool_interface", "clamp_min", "clamp_max")
+
+
+def verdict_counts(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
+    """(verdict, rules, n) over all triples whose machine and tool do the operation.
+
+    Rows of a catalog that no rule tells apart are one group with a row count. Tool and holder groups are paired, reduced
+    to their rules and counted again; the machines' groups meet them in each of the holders' interfaces.
+    """
+    c = F.col
+    m, t, h = _catalogs(machines, tools, holders, operation)
+    n = F.count(F.lit(1))
+    limit = lambda x: _known(c(x).isNull(), c(x) >= rpm)
+    h = h.groupBy("machine_interface", "tool_interface", "clamp_min", "clamp_max", limit("h_rpm").alias("r_rpm_h")).agg(n.alias("n_h"))
+    t = t.groupBy("d_mm", "length_mm", "shank_mm", "insert_shape", _iso(iso_group).alias("r_iso"), limit("t_rpm").alias("r_rpm_t")).agg(n.alias("n_t"))
+    faces = h.select("machine_interface").distinct()
+    m = m.groupBy("own", "max_tool_d", "max_tool_len", limit("m_rpm").alias("r_rpm_m")).agg(n.alias("n_m"))
+    m = m.join(F.broadcast(faces), F.lit(True)).groupBy("machine_interface", _interface().alias("r_interface"), "r_rpm_m", "max_tool_d", "max_tool_len").agg(F.sum("n_m").alias("n_m"))
+    th = t.join(F.broadcast(h), F.lit(True)).groupBy("machine_interface", "d_mm", "length_mm", _shank().alias("r_shank"), "r_iso", "r_rpm_t", "r_rpm_h").agg(F.sum(c("n_t") * c("n_h")).alias("n_th"))
+    pairs = th.join(m, th["machine_interface"].eqNullSafe(m["machine_interface"])).withColumns({"r_length": _length(), "r_diameter": _diameter()})
+    return pairs.groupBy(*RULES).agg(F.sum(c("n_th") * c("n_m")).alias("n")).select(_verdict().alias("verdict"), *RULES, "n")
+
+
+def fitting(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
+    """The COMPATIBLE triples: each rule that reads one catalog, or tool and holder, is applied before the machines are met by an equi join on the interface."""
+    c = F.col
+    m, t, h = _catalogs(machines, tools, holders, operation)
+    m = m.filter(c("m_rpm") >= rpm).withColumn("machine_interface", F.explode("own"))
+    h = h.filter(c("h_rpm") >= rpm)
+    t = t.filter((c("t_rpm") >= rpm) & (_iso(iso_group) == "PASS"))
+    th = t.join(F.broadcast(h), _shank() == "PASS")
+    return th.join(m, "machine_interface").filter((_length() == "PASS") & (_diameter() == "PASS"))
+
+
 def interface_pairs(machines: DataFrame, holders: DataFrame) -> DataFrame:
     """Only the pairs that fit: an equi join on the exploded interfaces instead of a product."""
     m = machines.select("machine_id", F.explode(interfaces(F.col("spindle_interface"), F.col("more_interfaces"))).alias("machine_interface"))
@@ -40,18 +76,42 @@ def _known(unknown: Column, ok: Column) -> Column:
 def evaluate(triples: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
     """The rules' statuses, and verdict: any FAIL is INCOMPATIBLE, else any UNKNOWN is INSUFFICIENT_DATA."""
     c = F.col
-    shank = F.when(c("tool_interface").isin(CLAMPING), _known(c("shank_mm").isNull() | c("clamp_min").isNull() | c("clamp_max").isNull(), c("shank_mm").between(c("clamp_min"), c("clamp_max"))))
-    for seat, shape in SEATS.items():
-        shank = shank.when(c("tool_interface") == seat, _known(c("insert_shape").isNull(), c("insert_shape") == shape))
-    shank = shank.when(c("tool_interface") == BAR, _known(c("shank_mm").isNull(), F.abs(c("shank_mm") - BAR_MM) <= BAR_TOLERANCE)).otherwise("UNKNOWN")
     limit = lambda x: _known(c(x).isNull(), c(x) >= rpm)
     out = triples.withColumns({
-        "r_interface": _known(F.size("own") == 0, F.array_contains("own", c("machine_interface"))), "r_shank": shank,
-        "r_length": _known(c("length_mm").isNull() | c("max_tool_len").isNull(), c("length_mm") <= c("max_tool_len")), "r_diameter": _known(c("d_mm").isNull() | c("max_tool_d").isNull(), c("d_mm") <= c("max_tool_d")),
-        "r_iso": _known(F.size("groups") == 0, F.array_contains("groups", iso_group)), "r_rpm_m": limit("m_rpm"), "r_rpm_t": limit("t_rpm"), "r_rpm_h": limit("h_rpm"),
+        "r_interface": _interface(), "r_shank": _shank(), "r_length": _length(), "r_diameter": _diameter(),
+        "r_iso": _iso(iso_group), "r_rpm_m": limit("m_rpm"), "r_rpm_t": limit("t_rpm"), "r_rpm_h": limit("h_rpm"),
     })
+    return out.withColumn("verdict", _verdict())
+
+
+def _interface() -> Column:
+    return _known(F.size("own") == 0, F.array_contains("own", F.col("machine_interface")))
+
+
+def _length() -> Column:
+    return _known(F.col("length_mm").isNull() | F.col("max_tool_len").isNull(), F.col("length_mm") <= F.col("max_tool_len"))
+
+
+def _diameter() -> Column:
+    return _known(F.col("d_mm").isNull() | F.col("max_tool_d").isNull(), F.col("d_mm") <= F.col("max_tool_d"))
+
+
+def _iso(iso_group: str) -> Column:
+    return _known(F.size("groups") == 0, F.array_contains("groups", iso_group))
+
+
+def _verdict() -> Column:
     every = F.array(*RULES)
-    return out.withColumn("verdict", F.when(F.array_contains(every, "FAIL"), "INCOMPATIBLE").when(F.array_contains(every, "UNKNOWN"), "INSUFFICIENT_DATA").otherwise("COMPATIBLE"))
+    return F.when(F.array_contains(every, "FAIL"), "INCOMPATIBLE").when(F.array_contains(every, "UNKNOWN"), "INSUFFICIENT_DATA").otherwise("COMPATIBLE")
+
+
+def _shank() -> Column:
+    c = F.col
+    shank = F.when(c("tool_interface").isin(CLAMPING), _known(c("shank_mm").isNull() | c("clamp_min").isNull() | c("clamp_max").isNull(), c("shank_mm").between(c("clamp_min"), c("clamp_max"))))
+    for seat, shape in SEATS.items():
+        shank = shank.when(c("tool_interface") == seat, _known(c("insert_shape").isNull(), c("insert_shape") == shape))
+    shank = shank.when(c("tool_interface") == BAR, _known(c("shank_mm").isNull(), F.abs(c("shank_mm") - BAR_MM) <= BAR_TOLERANCE)).otherwise("UNKNOWN")
+    return shank
 
 
 def ranked(df: DataFrame, limit: int) -> DataFrame:

@@ -183,16 +183,13 @@ _TRIPLES = """mi AS (SELECT *, list_filter(string_split(coalesce(spindle_interfa
 _REQUEST = dict(operation="milling", iso_group="P", rpm=9000)
 
 
-def _evaluated(shop):
-    machines = shop.v_machine.filter("site % 3 = 0")
-    tools = shop.v_tool.filter("tool_id % 9 = 1")
-    return compat.evaluate(compat.candidates(machines, tools, shop.v_holder, "milling"), **_REQUEST)
+def _counts(shop):
+    return compat.verdict_counts(shop.v_machine, shop.v_tool, shop.v_holder, **_REQUEST)
 
 
 @query("compatibility", f"WITH {_TRIPLES} SELECT verdict, r_interface, r_shank, r_length, r_diameter, r_iso, r_rpm_m, r_rpm_t, r_rpm_h, count(*) AS n FROM ev GROUP BY ALL")
 def compatibility(shop):
-    rules = ["r_interface", "r_shank", "r_length", "r_diameter", "r_iso", "r_rpm_m", "r_rpm_t", "r_rpm_h"]
-    return _evaluated(shop).groupBy("verdict", *rules).agg(F.count(F.lit(1)).alias("n"))
+    return _counts(shop)
 
 
 @query("ranked_selection", f"""WITH {_TRIPLES}, k AS (SELECT machine_id, tool_id, holder_id, round((m_rpm - 9000) / CAST(m_rpm AS DOUBLE), 6) AS margin, tool_id % 2 AS reference FROM ev WHERE verdict = 'COMPATIBLE'),
@@ -200,14 +197,14 @@ def compatibility(shop):
   d AS (SELECT DISTINCT rank, margin, reference FROM r), nx AS (SELECT rank, margin, reference, lead(margin) OVER (ORDER BY rank) AS m2, lead(reference) OVER (ORDER BY rank) AS r2 FROM d)
   SELECT machine_id, tool_id, holder_id, r.margin, rank, tied, CASE WHEN m2 IS NOT NULL AND nx.margin > m2 THEN 'HIGHER_RPM_MARGIN' WHEN r2 IS NOT NULL AND nx.reference > r2 THEN 'REFERENCE_GUIDANCE' END AS ahead FROM r JOIN nx USING (rank) WHERE pos <= 200""")
 def ranked_selection(shop):
-    df = _evaluated(shop).filter("verdict = 'COMPATIBLE'").withColumn("margin", F.round((c("m_rpm") - 9000) / c("m_rpm"), 6)).withColumn("reference", c("tool_id") % 2)
+    df = compat.fitting(shop.v_machine, shop.v_tool, shop.v_holder, **_REQUEST).withColumn("margin", F.round((c("m_rpm") - 9000) / c("m_rpm"), 6)).withColumn("reference", c("tool_id") % 2)
     return compat.ranked(df, 200).select("machine_id", "tool_id", "holder_id", "margin", "rank", "tied", "ahead")
 
 
 @query("selection_rollup", f"WITH {_TRIPLES} SELECT count(*) AS evaluated, count(*) FILTER (WHERE verdict = 'COMPATIBLE') AS compatible, count(*) FILTER (WHERE verdict = 'INCOMPATIBLE') AS incompatible, CASE WHEN count(*) FILTER (WHERE verdict = 'COMPATIBLE') > 0 THEN 'RANKED' WHEN count(*) FILTER (WHERE verdict = 'INSUFFICIENT_DATA') > count(*) FILTER (WHERE verdict = 'INCOMPATIBLE') THEN 'INSUFFICIENT_DATA' ELSE 'NO_COMPATIBLE' END AS state FROM ev")
 def selection_rollup(shop):
-    n = lambda v: F.count_if(c("verdict") == v)
-    return _evaluated(shop).agg(F.count(F.lit(1)).alias("evaluated"), n("COMPATIBLE").alias("compatible"), n("INCOMPATIBLE").alias("incompatible"), F.when(n("COMPATIBLE") > 0, "RANKED").when(n("INSUFFICIENT_DATA") > n("INCOMPATIBLE"), "INSUFFICIENT_DATA").otherwise("NO_COMPATIBLE").alias("state"))
+    n = lambda v: F.coalesce(F.sum(F.when(c("verdict") == v, c("n"))), F.lit(0).cast("long"))
+    return _counts(shop).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("evaluated"), n("COMPATIBLE").alias("compatible"), n("INCOMPATIBLE").alias("incompatible"), F.when(n("COMPATIBLE") > 0, "RANKED").when(n("INSUFFICIENT_DATA") > n("INCOMPATIBLE"), "INSUFFICIENT_DATA").otherwise("NO_COMPATIBLE").alias("state"))
 
 
 @query("machine_holder_pairs", "SELECT machine_id, holder_id FROM (SELECT machine_id, unnest(list_distinct(list_filter(string_split(coalesce(spindle_interface, '') || ';' || more_interfaces, ';'), lambda x: x <> ''))) AS i FROM v_machine) m JOIN v_holder h ON h.machine_interface = m.i")
