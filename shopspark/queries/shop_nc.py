@@ -140,8 +140,7 @@ def nc_arcs(shop):
 
 @query("nc_lines", "SELECT program_id, line_no, true AS valid, text FROM v_nc WHERE program_id < 100")
 def nc_lines(shop):
-    """Whole program texts split into numbered lines."""
+    """Program texts split into numbered lines."""
     from ..sources import ingest
 
-    whole = shop.v_nc.filter("program_id < 100").groupBy("program_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\r\n").alias("text"))
-    return ingest.lines(whole).select("program_id", c("line_no").cast("long").alias("line_no"), "valid", "text")
+    return ingest.reread(shop.v_nc.select("program_id", "line_no", "text"))

@@ -54,12 +54,24 @@ def number_range(c: Column) -> Column:
     return F.struct(number(F.get(parts, F.lit(0))).alias("low"), number(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))).alias("high"))
 
 
-def lines(programs: DataFrame, text: str = "text") -> DataFrame:
-    """Numbered lines of texts; a text of more than NC_LINE_CAP lines gives one row with valid = false."""
+def lines(texts: DataFrame, text: str = "text", cap: int | None = None) -> DataFrame:
+    """Numbered lines of texts; with a cap, a text of more lines gives one row with valid = false."""
     split = F.split(F.col(text), "\r\n|\r|\n")
-    over = F.size(split) > NC_LINE_CAP
-    rows = programs.withColumn("valid", ~over).withColumn("_l", F.when(over, F.array(F.lit(None).cast("string"))).otherwise(split))
-    return rows.select(*[c for c in programs.columns if c != text], "valid", F.posexplode("_l").alias("_n", "text")).withColumn("line_no", F.col("_n") + 1).drop("_n")
+    over = F.coalesce(F.size(split) > cap, F.lit(False)) if cap else F.lit(False)
+    rows = texts.withColumn("valid", ~over).withColumn("_l", F.when(over, F.array(F.lit(None).cast("string"))).otherwise(split))
+    return rows.select(*[c for c in texts.columns if c != text], "valid", F.posexplode("_l").alias("_n", "text")).withColumn("line_no", F.col("_n") + 1).drop("_n")
+
+
+def nc_lines(programs: DataFrame, text: str = "text") -> DataFrame:
+    """Numbered lines of NC texts; one of more than NC_LINE_CAP lines is refused: one row with valid = false."""
+    return lines(programs, text, NC_LINE_CAP)
+
+
+def reread(rows: DataFrame, block: int = NC_LINE_CAP // 2) -> DataFrame:
+    """Line tables (program_id, line_no from 1 without gaps, text) written as texts of at most ``block`` lines and read again, so that no text grows with its program."""
+    part = F.floor((F.col("line_no") - 1) / block).alias("_p")
+    whole = rows.groupBy("program_id", part).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda s: F.coalesce(s["text"], F.lit(""))), "\r\n").alias("text"))
+    return nc_lines(whole).select("program_id", (F.col("_p") * block + F.col("line_no")).cast("long").alias("line_no"), "valid", "text")
 
 
 def markdown_cells(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

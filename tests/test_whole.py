@@ -5,16 +5,18 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from shopspark.plans.views import TABLES, VIEWS
 from shopspark.queries import ENTRIES
+from shopspark.sources import ingest
 from tests.test_queries import SF, norm
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 #: What the registered SQL of a query leaves out of the tables.
 CUTS = {
     "range_parse": [" WHERE plan_id % 7 = 0"], "tool_life_series": [" WHERE tool_index % 10 = 0"], "operation_links": [" WHERE s.plan_id % 5 = 0"],
-    "reference_ranges": [" WHERE plan_id % 10 = 0", " WHERE p_partkey % 10 < 3"], "reference_lookup": [" WHERE p_partkey % 10 < 3"],
+    "nc_lines": [" WHERE program_id < 100"], "reference_ranges": [" WHERE plan_id % 10 = 0", " WHERE p_partkey % 10 < 3"], "reference_lookup": [" WHERE p_partkey % 10 < 3"],
 }
 
 
@@ -53,6 +55,21 @@ def test_whole_catalogs(spark, name):
     same(spark, con, name, ENTRIES[name].sql.replace(" AND site % 3 = 0", "").replace(" AND tool_id % 9 = 1", ""), folder)
 
 
+def test_line_cap_is_for_nc_text_only(spark):
+    n = ingest.NC_LINE_CAP + 1
+    mesh = spark.range(1).select(F.lit(1).alias("k"), F.repeat(F.lit("v 0 0 1\n"), n).alias("text"))
+    assert [r["vertices"] for r in ingest.mesh_inventory(mesh, "k").collect()] == [n]
+    table = spark.range(1).select(F.lit(1).alias("k"), F.concat(F.repeat(F.lit("x\n"), n), F.lit("| a | b |")).alias("text"))
+    assert [r["value"] for r in ingest.markdown_cells(table, "k").orderBy("col_no").collect()] == ["a", "b"]
+    assert [tuple(r) for r in ingest.nc_lines(mesh).select("valid", "text").collect()] == [(False, None)]
+
+
+def test_programs_over_the_block_keep_their_lines(spark):
+    rows = [(p, i + 1, f"X{i}") for p, n in ((1, 7), (2, 3), (3, 1)) for i in range(n)]
+    got = ingest.reread(spark.createDataFrame(rows, "program_id long, line_no long, text string"), 3).collect()
+    assert sorted((r["program_id"], r["line_no"], r["text"]) for r in got) == sorted(rows) and all(r["valid"] for r in got)
+
+
 def plans(duck, back):
     """Per plan the edges of its steps, and with ``back`` those that lead one step back."""
     steps = duck.sql(f"WITH v_step AS ({VIEWS['v_step']}) SELECT plan_id, seq, tool_id FROM v_step").fetchall()
