@@ -239,6 +239,23 @@ def test_contamination(spark, rows):
     assert got == sorted([("1", [0]), ("2", [1]), ("3", []), ("4", []), ("5", []), ("None", [3]), ("1", [])])
 
 
+def test_quotes_of_the_least_length_and_short_items(spark):
+    r = random.Random(5)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    item, pad, n = text(60), text(20), op8_decontam.PASSAGE
+    assert len(item) > 240
+    quotes = {a: item[a : a + n] for a in range(len(item) - n + 1) if item[a] != " " and item[a + n - 1] != " "}
+    docs = [(a, f"{pad} zz{q}zz {pad}") for a, q in quotes.items()] + [(1000 + a, f"{pad} zz{q[:60]}zz {pad}") for a, q in quotes.items()]
+    typo = list(quotes[0])
+    typo[50] = typo[60] = "z"  # the seed at 0 stands unedited
+    docs += [(2000, "what is 6 x 7? nothing"), (2001, "six times seven"), (2002, "1six times sevens"), (2003, "say a12 now"), (2004, "a123"), (2005, "zz".join([pad, "".join(typo), pad]))]
+    bench = [(1, item), (2, "Six  times seven"), (3, "What is 6 x 7?"), (4, "a12"), (5, "")]
+    out = {x["doc_id"]: list(x["items"]) for x in op8_decontam.contaminated(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert [a for a in quotes if out[a] != [1]] == [] and [a for a in quotes if out[1000 + a]] == []
+    assert [out[k] for k in range(2000, 2005)] == [[3], [2], [], [4], []]
+    assert out[2005] == [1]
+
+
 def test_banded_edits_match_full_table():
     r = random.Random(4)
     for _ in range(60):
