@@ -21,7 +21,9 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-TRIGGER = re.compile(r"[0-9@]")
+#: What an entity holds at least: a digit, an at sign, or the at sign's other spellings.
+SPELT_AT = re.compile(r"\[at\]|\(at\)")
+TRIGGER = re.compile(rf"[0-9@]|{SPELT_AT.pattern}")
 #: The model is trained on zones of at most so many texts that hold a digit or an at sign (smallest content hashes).
 FIT_TEXTS = 200
 #: Characters around a trigger that its zone takes in.
@@ -65,9 +67,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Character ranges around digits and at signs, cut at line ends and (where possible) between words."""
+    """Character ranges around digits and at signs (other spellings too), cut at line ends and (where possible) between words."""
     out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
+    for m in re.finditer(rf"(?:{TRIGGER.pattern})+", text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = b
@@ -113,7 +115,7 @@ def _class(c: str) -> str:
 
 
 def candidate(text: str, a: int, b: int) -> bool:
-    """Spans that may be an entity: of one line, at most 64 characters, with a digit or an at sign, whole at both ends."""
+    """Spans that may be an entity: of one line, at most 64 characters, with a digit or an at sign (other spellings too), whole at both ends."""
     s = text[a:b]
     if b - a > 64 or "\n" in s or not TRIGGER.search(s):
         return False
@@ -125,7 +127,7 @@ def _variant(kind: str, s: str, rng: random.Random) -> str:
     d = _digits(s)
     if kind == "email":
         user, _, host = s.partition("@")
-        return user + rng.choice(["[at]", "(at)", " [at] ", " @ "]) + host
+        return user + rng.choice(["[at]", "(at)", " [at] ", " (at) ", " @ "]) + host
     if kind == "ip":
         return s.replace(".", "[.]")
     if kind == "card":
@@ -135,16 +137,21 @@ def _variant(kind: str, s: str, rng: random.Random) -> str:
 
 
 def _decoy(rng: random.Random) -> str:
-    """Numbers and codes that are no personal data."""
+    """Numbers, codes and words that are no personal data."""
     n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    w = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
     return rng.choice([
         n(rng.randint(1, 8)), n(4) + "-" + n(2) + "-" + n(2), n(2) + ":" + n(2), n(1) + "." + n(1) + "." + n(2), n(3) + "." + n(2), n(16) + n(rng.randint(4, 9)), "v" + n(1) + "." + n(2),
         n(12), n(10), "".join(rng.choice("0123456789abcdef") for _ in range(24)), "$" + n(3) + "." + n(2), n(2) + "%", "@" + "".join(rng.choice("abcdef") for _ in range(6)), n(3) + "-" + n(4), "(" + n(2) + ")",
+        w() + rng.choice(["[at]", "(at)", " [at] ", " (at) ", " @ "]) + w(),
     ])
 
 
 def training_zones(texts: list[str], seed: int = 0) -> list[tuple[str, dict[tuple[int, int], int]]]:
-    """Zones with the base spans as entities, each also with variants and decoys in place of its spans."""
+    """Zones with the base spans as entities, each also with variants and decoys in place of its spans.
+
+    Zones that spell an at sign already are left out: whether they hold an address isn't known.
+    """
     rng = random.Random(seed)
     out = []
     for text in texts:
@@ -152,7 +159,7 @@ def training_zones(texts: list[str], seed: int = 0) -> list[tuple[str, dict[tupl
         for a, b in zones(text)[:20]:
             own = [(k, s, e) for k, s, e in spans if a <= s and e <= b]
             own = [x for n, x in enumerate(own) if all(x[2] <= y[1] or x[1] >= y[2] for m, y in enumerate(own) if m != n)]
-            if b - a > 300:
+            if b - a > 300 or SPELT_AT.search(text, a, b):
                 continue
             for how in ("as is", "variant", "decoy") if own else ("as is",):
                 zone, gold, at = "", {}, a

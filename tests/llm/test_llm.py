@@ -221,6 +221,21 @@ def test_personal_data_model(spark):
     assert [s["kind"] for s in out[100]["spans"]] == ["phone"] and not out[101]["spans"] and not out[102]["spans"]
 
 
+def test_addresses_without_digits(spark):
+    rng = random.Random(1)
+    for _ in range(40):
+        t = op7_pii._variant("email", "jane.doe@example.com", rng)
+        assert op7_pii.candidate(f"an {t} bald", 3, 3 + len(t)) and any(a <= 3 and b >= 3 + len(t) for a, b in op7_pii.zones(f"an {t} bald"))
+    name = lambda i: "".join(chr(97 + int(x)) for x in str(i * 37))
+    texts = [f"der Text mail {name(i)}{".c" * (i % 2)}@{"mail." * (i % 3 > 0)}example.com und {i % 200}.17.{i % 99}.4 oder +1 (98{i % 10}) 555-24{i % 90 + 10} la" for i in range(60)]
+    asked = {200: "schreib an jane.doe[at]example.com bald", 201: "write to jane (at) example.com now", 202: "jane(at)example.com"}
+    rows = [*enumerate(texts), *asked.items(), (300, "we met (at) noon"), (301, "an array[at] index")]
+    out = {r["doc_id"]: r for r in op7_pii.find_personal_data(table(spark, rows)).collect()}
+    found = {k: [(s["kind"], t[s["start"] : s["end"]]) for s in out[k]["spans"]] for k, t in asked.items()}
+    assert found == {200: [("email", "jane.doe[at]example.com")], 201: [("email", "jane (at) example.com")], 202: [("email", "jane(at)example.com")]}
+    assert not out[300]["spans"] and not out[301]["spans"]
+
+
 def test_semicrf_sums_match_enumeration():
     m = SemiCRF(["o", "e"], lambda t, a, b: [t[a:b]], lambda t, a, b: "1" in t[a:b]).fit([("a 1 2 b", {(2, 5): 1}), ("a b", {})] * 5, epochs=10)
     assert m.decode("a 1 2 b") == [(2, 5, 1)] and m.decode("b a") == []
