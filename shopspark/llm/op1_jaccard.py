@@ -201,7 +201,8 @@ def set_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
     """Per row: size, 128-bit digest and prefix of its set; per distinct non-empty set: cid and representative."""
     rows = checkpointed(docs.mapInArrow(_sets(n, percent, common_tokens(docs, n)), "doc_id long, _h long, n long, d1 long, d2 long, prefix array<long>"))
     cid = F.coalesce(F.min("doc_id"), F.expr("(d1 & 4611686018427387903) | 4611686018427387904"))
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(cid.alias("cid"), F.min("doc_id").alias("rep_id"), F.min_by("_h", F.struct("doc_id", "_h")).alias("rep_h"))
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(cid.alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")).alias("rep"))
+    classes = classes.select("d1", "d2", "n", "cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep._h").alias("rep_h"))  # of one row; a null id comes last
     return rows, checkpointed(classes)
 
 

@@ -18,28 +18,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(jdf.toJavaRDD(), jdf.schema()), spark)
 
 
-def cyclic_nodes(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(plan_id, node) on or behind a cycle of (plan_id, src, dst): what leaf stripping leaves.
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(plan_id, node) on or behind a cycle of (plan_id, src, dst): the nodes that reach themselves, and what they reach."""
+    paths = ancestors(edges)
+    ring = paths.filter("src = dst").select("plan_id", "src")
+    return paths.join(ring, ["plan_id", "src"], "left_semi").select("plan_id", F.col("dst").alias("node")).distinct()
 
-    Each round drops the edges whose source no edge leads to; it ends when none goes.
-    """
-    left = _cut(edges.select("plan_id", "src", "dst").distinct())
-    n = left.count()
-    for _ in range(rounds):
-        reached = left.select("plan_id", F.col("dst").alias("src")).distinct()
-        left = _cut(left.join(reached, ["plan_id", "src"], "left_semi"))
-        m = left.count()
-        if m == n:
-            break
-        n = m
-    return left.select("plan_id", F.col("src").alias("node")).union(left.select("plan_id", "dst")).distinct()
 
-
-def ancestors(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Transitive closure (plan_id, src, dst) by doubling: paths of up to 2 ** rounds edges."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """Transitive closure (plan_id, src, dst) by doubling, until a round adds no path."""
     paths = _cut(edges.select("plan_id", "src", "dst").distinct())
     n = paths.count()
-    for _ in range(rounds):
+    while True:
         a, b = paths.alias("a"), paths.alias("b")
         more = a.join(b, (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.dst") == F.col("b.src"))).select("a.plan_id", "a.src", "b.dst")
         paths = _cut(paths.union(more).distinct())
@@ -63,11 +53,11 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         cur = new.select("plan_id", "node", "level")
 
 
-def groups(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+def groups(pairs: DataFrame) -> DataFrame:
     """(node, grp) of the nodes of undirected (a, b); grp is the smallest node of the connected component."""
     e = _cut(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct())
     label = _cut(e.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("grp")))
-    for _ in range(rounds):
+    while True:
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grp").alias("g2"))
         new = label.join(near, "node").select("node", "grp", F.least("grp", "g2").alias("g"))
         jump = new.select(F.col("node").alias("g"), F.col("g").alias("gg"))

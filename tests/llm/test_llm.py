@@ -221,6 +221,13 @@ def test_personal_data_model(spark):
     assert [s["kind"] for s in out[100]["spans"]] == ["phone"] and not out[101]["spans"] and not out[102]["spans"]
 
 
+def test_null_id_beside_an_id_of_the_same_set(spark):
+    words = [f"w{i}" for i in range(100)]
+    docs = [(None, " ".join(words).upper()), (5, " ".join(words)), (9, " ".join(words[:-1] + ["other"]))]
+    out = op1_jaccard.jaccard_components(table(spark, docs)).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in out) == [("5", 5), ("9", 5), ("None", 5)]
+
+
 def test_addresses_without_digits(spark):
     rng = random.Random(1)
     for _ in range(40):

@@ -74,6 +74,11 @@ def test_cycles_and_groups(spark):
     assert sorted(map(tuple, graph.groups(g).collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)]
 
 
+def test_long_chain_has_no_cycle(spark):
+    e = spark.createDataFrame([(1, i, i + 1) for i in range(200)] + [(2, 1, 2), (2, 2, 1)], "plan_id long, src long, dst long")
+    assert sorted(map(tuple, graph.cyclic_nodes(e).collect())) == [(2, 1), (2, 2)]
+
+
 def test_coercion_and_guard(spark, tmp_path):
     assert one(spark, ingest.coerce(F.lit(" 12 "), "int")) == 12 and one(spark, ingest.coerce(F.lit("x"), "int")) is None
     assert one(spark, ingest.coerce(F.lit("Yes"), "bool")) is True and one(spark, ingest.coerce(F.lit("a; b;"), "list")) == ["a", "b"]
