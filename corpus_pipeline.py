@@ -40,7 +40,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece ids, their number, and whether decoding gives the text back."""
-    out = op4_sentencepiece.decode(op4_sentencepiece.encode(docs))
+    out = op4_sentencepiece.encode(docs, decoded=True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("_h")).alias("lossless"))
 
 

@@ -29,10 +29,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units known to every task, at most, and one in how many texts they are looked for in.
 KNOWN_UNITS, KNOWN_SAMPLE = 300_000, 6
 #: Bytes of texts that a task works on at a time, and characters of a unit that are folded into one array.
-PART_BYTES, BLOCK = 2 << 20, 64
+PART_BYTES, BLOCK = 1 << 20, 64
 SPACE = "▁"
 #: Units of a task whose pieces it holds at a time, at least.
-HELD_UNITS = 400_000
+HELD_UNITS = 200_000
 #: An edge's code: number of characters, then piece id; this id stands for a character without a piece.
 ID_BITS, CODE_BITS = 24, 31
 NO_PIECE = (1 << ID_BITS) - 1
@@ -344,8 +344,9 @@ def paths(unit: pa.Array, codes: pa.Array, byte_ids: np.ndarray) -> tuple[np.nda
     return out.astype(np.int32), total[first[1:]] - total[first[:-1]]
 
 
-def _filled(byte_ids: np.ndarray):
-    """Units and texts to texts with all their pieces."""
+def _filled(pieces: Pieces, decoded: bool):
+    """Units and texts to texts with all their pieces, and (where asked for) what these decode to."""
+    byte_ids = pieces.byte_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, size, first = np.zeros(0, np.int32), np.zeros(0, np.int64), 0  # pieces of the units from number first on
@@ -362,7 +363,8 @@ def _filled(byte_ids: np.ndarray):
                     if gone or fresh:
                         ids = np.concatenate([ids[int(size[:gone].sum()) :], *(x for x, _ in fresh)])
                         size, first, fresh = np.concatenate([size[gone:], *(n for _, n in fresh)]), first + gone, []
-                    yield _fill(rows, head, ids, size, np.cumsum(size) - size, first)
+                    out = _fill(rows, head, ids, size, np.cumsum(size) - size, first)
+                    yield out.append_column("decoded", texts_of(out.column("ids"), pieces)) if decoded else out
 
     return run
 
@@ -418,8 +420,8 @@ def common_units(docs: DataFrame, pieces: Pieces, most: int) -> Known:
     return Known(got.column("h").to_numpy(), ids.flatten().to_numpy(), np.diff(np.asarray(ids.offsets)).astype(np.int64))
 
 
-def encode(docs: DataFrame, model: str = MODEL, known_units: int = KNOWN_UNITS) -> DataFrame:
-    """doc_id, ids (array of piece ids) and _h (content hash) per input row.
+def encode(docs: DataFrame, model: str = MODEL, known_units: int = KNOWN_UNITS, decoded: bool = False) -> DataFrame:
+    """doc_id, _h (content hash), ids (array of piece ids) per input row; with ``decoded`` also the text that decode() gives.
 
     The ids are those of the best-scored path over each unit's lattice, with bytes for characters that have no piece.
     A space is put before a text, as the model's dummy prefix; a text isn't normalised otherwise. User-defined pieces
@@ -432,40 +434,33 @@ def encode(docs: DataFrame, model: str = MODEL, known_units: int = KNOWN_UNITS)
     rows = keyed(docs)
     known = common_units(rows, pieces, known_units)
     coded = lattice(rows.mapInArrow(_ahead(pieces, known), LATTICE), pieces)
-    return coded.mapInArrow(_filled(pieces.byte_ids), "doc_id long, _h long, ids array<int>")
+    return coded.mapInArrow(_filled(pieces, decoded), "doc_id long, _h long, ids array<int>" + ", decoded string" * decoded)
 
 
-def decoder(pieces: Pieces):
-    """Column function from piece ids to text; bytes that aren't UTF-8 become U+FFFD."""
-    data, size, begin = pieces.data, pieces.size, pieces.begin
-
-    @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        out = []
-        for k in range(0, len(ids), 256):
-            some = ids.slice(k, 256)
-            flat = some.flatten().to_numpy().astype(np.int64)
-            off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(some.offsets)))])
-            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                own = flat[a:b]
-                n = size[own]
-                at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                text = data[at].tobytes()
-                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
-
-    return decode
+def texts_of(ids: pa.Array, pieces: Pieces) -> pa.Array:
+    """The texts of lists of piece ids; bytes that aren't UTF-8 become U+FFFD."""
+    out = []
+    for k in range(0, len(ids), 256):
+        some = ids.slice(k, 256)
+        flat = some.flatten().to_numpy().astype(np.int64)
+        off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(some.offsets)))])
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            own = flat[a:b]
+            n = pieces.size[own]
+            at = np.repeat(pieces.begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            text = pieces.data[at].tobytes()
+            out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded with a column decoded: the texts of its ids."""
-    return encoded.withColumn("decoded", decoder(Pieces(model))(F.col("ids")))
+    pieces = Pieces(model)
+    decoder = F.arrow_udf(lambda ids: texts_of(ids, pieces), "string")
+    return encoded.withColumn("decoded", decoder(F.col("ids")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all texts; lossless tells whether the decoded text is the original."""
-    out = decode(encode(read_table(spark, sf_dir, "documents")))
-    return out.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"), (F.xxhash64("decoded") == F.col("_h")).alias("lossless"),
-    )
+    out = encode(read_table(spark, sf_dir, "documents"), decoded=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256"), (F.xxhash64("decoded") == F.col("_h")).alias("lossless"))
