@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, read_table
@@ -18,14 +18,17 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Fixed patterns of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP_AT_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # the same matches: they begin where a run of digits does
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 #: What an entity holds at least: a digit, an at sign, or the at sign's other spellings.
 SPELT_AT = re.compile(r"\[at\]|\(at\)")
 TRIGGER = re.compile(rf"[0-9@]|{SPELT_AT.pattern}")
-#: The model is trained on zones of at most so many texts that hold a digit or an at sign (smallest content hashes).
-FIT_TEXTS = 200
+#: The model is trained on at most so many zones (smallest hashes) of at most so many characters, out of at most so
+#: many texts that hold a digit or an at sign (smallest content hashes).
+FIT_ZONES, FIT_ZONE_CHARS, FIT_TEXTS = 400, 300, 200
 #: Characters around a trigger that its zone takes in.
 REACH = 24
 SEPARATED = re.compile(r"[0-9](?:[\x20./-]?[0-9])*")
@@ -43,21 +46,28 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _octet(x: str) -> bool:
+    """Whether digits, however many, are at most 255."""
+    x = x.lstrip("0")
+    return len(x) < 3 or (len(x) == 3 and x <= "255")
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Exact pattern matches, by kind and then by start; leftmost, not overlapping within a kind."""
     out = []
-    at = text.find("@")
-    done = 0
+    at, done = text.find("@"), 0
     while at >= 0:
         a = at
-        while a > done and EMAIL_RUN.fullmatch(text[a - 1]):
+        while a > done and text[a - 1] in USER:
             a -= 1
-        b = EMAIL_RUN.match(text, at).end()
-        out += [("email", m.start(), m.end()) for m in EMAIL.finditer(text, a, b)]
-        done, at = b, text.find("@", b)
+        host = DOMAIN.match(text, at + 1) if a < at else None
+        if host:
+            out.append(("email", a, host.end()))
+            done = host.end()
+        at = text.find("@", max(at + 1, done))
     if not TRIGGER.search(text):
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", *m.span()) for m in IP_AT_RUN.finditer(text) if all(_octet(x) for x in m.group().split("."))]
     for m in CARD.finditer(text):
         d = _digits(m.group())
         if 16 <= len(d) <= 19 and luhn(d):
@@ -75,13 +85,20 @@ def zones(text: str) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    fixed = []
+    fixed: list[tuple[int, int]] = []
     for a, b in out:
-        while a > 0 and text[a - 1] not in " \n\t" and text[a] not in " \n\t":
+        least = fixed[-1][1] if fixed else 0
+        if b <= least:
+            continue
+        a = max(a, least)
+        while a > least and text[a - 1] not in " \n\t" and text[a] not in " \n\t":
             a -= 1
         while b < len(text) and text[b] not in " \n\t":
             b += 1
-        fixed.append((a, b))
+        if fixed and a <= least:  # both reach into one word
+            fixed[-1] = (fixed[-1][0], max(b, least))
+        else:
+            fixed.append((a, b))
     return fixed
 
 
@@ -102,7 +119,7 @@ def span_features(text: str, a: int, b: int) -> list[str]:
         out.append("luhn:" + str(luhn(d)) + _bucket(len(d)) + str(len(d) == len(re.sub(r"[ ./-]", "", s))))
     parts = re.split(r"\.|\[\.\]", s)
     if len(parts) == 4 and all(x.isascii() and x.isdigit() for x in parts):
-        out.append("ip:" + str(all(int(x) <= 255 for x in parts)))
+        out.append("ip:" + str(all(_octet(x) for x in parts)))
     left, right = text[a - 1 : a], text[b : b + 1]
     out += ["L:" + _class(left), "R:" + _class(right), "LR:" + _class(left) + _class(right) + loose[:12]]
     if "@" in s or "[at]" in s or "(at)" in s:
@@ -147,41 +164,65 @@ def _decoy(rng: random.Random) -> str:
     ])
 
 
-def training_zones(texts: list[str], seed: int = 0) -> list[tuple[str, dict[tuple[int, int], int]]]:
-    """Zones with the base spans as entities, each also with variants and decoys in place of its spans.
+def own_zones(text: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Zones to learn from, with the base spans in them that overlap no other.
 
-    Zones that spell an at sign already are left out: whether they hold an address isn't known.
+    Zones that spell an at sign already are left out: whether they hold an address isn't known. So are those of more
+    than FIT_ZONE_CHARS characters.
     """
+    spans = sorted(base_spans(text), key=lambda x: (x[1], x[2]))
+    out = []
+    for a, b in zones(text):
+        if b - a > FIT_ZONE_CHARS or SPELT_AT.search(text, a, b):
+            continue
+        own = [(k, s - a, e - a) for k, s, e in spans if a <= s and e <= b]
+        out.append((text[a:b], [x for n, x in enumerate(own) if all(x[2] <= y[1] or x[1] >= y[2] for m, y in enumerate(own) if m != n)]))
+    return out
+
+
+def training_data(found: list[tuple[str, list[tuple[str, int, int]]]], seed: int = 0) -> list[tuple[str, dict[tuple[int, int], int]]]:
+    """Zones with the base spans as entities, each also with variants and decoys in place of its spans."""
     rng = random.Random(seed)
     out = []
-    for text in texts:
-        spans = sorted(base_spans(text), key=lambda x: (x[1], x[2]))
-        for a, b in zones(text)[:20]:
-            own = [(k, s, e) for k, s, e in spans if a <= s and e <= b]
-            own = [x for n, x in enumerate(own) if all(x[2] <= y[1] or x[1] >= y[2] for m, y in enumerate(own) if m != n)]
-            if b - a > 300 or SPELT_AT.search(text, a, b):
-                continue
-            for how in ("as is", "variant", "decoy") if own else ("as is",):
-                zone, gold, at = "", {}, a
-                for k, s, e in own:
-                    zone += text[at:s]
-                    new = text[s:e] if how == "as is" else _variant(k, text[s:e], rng) if how == "variant" else _decoy(rng)
-                    if how != "decoy":
-                        gold[(len(zone), len(zone) + len(new))] = 1 + KINDS.index(k)
-                    zone += new
-                    at = e
-                out.append((zone + text[at:b], gold))
+    for text, own in found:
+        for how in ("as is", "variant", "decoy") if own else ("as is",):
+            zone, gold, at = "", {}, 0
+            for k, s, e in own:
+                zone += text[at:s]
+                new = text[s:e] if how == "as is" else _variant(k, text[s:e], rng) if how == "variant" else _decoy(rng)
+                if how != "decoy":
+                    gold[(len(zone), len(zone) + len(new))] = 1 + KINDS.index(k)
+                zone += new
+                at = e
+            out.append((zone + text[at:], gold))
     return out
 
 
-def fit(rows: DataFrame, fit_texts: int = FIT_TEXTS) -> SemiCRF:
-    """Train on zones of at most fit_texts texts that hold a digit or an at sign; nothing else reaches the driver."""
+def _zone_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            got = own_zones(text)
+            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for _, x in got]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.string()), pa.array(spans, SPANS)], names=["zone", "spans"])
+
+
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+SPANS_SQL = "array<struct<kind: string, start: long, end: long>>"
+
+
+def fit(rows: DataFrame, fit_texts: int = FIT_TEXTS, fit_zones: int = FIT_ZONES) -> SemiCRF:
+    """Train on a bounded number of zones; nothing else reaches the driver. Half of them, where there are, hold a base span."""
     some = rows.filter(F.col("text").rlike("[0-9]@|@[a-z]|[0-9]{4}|[0-9]\\.[0-9]"))
-    keys = [r["_h"] for r in some.select("_h").distinct().orderBy("_h").limit(fit_texts).collect()]  # numbers only; texts follow for the chosen
-    texts = some.filter(F.col("_h").isin(keys)).select("_h", "text").distinct().collect() if keys else []
-    data = training_zones([r["text"] for r in sorted(texts, key=lambda r: (r["_h"], r["text"]))])
+    keys = [r["_h"] for r in some.select("_h").distinct().orderBy("_h").limit(fit_texts).collect()]
+    if not keys:
+        return SemiCRF(["outside", *KINDS], span_features, candidate).fit([])
+    chosen = some.filter(F.col("_h").isin(keys)).select("_h", "text").dropDuplicates(["_h"])
+    zone = chosen.select("text").mapInArrow(_zone_rows, f"zone string, spans {SPANS_SQL}").dropDuplicates(["zone"]).withColumn("k", F.xxhash64("zone"))
+    rank = F.row_number().over(Window.partitionBy(F.size("spans") > 0).orderBy("k", "zone"))
+    found = zone.withColumn("n", rank).orderBy("n", "k", "zone").limit(fit_zones).collect()
+    data = training_data([(r["zone"], [tuple(s) for s in r["spans"]]) for r in found])
     random.Random(1).shuffle(data)
-    return SemiCRF(["outside", *KINDS], span_features, candidate).fit(data[: 6 * fit_texts], epochs=5)
+    return SemiCRF(["outside", *KINDS], span_features, candidate).fit(data, epochs=5)
 
 
 def all_spans(text: str, model: SemiCRF, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -203,22 +244,21 @@ def find_personal_data(docs: DataFrame, fit_texts: int = FIT_TEXTS) -> DataFrame
     """Per input row: doc_id, text, base and spans (array of kind, start, end in code points, end exclusive).
 
     base holds the exact pattern matches; spans holds them and what the model adds. Null text is empty and has no
-    spans. Null doc_id and repeated rows are rows like any other. Other columns are ignored. An empty table gives
+    spans. Texts of any length are searched whole, in time linear in it; an entity that the model adds has at most 64
+    characters and 16 tokens. Null doc_id and repeated rows are rows like any other. Other columns are ignored. An empty table gives
     an empty result; without any candidate text to learn from, the model adds nothing.
     """
     rows = keyed(docs)
     model = fit(rows, fit_texts)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base = [base_spans(t) for t in batch.column("text").to_pylist()]
             every = [all_spans(t, model, x) for t, x in zip(batch.column("text").to_pylist(), base, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(as_rows, base), kind), pa.array(map(as_rows, every), kind)], names=["doc_id", "base", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(as_rows, base), SPANS), pa.array(map(as_rows, every), SPANS)], names=["doc_id", "base", "spans"])
 
-    span = "array<struct<kind: string, start: long, end: long>>"
-    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {span}, spans {span}")
+    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {SPANS_SQL}, spans {SPANS_SQL}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shopspark.llm import op1_jaccard, op2_substring, op3_brown, op4_sentencepiece, op5_exact, op6_suffix, op7_pii, op8_decontam, op9_quality, op10_chat
 from shopspark.llm.common import keyed
 from shopspark.llm.graph import components
-from shopspark.llm.semicrf import SemiCRF
+from shopspark.llm.semicrf import SemiCRF, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, n long, cid string, h string, spans string, score string, _h string, label string"
@@ -176,6 +176,25 @@ def test_pieces(spark, rows, known):
         assert list(r["ids"]) == ids or total(r["ids"]) == pytest.approx(total(ids), abs=1e-2)
 
 
+def test_pieces_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(op4_sentencepiece, "HELD_UNITS", 50)
+    r = random.Random(8)
+    b64 = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(200_000))
+    texts = [(1, b64), (2, "a" * 50_000), (3, "日本語" * 20_000), (4, " " * 3000 + "x"), (5, ""), (6, None), (None, "ab " * 40_000)]
+    texts += [(10 + i, " ".join("".join(r.choice("abcdefg") for _ in range(8)) for _ in range(300))) for i in range(20)] * 2
+    out = op4_sentencepiece.encode(table(spark, texts), decoded=True).collect()
+    assert sorted((str(x["doc_id"]), x["decoded"]) for x in out) == sorted((str(i), t or "") for i, t in texts)
+    p = op4_sentencepiece.Pieces(op4_sentencepiece.MODEL)
+    score = {i: p.fixed[i] for _, i, _ in p.rows}
+    unit = " " + b64[:3000]  # plain Viterbi over the whole text, not cut
+    ids = next(x for x in op4_sentencepiece.encode(table(spark, [(1, b64[:3000])])).collect())["ids"]
+    of = {t: score[i] for t, i, _ in p.rows}
+    best = [0] + [-(1 << 62)] * len(unit)
+    for j in range(1, len(unit) + 1):
+        best[j] = max(best[i] + of[unit[i:j]] for i in range(max(0, j - p.longest), j) if unit[i:j] in of)
+    assert sum(score[i] for i in ids) == best[-1]
+
+
 def test_exact(spark, rows):
     groups = {}
     for i, t in rows:
@@ -244,8 +263,60 @@ def test_addresses_without_digits(spark):
 
 
 def test_semicrf_sums_match_enumeration():
-    m = SemiCRF(["o", "e"], lambda t, a, b: [t[a:b]], lambda t, a, b: "1" in t[a:b]).fit([("a 1 2 b", {(2, 5): 1}), ("a b", {})] * 5, epochs=10)
+    m = SemiCRF(["o", "e", "f"], lambda t, a, b: [t[a:b], str(b - a)], lambda t, a, b: "1" in t[a:b]).fit([("a 1 2 b", {(2, 5): 1}), ("a b 1 c", {(4, 5): 2}), ("a b", {})] * 5, epochs=10)
     assert m.decode("a 1 2 b") == [(2, 5, 1)] and m.decode("b a") == []
+    for text in ("a 1 2 b", "1 1 b 1 2", "c 2 1 1 1 a"):
+        tok = tokens(text)
+        segs = m.segments(text, tok)
+        score = dict(zip(zip(segs.first.tolist(), segs.last.tolist(), strict=True), m.scores(segs), strict=True))
+
+        def every(at, before, so_far, path):
+            if at == len(tok):
+                yield so_far, path
+            for j in range(at, len(tok)):
+                for t in range(3):
+                    s = score[at, j][t] if (at, j) in score else -np.inf
+                    if np.isfinite(s):
+                        yield from every(j + 1, t, so_far + m.trans[before, t] + s, [*path, (tok[at][0], tok[j][1], t)])
+
+        ways = list(every(0, 0, 0.0, []))
+        _, _, z = m.sums(segs, m.scores(segs))
+        assert abs(z - np.log(np.exp([w for w, _ in ways]).sum())) < 1e-9
+        best = max(ways)
+        assert m.decode(text) == [x for x in best[1] if x[2]]
+
+
+def test_personal_data_base_by_fuzz():
+    r = random.Random(4)
+    for _ in range(3000):
+        s = "".join(r.choice("ab@.-+1 9\né_%25()") for _ in range(60))
+        want = [("email", *m.span()) for m in op7_pii.EMAIL.finditer(s)]
+        want += [("ip", *m.span()) for m in op7_pii.IP.finditer(s) if all(int(x) <= 255 for x in m.group().split("."))]
+        want += [("card", *m.span()) for m in op7_pii.CARD.finditer(s) if 16 <= len(op7_pii._digits(m.group())) <= 19 and op7_pii.luhn(op7_pii._digits(m.group()))]
+        want += [("phone", *m.span()) for m in op7_pii.PHONE.finditer(s) if 8 <= len(op7_pii._digits(m.group())) <= 15]
+        assert op7_pii.base_spans(s) == want
+
+
+def test_personal_data_in_long_texts(spark):
+    long = [("9" * 5000 + ".1.1.1", 0), ("a" * 100_000 + "@", 0), (("a" * 60 + "1") * 2000, 0), ("1." * 20_000 + " x@y.example.com " * 3, 3), ("0" * 6000 + "9.0.0.1", 1)]
+    for t, n in long:
+        z = op7_pii.zones(t)
+        assert len(op7_pii.base_spans(t)) >= n and all(b <= c for (_, b), (c, _) in zip(z, z[1:]))
+    seen = [f"mail ab{i}.c@mail{i % 7}.example.com und {i % 200}.17.{i % 99}.4" for i in range(40)]
+    rows = list(enumerate([t for t, _ in long] + seen + seen))
+    out = {r["doc_id"]: r for r in op7_pii.find_personal_data(table(spark, rows)).collect()}
+    assert len(out) == len(rows)
+    for i, (t, _) in enumerate(long):
+        assert [tuple(s) for s in out[i]["base"]] == op7_pii.base_spans(t)
+    for i in range(40):  # repeated rows get equal results
+        assert out[len(long) + i]["spans"] == out[len(long) + 40 + i]["spans"]
+    # spans are those of the model's best segmentation of each zone that touch no base span
+    model = op7_pii.fit(keyed(table(spark, rows)))
+    for i, t in rows[5:25]:
+        own = op7_pii.base_spans(t)
+        extra = [(op7_pii.KINDS[k - 1], s + a, e + a) for a, b in op7_pii.zones(t) for s, e, k in model.decode(t[a:b])]
+        want = own + [x for x in extra if all(x[2] <= y[1] or x[1] >= y[2] for y in own)]
+        assert [tuple(s) for s in out[i]["spans"]] == sorted(want, key=lambda x: (op7_pii.KINDS.index(x[0]), x[1], x[2]))
 
 
 def test_contamination(spark, rows):
