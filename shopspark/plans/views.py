@@ -52,14 +52,14 @@ VIEWS = {
   CAST(20 + p_partkey % 60 AS DOUBLE) AS min_value, CAST(60 + p_partkey % 90 AS DOUBLE) AS max_value,
   CASE p_partkey % 4 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'REFERENCE' WHEN 2 THEN 'UNVERIFIED' ELSE NULL END AS evidence_status,
   CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_brand END AS source_reference,
-  CASE p_partkey % 5 WHEN 0 THEN 'HANDBOOK' WHEN 1 THEN 'CATALOG' WHEN 2 THEN 'AI' WHEN 3 THEN 'STANDARD' ELSE 'UNKNOWN' END AS source_type FROM {part} WHERE p_partkey % 10 < 3""",
+  CASE p_partkey % 5 WHEN 0 THEN 'HANDBOOK' WHEN 1 THEN 'CATALOG' WHEN 2 THEN 'AI' WHEN 3 THEN 'STANDARD' ELSE 'UNKNOWN' END AS source_type FROM {part}""",
     "v_obs": """SELECT user_id AS tool_index, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cycle,
   count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS countdown,
   CASE user_id % 3 WHEN 0 THEN 'endmill' WHEN 1 THEN 'drill' ELSE 'insert' END AS tool_type, value AS sensor,
   CAST(1 + user_id % 4 AS DOUBLE) / 2 AS adoc_mm FROM {events}""",
-    "v_nc": """SELECT l_orderkey % 500 AS program_id, l_partkey AS k,
-  row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no,
-  CASE WHEN row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1 THEN CASE WHEN l_orderkey % 500 % 9 = 0 THEN 'G20 G90' ELSE 'G21 G90 (start)' END
+    "v_nc": """SELECT CAST(floor(l_orderkey / 120) AS BIGINT) AS program_id, l_partkey AS k,
+  row_number() OVER (PARTITION BY floor(l_orderkey / 120) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS line_no,
+  CASE WHEN row_number() OVER (PARTITION BY floor(l_orderkey / 120) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1 THEN CASE WHEN floor(l_orderkey / 120) % 9 = 0 THEN 'G20 G90' ELSE 'G21 G90 (start)' END
   WHEN l_partkey % 40 = 0 THEN 'T' || CAST(l_suppkey % 12 AS STRING) || ' ; pick' WHEN l_partkey % 40 = 1 THEN 'M6'
   WHEN l_partkey % 40 = 2 THEN 'S' || CAST(500 + l_suppkey * 20 AS STRING) || ' M3' WHEN l_partkey % 40 = 3 THEN 'G91' WHEN l_partkey % 40 = 4 THEN 'G90' WHEN l_partkey % 200 = 5 THEN 'G28 X0 Y0'
   WHEN l_partkey % 200 = 6 THEN '#100 = 5' WHEN l_partkey % 40 = 7 THEN 'M5' WHEN l_partkey % 900 = 8 THEN 'M30'
@@ -67,13 +67,13 @@ VIEWS = {
   WHEN l_linenumber % 3 = 1 THEN 'G1 X' || CAST(l_partkey % 80 AS STRING) || ' (cut) F' || CAST(100 + l_suppkey % 300 AS STRING)
   ELSE 'Y' || CAST(l_suppkey % 60 AS STRING) || ' Z-' || CAST(l_partkey % 9 AS STRING) END AS text FROM {lineitem}""",
     "v_nc_b": """SELECT program_id, line_no, CASE WHEN k % 17 = 0 THEN replace(text, 'X', 'X1') WHEN k % 29 = 0 THEN text || ' F999' ELSE text END AS text FROM v_nc WHERE k % 41 <> 0""",
-    "v_window": """SELECT o_custkey % 40 AS machine_id, CAST(o_orderkey % 700 * 3 AS BIGINT) AS start_h, CAST(o_orderkey % 700 * 3 + 1 + o_custkey % 6 AS BIGINT) AS end_h FROM {orders} WHERE o_orderkey % 3 = 0""",
-    "v_maint": """SELECT o_custkey % 40 AS machine_id, CAST(o_orderkey % 700 * 3 + 1 AS BIGINT) AS start_h, CAST(o_orderkey % 700 * 3 + 2 + o_custkey % 3 AS BIGINT) AS end_h FROM {orders} WHERE o_orderkey % 47 = 0""",
-    "v_job": """SELECT o_orderkey AS operation_id, o_custkey % 200 AS machine_id, CAST(o_orderkey / 1 AS BIGINT) * 3600 AS start_s,
+    "v_window": """SELECT o_custkey AS machine_id, CAST(o_orderkey % 700 * 3 AS BIGINT) AS start_h, CAST(o_orderkey % 700 * 3 + 1 + o_custkey % 6 AS BIGINT) AS end_h FROM {orders}""",
+    "v_maint": """SELECT o_custkey AS machine_id, CAST(o_orderkey * 11 % 700 * 3 + 1 AS BIGINT) AS start_h, CAST(o_orderkey * 11 % 700 * 3 + 2 + o_custkey % 3 AS BIGINT) AS end_h FROM {orders}""",
+    "v_job": """SELECT o_orderkey AS operation_id, o_custkey AS machine_id, CAST(o_orderkey / 1 AS BIGINT) * 3600 AS start_s,
   CAST(o_orderkey / 1 AS BIGINT) * 3600 + 600 * (1 + o_custkey % 900) AS end_s, CASE o_orderstatus WHEN 'P' THEN 'K1' WHEN 'O' THEN 'K2' ELSE 'K3' END AS setup_key FROM {orders}""",
     "v_reading": """SELECT l_orderkey AS replicate_id, l_linenumber % 3 AS stage_id, l_quantity / 10 AS rq, CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE l_quantity / 12 END AS ra,
   CASE WHEN l_suppkey % 15 = 0 THEN 'INVALID' ELSE 'VALID' END AS validity, CASE WHEN l_suppkey % 2 = 0 THEN 'um' ELSE 'mm' END AS unit FROM {lineitem}""",
-    "v_event": """SELECT event_id, ts, user_id % 97 AS detection_id, CASE event_type WHEN 'click' THEN 'confirm' WHEN 'view' THEN 'edit' WHEN 'error' THEN 'reject' ELSE 'associate' END AS action, value FROM {events}""",
+    "v_event": """SELECT event_id, ts, user_id AS detection_id, CASE event_type WHEN 'click' THEN 'confirm' WHEN 'view' THEN 'edit' WHEN 'error' THEN 'reject' ELSE 'associate' END AS action, value FROM {events}""",
     "v_feature": """SELECT l_orderkey AS part_id, l_partkey * 1000 + l_linenumber AS feature_id, CASE l_linenumber % 4 WHEN 0 THEN 'HOLE' WHEN 1 THEN 'POCKET' WHEN 2 THEN 'SLOT' ELSE 'THREAD' END AS feature_type,
   CAST(3 + l_partkey % 7 AS DOUBLE) + CAST(l_suppkey % 3 AS DOUBLE) / 10 AS d_mm, l_quantity AS depth_mm, CAST(l_partkey % 100 AS DOUBLE) AS x, CAST(l_suppkey % 100 AS DOUBLE) AS y FROM {lineitem}""",
     "v_char": """SELECT l_orderkey AS plan_id, l_partkey * 1000 + l_linenumber AS characteristic_id, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_partkey * 1000 + l_linenumber END AS feature_id,
@@ -83,12 +83,31 @@ VIEWS = {
     "v_route": """SELECT l_orderkey AS feature_id, l_partkey * 10 + l_linenumber AS route_id, CAST(l_quantity AS INT) AS score, 1 + l_suppkey % 5 AS n_ops, 1 + l_partkey % 3 AS setups,
   CASE l_suppkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS risk, CASE l_partkey % 4 WHEN 0 THEN 'drilling;reaming' WHEN 1 THEN 'drilling;boring;honing' WHEN 2 THEN 'milling;grinding' ELSE 'milling' END AS operations,
   l_quantity / 10 AS best_ra, 6 + l_partkey % 7 AS best_it, l_partkey % 5 <> 0 AS gdt_capable FROM {lineitem}""",
-    "v_truth": """SELECT item_id, item_id % 7 AS fixture, text AS expected_text, item_id % 3 = 0 AS required FROM {benchmark}""",
-    "v_found": """SELECT r.run AS run_id, b.item_id * 10 + r.run AS finding_no, b.item_id % 7 AS fixture, CASE (b.item_id + r.run) % 4 WHEN 0 THEN b.text WHEN 1 THEN replace(b.text, ' ', '  ') WHEN 2 THEN '  ' || b.text || ' ' ELSE 'none ' || b.text END AS raw_text
+    "v_truth": """SELECT item_id, CAST(floor(item_id / 25) AS BIGINT) AS fixture, text AS expected_text, item_id % 3 = 0 AS required FROM {benchmark}""",
+    "v_found": """SELECT r.run AS run_id, b.item_id * 10 + r.run AS finding_no, CAST(floor(b.item_id / 25) AS BIGINT) AS fixture, CASE (b.item_id + r.run) % 4 WHEN 0 THEN b.text WHEN 1 THEN replace(b.text, ' ', '  ') WHEN 2 THEN '  ' || b.text || ' ' ELSE 'none ' || b.text END AS raw_text
   FROM {benchmark} b CROSS JOIN (SELECT DISTINCT r_regionkey % 3 AS run FROM {region}) r WHERE (b.item_id * 7 + r.run) % 5 <> 0""",
+    "v_material": """SELECT p_partkey AS material_id, CASE WHEN p_partkey % 37 = 0 THEN '' ELSE p_brand || '-' || CAST(p_partkey % 1000 AS STRING) END AS designation, p_name AS alias,
+  CASE p_partkey % 8 WHEN 0 THEN 'P' WHEN 1 THEN 'M' WHEN 2 THEN 'K' WHEN 3 THEN 'N' WHEN 4 THEN 'S' WHEN 5 THEN 'H' WHEN 6 THEN 'X' ELSE NULL END AS iso_group,
+  CASE WHEN p_partkey % 8 = 4 THEN CASE p_partkey % 3 WHEN 0 THEN 'S_TITANIUM' WHEN 1 THEN 'S_NICKEL_HRSA' ELSE 'UNSPECIFIED' END WHEN p_partkey % 41 = 0 THEN NULL ELSE 'GENERAL' END AS iso_subgroup,
+  p_type AS family, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_partkey * 31 % 25 * 1000 AS DOUBLE) END AS density, CAST(p_partkey * 7 % 20 * 20 AS DOUBLE) AS modulus,
+  CASE p_partkey % 5 WHEN 0 THEN 'HB' WHEN 1 THEN 'HRC' WHEN 2 THEN 'HV' WHEN 3 THEN 'HX' ELSE NULL END AS hardness_scale, CAST(p_partkey % 60 - 2 AS DOUBLE) AS hardness_min, CAST(p_partkey * 3 % 70 AS DOUBLE) AS hardness_max,
+  CAST(p_partkey * 13 % 4000 AS DOUBLE) AS tensile, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_partkey % 90 - 1 AS DOUBLE) END AS vc_min, CAST(60 + p_partkey % 90 AS DOUBLE) AS vc_max,
+  CASE p_partkey % 3 WHEN 0 THEN 'turning' WHEN 1 THEN 'milling' ELSE 'drilling' END AS operation, CASE p_partkey % 2 WHEN 0 THEN 'carbide' ELSE 'hss' END AS tool_material FROM {part}""",
+    "v_frame": """SELECT l_orderkey AS drawing_id, l_partkey * 1000 + l_linenumber AS frame_id, l_linenumber AS line_no, l_suppkey AS s, CASE l_partkey % 12 WHEN 0 THEN 'FLATNESS' WHEN 1 THEN 'STRAIGHTNESS' WHEN 2 THEN 'CIRCULARITY' WHEN 3 THEN 'CYLINDRICITY'
+  WHEN 4 THEN 'PERPENDICULARITY' WHEN 5 THEN 'PARALLELISM' WHEN 6 THEN 'POSITION' WHEN 7 THEN 'CIRCULAR_RUNOUT' WHEN 8 THEN 'TOTAL_RUNOUT' WHEN 9 THEN 'CONCENTRICITY' WHEN 10 THEN 'SYMMETRY' ELSE 'PROFILE_OF_SURFACE' END AS characteristic,
+  CASE l_suppkey % 4 WHEN 0 THEN 'MMC' WHEN 1 THEN 'LMC' ELSE NULL END AS modifier, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'A' || CASE WHEN l_suppkey % 2 = 0 THEN 'B' ELSE '' END END AS datums,
+  l_suppkey % 3 = 0 AS true_fos, l_quantity / 100 AS tolerance, CASE WHEN l_suppkey % 5 = 0 THEN l_discount ELSE NULL END AS lower_tolerance, l_linenumber % 2 = 0 AS is_hole FROM {lineitem}""",
+    "v_lifetest": """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'x' ELSE CAST(user_id % 70 AS STRING) END AS tool_index, CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_id % 29 = 0 THEN '3' ELSE CAST(1 + user_id % 2 AS STRING) END AS tool_type,
+  CASE WHEN event_id % 37 = 0 THEN '0' ELSE '0.5' END AS adoc, CASE WHEN event_id % 41 = 0 THEN 'n/a' ELSE '2.5' END AS rdoc, CASE WHEN event_id % 43 = 0 THEN '-1' ELSE '33' END AS hardness, CASE WHEN event_id % 47 = 0 THEN NULL ELSE '120' END AS holder_length,
+  CAST(event_id % 53 AS STRING) AS cycle, CAST(event_id % 59 - 1 AS STRING) AS sample, CAST(event_id % 61 - 1 AS STRING) AS countdown, CASE WHEN event_id % 67 = 0 THEN '1.5' ELSE '0.25' END AS countdown_share,
+  CASE WHEN event_id % 71 = 0 THEN NULL ELSE CAST(value AS STRING) END AS sensor_a, CASE WHEN event_id % 73 = 0 THEN 'bad' ELSE '1' END AS sensor_b FROM {events}""",
+    "v_weartest": """SELECT l_orderkey * 10 + l_linenumber AS case_no, l_partkey AS k, CASE l_partkey % 7 WHEN 0 THEN 'NEW' WHEN 1 THEN 'WORN' WHEN 2 THEN 'new' ELSE 'NEW' END AS tool_condition, CASE l_suppkey % 5 WHEN 0 THEN 'TiAlN' WHEN 1 THEN 'NONE' WHEN 2 THEN 'TiAlN' WHEN 3 THEN 'AlCrN' ELSE 'paint' END AS coating,
+  CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE CAST(l_linenumber - 1 AS STRING) END AS replicate, CAST(l_quantity - 2 AS STRING) AS vc, CASE WHEN l_partkey % 17 = 0 THEN 'NaN' ELSE CAST(l_tax AS STRING) END AS fz, CASE WHEN l_partkey % 19 = 0 THEN '' ELSE '0.4' END AS ap, CAST(l_discount AS STRING) AS rq FROM {lineitem}""",
+    "v_planstep": """SELECT l_orderkey AS plan_id, l_linenumber AS step_id, CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE l_linenumber END AS sequence_index, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_partkey % 25 = 0 THEN l_linenumber WHEN l_partkey % 26 = 0 THEN 99 ELSE l_linenumber - 1 END AS predecessor,
+  CASE WHEN l_partkey % 14 = 0 THEN NULL ELSE l_partkey * 1000 + l_linenumber END AS feature_id, CASE WHEN l_partkey % 15 = 0 THEN NULL WHEN l_linenumber = 5 THEN 'INSPECTION' ELSE CASE l_linenumber % 4 WHEN 0 THEN 'MILLING' WHEN 1 THEN 'DRILLING' WHEN 2 THEN 'TURNING' ELSE 'BORING' END END AS operation,
+  CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE l_suppkey END AS machine_id, CASE WHEN l_partkey % 16 = 0 THEN NULL ELSE l_partkey END AS tool_id, CASE WHEN l_partkey % 18 = 0 THEN NULL ELSE l_suppkey % 25 END AS holder_id, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE 50 + l_quantity END AS vc,
+  CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_extendedprice / 10 END AS feed_rate, l_extendedprice / 100 AS path_mm, l_returnflag <> 'N' AS timed, l_linestatus = 'O' AS covered, l_quantity AS q, l_partkey AS k, l_suppkey AS s FROM {lineitem}""",
 }
-#: The reference records of the whole part table; v_ref, which registered SQL names, holds three tenths of them.
-VIEWS["v_ref_all"] = VIEWS["v_ref"].removesuffix(" WHERE p_partkey % 10 < 3")
 DUCK = re.compile(r"\{(\w+)\}")
 SPARK_SQL = dict(VIEWS)
 VIEWS = {k: DUCK.sub(r"\1", v) for k, v in VIEWS.items()}

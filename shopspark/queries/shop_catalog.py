@@ -44,7 +44,7 @@ def tool_page(shop):
 def reference_lookup(shop):
     from ..functions.guards import in_range
 
-    df = cat.in_scope(shop.v_ref_all, operation="milling", iso_group="P", tool_material=None)
+    df = cat.in_scope(shop.v_ref, operation="milling", iso_group="P", tool_material=None)
     return df.select("record_id", "parameter_type", "min_value", "max_value", cat.is_usable_for_authority(c("evidence_status"), c("source_reference"), c("source_type")).alias("authoritative"), in_range(F.lit(65.0), F.lit("m/min"), c("min_value"), c("max_value"), c("unit")).alias("holds_65"))
 
 
@@ -86,7 +86,7 @@ def csv_ingest(shop):
     return out.withColumn("processes", F.array_join("processes", ";"))
 
 
-@query("range_parse", "SELECT plan_id, seq, feed_rev AS low, feed_rev + 1 AS high FROM v_step WHERE plan_id % 7 = 0")
+@query("range_parse", "SELECT plan_id, seq, feed_rev AS low, feed_rev + 1 AS high  FROM v_step")
 def range_parse(shop):
     s = shop.v_step
     comma = lambda x: F.replace(F.format_number(x, 2), F.lit("."), F.lit(","))
@@ -168,8 +168,8 @@ def worst_status(shop):
     return s.groupBy("plan_id").agg(val.worst(c("st"), ["PASS", "WARNING", "INSUFFICIENT_DATA", "FAIL"]).alias("status"), F.count_if(c("st") == "INSUFFICIENT_DATA").alias("n_unknown"), F.count_if(c("st") == "FAIL").alias("n_fail"))
 
 
-_TRIPLES = """mi AS (SELECT *, list_filter(string_split(coalesce(spindle_interface, '') || ';' || more_interfaces, ';'), lambda x: x <> '') AS own FROM v_machine WHERE list_contains(string_split(processes, ';'), 'milling') AND site % 3 = 0),
-  ti AS (SELECT * FROM v_tool WHERE list_contains(string_split(operations, ';'), 'milling') AND tool_id % 9 = 1),
+_TRIPLES = """mi AS (SELECT *, list_filter(string_split(coalesce(spindle_interface, '') || ';' || more_interfaces, ';'), lambda x: x <> '') AS own FROM v_machine WHERE list_contains(string_split(processes, ';'), 'milling')),
+  ti AS (SELECT * FROM v_tool WHERE list_contains(string_split(operations, ';'), 'milling')),
   tr AS (SELECT m.machine_id, t.tool_id, h.holder_id, m.max_rpm AS m_rpm, t.max_rpm AS t_rpm, h.max_rpm AS h_rpm,
     CASE WHEN len(own) = 0 THEN 'UNKNOWN' WHEN list_contains(own, h.machine_interface) THEN 'PASS' ELSE 'FAIL' END AS r_interface,
     CASE WHEN tool_interface IN ('ER32', 'HYDRAULIC') THEN CASE WHEN shank_mm IS NULL OR clamp_min IS NULL OR clamp_max IS NULL THEN 'UNKNOWN' WHEN shank_mm BETWEEN clamp_min AND clamp_max THEN 'PASS' ELSE 'FAIL' END

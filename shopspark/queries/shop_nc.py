@@ -138,7 +138,7 @@ def nc_arcs(shop):
     return f.select("part_id", "feature_id", c("depth_mm").alias("rise"), c("x").alias("x0"), c("y").alias("y0"), F.round(length, 4).alias("length"))
 
 
-@query("nc_lines", "SELECT program_id, line_no, true AS valid, text FROM v_nc WHERE program_id < 100")
+@query("nc_lines", "SELECT program_id, line_no, true AS valid, text FROM v_nc")
 def nc_lines(shop):
     """Program texts split into numbered lines."""
     from ..sources import ingest

@@ -35,12 +35,12 @@ def machine_calendars(shop):
     return iv.calendars(shop.v_machine.select("machine_id"), shop.v_window, "machine_id", 100, 1500)
 
 
-_J = "j AS (SELECT operation_id, machine_id % 40 AS machine_id, operation_id % 700 * 3 AS s, operation_id % 700 * 3 + 1 + machine_id % 3 AS e FROM v_job)"
+_J = "j AS (SELECT operation_id, machine_id, operation_id % 700 * 3 AS s, operation_id % 700 * 3 + 1 + machine_id % 3 AS e FROM v_job)"
 
 
 @query("jobs_outside_windows", f"WITH {_J}, a AS ({_MERGE.format(t='v_window')}) SELECT operation_id, machine_id, s, e FROM j WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.machine_id = j.machine_id AND a.start_h <= j.s AND a.end_h >= j.e)")
 def jobs_outside_windows(shop):
-    j = shop.v_job.select("operation_id", (c("machine_id") % 40).alias("machine_id"), (c("operation_id") % 700 * 3).alias("s"), (c("operation_id") % 700 * 3 + 1 + c("machine_id") % 3).alias("e"))
+    j = shop.v_job.select("operation_id", "machine_id", (c("operation_id") % 700 * 3).alias("s"), (c("operation_id") % 700 * 3 + 1 + c("machine_id") % 3).alias("e"))
     w = iv.merge(shop.v_window, "machine_id").select("machine_id", c("start_h").alias("s"), c("end_h").alias("e"))
     return iv.outside(j, w, "machine_id", "operation_id", 48)
 
@@ -68,7 +68,7 @@ def precedence_violations(shop):
     return s.join(b, ["plan_id", "seq"]).filter("fin > b2").select("plan_id", "seq", "successor")
 
 
-_EDGES = "e AS (SELECT plan_id, seq AS src, seq + 1 AS dst FROM v_step WHERE tool_id % 5 <> 0 AND plan_id % 4 = 0 AND seq < 8 UNION SELECT plan_id, seq, seq - 1 FROM v_step WHERE tool_id % 37 = 0 AND plan_id % 4 = 0 AND seq > 1 AND seq < 8)"
+_EDGES = "e AS (SELECT plan_id, seq AS src, seq + 1 AS dst FROM v_step WHERE tool_id % 5 <> 0 UNION SELECT plan_id, seq, seq - 1 FROM v_step WHERE tool_id % 37 = 0 AND seq > 1)"
 
 
 def _edges(shop):
@@ -87,7 +87,7 @@ def step_ancestors(shop):
     return graph.ancestors(_edges(shop))
 
 
-@query("step_levels", "WITH RECURSIVE e AS (SELECT plan_id, seq AS src, seq + 1 AS dst FROM v_step WHERE tool_id % 5 <> 0 AND plan_id % 4 = 0 AND seq < 8), n AS (SELECT plan_id, src AS node FROM e UNION SELECT plan_id, dst FROM e), t AS (SELECT plan_id, node, 0 AS d FROM n UNION SELECT t.plan_id, e.dst, d + 1 FROM t JOIN e ON e.plan_id = t.plan_id AND e.src = t.node) SELECT plan_id, node, max(d) AS level FROM t GROUP BY plan_id, node")
+@query("step_levels", "WITH RECURSIVE e AS (SELECT plan_id, seq AS src, seq + 1 AS dst FROM v_step WHERE tool_id % 5 <> 0), n AS (SELECT plan_id, src AS node FROM e UNION SELECT plan_id, dst FROM e), t AS (SELECT plan_id, node, 0 AS d FROM n UNION SELECT t.plan_id, e.dst, d + 1 FROM t JOIN e ON e.plan_id = t.plan_id AND e.src = t.node) SELECT plan_id, node, max(d) AS level FROM t GROUP BY plan_id, node")
 def step_levels(shop):
     e = shop.v_step.filter("tool_id % 5 <> 0").select("plan_id", c("seq").alias("src"), (c("seq") + 1).alias("dst"))
     return graph.levels(e, e.select("plan_id", c("src").alias("node")).union(e.select("plan_id", "dst")).distinct())
@@ -123,13 +123,13 @@ def cycle_time(shop):
     return out.select("plan_id", r6(c("s")).alias("known_min"), "n_unknown", "unknown", F.when(c("full"), r6(c("s"))).alias("total_min"), F.when(c("full"), r6(c("s") / 25)).alias("per_part_min"))
 
 
-@query("reference_ranges", """WITH s AS (SELECT plan_id, seq, vc, operation, iso_group FROM v_step WHERE plan_id % 10 = 0), j AS (SELECT s.*, r.record_id, min_value, max_value, row_number() OVER (PARTITION BY plan_id, seq ORDER BY record_id) AS n FROM s JOIN v_ref r ON parameter_type = 'cutting_speed' AND (r.operation IS NULL OR r.operation = s.operation) AND (r.iso_group IS NULL OR s.iso_group IS NULL OR r.iso_group = s.iso_group))
+@query("reference_ranges", """WITH s AS (SELECT plan_id, seq, vc, operation, iso_group FROM v_step), j AS (SELECT s.*, r.record_id, min_value, max_value, row_number() OVER (PARTITION BY plan_id, seq ORDER BY record_id) AS n FROM s JOIN v_ref r ON parameter_type = 'cutting_speed' AND (r.operation IS NULL OR r.operation = s.operation) AND (r.iso_group IS NULL OR s.iso_group IS NULL OR r.iso_group = s.iso_group))
   SELECT plan_id, seq, record_id, CASE WHEN record_id IS NULL THEN 'INSUFFICIENT_DATA' WHEN vc < min_value THEN 'BELOW_REFERENCE_RANGE' WHEN vc > max_value THEN 'ABOVE_REFERENCE_RANGE' ELSE 'WITHIN_REFERENCE_RANGE' END AS status, (min_value + max_value) / 2 AS midpoint FROM s LEFT JOIN (SELECT plan_id, seq, record_id, min_value, max_value FROM j WHERE n = 1) USING (plan_id, seq)""")
 def reference_ranges(shop):
     """The first matching record decides. Scopes are few, so records are reduced per scope before the steps meet them."""
     s = shop.v_step.select("plan_id", "seq", "vc", "operation", "iso_group")
     scopes = s.select("operation", "iso_group").distinct()
-    r = shop.v_ref_all.filter("parameter_type = 'cutting_speed'").select("record_id", c("operation").alias("ro"), c("iso_group").alias("ri"), "min_value", "max_value")
+    r = shop.v_ref.filter("parameter_type = 'cutting_speed'").select("record_id", c("operation").alias("ro"), c("iso_group").alias("ri"), "min_value", "max_value")
     first = scopes.join(r, wildcard(c("ro"), c("operation")) & wildcard(c("ri"), c("iso_group"))).groupBy("operation", "iso_group").agg(F.min_by(F.struct("record_id", "min_value", "max_value"), "record_id").alias("r"))
     j = s.alias("s").join(first.alias("f"), c("s.operation").eqNullSafe(c("f.operation")) & c("s.iso_group").eqNullSafe(c("f.iso_group")), "left")
     status = F.when(c("r").isNull(), "INSUFFICIENT_DATA").when(c("vc") < c("r.min_value"), "BELOW_REFERENCE_RANGE").when(c("vc") > c("r.max_value"), "ABOVE_REFERENCE_RANGE").otherwise("WITHIN_REFERENCE_RANGE")
@@ -149,10 +149,10 @@ def flagship_step_check(shop):
     return s.withColumn("status", status).groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_steps"), n("WITHIN_LIMIT").alias("n_within"), n("EXCEEDS_LIMIT").alias("n_exceeds"), n("INSUFFICIENT_DATA").alias("n_unknown"), plan.alias("plan_status"))
 
 
-@query("eligible_machines", "SELECT operation, string_agg(DISTINCT CAST(machine_id AS VARCHAR), ',' ORDER BY CAST(machine_id AS VARCHAR)) AS machines, count(DISTINCT machine_id) AS n FROM (SELECT DISTINCT operation FROM v_step) LEFT JOIN (SELECT machine_id, unnest(string_split(processes, ';')) AS operation FROM v_machine WHERE site < 12) USING (operation) GROUP BY operation")
+@query("eligible_machines", "SELECT operation, string_agg(DISTINCT CAST(machine_id AS VARCHAR), ',' ORDER BY CAST(machine_id AS VARCHAR)) AS machines, count(DISTINCT machine_id) AS n FROM (SELECT DISTINCT operation FROM v_step) LEFT JOIN (SELECT machine_id, unnest(string_split(processes, ';')) AS operation FROM v_machine) USING (operation) GROUP BY operation")
 def eligible_machines(shop):
     from ..operators.catalog import items
 
-    able = shop.v_machine.filter("site < 12").select("machine_id", F.explode(items(c("processes"))).alias("operation"))
+    able = shop.v_machine.select("machine_id", F.explode(items(c("processes"))).alias("operation"))
     out = shop.v_step.select("operation").distinct().join(able, "operation", "left")
     return out.groupBy("operation").agg(F.nullif(F.array_join(F.sort_array(F.collect_set(c("machine_id").cast("string"))), ","), F.lit("")).alias("machines"), F.count_distinct("machine_id").alias("n"))

@@ -17,7 +17,7 @@ def tool_life_summary(shop):
     return quality.tool_summary(shop.v_obs)
 
 
-@query("tool_life_series", "SELECT tool_index, cycle - 1 AS i, countdown, sensor, sensor - lag(sensor) OVER (PARTITION BY tool_index ORDER BY cycle) AS step FROM v_obs WHERE tool_index % 10 = 0")
+@query("tool_life_series", "SELECT tool_index, cycle - 1 AS i, countdown, sensor, sensor - lag(sensor) OVER (PARTITION BY tool_index ORDER BY cycle) AS step FROM v_obs")
 def tool_life_series(shop):
     w = W.partitionBy("tool_index").orderBy("cycle")
     return shop.v_obs.select("tool_index", (F.row_number().over(w) - 1).cast("long").alias("i"), "countdown", "sensor", (c("sensor") - F.lag("sensor").over(w)).alias("step"))
@@ -59,7 +59,7 @@ def plan_completeness(shop):
     return k.select("plan_id", r6(c("k")).alias("completeness"), F.when(c("k") >= 0.95, "COMPLETE").when(c("k") >= 0.8, "MOSTLY").when(c("k") >= 0.5, "PARTIAL").otherwise("SPARSE").alias("band"), ((c("k") >= 0.8) & (c("blocked") == 0)).alias("release_ok"))
 
 
-@query("operation_links", "SELECT s.plan_id, s.seq, ch.characteristic_id, CASE WHEN ch.feature_id IS NULL THEN 'GLOBAL' ELSE 'PRODUCES' END AS role FROM v_step s JOIN v_char ch ON ch.plan_id = s.plan_id AND (ch.feature_id IS NULL OR ch.feature_id = s.tool_id * 1000 + s.line_no) WHERE s.plan_id % 5 = 0")
+@query("operation_links", "SELECT s.plan_id, s.seq, ch.characteristic_id, CASE WHEN ch.feature_id IS NULL THEN 'GLOBAL' ELSE 'PRODUCES' END AS role FROM v_step s JOIN v_char ch ON ch.plan_id = s.plan_id AND (ch.feature_id IS NULL OR ch.feature_id = s.tool_id * 1000 + s.line_no)")
 def operation_links(shop):
     """Characteristics of a step's feature, and of no feature; two equi joins instead of one with OR."""
     s = shop.v_step.select("plan_id", "seq", (c("tool_id") * 1000 + c("line_no")).alias("feature_id"))
