@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of an Arrow batch. Spark's own bound is 10,000 rows, and so many long texts don't fit into a task.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless the session does already; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) >= 2**31 - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -51,6 +62,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     (doc_id, _h) identifies a row up to rows that are equal in both; such rows get equal results.
     """
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("_h", F.xxhash64("text"))
 

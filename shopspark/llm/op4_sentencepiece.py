@@ -28,16 +28,17 @@ from .common import keyed, read_table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units known to every task, at most, and one in how many texts they are looked for in.
 KNOWN_UNITS, KNOWN_SAMPLE = 300_000, 6
-#: Bytes of texts that a task works on at a time, and characters of a unit that are folded into one array.
-PART_BYTES, BLOCK = 1 << 20, 64
+#: Bytes of texts that a task works on at a time, and characters of a unit that are folded into one array or cut at a time.
+PART_BYTES, BLOCK, WINDOW = 1 << 18, 64, 256
 SPACE = "▁"
 #: Units of a task whose pieces it holds at a time, at least.
 HELD_UNITS = 200_000
 #: An edge's code: number of characters, then piece id; this id stands for a character without a piece.
 ID_BITS, CODE_BITS = 24, 31
 NO_PIECE = (1 << ID_BITS) - 1
-#: Lattice rows. A unit has the longest piece (in characters) that may end at each character; a text's row has none.
-LATTICE = "unit binary, bounds array<tinyint>"
+#: Lattice rows. A unit (each WINDOW characters of it from ``base`` on, and those before them that a piece can take in) has
+#: the longest piece (in characters) that may end at each character; a text's row has none.
+LATTICE = "unit binary, base int, bounds array<tinyint>"
 
 
 class Pieces:
@@ -87,6 +88,9 @@ class Pieces:
         for _, i, score in self.rows:
             self.fixed[i] = round(score * self.scale)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "rows"}  # tasks have no use for the table
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([r[:2] for r in self.rows], "piece string, id int").withColumn("slot", F.xxhash64("piece"))
 
@@ -158,14 +162,20 @@ class Known:
         return ok, np.where(ok, self.off[at + 1] - self.off[at], 1), self.off[at]
 
 
-def _bounds(text: pa.Array, ends: np.ndarray) -> pa.Array:
-    """For each character of strings, how many characters a piece that ends with it can have."""
+def _unit_rows(text: pa.Array, pieces: Pieces) -> pa.RecordBatch:
+    """Lattice rows of units: for each character, how many characters a piece that ends with it can have."""
     buf, char, first = _characters(text)
     b = np.concatenate([[0, 0], buf]).astype(np.int64)
-    most = ends[_slots(b)][char[1:] - 1]
-    n = np.diff(first)
-    place = np.arange(len(most)) - np.repeat(first[:-1], n) + 1
-    return tk.lists(pa.array(np.minimum(most, place).astype(np.int8)), n)
+    most = pieces.ends[_slots(b)][char[1:] - 1]
+    size = np.diff(first)
+    most = np.minimum(most, np.arange(len(most)) - np.repeat(first[:-1], size) + 1).astype(np.int8)
+    n = -(-size // WINDOW)
+    own = np.repeat(np.arange(len(size)), n)
+    base = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    start = first[own] + base
+    stop = np.minimum(start + WINDOW, first[own + 1])
+    window = _cut(buf, char[np.maximum(start - pieces.longest + 1, first[own])], char[stop])
+    return _rows(window, pa.array(base.astype(np.int32)), tk.lists(pa.array(most), stop - start))
 
 
 def _ahead(pieces: Pieces, known: Known):
@@ -174,7 +184,7 @@ def _ahead(pieces: Pieces, known: Known):
     A text's row has whether its id is null, id, hash, the number of the first unit still in use, the bytes of ids, ids
     (-1: a hole), and for each hole the unit's number in the task.
     """
-    joined, ends = pieces.joined, pieces.ends
+    joined = pieces.joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent, number, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # sorted hashes, and their units' numbers
@@ -196,13 +206,11 @@ def _ahead(pieces: Pieces, known: Known):
                 numbers[old] = number[here[old]]
                 numbers[fresh] = total + np.arange(len(fresh))
                 total += len(fresh)
-                sent, number = np.concatenate([sent, own[fresh]]), np.concatenate([number, numbers[fresh]])
-                order = np.argsort(sent, kind="stable")
-                sent, number = sent[order], number[order]
+                at_sent = np.searchsorted(sent, own[fresh])
+                sent, number = np.insert(sent, at_sent, own[fresh]), np.insert(number, at_sent, numbers[fresh])
                 for k in range(0, len(fresh), 4096):
                     some = other[at[fresh[k : k + 4096]]]
-                    text = _cut(buf, s[some], e[some])
-                    yield _rows(text, _bounds(text, ends))
+                    yield _unit_rows(_cut(buf, s[some], e[some]), pieces)
                 end = np.concatenate([[0], np.cumsum(n)])
                 ids = np.full(int(end[-1]), -1, np.int32)
                 fill = np.repeat(ok, n)
@@ -214,7 +222,7 @@ def _ahead(pieces: Pieces, known: Known):
                 null = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
                 head = np.stack([null.astype(np.int64), doc_id, part.column("_h").to_numpy(), np.full(m, first), np.diff(cuts)], 1).astype(np.int64).tobytes()
                 packed = [head[HEAD * i : HEAD * i + HEAD] + ids[cuts[i] : cuts[i + 1]] + holes[gaps[i] : gaps[i + 1]] for i in range(m)]
-                yield _rows(pa.array(packed, pa.binary()), pa.nulls(m, pa.list_(pa.int8())))
+                yield _rows(pa.array(packed, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int8())))
 
     return run
 
@@ -222,11 +230,22 @@ def _ahead(pieces: Pieces, known: Known):
 HEAD = 5 * 8
 
 
-def _rows(unit: pa.Array, bounds: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([unit, bounds], names=["unit", "bounds"])
+def _rows(unit: pa.Array, base: pa.Array, bounds: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([unit, base, bounds], names=["unit", "base", "bounds"])
+
+
+def _whole(window: list[bytes], end: np.ndarray, longest: int) -> pa.Array:
+    """Units from their windows; end: the first node of each window."""
+    out: list[list[str]] = []
+    for text, at in zip(window, end.tolist(), strict=True):
+        if at == 1:
+            out.append([text.decode()])
+        else:
+            out[-1].append(text.decode()[min(longest - 1, at - 1) :])
+    return pa.array(["".join(x).encode() for x in out], pa.binary())
 
 
-def _grouped(fixed: np.ndarray):
+def _grouped(fixed: np.ndarray, longest: int):
     """Edges in order of unit and end to a row per unit: lists of blocks of end nodes of edges. Texts pass.
 
     A unit begins with its only edge into its first character's end.
@@ -239,7 +258,10 @@ def _grouped(fixed: np.ndarray):
         step = np.diff(end)
         node = np.flatnonzero(np.concatenate([[True], step != 0]) | (end == 1))
         first = np.flatnonzero(end[node] == 1)
+        window = np.flatnonzero(part.column("unit").is_valid().to_numpy(zero_copy_only=False))
         unit = part.column("unit").drop_null()
+        if len(unit) > len(first):
+            unit = _whole(unit.to_pylist(), end[window], longest)
         if len(unit) != len(first) or ((step != 0) & (step != 1) & (end[1:] != 1)).any() or end[0] != 1:
             raise RuntimeError("edges of a unit came apart")
         size = np.diff(np.append(first, len(node)))
@@ -258,7 +280,8 @@ def _grouped(fixed: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            begins = np.flatnonzero(batch.column("unit").is_valid().to_numpy(zero_copy_only=False))
+            edge = batch.column("edge").fill_null(1 << CODE_BITS).to_numpy() >> CODE_BITS
+            begins = np.flatnonzero(edge == 1)
             cut = int(begins[-1]) if len(begins) else 0  # the last unit may go on
             if len(begins):
                 yield from emit(_together([*held, batch.slice(0, cut)]))
@@ -289,15 +312,16 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
     Equal sums (of scores rounded to about a millionth) prefer the longest last piece.
     """
     table = F.broadcast(pieces.table(rows.sparkSession))  # as many rows as the vocabulary
-    ends = rows.select("unit", F.posexplode_outer("bounds").alias("p", "bound"))
+    ends = rows.select("unit", "base", F.posexplode_outer("bounds").alias("p", "bound"))
     cut = ends.withColumn("k", F.explode_outer(F.when(F.col("bound").isNotNull(), F.sequence(F.lit(1), F.col("bound").cast("int")))))
-    cut = cut.withColumn("sub", F.substr(F.col("unit").cast("string"), F.col("p") + 2 - F.col("k"), F.col("k")))
+    lead = F.least(F.col("base"), F.lit(pieces.longest - 1))
+    cut = cut.withColumn("sub", F.substr(F.col("unit").cast("string"), lead + F.col("p") + 2 - F.col("k"), F.col("k")))
     hit = cut.join(table, F.xxhash64("sub") == F.col("slot"), "left").withColumn("id", F.when(F.col("sub") == F.col("piece"), F.col("id")))
     edges = hit.filter(F.col("k").isNull() | (F.col("k") == 1) | F.col("id").isNotNull()).select(
-        (F.shiftleft(F.col("p").cast("long") + 1, CODE_BITS) + F.shiftleft("k", ID_BITS) + F.coalesce("id", F.lit(NO_PIECE))).alias("edge"),
-        F.when(F.col("k").isNull() | (F.col("p") == 0), F.col("unit")).alias("unit"),
+        (F.shiftleft((F.col("base") + F.col("p")).cast("long") + 1, CODE_BITS) + F.shiftleft("k", ID_BITS) + F.coalesce("id", F.lit(NO_PIECE))).alias("edge"),
+        F.when(F.col("k").isNull() | ((F.col("p") == 0) & (F.col("k") == 1)), F.col("unit")).alias("unit"),
     )
-    grouped = edges.mapInArrow(_grouped(pieces.fixed), "unit binary, blocks array<array<array<long>>>")
+    grouped = edges.mapInArrow(_grouped(pieces.fixed, pieces.longest), "unit binary, blocks array<array<array<long>>>")
     low = (1 << CODE_BITS) - 1
 
     def into(best, node):
@@ -387,11 +411,10 @@ def _fill(rows: list[bytes], head: np.ndarray, own: np.ndarray, size: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(head[:, 1], mask=head[:, 0] == 1), pa.array(head[:, 2]), tk.lists(pa.array(out), np.diff(end[off]))], names=["doc_id", "_h", "ids"])
 
 
-def _bounded(ends: np.ndarray):
+def _unit_rows_of(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column("unit").cast(pa.binary())
-            yield _rows(text, _bounds(text, ends))
+            yield _unit_rows(batch.column("unit").cast(pa.binary()), pieces)
 
     return run
 
@@ -411,7 +434,7 @@ def common_units(docs: DataFrame, pieces: Pieces, most: int) -> Known:
     sample = docs.filter(F.pmod(F.xxhash64("_h"), F.lit(KNOWN_SAMPLE)) == 0).select("text")
     counted = sample.mapInArrow(_distinct_units(pieces.joined), "h long, unit string, n long").groupBy("h").agg(F.first("unit").alias("unit"), F.sum("n").alias("n"))
     top = counted.filter("n > 1").orderBy(F.desc("n"), "h").limit(most).repartition("h")
-    rows = top.select("unit").mapInArrow(_bounded(pieces.ends), LATTICE)
+    rows = top.select("unit").mapInArrow(_unit_rows_of(pieces), LATTICE)
     got = lattice(rows, pieces).mapInArrow(_by_hash(pieces.byte_ids), "h long, ids array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         none = np.zeros(0, np.int64)
