@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -18,6 +19,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(jdf.toJavaRDD(), jdf.schema()), spark)
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """Transitive closure (plan_id, src, dst): in each round only the paths that the last one found are lengthened, on both sides, so the
+    number of rounds is the logarithm of the longest path; it ends when a round finds nothing new."""
+    paths = fresh = _cut(edges.select("plan_id", "src", "dst").distinct())
+    join = lambda x, y: x.alias("a").join(y.alias("b"), (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.dst") == F.col("b.src"))).select("a.plan_id", "a.src", "b.dst")
+    while True:
+        longer = join(fresh, paths).union(join(paths, fresh)).distinct()
+        fresh = _cut(longer.join(paths, ["plan_id", "src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            return paths
+        paths = _cut(paths.union(fresh))
+
+
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(plan_id, node) on or behind a cycle of (plan_id, src, dst): the nodes that reach themselves, and what they reach."""
     paths = ancestors(edges)
@@ -25,32 +39,33 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     return paths.join(ring, ["plan_id", "src"], "left_semi").select("plan_id", F.col("dst").alias("node")).distinct()
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """Transitive closure (plan_id, src, dst) by doubling, until a round adds no path."""
-    paths = _cut(edges.select("plan_id", "src", "dst").distinct())
-    n = paths.count()
-    while True:
-        a, b = paths.alias("a"), paths.alias("b")
-        more = a.join(b, (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.dst") == F.col("b.src"))).select("a.plan_id", "a.src", "b.dst")
-        paths = _cut(paths.union(more).distinct())
-        m = paths.count()
-        if m == n:
-            break
-        n = m
-    return paths
-
-
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(plan_id, node, level): length of the longest path that leads to each node of an acyclic graph."""
+    """(plan_id, node, level): length of the longest path that leads to each node. Raises ValueError where the graph has a cycle: a level
+    of as many steps as its graph has nodes can't be."""
     direct = edges.select("plan_id", "src", "dst").distinct()
-    depth = direct.groupBy("plan_id", F.col("dst").alias("node")).agg(F.lit(1).alias("level"))
-    cur = _cut(nodes.select("plan_id", "node").join(depth, ["plan_id", "node"], "left").select("plan_id", "node", F.coalesce("level", F.lit(0)).alias("level")))
-    while True:
-        up = direct.join(cur.withColumnRenamed("node", "src"), ["plan_id", "src"]).groupBy("plan_id", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("l2"))
-        new = _cut(cur.join(up, ["plan_id", "node"], "left").select("plan_id", "node", F.greatest("level", F.coalesce("l2", F.lit(0))).alias("level"), (F.coalesce("l2", F.lit(0)) > F.col("level")).alias("moved")))
-        if not new.filter("moved").count():
-            return new.select("plan_id", "node", "level")
-        cur = new.select("plan_id", "node", "level")
+    size = nodes.select("plan_id", "node").distinct().groupBy("plan_id").agg(F.count(F.lit(1)).alias("_n"))
+    most = size.agg(F.max("_n")).first()[0] or 0
+    moved = cur = _cut(nodes.select("plan_id", "node").distinct().withColumn("level", F.lit(0)))
+    for _ in range(most + 1):  # only nodes that moved move others
+        up = direct.join(moved.select("plan_id", F.col("node").alias("src"), "level"), ["plan_id", "src"]).groupBy("plan_id", F.col("dst").alias("node")).agg((F.max("level") + 1).alias("l2"))
+        new = _cut(cur.join(up, ["plan_id", "node"], "left").select("plan_id", "node", F.greatest("level", F.coalesce("l2", F.lit(0))).alias("level"), (F.coalesce("l2", F.lit(0)) > F.col("level")).alias("_m")))
+        moved, cur = new.filter("_m").drop("_m"), new.drop("_m")
+        if moved.isEmpty():
+            return cur
+    raise ValueError("the graph has a cycle")
+
+
+def topological(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(plan_id, node, level, position): nodes by level, then by id."""
+    return levels(edges, nodes).withColumn("position", F.row_number().over(W.partitionBy("plan_id").orderBy("level", "node")).cast("long"))
+
+
+def independent(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(plan_id, a, b), a < b: pairs of steps of one feature that no path connects. steps: plan_id, feature_id, step_id."""
+    s = steps.select("plan_id", "feature_id", "step_id").distinct()
+    pairs = s.withColumnRenamed("step_id", "a").join(s.withColumnRenamed("step_id", "b"), ["plan_id", "feature_id"]).filter("a < b").select("plan_id", "a", "b")
+    paths = ancestors(edges).select("plan_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return pairs.join(paths, ["plan_id", "a", "b"], "left_anti")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
