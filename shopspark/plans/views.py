@@ -103,6 +103,10 @@ VIEWS = {
   CASE WHEN event_id % 71 = 0 THEN NULL ELSE CAST(value AS STRING) END AS sensor_a, CASE WHEN event_id % 73 = 0 THEN 'bad' ELSE '1' END AS sensor_b FROM {events}""",
     "v_weartest": """SELECT l_orderkey * 10 + l_linenumber AS case_no, l_partkey AS k, CASE l_partkey % 7 WHEN 0 THEN 'NEW' WHEN 1 THEN 'WORN' WHEN 2 THEN 'new' ELSE 'NEW' END AS tool_condition, CASE l_suppkey % 5 WHEN 0 THEN 'TiAlN' WHEN 1 THEN 'NONE' WHEN 2 THEN 'TiAlN' WHEN 3 THEN 'AlCrN' ELSE 'paint' END AS coating,
   CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE CAST(l_linenumber - 1 AS STRING) END AS replicate, CAST(l_quantity - 2 AS STRING) AS vc, CASE WHEN l_partkey % 17 = 0 THEN 'NaN' ELSE CAST(l_tax AS STRING) END AS fz, CASE WHEN l_partkey % 19 = 0 THEN '' ELSE '0.4' END AS ap, CAST(l_discount AS STRING) AS rq FROM {lineitem}""",
+    "v_token": """SELECT l_orderkey AS drawing_id, l_partkey * 10 + l_linenumber AS token_id, l_suppkey AS s, CASE l_partkey % 14 WHEN 0 THEN 'M' || CAST(3 + l_suppkey % 30 AS STRING) || 'x1.5' WHEN 1 THEN 'm' || CAST(3 + l_suppkey % 30 AS STRING) || ' - 6H' WHEN 2 THEN '1/4-20 UNC-2B' WHEN 3 THEN 'G1/2 A'
+  WHEN 4 THEN '3/4 NPT' WHEN 5 THEN 'H7/g6' WHEN 6 THEN CAST(10 + l_suppkey % 90 AS STRING) || ' H' || CAST(6 + l_linenumber AS STRING) WHEN 7 THEN 'Ra ' || CAST(l_linenumber AS STRING) || ',6 um' WHEN 8 THEN 'Rz' || CAST(l_linenumber * 4 AS STRING) WHEN 9 THEN 'NO MACHINING'
+  WHEN 10 THEN 'ALL DIMENSIONS IN MM' WHEN 11 THEN 'ISO 2768-m' WHEN 12 THEN 'DATUM ' || CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END ELSE CAST(l_quantity AS STRING) || ' DEEP' END AS text,
+  CAST(l_partkey % 600 AS DOUBLE) AS x, CAST(l_suppkey % 400 AS DOUBLE) AS y, l_linenumber % 3 AS page FROM {lineitem}""",
     "v_planstep": """SELECT l_orderkey AS plan_id, l_linenumber AS step_id, CASE WHEN l_partkey % 9 = 0 THEN 1 ELSE l_linenumber END AS sequence_index, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_partkey % 25 = 0 THEN l_linenumber WHEN l_partkey % 26 = 0 THEN 99 ELSE l_linenumber - 1 END AS predecessor,
   CASE WHEN l_partkey % 14 = 0 THEN NULL ELSE l_partkey * 1000 + l_linenumber END AS feature_id, CASE WHEN l_partkey % 15 = 0 THEN NULL WHEN l_linenumber = 5 THEN 'INSPECTION' ELSE CASE l_linenumber % 4 WHEN 0 THEN 'MILLING' WHEN 1 THEN 'DRILLING' WHEN 2 THEN 'TURNING' ELSE 'BORING' END END AS operation,
   CASE WHEN l_suppkey % 8 = 0 THEN NULL ELSE l_suppkey END AS machine_id, CASE WHEN l_partkey % 16 = 0 THEN NULL ELSE l_partkey END AS tool_id, CASE WHEN l_partkey % 18 = 0 THEN NULL ELSE l_suppkey % 25 END AS holder_id, CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE 50 + l_quantity END AS vc,
