@@ -6,7 +6,9 @@ one representative of a class goes on.
 1. Prefix index. Tokens have one global order (common ones last, a hint from a sample that can't change
    results). Two sets that link share at least l tokens among the first ones of both. The index lists hold
    only such leading tokens; a set that shares too few of them with any other set is skipped as a whole.
-   Then whole sets are held to their percentage of shared tokens in the same way.
+   Then whole sets are held to their percentage of shared tokens in the same way. The lists are made in buckets of
+   tokens, to which a batch of sets sends one packed row per bucket; a token that stands in two sets of a batch is
+   known to be shared there and goes to its bucket once, so a token of every set is no hot key.
 2. Lists are linked to candidate groups: two sets that link lie in the same group. Groups above a task's
    budget are cut into blocks by size (the position at which a partner can stand); blocks whose sizes
    can't meet are never paired.
@@ -36,6 +38,8 @@ PERCENT = 85
 EXTRA_PERCENT = 3
 #: What a task compares at a time.
 BLOCK_TOKENS, BLOCK_SETS = 400_000, 1000
+#: Tokens in a bucket of the index, and buckets at most.
+BUCKET_TOKENS, MOST_BUCKETS = 100_000, 1 << 18
 #: At most so many common tokens are put last in the order.
 HINTS, HINT_SAMPLE = 200_000, 16
 
@@ -197,33 +201,119 @@ def _joined(work: DataFrame, percent: int) -> DataFrame:
     return work.select("task", "cid", "label", "visitor", "tokens").repartition("task").sortWithinPartitions("task").mapInArrow(_compare(percent), "a long, b long")
 
 
+NOBODY = np.uint64((1 << 64) - 1)
+
+
+def _deal(buckets: int):
+    """(id, tokens) to packed rows: per bucket the low 48 bits of its tokens and who holds each; answers that are known already apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            n = np.diff(np.asarray(lists.offsets)).astype(np.int64)
+            if not n.sum():
+                continue
+            h = tk.mix(lists.flatten().to_numpy().view(np.uint64))
+            own = np.repeat(batch.column("id").to_numpy().view(np.uint64), n)
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            first = np.concatenate([[True], h[1:] != h[:-1]])
+            alone = first & np.append(first[1:], True)
+            to = ((h >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16) if buckets <= 1 << 16 else (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            yield _packed(to[first], h[first], np.where(alone, own, NOBODY)[first], False)
+            if not alone.all():  # sets that share tokens in this batch hear so by way of any bucket
+                spread = tk.mix(own[~alone] ^ np.uint64(11)) % np.uint64(buckets)
+                by = np.argsort(spread, kind="stable")
+                yield _packed(spread[by], ((to << np.uint64(48)) | (h & LOW))[~alone][by], own[~alone][by], True)
+
+    return run
+
+
+LOW = np.uint64((1 << 48) - 1)
+
+
+def _packed(to: np.ndarray, h: np.ndarray, own: np.ndarray, known: bool) -> pa.RecordBatch:
+    cuts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
+    bucket, blob = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        words = h[a:b].view(np.uint16).reshape(-1, 4)
+        blob.append((words if known else words[:, :3]).T.tobytes() + own[a:b].view(np.uint16).reshape(-1, 4).T.tobytes())  # in planes, which compress
+        bucket.append(int(to[a]))
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([known] * len(blob)), pa.array(blob, pa.binary())], names=["bucket", "known", "blob"])
+
+
+def _unpacked(blob: bytes, known: bool) -> tuple[np.ndarray, np.ndarray]:
+    k = 4 if known else 3
+    planes = np.frombuffer(blob, np.uint16).reshape(k + 4, -1)
+    words = np.zeros((planes.shape[1], 4), np.uint16)
+    words[:, :k] = planes[:k].T
+    return words.view(np.uint64).ravel(), np.ascontiguousarray(planes[k:].T).view(np.uint64).ravel()
+
+
+def _answer(counts: bool):
+    """Packed rows of a bucket to (id, h) for each token that another set has too; or (id, their number)."""
+
+    def out(own: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        if counts:
+            own, n = np.unique(own, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["id", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(h.view(np.int64))], names=["id", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, "bucket"):
+            bucket = np.uint64(group.column("bucket")[0].as_py()) << np.uint64(48)
+            parts = []
+            for known, blob in zip(group.column("known").to_pylist(), group.column("blob"), strict=True):
+                h, own = _unpacked(blob.as_py(), known)
+                if known:
+                    yield out(own, h)
+                else:
+                    parts.append((h, own))
+            if not parts:
+                continue
+            h, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, own = h[order], own[order]
+            same = h[1:] == h[:-1]
+            shared = (np.append(same, False) | np.append(False, same)) & (own != NOBODY)
+            if shared.any():
+                yield out(own[shared], bucket | h[shared])
+
+    return run
+
+
+def shared_tokens(sets: DataFrame, counts: bool = False) -> DataFrame:
+    """sets (id, tokens: array<long>, ids and each set's tokens distinct) to (id, hs), hs the tokens that other sets have too; or to (id, held), their number.
+
+    Tokens are named anew by 64 bits. Sets without any are absent.
+    """
+    total = sets.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    buckets = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_TOKENS))))
+    dealt = sets.mapInArrow(_deal(buckets), "bucket long, known boolean, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(_answer(counts), "id long, h long")
+    return found.groupBy("id").agg(F.sum("h").alias("held") if counts else F.collect_list("h").alias("hs"))
+
+
 def set_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Per row: size, 128-bit digest and prefix of its set; per distinct non-empty set: cid and representative."""
-    rows = checkpointed(docs.mapInArrow(_sets(n, percent, common_tokens(docs, n)), "doc_id long, _h long, n long, d1 long, d2 long, prefix array<long>"))
+    """Per row: size, 128-bit digest and prefix of its set, and a number; per distinct non-empty set: cid and representative."""
+    made = docs.mapInArrow(_sets(n, percent, common_tokens(docs, n)), "doc_id long, _h long, n long, d1 long, d2 long, prefix array<long>")
+    rows = checkpointed(made.withColumn("rid", F.monotonically_increasing_id()))
     cid = F.coalesce(F.min("doc_id"), F.expr("(d1 & 4611686018427387903) | 4611686018427387904"))
-    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(cid.alias("cid"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h")).alias("rep"))
-    classes = classes.select("d1", "d2", "n", "cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep._h").alias("rep_h"))  # of one row; a null id comes last
-    return rows, checkpointed(classes)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h", "rid")  # of one row; a null id comes last
+    classes = rows.filter("n > 0").groupBy("d1", "d2", "n").agg(cid.alias("cid"), F.min(own).alias("rep"))
+    return rows, checkpointed(classes.select("d1", "d2", "n", "cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep._h").alias("rep_h"), F.col("rep.rid").alias("rid")))
 
 
 def candidates(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """cid, n, rep_id, rep_h, hs: representatives that may link to another, with the leading tokens they share."""
     # Rows that aren't their class's representative go: found by keys alone, so that prefixes needn't move where copies are few.
-    own = classes.select("d1", "d2", "n", "cid", F.col("rep_id").alias("r"), "rep_h")
-    copies = rows.select("doc_id", "_h", "n", "d1", "d2").join(own, ["d1", "d2", "n"]).filter(~(F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("_h") == F.col("rep_h"))))
-    copies = maybe_broadcast(checkpointed(copies.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"))))
-    reps = rows.filter("n > 0").join(copies, (rows["_h"] == copies["_hash"]) & rows["doc_id"].eqNullSafe(copies["_id"]), "left_anti")
-    # A class is named by its digest's first half until few are left; tokens of a name that two classes share only look more shared.
-    leading = reps.select(F.col("d1").alias("name"), F.explode("prefix").alias("h"))
-    shared = leading.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
-    some = leading.join(shared, "h").groupBy("name").agg(F.collect_set("h").alias("hs"))
-    sized = classes.select(F.col("d1").alias("name"), "cid", "n", "rep_id", "rep_h")
+    copies = rows.filter("n > 0").select("rid").join(classes.select("rid"), "rid", "left_anti")
+    reps = rows.filter("n > 0").select("rid", "prefix").join(maybe_broadcast(checkpointed(copies)), "rid", "left_anti")
     enough = F.size("hs") >= shared_at_least(F.col("n"), percent)
-    some = checkpointed(some.join(sized, "name").filter(enough).select("cid", "n", "rep_id", "rep_h", "hs"))
-    again = some.select("cid", "n", F.explode("hs").alias("h"))  # now only among those left
-    shared = again.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("h")
-    left = again.join(shared, "h").groupBy("cid").agg(F.collect_set("h").alias("hs"))
-    return checkpointed(some.drop("hs").join(left, "cid").filter(enough).dropDuplicates(["cid"]))
+    some = shared_tokens(reps.select(F.col("rid").alias("id"), F.col("prefix").alias("tokens")))
+    some = checkpointed(some.join(classes.select(F.col("rid").alias("id"), "cid", "n", "rep_id", "rep_h"), "id").filter(enough))
+    left = shared_tokens(some.select(F.col("cid").alias("id"), F.col("hs").alias("tokens")).dropDuplicates(["id"]))  # now only among those left
+    return checkpointed(some.drop("id", "hs").join(left.withColumnRenamed("id", "cid"), "cid").filter(enough).dropDuplicates(["cid"]))
 
 
 def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent: int, block_tokens: int = BLOCK_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -232,9 +322,7 @@ def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent:
     texts = docs.join(want, same_row(docs, want)).select("cid", "text").dropDuplicates(["cid"])
     sets = checkpointed(texts.mapInArrow(_full_sets(n), "cid long, tokens array<long>"))
     # Whole sets now: one that links shares the percentage of its tokens with others among those left.
-    token = sets.select("cid", F.explode("tokens").alias("t"))
-    shared = token.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("t")
-    held = token.join(shared, "t").groupBy("cid").agg(F.count(F.lit(1)).alias("held"))
+    held = shared_tokens(sets.select(F.col("cid").alias("id"), "tokens"), counts=True).withColumnRenamed("id", "cid")
     some = checkpointed(some.join(held, "cid").filter(100 * F.col("held") >= percent * F.col("n")).drop("held"))
     # Size classes: partners differ by at most one class, so each pair meets in a window of two classes.
     cls = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) - 1e-9).cast("int")
@@ -245,7 +333,7 @@ def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent:
     member = checkpointed(some.select("cid", "n").join(groups.withColumnRenamed("node", "cid"), "cid").withColumnRenamed("component", "grp"))
     over = (F.sum("n") > block_tokens) | (F.count(F.lit(1)) > block_sets)
     large = member.groupBy("grp").agg(over.alias("large")).filter("large").select("grp")
-    small = member.join(large, "grp", "left_anti").join(sets, "cid")
+    small = sets.join(maybe_broadcast(member.join(large, "grp", "left_anti")), "cid")
     found = _joined(small.select(F.col("grp").alias("task"), "cid", F.col("cid").alias("label"), F.lit(False).alias("visitor"), "tokens"), percent)
     big = member.join(large, "grp")
     if big.isEmpty():
