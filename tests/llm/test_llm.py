@@ -208,15 +208,33 @@ def test_exact(spark, rows):
 
 
 def test_index_grows_by_batches(spark):
-    index = op5_exact.DigestIndex(spark, "digest_index_test", 4)
-    index.add(table(spark, [(1, "a"), (2, "A"), (3, "b")]))
-    index.add(table(spark, [(9, "a"), (10, "c")]))
-    assert sorted((r["doc_id"], r["n_rows"]) for r in index.read().collect()) == [(2, 2), (3, 1), (10, 1)]
-    out = op5_exact.deduplicate(table(spark, [(20, "b"), (21, "d")]), "digest_index_test", 4).collect()
-    assert sorted((r["doc_id"], r["kept"]) for r in out) == [(20, False), (21, True)]
+    rows = lambda x: op5_exact.digests(table(spark, x))
+    index = op5_exact.DigestIndex(spark, "digest_index_test", buckets=4)
+    index.add(rows([(1, "a"), (2, "A"), (3, "b")]))
+    index.add(rows([(9, "a"), (10, "c")]))
+    assert sorted((r["doc_id"], r["n_rows"]) for r in index.read().collect()) == [(2, 3), (3, 1), (10, 1)]
+    again = op5_exact.DigestIndex(spark, "digest_index_test", 10**9)  # an index keeps its buckets
+    assert again.buckets == 4
+    out = op5_exact.deduplicate(table(spark, [(20, "b"), (21, "d"), (22, "a"), (None, "a")]), "digest_index_test").collect()
+    assert sorted((str(r["doc_id"]), r["kept"], r["group_size"]) for r in out) == [("20", False, 2), ("21", True, 1), ("22", False, 5), ("None", False, 5)]
     spark.sql("drop table digest_index_test")
 
 
+def test_index_of_a_call_goes_again(spark, rows):
+    op5_exact.deduplicate(table(spark, rows)).count()
+    op5_exact.survivors(table(spark, rows)).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+
+
+def test_survivors_keep_columns_and_one_of_repeated_rows(spark, monkeypatch):
+    rows = [(1, "a"), (1, "a"), (1, "A"), (2, "b"), (None, "b"), (None, "c"), (None, "c"), (3, None), (3, "")]
+    for limit in (0, 10**6):  # joined by shuffle, and by broadcast
+        monkeypatch.setattr(op5_exact.maybe_broadcast, "__defaults__", (None, limit))
+        out = op5_exact.survivors(table(spark, rows))
+        assert out.columns == table(spark, rows).columns
+        assert sorted((str(r["doc_id"]), lower(r["text"])) for r in out.collect()) == [("1", "a"), ("2", "b"), ("3", ""), ("None", "c")]
+
+
 def test_personal_data_base():
     t = "x a.b+c@h-1.example.com, 10.0.0.1 999.1.1.1 card 4111 1111 1111 1111 tel +1 (988) 555-2485 é 4111111111111112 +12"
     want = []
