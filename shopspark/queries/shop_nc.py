@@ -112,13 +112,6 @@ def nc_block_classes(shop):
     return shop.v_nc.select(X.block_class(c("text")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("nc_segment_diff", """WITH a AS (SELECT program_id, count(*) AS n, max(text) AS t FROM v_nc GROUP BY program_id), b AS (SELECT program_id, count(*) AS n, max(text) AS t FROM v_nc_b WHERE program_id % 11 <> 0 GROUP BY program_id), aa AS (SELECT * FROM a WHERE program_id % 13 <> 0)
-  SELECT program_id, CASE WHEN aa.n IS NULL THEN 'ADDED' WHEN b.n IS NULL THEN 'REMOVED' WHEN aa.n <> b.n THEN 'CHANGED_N' WHEN aa.t <> b.t THEN 'CHANGED_T' ELSE 'UNCHANGED' END AS change FROM aa FULL JOIN b USING (program_id)""")
-def nc_segment_diff(shop):
-    of = lambda d: d.groupBy("program_id").agg(F.count(F.lit(1)).alias("n"), F.max("text").alias("t"))
-    return nc.record_diff(of(shop.v_nc).filter("program_id % 13 <> 0"), of(shop.v_nc_b).filter("program_id % 11 <> 0"), ["program_id"], ["n", "t"])
-
-
 @query("nc_words_changed", """WITH j AS (SELECT a.program_id, a.line_no, list_distinct(regexp_extract_all(a.text, '[A-Z]-?[0-9]+')) AS wa, list_distinct(regexp_extract_all(b.text, '[A-Z]-?[0-9]+')) AS wb FROM v_nc a JOIN v_nc_b b USING (program_id, line_no))
   SELECT program_id, line_no, array_to_string(list_sort(list_filter(wa, lambda x: NOT list_contains(wb, x))), ',') AS gone, array_to_string(list_sort(list_filter(wb, lambda x: NOT list_contains(wa, x))), ',') AS came FROM j""")
 def nc_words_changed(shop):
