@@ -22,6 +22,8 @@ from .common import held_out, maybe_broadcast, read_table
 NGRAM, SLOTS = 4, 1 << 16
 #: The hinge-loss fit takes at most so many labelled training rows (those with the smallest id hashes), a quarter of them for calibration.
 FIT_ROWS = 8000
+#: ... of at most so many features together, so that very long texts fit into the task that learns.
+FIT_SLOTS = 24_000_000
 EPOCHS, COST, SMOOTHING = 12, 1.0, 1.0
 #: A text is kept when its score is at least this.
 THRESHOLD = 0.3
@@ -57,7 +59,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [x.astype(np.uint16).tobytes() for x in indicators(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(got, pa.binary())], names=["y", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array(got, pa.binary())], names=["k", "y", "slots"])
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], scale: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, dim: int) -> tuple[np.ndarray, float]:
@@ -136,18 +138,36 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
         share = (size.get(1, 0) + 1e-9) / (size.sum() + 1e-9) if len(size) else 1.0
         return QualityModel(ratio, np.zeros(SLOTS), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     chosen = F.broadcast(y.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).select("_id"))
-    sample = rows.join(chosen, "_id").select("y", "text").mapInArrow(_features, "y int, slots binary").toArrow()
-    label = np.where(sample.column("y").to_numpy() > 0, 1.0, -1.0)
-    sets = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sample.column("slots").to_pylist()]
-    scaled = [ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-9) for x in sets]
-    pick = np.random.default_rng(1).random(len(sets)) < 0.75 if len(sets) >= 40 else np.ones(len(sets), bool)
-    use = np.flatnonzero(pick)
-    cost = np.where(label > 0, COST * len(label) / 2 / max((label > 0).sum(), 1), COST * len(label) / 2 / max((label < 0).sum(), 1))
-    w, b = dual_coordinate_descent([sets[i] for i in use], [scaled[i] for i in use], label[use], cost[use], EPOCHS, SLOTS)
-    model = QualityModel(ratio, w, b, 0.0, 0.0)
-    rest = np.flatnonzero(~pick) if (~pick).sum() >= 10 else use
-    model.slope, model.offset = _logistic(model.margins([sets[i] for i in rest]), label[rest])
-    return model
+    sample = rows.join(chosen, "_id").select(F.xxhash64("_id").alias("k"), "y", "text").mapInArrow(_features, "k long, y int, slots binary")
+    got = sample.repartition(1).sortWithinPartitions("k", "y", "slots").mapInArrow(_train(ratio), "w binary, b double, slope double, offset double").toArrow().to_pylist()
+    if not got:  # labels of both classes, but of no row of docs
+        return QualityModel(ratio, np.zeros(SLOTS), 0.0, 0.0, 0.0)
+    got = got[0]
+    return QualityModel(ratio, np.frombuffer(got["w"]), got["b"], got["slope"], got["offset"])
+
+
+def _train(ratio: np.ndarray):
+    """The hinge fit of a bounded sample (at most FIT_ROWS rows and FIT_SLOTS slots), in one task, and the curve from margin to score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, y, total = [], [], 0
+        for batch in batches:
+            for one, slots in zip(batch.column("y").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                total += len(slots) // 2
+                if total <= FIT_SLOTS:
+                    sets.append(np.frombuffer(slots, np.uint16).astype(np.int64))
+                    y.append(one)
+        label = np.where(np.array(y) > 0, 1.0, -1.0)
+        scaled = [ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-9) for x in sets]
+        pick = np.random.default_rng(1).random(len(sets)) < 0.75 if len(sets) >= 40 else np.ones(len(sets), bool)
+        use = np.flatnonzero(pick)
+        cost = np.where(label > 0, COST * len(label) / 2 / max((label > 0).sum(), 1), COST * len(label) / 2 / max((label < 0).sum(), 1))
+        w, b = dual_coordinate_descent([sets[i] for i in use], [scaled[i] for i in use], label[use], cost[use], EPOCHS, SLOTS)
+        rest = np.flatnonzero(~pick) if (~pick).sum() >= 10 else use
+        slope, offset = _logistic(QualityModel(ratio, w, b, 0.0, 0.0).margins([sets[i] for i in rest]), label[rest])
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([slope]), pa.array([offset])], names=["w", "b", "slope", "offset"])
+
+    return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -391,6 +393,42 @@ def test_quality_held_out(spark):
     assert held and all(x["predicted"] == int(x["doc_id"] % 3 > 0) for x in held) and all(0 <= x["score"] <= 1 for x in out) and len(out) == 302
 
 
+def test_ratios_and_hinge_loss_against_plain_solvers(spark):
+    r = random.Random(4)
+    good, bad = "the quick brown fox jumps over lazy dogs", "zzz qqq 111 %%% buy now !!!"
+    text = lambda y: " ".join(r.choice((good if r.random() < (0.8 if y else 0.3) else bad).split()) for _ in range(12))
+    docs = [(i, text(i % 2)) for i in range(1, 200)] + [(500, None), (500, None), (None, good)]
+    labels = [(i, i % 2) for i in range(1, 200)]
+    model = op9_quality.fit(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int"))
+    taught = [(t, y) for (i, t), (_, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5]
+    sets = [next(op9_quality.indicators(pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]))) for t, _ in taught]
+    n = np.ones((2, op9_quality.SLOTS))
+    for x, (_, y) in zip(sets, taught):
+        n[y, x] += 1
+    assert np.allclose(model.ratio, np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum()))
+    # the dual ascent's objective is that of projected gradient steps on the whole dual problem
+    scaled = [model.ratio[x] / np.sqrt((model.ratio[x] ** 2).sum()) for x in sets]
+    y = np.array([2.0 * y - 1 for _, y in taught])
+    dense = np.zeros((len(sets), op9_quality.SLOTS + 1))
+    for k, (x, v) in enumerate(zip(sets, scaled)):
+        dense[k, x], dense[k, -1] = v, 1.0
+    gram = (dense * y[:, None]) @ (dense * y[:, None]).T
+    alpha = np.zeros(len(y))
+    step = 1 / np.linalg.norm(gram, 2)
+    for _ in range(5000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) * step, 0, 1.0)
+    loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (dense @ w)).sum()
+    best = loss(dense.T @ (alpha * y))
+    w, b = op9_quality.dual_coordinate_descent(sets, scaled, y, np.ones(len(y)), 100, op9_quality.SLOTS)
+    assert loss(np.append(w, b)) == pytest.approx(best, rel=1e-3)
+    out = op9_quality.score_quality(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    seen = {}
+    for x in out:
+        assert 0 <= x["score"] <= 1 and seen.setdefault(x["doc_id"], x["score"]) == x["score"]
+    held = [(x["score"], x["doc_id"] % 2) for x in out if x["held_out"] and x["doc_id"] is not None and x["doc_id"] < 200]
+    assert np.mean([(s >= 0.5) == bool(y) for s, y in held]) > 0.9
+
+
 def test_reply_trees(spark):
     m = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "bad", -1.0), (1, 3, 1, "assistant", "good <|im_end|>\n\\ %", 2.0), (1, 4, 3, "us\ner", None, 0.0), (1, 4, 3, "zz", "repeated id", 9.0),
          (2, 1, 2, "user", "c", 0.0), (2, 2, 1, "user", "d", 0.0), (2, 3, 2, "user", "leads into a cycle", 0.0), (None, 1, 77, "assistant", "lost parent", None), (3, None, None, "user", "no id", 0.0)]
