@@ -345,7 +345,8 @@ def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent:
     pivot = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("sets")) < 8
     everywhere = placed.filter(pivot & (F.col("subs") > 1)).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
     task = F.xxhash64("grp", "win", "sub")
-    first = placed.unionByName(everywhere).dropDuplicates(["grp", "win", "sub", "cid"]).join(sets, "cid")
+    placed_all = checkpointed(placed.unionByName(everywhere).dropDuplicates(["grp", "win", "sub", "cid"]))
+    first = sets.join(maybe_broadcast(placed_all), "cid")  # keys go to the sets where they are few
     found = checkpointed(found.unionByName(_joined(first.select(task.alias("task"), "cid", F.col("cid").alias("label"), F.lit(False).alias("visitor"), "tokens"), percent)))
     # What is connected now stays so; sets outside a window's main component meet all its blocks.
     known = components(found).withColumnRenamed("node", "cid").withColumnRenamed("component", "label")
@@ -358,7 +359,8 @@ def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent:
     guests = guests.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).select("grp", "win", "sub", "part", "cid", "label", F.lit(True).alias("visitor"))
     hosts = split.join(load, ["grp", "win"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("grp", "win", "sub", "part", "cid", "label", F.lit(False).alias("visitor"))
     # A guest is also a host of its own block, so that guests meet each other.
-    meet = guests.unionByName(hosts).withColumn("task", F.xxhash64("grp", "win", "sub", "part")).join(sets, "cid")
+    meet = checkpointed(guests.unionByName(hosts).select(F.xxhash64("grp", "win", "sub", "part").alias("task"), "cid", "label", "visitor"))
+    meet = sets.join(maybe_broadcast(meet), "cid")
     return checkpointed(found.unionByName(_joined(meet, percent)))
 
 
