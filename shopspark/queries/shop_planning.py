@@ -35,12 +35,12 @@ def machine_calendars(shop):
     return iv.calendars(shop.v_machine.select("machine_id"), shop.v_window, "machine_id", 100, 1500)
 
 
-_J = "j AS (SELECT operation_id, machine_id, operation_id % 700 * 3 AS s, operation_id % 700 * 3 + 1 + machine_id % 3 AS e FROM v_job)"
+_J = "j AS (SELECT operation_id, machine_id, operation_id % 700 * 3 AS s, operation_id % 700 * 3 + 1 + machine_id % 8 AS e FROM v_job)"
 
 
 @query("jobs_outside_windows", f"WITH {_J}, a AS ({_MERGE.format(t='v_window')}) SELECT operation_id, machine_id, s, e FROM j WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.machine_id = j.machine_id AND a.start_h <= j.s AND a.end_h >= j.e)")
 def jobs_outside_windows(shop):
-    j = shop.v_job.select("operation_id", "machine_id", (c("operation_id") % 700 * 3).alias("s"), (c("operation_id") % 700 * 3 + 1 + c("machine_id") % 3).alias("e"))
+    j = shop.v_job.select("operation_id", "machine_id", (c("operation_id") % 700 * 3).alias("s"), (c("operation_id") % 700 * 3 + 1 + c("machine_id") % 8).alias("e"))
     w = iv.merge(shop.v_window, "machine_id").select("machine_id", c("start_h").alias("s"), c("end_h").alias("e"))
     return iv.outside(j, w, "machine_id", "operation_id", 48)
 

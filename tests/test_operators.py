@@ -117,3 +117,35 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_replay_reports_illegal_steps(spark):
     df = spark.createDataFrame([(1, 1, 1, "APPROVED"), (1, 2, 2, "ENGINEER_REVIEWED"), (1, 3, 3, "APPROVED"), (1, 4, 4, "SUPERSEDED")], "plan_id long, event_id long, ts long, to_status string")
     assert [r["legal"] for r in events.replay(df).orderBy("event_id").collect()] == [False, True, True, True]
+
+
+def test_chains_cycles_and_levels(spark):
+    from shopspark.operators import graph
+
+    chain = spark.createDataFrame([(1, i, i + 1) for i in range(200)] + [(2, 1, 2), (2, 2, 1), (2, 2, 3)], "plan_id long, src long, dst long")
+    assert sorted((r["plan_id"], r["node"]) for r in graph.cyclic_nodes(chain).collect()) == [(2, 1), (2, 2), (2, 3)]
+    ok = chain.filter("plan_id = 1 AND src < 30")
+    nodes = ok.select("plan_id", ok["src"].alias("node")).union(ok.select("plan_id", "dst")).distinct()
+    assert sorted((r["node"], r["level"], r["position"]) for r in graph.topological(ok, nodes).collect()) == [(i, i, i + 1) for i in range(31)]
+    assert graph.ancestors(ok).count() == 31 * 30 // 2
+    bad = chain.filter("plan_id = 2")
+    with pytest.raises(ValueError):
+        graph.levels(bad, bad.select("plan_id", bad["src"].alias("node")).union(bad.select("plan_id", "dst")).distinct())
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_status_replay_against_a_loop(spark, block):
+    import random
+
+    from shopspark.streaming import events as ev
+
+    r = random.Random(1)
+    rows = [(p, e, float(r.randrange(50)), r.choice(ev.STATES[1:])) for p in range(6) for e in range(p * 1000, p * 1000 + r.randrange(40))]
+    got = {(x["plan_id"], x["event_id"]): (x["from_status"], x["to_status"], x["legal"]) for x in ev.replay(spark.createDataFrame(rows, "plan_id long, event_id long, ts double, to_status string"), block).collect()}
+    state, want = {}, {}
+    for p, e, _, to in sorted(rows, key=lambda x: (x[0], x[2], x[1])):
+        was = state.get(p, "DRAFT")
+        ok = to == "SUPERSEDED" or (was, to) in ev.ALLOWED
+        want[p, e] = (was, to, ok)
+        state[p] = to if ok else was
+    assert got == want
