@@ -21,13 +21,13 @@ def word(block: Column, letter: str) -> Column:
 
 
 def codes(block: Column, letter: str) -> Column:
-    """All numbers of G or M words, cut to whole numbers."""
-    return F.transform(F.regexp_extract_all(block, F.lit(letter + r"\s*" + NUMBER), F.lit(1)), lambda x: x.try_cast("double").cast("int"))
+    """All numbers of G or M words in tenths, so that G91.1 (911) isn't G91 (910)."""
+    return F.transform(F.regexp_extract_all(block, F.lit(letter + r"\s*" + NUMBER), F.lit(1)), lambda x: F.round(x.try_cast("double") * 10).cast("int"))
 
 
 def last_of(numbers: Column, *wanted: int) -> Column:
-    """The last of the numbers that is one of those wanted."""
-    return F.try_element_at(F.filter(numbers, lambda x: x.isin(*wanted)), F.lit(-1))
+    """The last of the codes (in tenths) that is one of those wanted (whole)."""
+    return F.try_element_at(F.filter(numbers, lambda x: x.isin(*[10 * w for w in wanted])), F.lit(-1)) / 10
 
 
 def is_macro(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,56 +14,93 @@ AXES = ["x", "y", "z"]
 def motion(lines: DataFrame) -> DataFrame:
     """(program_id, line_no, text) to one row per line up to the program's end, with state after the line and the move's length.
 
-    Lengths are in mm. Coordinates and feeds are read in the units of their own line. A move whose start isn't known
-    in an axis that it changes has no length (skipped). Everything is a window over a program's lines in order.
+    Lengths are in mm. Coordinates and feeds are read in the units of their own line. Straight moves, arcs about a relative
+    centre in the three planes, and holes of the cycles G81-G85 are measured. What can't be measured has no length and is
+    skipped: a move whose start isn't known in an axis that it changes, an arc by radius or with unequal radii, cycles G86-G89
+    or in relative mode. Holes that are measured in part (pecking, tapping, unknown initial level) are skipped as well, but add
+    what is known. Everything is a window over a program's lines in order.
     """
     c = F.col
     b = X.clean(c("text"))
     d = lines.withColumn("b", F.when(X.is_macro(c("text")), "").otherwise(b)).withColumns({"g": X.codes(c("b"), "G"), "m": X.codes(c("b"), "M")})
     w = W.partitionBy("program_id").orderBy("line_no")
     to_here = w.rowsBetween(W.unboundedPreceding, 0)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    end = F.min(F.when(F.exists("m", lambda x: x.isin(2, 30)), c("line_no"))).over(W.partitionBy("program_id"))
+    end = F.min(F.when(X.last_of(c("m"), 2, 30).isNotNull(), c("line_no"))).over(W.partitionBy("program_id"))
     d = d.withColumn("end", end).filter(c("end").isNull() | (c("line_no") <= c("end")))
     kept = lambda x: F.last(x, ignorenulls=True).over(to_here)
+    g = c("g")
+    modal, straight = kept(X.last_of(g, 0, 1, 2, 3, *range(80, 90))), kept(X.last_of(g, 0, 1, 2, 3))
     d = d.withColumns({
-        "inch": F.coalesce(kept(X.last_of(c("g"), 20, 21)) == 20, F.lit(False)), "relative": F.coalesce(kept(X.last_of(c("g"), 90, 91)) == 91, F.lit(False)), "mode": kept(X.last_of(c("g"), 0, 1, 2, 3)),
-        "spindle": F.coalesce(kept(X.last_of(c("m"), 3, 4, 5)), F.lit(5)), "rpm": kept(X.word(c("b"), "S")), "t": X.word(c("b"), "T"), "home": F.array_contains("g", 28), "change": F.array_contains("m", 6),
-        "macro": X.is_macro(c("text")),
+        "inch": F.coalesce(kept(X.last_of(g, 20, 21)) == 20, F.lit(False)), "relative": F.coalesce(kept(X.last_of(g, 90, 91)) == 91, F.lit(False)), "mode": F.when(modal == 80, straight).otherwise(modal).cast("int"),
+        "plane": F.coalesce(kept(X.last_of(g, 17, 18, 19)), F.lit(17)).cast("int"), "stays": F.coalesce(kept(X.last_of(g, 98, 99)) == 99, F.lit(False)), "begins": X.last_of(g, 81, 82, 83, 84, 85).isNotNull(),
+        "rpm": kept(X.word(c("b"), "S")), "t": X.word(c("b"), "T"), "home": X.last_of(g, 28).isNotNull(), "change": X.last_of(c("m"), 6).isNotNull(), "macro": X.is_macro(c("text")),
     })
     scale = F.when(c("inch"), 25.4).otherwise(1.0)
-    d = d.withColumns({"feed": kept(X.word(c("b"), "F") * scale), **{f"w{a}": X.word(c("b"), a.upper()) * scale for a in AXES}})
+    d = d.withColumns({"feed": kept(X.word(c("b"), "F") * scale), **{f"w{a}": X.word(c("b"), a.upper()) * scale for a in [*AXES, "i", "j", "k", "r"]}})
     pending = F.last(c("t"), ignorenulls=True).over(to_here)
     d = d.withColumn("tool", pending).withColumn("segment", F.sum((c("change") & c("tool").isNotNull()).cast("int")).over(to_here))
-    for a in AXES:
-        fixed = c("home") | (c(f"w{a}").isNotNull() & ~c("relative"))
-        d = d.withColumn(f"k{a}", F.sum(fixed.cast("int")).over(to_here))
-        group = W.partitionBy("program_id", f"k{a}").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-        base = F.when(~c("home") & ~c("relative"), c(f"w{a}"))
+    cycle = c("mode").between(81, 85)
+    d = d.withColumn("hole", F.coalesce(cycle & ~c("relative") & ~c("home") & (c("wx").isNotNull() | c("wy").isNotNull()), F.lit(False)))
+    d = d.withColumns({"depth": kept(F.when(cycle, c("wz"))), "level": kept(F.when(cycle, c("wr")))})
+
+    def placed(d: DataFrame, a: str, at: Column, base: Column, out: str) -> DataFrame:
+        """Position of an axis: lines that fix it (at) begin a group with base (NULL: unknown), to which relative steps add."""
         step = F.when(c("relative") & ~c("home"), F.coalesce(f"w{a}", F.lit(0.0))).otherwise(0.0)
-        start = F.first(F.when(fixed, base)).over(group)  # the group's first line fixes the axis, or (home, program start) leaves it unknown
-        d = d.withColumn(f"p{a}", start + F.sum(step).over(group)).withColumn(f"s{a}", F.lag(f"p{a}").over(w))
+        d = d.withColumn(f"k{out}", F.sum(at.cast("int")).over(to_here))
+        group = W.partitionBy("program_id", f"k{out}").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+        start = F.first(F.when(at, base)).over(group)  # the group's first line fixes the axis, or (home, program start) leaves it unknown
+        return d.withColumn(f"p{out}", start + F.sum(step).over(group)).withColumn(f"s{out}", F.lag(f"p{out}").over(w))
+
+    said = lambda a: c(f"w{a}").isNotNull() & ~c("relative")
+    own = lambda a: F.when(~c("home") & ~c("relative"), c(f"w{a}"))
+    for a in ("x", "y"):
+        d = placed(d, a, c("home") | said(a), own(a), a)
+    # A hole leaves the axis at the level (G99) or where the cycle began (G98): first without the latter, to know where that was.
+    sets = c("home") | (said("z") & ~c("hole"))
+    d = placed(d, "z", sets | (c("hole") & c("stays")), F.when(c("hole"), c("level")).otherwise(own("z")), "a")
+    d = d.withColumn("initial", F.last(F.when(c("begins"), F.struct(c("sa").alias("z"))), ignorenulls=True).over(to_here)["z"])
+    d = placed(d, "z", sets | c("hole"), F.when(c("hole"), F.when(c("stays"), c("level")).otherwise(F.coalesce("initial", "level"))).otherwise(own("z")), "z")
+
     moved = [c(f"w{a}").isNotNull() for a in AXES]
-    is_move = (moved[0] | moved[1] | moved[2]) & ~c("home") & c("mode").isin(0, 1)
+    is_move = F.coalesce((moved[0] | moved[1] | moved[2]) & ~c("home") & (c("mode").between(0, 3) | c("mode").between(81, 89)), F.lit(False))
     unknown = [moved[k] & (c(f"s{a}").isNull() | c(f"p{a}").isNull()) for k, a in enumerate(AXES)]
     square = [F.when(moved[k], F.pow(c(f"p{a}") - c(f"s{a}"), 2)).otherwise(0.0) for k, a in enumerate(AXES)]
-    d = d.withColumn("skipped", is_move & (unknown[0] | unknown[1] | unknown[2]))
-    del before
-    return d.withColumn("length", F.when(is_move & ~c("skipped"), F.sqrt(square[0] + square[1] + square[2])))
+    line = F.when(~(unknown[0] | unknown[1] | unknown[2]), F.sqrt(square[0] + square[1] + square[2]))
+    by_plane = lambda p, q, r: F.when(c("plane") == 17, p).when(c("plane") == 18, q).otherwise(r)
+    u, v, h = by_plane(c("sx"), c("sx"), c("sy")), by_plane(c("sy"), c("sz"), c("sz")), by_plane(c("sz"), c("sy"), c("sx"))
+    u1, v1, h1 = by_plane(c("px"), c("px"), c("py")), by_plane(c("py"), c("pz"), c("pz")), by_plane(c("pz"), c("py"), c("px"))
+    i, j = by_plane(c("wi"), c("wi"), c("wj")), by_plane(c("wj"), c("wk"), c("wk"))
+    rise = F.when(by_plane(*[moved[k] for k in (2, 1, 0)]), F.coalesce(h1 - h, F.lit(0.0))).otherwise(0.0)
+    zero = F.lit(0.0)
+    arc = F.when(i.isNotNull() | j.isNotNull(), X.arc_length(u, v, u1, v1, F.coalesce(i, zero), F.coalesce(j, zero), rise, c("mode") == 2))
+    stroke = F.abs(c("depth") - c("level"))
+    across = F.coalesce(F.hypot(c("px") - c("sx"), c("py") - c("sy")), zero)
+    deep = stroke >= 1e-9
+    back = F.when(deep & ~c("stays"), F.coalesce(F.abs(c("level") - c("initial")), zero)).otherwise(0.0)
+    hole_feed = F.when(deep, stroke * F.when(c("mode").isin(84, 85), 2).otherwise(1)).when(stroke.isNotNull(), 0.0)
+    hole_rapid = F.when(stroke.isNotNull(), across + F.coalesce(F.abs(c("sz") - c("level")), zero) + back)
+    in_part = c("hole") & (stroke.isNull() | ~deep | c("mode").isin(83, 84) | (~c("stays") & c("initial").isNull()))
+    d = d.withColumns({
+        "feed_len": F.when(is_move, F.when(c("mode") == 1, line).when(c("mode").isin(2, 3), arc).when(c("hole"), hole_feed)),
+        "rapid_len": F.when(is_move, F.when(c("mode") == 0, line).when(c("hole"), hole_rapid)),
+    })
+    length = F.coalesce(c("feed_len") + c("rapid_len"), c("feed_len"), c("rapid_len"))
+    return d.withColumn("length", length).withColumn("skipped", F.coalesce(is_move & (c("length").isNull() | in_part), F.lit(False)))
 
 
 def segments(moves: DataFrame) -> DataFrame:
     c = F.col
+    at_feed = F.when((c("mode") == 1) & c("length").isNotNull(), c("feed"))
     return moves.groupBy("program_id", "segment").agg(
-        F.max_by("tool", "line_no").alias("tool"), F.sum(F.when(c("mode") == 1, c("length"))).alias("feed_mm"), F.sum(F.when(c("mode") == 0, c("length"))).alias("rapid_mm"), F.count_if(c("length").isNotNull()).alias("moves"), F.count_if("skipped").alias("skipped"),
-        F.min(F.when((c("mode") == 1) & c("length").isNotNull(), c("feed"))).alias("min_feed"), F.max(F.when((c("mode") == 1) & c("length").isNotNull(), c("feed"))).alias("max_feed"),
+        F.max_by("tool", "line_no").alias("tool"), F.sum("feed_len").alias("feed_mm"), F.sum("rapid_len").alias("rapid_mm"), F.count_if(c("length").isNotNull()).alias("moves"), F.count_if("skipped").alias("skipped"),
+        F.min(at_feed).alias("min_feed"), F.max(at_feed).alias("max_feed"),
     )
 
 
 def programs(moves: DataFrame) -> DataFrame:
     c = F.col
     out = moves.groupBy("program_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.when(c("mode") == 1, c("length"))).alias("feed_mm"), F.sum(F.when(c("mode") == 0, c("length"))).alias("rapid_mm"), F.max("segment").alias("tool_changes"), F.count_if("skipped").alias("skipped"), F.count_if("macro").alias("macros"),
+        F.count(F.lit(1)).alias("n_lines"), F.sum("feed_len").alias("feed_mm"), F.sum("rapid_len").alias("rapid_mm"), F.max("segment").alias("tool_changes"), F.count_if("skipped").alias("skipped"), F.count_if("macro").alias("macros"),
         F.max_by("rpm", "line_no").alias("last_rpm"), F.max_by("feed", "line_no").alias("last_feed"), F.max("rpm").alias("max_rpm"), F.max("feed").alias("max_feed"), F.bool_or(c("end").isNotNull()).alias("ended"),
     )
     status = F.when(c("macros") > 0, "UNSUPPORTED").when(c("skipped") > 0, "PARTIAL").otherwise("COMPLETE")

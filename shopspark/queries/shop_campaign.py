@@ -44,7 +44,7 @@ def failing_items(shop):
     return cp.failing_items(shop.v_found, shop.v_truth.filter("required"), matching.match_levels(shop.v_found, shop.v_truth))
 
 
-@query("repeated_wrong", "SELECT fixture, lower(trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))) AS text, count(DISTINCT run_id) AS runs FROM v_found f WHERE lower(trim(regexp_replace(raw_text, '\s+', ' ', 'g'))) <> lower(raw_text) GROUP BY ALL HAVING count(DISTINCT run_id) >= 2")
+@query("repeated_wrong", "SELECT fixture, lower(trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))) AS text, count(DISTINCT run_id) AS runs FROM v_found f WHERE lower(trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))) <> lower(raw_text) GROUP BY ALL HAVING count(DISTINCT run_id) >= 2")
 def repeated_wrong(shop):
     text = matching.normal(c("raw_text"))
     return cp.repeated_wrong(shop.v_found.filter(text != F.lower("raw_text")).select("fixture", "run_id", text.alias("text")))

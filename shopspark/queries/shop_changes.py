@@ -12,8 +12,8 @@ from .registry import query
 c = F.col
 
 #: The motion of the second revision: the same steps under other names.
-_MOTION_B = re.sub(r"\bv_nc\b", "v_nc_b", re.sub(r"\bq(\d?)\b", r"u\1", base._MOTION))
-_SEG = "SELECT program_id, segment::BIGINT AS segment, max_by(tool, line_no) AS tool, sum(length) FILTER (WHERE mode IN (1, 2, 3)) AS feed_mm, sum(length) FILTER (WHERE mode = 0) AS rapid_mm, min(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS min_feed, max(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS max_feed FROM {t} GROUP BY program_id, segment"
+_MOTION_B = re.sub(r"\bv_nc\b", "v_nc_b", re.sub(r"\bq(\d*|[xyabc][kp]?)\b", r"rev\1", base._MOTION))
+_SEG = "SELECT program_id, segment::BIGINT AS segment, max_by(tool, line_no) AS tool, sum(feed_len) AS feed_mm, sum(rapid_len) AS rapid_mm, min(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS min_feed, max(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS max_feed FROM {t} GROUP BY program_id, segment"
 _D = "round(coalesce(b.{k}, 0) - coalesce(a.{k}, 0), 4)"
 
 
@@ -22,7 +22,7 @@ def _segments(shop, view):
     return s.select("program_id", c("segment").cast("long").alias("segment"), "tool", "feed_mm", "rapid_mm", "min_feed", "max_feed")
 
 
-@query("nc_segment_diff", f"""WITH {base._MOTION}, {_MOTION_B}, a AS ({_SEG.format(t='q')}), b AS ({_SEG.format(t='u')}), na AS (SELECT program_id, max(segment) AS x FROM a GROUP BY 1), nb AS (SELECT program_id, max(segment) AS y FROM b GROUP BY 1), un AS (SELECT program_id, x IS DISTINCT FROM y AS uncertain FROM na FULL JOIN nb USING (program_id)),
+@query("nc_segment_diff", f"""WITH {base._MOTION}, {_MOTION_B}, a AS ({_SEG.format(t='q')}), b AS ({_SEG.format(t='rev')}), na AS (SELECT program_id, max(segment) AS x FROM a GROUP BY 1), nb AS (SELECT program_id, max(segment) AS y FROM b GROUP BY 1), un AS (SELECT program_id, x IS DISTINCT FROM y AS uncertain FROM na FULL JOIN nb USING (program_id)),
   j AS (SELECT program_id, segment, a.program_id IS NULL AS no_a, b.program_id IS NULL AS no_b, a.tool IS DISTINCT FROM b.tool AS tc, a.min_feed IS DISTINCT FROM b.min_feed OR a.max_feed IS DISTINCT FROM b.max_feed AS fc, {_D.format(k='feed_mm')} AS fd, {_D.format(k='rapid_mm')} AS rd FROM (SELECT *, program_id AS p, segment AS g FROM a) a FULL JOIN b USING (program_id, segment))
   SELECT program_id, segment, CASE WHEN no_a THEN 'ADDED' WHEN no_b THEN 'REMOVED' WHEN uncertain THEN 'MATCH_UNCERTAIN' WHEN tc OR fc OR abs(fd) > 0 OR abs(rd) > 0 THEN 'MODIFIED' ELSE 'UNCHANGED' END AS change, CASE WHEN NOT no_a AND NOT no_b THEN tc END AS tool_changed, CASE WHEN NOT no_a AND NOT no_b THEN fd END AS feed_delta, CASE WHEN NOT no_a AND NOT no_b THEN rd END AS rapid_delta FROM j JOIN un USING (program_id)""")
 def nc_segment_diff(shop):

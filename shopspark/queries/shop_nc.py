@@ -17,24 +17,45 @@ def _word(letter):
 
 
 def _last(letter, *wanted):
-    lst = ", ".join(map(str, wanted))
-    return f"list_extract(list_filter(list_transform(regexp_extract_all(b, '{letter}\\s*{_NUM}', 1), lambda x: CAST(trunc(CAST(x AS DOUBLE)) AS INT)), lambda x: x IN ({lst})), -1)"
+    lst = ", ".join(str(10 * w) for w in wanted)
+    return f"(list_extract(list_filter(list_transform(regexp_extract_all(b, '{letter}\\s*{_NUM}', 1), lambda x: CAST(round(CAST(x AS DOUBLE) * 10) AS INT)), lambda x: x IN ({lst})), -1) / 10)::INT"
 
 
-def _axis(a):
-    return f"""sum(CASE WHEN home OR (w{a} IS NOT NULL AND NOT rel) THEN 1 ELSE 0 END) OVER o AS k{a}"""
+_O = "(PARTITION BY program_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+def _placed(frm, to, a, at, base, out):
+    """Two steps: the group that each line of an axis is in, then its position."""
+    o = f"(PARTITION BY program_id, k{out} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""{to}k AS (SELECT *, sum(CASE WHEN {at} THEN 1 ELSE 0 END) OVER {_O} AS k{out} FROM {frm}), {to}p AS (SELECT *, first_value(CASE WHEN {at} THEN {base} END) OVER {o} + sum(CASE WHEN rel AND NOT home THEN coalesce(w{a}, 0) ELSE 0 END) OVER {o} AS p{out} FROM {to}k),
+  {to} AS (SELECT *, lag(p{out}) OVER (PARTITION BY program_id ORDER BY line_no) AS s{out} FROM {to}p)"""
+
+
+_SET = "home OR (w{a} IS NOT NULL AND NOT rel)"
+_OWN = "CASE WHEN NOT home AND NOT rel THEN w{a} END"
+_ZSET = "home OR (wz IS NOT NULL AND NOT rel AND NOT hole)"
+_BY = "CASE plane WHEN 17 THEN {0} WHEN 18 THEN {1} ELSE {2} END"
 _MOTION = f"""q0 AS (SELECT program_id, line_no, text, regexp_matches(text, '#') AS macro, CASE WHEN regexp_matches(text, '#') THEN '' ELSE upper(regexp_replace(regexp_replace(text, '\\([^)]*\\)', ' ', 'g'), ';.*$', '')) END AS b FROM v_nc),
-  q1 AS (SELECT *, {_last('G', 20, 21)} AS gu, {_last('G', 90, 91)} AS ga, {_last('G', 0, 1, 2, 3)} AS gm, {_last('M', 2, 30)} AS mend, {_last('G', 28)} IS NOT NULL AS home, {_last('M', 6)} IS NOT NULL AS chg, {_word('S')} AS s, {_word('T')} AS t, {_word('F')} AS f, {_word('X')} AS x, {_word('Y')} AS y, {_word('Z')} AS z FROM q0),
+  q1 AS (SELECT *, {_last('G', 20, 21)} AS gu, {_last('G', 90, 91)} AS ga, {_last('G', 0, 1, 2, 3, *range(80, 90))} AS gm, {_last('G', 0, 1, 2, 3)} AS gs, {_last('G', 17, 18, 19)} AS gp, {_last('G', 98, 99)} AS gr, {_last('G', *range(81, 86))} IS NOT NULL AS begins,
+    {_last('M', 2, 30)} AS mend, {_last('G', 28)} IS NOT NULL AS home, {_last('M', 6)} IS NOT NULL AS chg, {', '.join(f"{_word(x)} AS {x.lower()}" for x in 'STFXYZIJKR')} FROM q0),
   q2 AS (SELECT *, min(CASE WHEN mend IS NOT NULL THEN line_no END) OVER (PARTITION BY program_id) AS fin FROM q1),
-  q3 AS (SELECT *, coalesce(last_value(gu IGNORE NULLS) OVER o = 20, false) AS inch, coalesce(last_value(ga IGNORE NULLS) OVER o = 91, false) AS rel, last_value(gm IGNORE NULLS) OVER o AS mode, last_value(s IGNORE NULLS) OVER o AS rpm, last_value(t IGNORE NULLS) OVER o AS tool FROM q2 WHERE fin IS NULL OR line_no <= fin WINDOW o AS (PARTITION BY program_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  q4 AS (SELECT *, CASE WHEN inch THEN 25.4::DOUBLE ELSE 1 END AS sc FROM q3), q5 AS (SELECT *, x * sc AS wx, y * sc AS wy, z * sc AS wz, last_value(f * sc IGNORE NULLS) OVER o AS feed, sum(CASE WHEN chg AND tool IS NOT NULL THEN 1 ELSE 0 END) OVER o AS segment FROM q4 WINDOW o AS (PARTITION BY program_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  q6 AS (SELECT *, {_axis('x')}, {_axis('y')}, {_axis('z')} FROM q5 WINDOW o AS (PARTITION BY program_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-  q7 AS (SELECT *, """ + ", ".join(f"first_value(CASE WHEN NOT home AND NOT rel THEN w{a} END) OVER o{a} + sum(CASE WHEN rel AND NOT home THEN coalesce(w{a}, 0) ELSE 0 END) OVER o{a} AS p{a}" for a in "xyz") + " FROM q6 WINDOW " + ", ".join(f"o{a} AS (PARTITION BY program_id, k{a} ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for a in "xyz") + """),
-  q8 AS (SELECT *, lag(px) OVER o AS sx, lag(py) OVER o AS sy, lag(pz) OVER o AS sz FROM q7 WINDOW o AS (PARTITION BY program_id ORDER BY line_no)),
-  q9 AS (SELECT *, coalesce((wx IS NOT NULL OR wy IS NOT NULL OR wz IS NOT NULL) AND NOT home AND mode IN (0, 1), false) AS mv, (wx IS NOT NULL AND (sx IS NULL OR px IS NULL)) OR (wy IS NOT NULL AND (sy IS NULL OR py IS NULL)) OR (wz IS NOT NULL AND (sz IS NULL OR pz IS NULL)) AS unk FROM q8),
-  q AS (SELECT *, mv AND unk AS skipped, CASE WHEN mv AND NOT unk THEN sqrt(CASE WHEN wx IS NULL THEN 0 ELSE pow(px - sx, 2) END + CASE WHEN wy IS NULL THEN 0 ELSE pow(py - sy, 2) END + CASE WHEN wz IS NULL THEN 0 ELSE pow(pz - sz, 2) END) END AS length FROM q9)"""
+  q3 AS (SELECT *, coalesce(last_value(gu IGNORE NULLS) OVER o = 20, false) AS inch, coalesce(last_value(ga IGNORE NULLS) OVER o = 91, false) AS rel, CASE WHEN last_value(gm IGNORE NULLS) OVER o = 80 THEN last_value(gs IGNORE NULLS) OVER o ELSE last_value(gm IGNORE NULLS) OVER o END AS mode, coalesce(last_value(gp IGNORE NULLS) OVER o, 17) AS plane,
+    coalesce(last_value(gr IGNORE NULLS) OVER o = 99, false) AS stays, last_value(s IGNORE NULLS) OVER o AS rpm, last_value(t IGNORE NULLS) OVER o AS tool FROM q2 WHERE fin IS NULL OR line_no <= fin WINDOW o AS {_O}),
+  q4 AS (SELECT *, CASE WHEN inch THEN 25.4::DOUBLE ELSE 1 END AS sc FROM q3), q5 AS (SELECT *, {', '.join(f"{x} * sc AS w{x}" for x in 'xyzijkr')}, last_value(f * sc IGNORE NULLS) OVER o AS feed, sum(CASE WHEN chg AND tool IS NOT NULL THEN 1 ELSE 0 END) OVER o AS segment FROM q4 WINDOW o AS {_O}),
+  q6 AS (SELECT *, coalesce(mode BETWEEN 81 AND 85 AND NOT rel AND NOT home AND (wx IS NOT NULL OR wy IS NOT NULL), false) AS hole, last_value(CASE WHEN mode BETWEEN 81 AND 85 THEN wz END IGNORE NULLS) OVER o AS depth, last_value(CASE WHEN mode BETWEEN 81 AND 85 THEN wr END IGNORE NULLS) OVER o AS lev FROM q5 WINDOW o AS {_O}),
+  {_placed('q6', 'qx', 'x', _SET.format(a='x'), _OWN.format(a='x'), 'x')}, {_placed('qx', 'qy', 'y', _SET.format(a='y'), _OWN.format(a='y'), 'y')},
+  {_placed('qy', 'qa', 'z', f"{_ZSET} OR (hole AND stays)", f"CASE WHEN hole THEN lev ELSE {_OWN.format(a='z')} END", 'a')},
+  qb AS (SELECT *, (last_value(CASE WHEN begins THEN {{'z': sa}} END IGNORE NULLS) OVER {_O}).z AS init FROM qa),
+  {_placed('qb', 'qc', 'z', f"{_ZSET} OR hole", f"CASE WHEN hole THEN CASE WHEN stays THEN lev ELSE coalesce(init, lev) END ELSE {_OWN.format(a='z')} END", 'z')},
+  q8 AS (SELECT *, coalesce((wx IS NOT NULL OR wy IS NOT NULL OR wz IS NOT NULL) AND NOT home AND (mode BETWEEN 0 AND 3 OR mode BETWEEN 81 AND 89), false) AS mv, (wx IS NOT NULL AND (sx IS NULL OR px IS NULL)) OR (wy IS NOT NULL AND (sy IS NULL OR py IS NULL)) OR (wz IS NOT NULL AND (sz IS NULL OR pz IS NULL)) AS unk,
+    {_BY.format('sx', 'sx', 'sy')} AS u0, {_BY.format('sy', 'sz', 'sz')} AS v0, {_BY.format('sz', 'sy', 'sx')} AS h0, {_BY.format('px', 'px', 'py')} AS u1, {_BY.format('py', 'pz', 'pz')} AS v1, {_BY.format('pz', 'py', 'px')} AS h1,
+    {_BY.format('wi', 'wi', 'wj')} AS ci, {_BY.format('wj', 'wk', 'wk')} AS cj, {_BY.format('wz', 'wy', 'wx')} AS wh, abs(depth - lev) AS stroke FROM qc),
+  q9 AS (SELECT *, CASE WHEN NOT unk THEN sqrt(CASE WHEN wx IS NULL THEN 0 ELSE pow(px - sx, 2) END + CASE WHEN wy IS NULL THEN 0 ELSE pow(py - sy, 2) END + CASE WHEN wz IS NULL THEN 0 ELSE pow(pz - sz, 2) END) END AS ln, CASE WHEN ci IS NOT NULL OR cj IS NOT NULL THEN sqrt(pow(coalesce(ci, 0), 2) + pow(coalesce(cj, 0), 2)) END AS r0,
+    sqrt(pow(u1 - u0 - coalesce(ci, 0), 2) + pow(v1 - v0 - coalesce(cj, 0), 2)) AS r1, CASE WHEN mode = 2 THEN 1 ELSE -1 END * (atan2(-coalesce(cj, 0), -coalesce(ci, 0)) - atan2(v1 - v0 - coalesce(cj, 0), u1 - u0 - coalesce(ci, 0))) AS da, CASE WHEN wh IS NOT NULL THEN coalesce(h1 - h0, 0) ELSE 0 END AS rise FROM q8),
+  q10 AS (SELECT *, da - 2 * pi() * floor(da / (2 * pi())) AS sw FROM q9),
+  q11 AS (SELECT *, CASE WHEN mv THEN CASE WHEN mode = 1 THEN ln WHEN mode IN (2, 3) THEN CASE WHEN r0 > 0 AND (abs(r0 - r1) <= 1e-3 OR abs(r0 - r1) <= 1e-4 * r0) THEN sqrt(pow(r0 * CASE WHEN sw <= 1e-12 THEN 2 * pi() ELSE sw END, 2) + rise * rise) END WHEN hole THEN CASE WHEN stroke >= 1e-9 THEN stroke * CASE WHEN mode IN (84, 85) THEN 2 ELSE 1 END WHEN stroke IS NOT NULL THEN 0 END END END AS feed_len,
+    CASE WHEN mv THEN CASE WHEN mode = 0 THEN ln WHEN hole AND stroke IS NOT NULL THEN coalesce(sqrt(pow(px - sx, 2) + pow(py - sy, 2)), 0) + coalesce(abs(sz - lev), 0) + CASE WHEN stroke >= 1e-9 AND NOT stays THEN coalesce(abs(lev - init), 0) ELSE 0 END END END AS rapid_len FROM q10),
+  q AS (SELECT *, coalesce(feed_len + rapid_len, feed_len, rapid_len) AS length, coalesce(mv AND (coalesce(feed_len, rapid_len) IS NULL OR (hole AND (stroke IS NULL OR stroke < 1e-9 OR mode IN (83, 84) OR (NOT stays AND init IS NULL)))), false) AS skipped FROM q11)"""
 
 
 @query("nc_moves", f"WITH {_MOTION} SELECT program_id, line_no, mode, rpm, round(feed + 1e-9, 6) AS feed, segment::BIGINT AS segment, round(px + 1e-9, 6) AS px, round(py + 1e-9, 6) AS py, round(pz + 1e-9, 6) AS pz, skipped, round(length + 1e-9, 6) AS length FROM q")
@@ -43,12 +64,12 @@ def nc_moves(shop):
     return m.select("program_id", "line_no", "mode", "rpm", r6(c("feed")).alias("feed"), c("segment").cast("long").alias("segment"), *[r6(c(p)).alias(p) for p in ("px", "py", "pz")], F.coalesce("skipped", F.lit(False)).alias("skipped"), r6(c("length")).alias("length"))
 
 
-@query("nc_segments", f"WITH {_MOTION} SELECT program_id, segment::BIGINT AS segment, max_by(tool, line_no) AS tool, round(sum(length) FILTER (WHERE mode = 1), 4) AS feed_mm, round(sum(length) FILTER (WHERE mode = 0), 4) AS rapid_mm, count(length) AS moves, count(*) FILTER (WHERE skipped) AS skipped, min(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS min_feed, max(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS max_feed FROM q GROUP BY program_id, segment")
+@query("nc_segments", f"WITH {_MOTION} SELECT program_id, segment::BIGINT AS segment, max_by(tool, line_no) AS tool, round(sum(feed_len), 4) AS feed_mm, round(sum(rapid_len), 4) AS rapid_mm, count(length) AS moves, count(*) FILTER (WHERE skipped) AS skipped, min(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS min_feed, max(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS max_feed FROM q GROUP BY program_id, segment")
 def nc_segments(shop):
     return nc.segments(nc.motion(shop.v_nc)).withColumns({"segment": c("segment").cast("long"), "feed_mm": F.round("feed_mm", 4), "rapid_mm": F.round("rapid_mm", 4)})
 
 
-_PROGRAM = f"{_MOTION}, pr AS (SELECT program_id, count(*) AS n_lines, sum(length) FILTER (WHERE mode = 1) AS feed_mm, sum(length) FILTER (WHERE mode = 0) AS rapid_mm, max(segment)::BIGINT AS tool_changes, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE macro) AS macros, max_by(rpm, line_no) AS last_rpm, max_by(feed, line_no) AS last_feed, max(rpm) AS max_rpm, max(feed) AS max_feed, bool_or(fin IS NOT NULL) AS ended FROM q GROUP BY program_id)"
+_PROGRAM = f"{_MOTION}, pr AS (SELECT program_id, count(*) AS n_lines, sum(feed_len) AS feed_mm, sum(rapid_len) AS rapid_mm, max(segment)::BIGINT AS tool_changes, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE macro) AS macros, max_by(rpm, line_no) AS last_rpm, max_by(feed, line_no) AS last_feed, max(rpm) AS max_rpm, max(feed) AS max_feed, bool_or(fin IS NOT NULL) AS ended FROM q GROUP BY program_id)"
 
 
 @query("nc_programs", f"WITH {_PROGRAM} SELECT program_id, n_lines, round(feed_mm, 4) AS feed_mm, round(rapid_mm, 4) AS rapid_mm, tool_changes, skipped, macros, last_rpm, last_feed, max_rpm, max_feed, ended, CASE WHEN macros > 0 THEN 'UNSUPPORTED' WHEN skipped > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM pr")

@@ -149,3 +149,20 @@ def test_status_replay_against_a_loop(spark, block):
         want[p, e] = (was, to, ok)
         state[p] = to if ok else was
     assert got == want
+
+
+def test_arcs_cycles_and_decimal_codes(spark):
+    from shopspark.operators import nc
+
+    text = ["G21 G90", "G0 X0 Y0 Z5", "G2 X10 Y0 I5 J0", "G91.1", "G1 X20", "G98 G81 X30 Y0 Z-10 R2", "G80", "G1 X40", "G99 G83 X50 Z-3 R1", "G80 G0 Z5", "G18 G3 X60 Z5 I5 K0", "G17 G2 X70 R5", "G86 X80"]
+    moves = {r["line_no"]: r for r in nc.motion(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "program_id long, line_no long, text string")).collect()}
+    near = lambda x: pytest.approx(x, abs=1e-6)
+    assert moves[1]["skipped"] and moves[1]["length"] is None  # its start isn't known
+    assert moves[2]["length"] == near(5 * math.pi) and moves[4]["length"] == near(10)  # G91.1 isn't G91
+    assert (moves[5]["feed_len"], moves[5]["rapid_len"]) == (near(12), near(10 + 3 + 3)) and moves[5]["pz"] == near(5) and not moves[5]["skipped"]
+    assert moves[7]["length"] == near(10)
+    assert (moves[8]["feed_len"], moves[8]["rapid_len"]) == (near(4), near(10 + 4)) and moves[8]["pz"] == near(1) and moves[8]["skipped"]  # pecking: known in part
+    assert moves[9]["length"] == near(4) and moves[10]["length"] == near(5 * math.pi)
+    assert moves[11]["skipped"] and moves[11]["length"] is None and moves[12]["skipped"] and moves[12]["length"] is None
+    total = nc.programs(nc.motion(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "program_id long, line_no long, text string"))).first()
+    assert total["status"] == "PARTIAL" and total["feed_mm"] == near(10 * math.pi + 10 + 12 + 10 + 4)
