@@ -146,6 +146,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     return QualityModel(ratio, np.frombuffer(got["w"]), got["b"], got["slope"], got["offset"])
 
 
+class _Scaled:
+    """The length-normalised ratios of sets of slots, made when they are asked for: a sample's sets take two bytes a feature."""
+
+    def __init__(self, sets: list[np.ndarray], ratio: np.ndarray):
+        self.sets, self.ratio = sets, ratio
+
+    def of(self, some: np.ndarray) -> _Scaled:
+        return _Scaled([self.sets[i] for i in some], self.ratio)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        v = self.ratio[self.sets[i]]
+        return v / max(np.sqrt(v @ v), 1e-9)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[i] for i in range(len(self.sets)))
+
+
 def _train(ratio: np.ndarray):
     """The hinge fit of a bounded sample (at most FIT_ROWS rows and FIT_SLOTS slots), in one task, and the curve from margin to score."""
 
@@ -155,14 +172,14 @@ def _train(ratio: np.ndarray):
             for one, slots in zip(batch.column("y").to_pylist(), batch.column("slots").to_pylist(), strict=True):
                 total += len(slots) // 2
                 if total <= FIT_SLOTS:
-                    sets.append(np.frombuffer(slots, np.uint16).astype(np.int64))
+                    sets.append(np.frombuffer(slots, np.uint16))
                     y.append(one)
         label = np.where(np.array(y) > 0, 1.0, -1.0)
-        scaled = [ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-9) for x in sets]
+        scaled = _Scaled(sets, ratio)
         pick = np.random.default_rng(1).random(len(sets)) < 0.75 if len(sets) >= 40 else np.ones(len(sets), bool)
         use = np.flatnonzero(pick)
         cost = np.where(label > 0, COST * len(label) / 2 / max((label > 0).sum(), 1), COST * len(label) / 2 / max((label < 0).sum(), 1))
-        w, b = dual_coordinate_descent([sets[i] for i in use], [scaled[i] for i in use], label[use], cost[use], EPOCHS, SLOTS)
+        w, b = dual_coordinate_descent([sets[i] for i in use], scaled.of(use), label[use], cost[use], EPOCHS, SLOTS)
         rest = np.flatnonzero(~pick) if (~pick).sum() >= 10 else use
         slope, offset = _logistic(QualityModel(ratio, w, b, 0.0, 0.0).margins([sets[i] for i in rest]), label[rest])
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b]), pa.array([slope]), pa.array([offset])], names=["w", "b", "slope", "offset"])
