@@ -29,7 +29,7 @@ def segment_changes(a: DataFrame, b: DataFrame) -> DataFrame:
     n = lambda d, k: d.groupBy("program_id").agg(F.max("segment").alias(k))
     changed = n(a, "_x").join(n(b, "_y"), "program_id", "full").select("program_id", (~c("_x").eqNullSafe(c("_y"))).alias("uncertain"))
     d = _both(a, b, ["program_id", "segment"]).join(changed, "program_id")
-    delta = lambda k: F.round(F.coalesce(c(f"b.{k}"), F.lit(0.0)) - F.coalesce(c(f"a.{k}"), F.lit(0.0)), 4)
+    delta = lambda k: F.round(F.coalesce(c(f"b.{k}"), F.lit(0.0)) - F.coalesce(c(f"a.{k}"), F.lit(0.0)), 4) + 0.0
     modified = _differs("tool", "min_feed", "max_feed") | (F.abs(delta("feed_mm")) > 0) | (F.abs(delta("rapid_mm")) > 0)
     change = F.when(c("a").isNull(), "ADDED").when(c("b").isNull(), "REMOVED").when(c("uncertain"), "MATCH_UNCERTAIN").when(modified, "MODIFIED").otherwise("UNCHANGED")
     two = c("a").isNotNull() & c("b").isNotNull()

@@ -14,7 +14,7 @@ c = F.col
 #: The motion of the second revision: the same steps under other names.
 _MOTION_B = re.sub(r"\bv_nc\b", "v_nc_b", re.sub(r"\bq(\d*|[xyabc][kp]?)\b", r"rev\1", base._MOTION))
 _SEG = "SELECT program_id, segment::BIGINT AS segment, max_by(tool, line_no) AS tool, sum(feed_len) AS feed_mm, sum(rapid_len) AS rapid_mm, min(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS min_feed, max(feed) FILTER (WHERE mode = 1 AND length IS NOT NULL) AS max_feed FROM {t} GROUP BY program_id, segment"
-_D = "round(coalesce(b.{k}, 0) - coalesce(a.{k}, 0), 4)"
+_D = "(round(coalesce(b.{k}, 0) - coalesce(a.{k}, 0), 4) + 0.0)"
 
 
 def _segments(shop, view):
