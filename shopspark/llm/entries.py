@@ -17,6 +17,9 @@ MODULES = {
     "op8_decontamination": "op8_decontam",
     "op9_quality_classifier": "op9_quality",
     "op10_chat_formatting": "op10_chat",
+    "op11_collocations": "op11_collocations",
+    "op12_embedding_dedup": "op12_embeddings",
+    "op13_fill_in_middle": "op13_fim",
 }
 
 
