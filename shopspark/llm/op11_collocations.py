@@ -26,7 +26,7 @@ from .textkernel import LOWER, mix, raw, span_hashes
 #: Parameters: words of a phrase, occurrences of a candidate, percentage of a candidate that a longer one explains, rows of a report.
 MAX_WORDS, LEAST, EXPLAINED, TOP = 3, 10, 50, 2000
 #: Bytes of text that a task counts at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Bits of the set of frequent phrases: 16 for each, at most this many (64 MB), in segments that tasks fill and merge.
 MOST_BITS, SEGMENTS = 1 << 29, 64
 #: Ranks are found in three steps over so many groups of a language, then one: bounded inputs whatever the table.
@@ -51,7 +51,7 @@ def _spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     edge[off] = True
     start = np.flatnonzero(inside & (~np.concatenate([[False], inside[:-1]]) | edge[:n]))
     end = np.flatnonzero(inside & (~np.concatenate([inside[1:], [False]]) | edge[1:])) + 1
-    cuts = np.cumsum(BREAK[buf] | edge[:n])  # a text's first byte begins a piece, as does what follows a break
+    cuts = np.cumsum(BREAK[buf] | edge[:n], dtype=np.int32)  # a text's first byte begins a piece, as does what follows a break
     piece = cuts[start] if len(start) else start
     goes = np.zeros(len(start), bool)
     goes[1:] = piece[1:] == piece[:-1]
