@@ -85,7 +85,8 @@ def centres(classes: DataFrame, width: int, rows: int) -> np.ndarray:
     """Cell centres, fitted on the classes with the smallest hashes: at most SAMPLE_ROWS of them and SAMPLE_NUMBERS numbers."""
     k = max(1, min(MOST_CELLS, -(-rows // CELL_ROWS)))
     most = max(k, min(SAMPLE_ROWS, SAMPLE_PER_CELL * k, SAMPLE_NUMBERS // max(1, width)))
-    sample = classes.orderBy("h", "e").limit(most).select("e").coalesce(1)
+    share = math.ceil(min(1.0, 4 * most / rows) * (1 << 30))  # a few times too many, so that no task reads more than these
+    sample = classes.filter(F.pmod("h", F.lit(1 << 30)) < share).orderBy("h", "e").limit(most).select("e").coalesce(1)
     found = sample.mapInArrow(_fit(width, k), "centre array<double>").collect()
     return np.array([r["centre"] for r in found])
 
