@@ -48,8 +48,8 @@ def arc_sweep(a_start: Column, a_end: Column, clockwise: Column) -> Column:
 
 
 def arc_length(x0: Column, y0: Column, x1: Column, y1: Column, i: Column, j: Column, rise: Column, clockwise: Column) -> Column:
-    """Length of a (helical) arc about (x0 + i, y0 + j); NULL where the radii of start and end differ by over 1 um and 0.01 %."""
+    """Length of a (helical) arc about (x0 + i, y0 + j); NULL where the radii of start and end differ by 1 um or more, or by 0.01 % or more."""
     r0, r1 = F.hypot(i, j), F.hypot(x1 - x0 - i, y1 - y0 - j)
-    ok = (r0 > 0) & ((F.abs(r0 - r1) <= 1e-3) | (F.abs(r0 - r1) <= 1e-4 * r0))
+    ok = (r0 > 0) & (F.abs(r0 - r1) < 1e-3) & (F.abs(r0 - r1) < 1e-4 * r0)
     sweep = arc_sweep(F.atan2(-j, -i), F.atan2(y1 - y0 - j, x1 - x0 - i), clockwise)
     return F.when(ok, F.hypot(r0 * sweep, rise))

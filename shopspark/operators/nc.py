@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import nc as X
 
 AXES = ["x", "y", "z"]
+#: Fixed values, in tenths: codes that are noted and not carried out (cutter and length compensation, offsets, shift, feed modes).
+NOTED = [410, 420, 430, 530, 540, 550, 560, 570, 580, 590, 920, 930, 950]
 
 
 def motion(lines: DataFrame) -> DataFrame:
@@ -18,7 +20,9 @@ def motion(lines: DataFrame) -> DataFrame:
     centre in the three planes, and holes of the cycles G81-G85 are measured. What can't be measured has no length and is
     skipped: a move whose start isn't known in an axis that it changes, an arc by radius or with unequal radii, cycles G86-G89
     or in relative mode. Holes that are measured in part (pecking, tapping, unknown initial level) are skipped as well, but add
-    what is known. Everything is a window over a program's lines in order.
+    what is known. G92 sets the position without a move. A feed counts as mm/min under G94 only; under G95 it is feed_rev (mm), and
+    under G93 it has no meaning by itself. noted has the codes of a line that are read but not carried out, in tenths. Everything is a
+    window over a program's lines in order.
     """
     c = F.col
     b = X.clean(c("text"))
@@ -31,15 +35,15 @@ def motion(lines: DataFrame) -> DataFrame:
     g = c("g")
     modal, straight = kept(X.last_of(g, 0, 1, 2, 3, *range(80, 90))), kept(X.last_of(g, 0, 1, 2, 3))
     d = d.withColumns({
-        "inch": F.coalesce(kept(X.last_of(g, 20, 21)) == 20, F.lit(False)), "relative": F.coalesce(kept(X.last_of(g, 90, 91)) == 91, F.lit(False)), "mode": F.when(modal == 80, straight).otherwise(modal).cast("int"),
+        "inch": F.coalesce(kept(X.last_of(g, 20, 21)) == 20, F.lit(False)), "shift": X.last_of(g, 92).isNotNull(), "feed_mode": F.coalesce(kept(X.last_of(g, 93, 94, 95)), F.lit(94)).cast("int"), "noted": F.filter(g, lambda x: x.isin(NOTED)), "relative": F.coalesce(kept(X.last_of(g, 90, 91)) == 91, F.lit(False)) & X.last_of(g, 92).isNull(), "mode": F.when(modal == 80, straight).otherwise(modal).cast("int"),
         "plane": F.coalesce(kept(X.last_of(g, 17, 18, 19)), F.lit(17)).cast("int"), "stays": F.coalesce(kept(X.last_of(g, 98, 99)) == 99, F.lit(False)), "begins": X.last_of(g, 81, 82, 83, 84, 85).isNotNull(),
         "rpm": kept(X.word(c("b"), "S")), "t": X.word(c("b"), "T"), "home": X.last_of(g, 28).isNotNull(), "change": X.last_of(c("m"), 6).isNotNull(), "macro": X.is_macro(c("text")),
     })
     scale = F.when(c("inch"), 25.4).otherwise(1.0)
-    d = d.withColumns({"feed": kept(X.word(c("b"), "F") * scale), **{f"w{a}": X.word(c("b"), a.upper()) * scale for a in [*AXES, "i", "j", "k", "r"]}})
+    d = d.withColumns({"feed": kept(F.when(c("feed_mode") == 94, X.word(c("b"), "F") * scale)), "feed_rev": kept(F.when(c("feed_mode") == 95, X.word(c("b"), "F") * scale)), **{f"w{a}": X.word(c("b"), a.upper()) * scale for a in [*AXES, "i", "j", "k", "r"]}})
     pending = F.last(c("t"), ignorenulls=True).over(to_here)
     d = d.withColumn("tool", pending).withColumn("segment", F.sum((c("change") & c("tool").isNotNull()).cast("int")).over(to_here))
-    cycle = c("mode").between(81, 85)
+    cycle = c("mode").between(81, 85) & ~c("shift")
     d = d.withColumn("hole", F.coalesce(cycle & ~c("relative") & ~c("home") & (c("wx").isNotNull() | c("wy").isNotNull()), F.lit(False)))
     d = d.withColumns({"depth": kept(F.when(cycle, c("wz"))), "level": kept(F.when(cycle, c("wr")))})
 
@@ -62,7 +66,7 @@ def motion(lines: DataFrame) -> DataFrame:
     d = placed(d, "z", sets | c("hole"), F.when(c("hole"), F.when(c("stays"), c("level")).otherwise(F.coalesce("initial", "level"))).otherwise(own("z")), "z")
 
     moved = [c(f"w{a}").isNotNull() for a in AXES]
-    is_move = F.coalesce((moved[0] | moved[1] | moved[2]) & ~c("home") & (c("mode").between(0, 3) | c("mode").between(81, 89)), F.lit(False))
+    is_move = F.coalesce((moved[0] | moved[1] | moved[2]) & ~c("home") & ~c("shift") & (c("mode").between(0, 3) | c("mode").between(81, 89)), F.lit(False))
     unknown = [moved[k] & (c(f"s{a}").isNull() | c(f"p{a}").isNull()) for k, a in enumerate(AXES)]
     square = [F.when(moved[k], F.pow(c(f"p{a}") - c(f"s{a}"), 2)).otherwise(0.0) for k, a in enumerate(AXES)]
     line = F.when(~(unknown[0] | unknown[1] | unknown[2]), F.sqrt(square[0] + square[1] + square[2]))
@@ -102,9 +106,10 @@ def programs(moves: DataFrame) -> DataFrame:
     out = moves.groupBy("program_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("feed_len").alias("feed_mm"), F.sum("rapid_len").alias("rapid_mm"), F.max("segment").alias("tool_changes"), F.count_if("skipped").alias("skipped"), F.count_if("macro").alias("macros"),
         F.max_by("rpm", "line_no").alias("last_rpm"), F.max_by("feed", "line_no").alias("last_feed"), F.max("rpm").alias("max_rpm"), F.max("feed").alias("max_feed"), F.bool_or(c("end").isNotNull()).alias("ended"),
-    )
-    status = F.when(c("macros") > 0, "UNSUPPORTED").when(c("skipped") > 0, "PARTIAL").otherwise("COMPLETE")
-    return out.withColumn("status", status)
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("noted")))).alias("noted"), F.max_by("feed_rev", "line_no").alias("last_feed_rev"),
+    )  # a program notes some of NOTED, so the set is small
+    status = F.when(c("macros") > 0, "UNSUPPORTED").when((c("skipped") > 0) | F.array_contains("noted", 930), "PARTIAL").otherwise("COMPLETE")
+    return out.withColumn("status", status).withColumn("noted", F.array_join(F.transform("noted", lambda x: F.concat(F.lit("G"), (x / 10).cast("int").cast("string"))), ","))
 
 
 def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,28 +120,6 @@ def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("program_id", "text", "occurrence", F.when(F.col("_b").isNull(), "REMOVED").when(F.col("_a").isNull(), "ADDED").otherwise("UNCHANGED").alias("change"))
 
 
-def ordered_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Order-aware difference per program: opcode and line numbers of both sides. Only one pair of programs is in a task at a time."""
-    import difflib
-
-    import pandas as pd
-
-    def one(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y = x.sort_values("line_no"), y.sort_values("line_no")
-        s, t = x["text"].str.strip().tolist(), y["text"].str.strip().tolist()
-        key = int((x if len(x) else y)["program_id"].iloc[0])
-        rows = []
-        for tag, i0, i1, j0, j1 in difflib.SequenceMatcher(None, s, t, autojunk=False).get_opcodes():
-            pairs = min(i1 - i0, j1 - j0)
-            kind = {"equal": "UNCHANGED", "replace": "MODIFIED"}.get(tag)
-            rows += [(key, kind, i0 + k + 1, j0 + k + 1) for k in range(pairs)]
-            rows += [(key, "REMOVED", i + 1, None) for i in range(i0 + pairs, i1)] + [(key, "ADDED", None, j + 1) for j in range(j0 + pairs, j1)]
-        return pd.DataFrame(rows, columns=["program_id", "change", "a_line", "b_line"]).astype({"a_line": "Int64", "b_line": "Int64"})
-
-    cols = ["program_id", "line_no", "text"]
-    return a.select(cols).groupBy("program_id").cogroup(b.select(cols).groupBy("program_id")).applyInPandas(one, "program_id long, change string, a_line long, b_line long")
-
-
 def record_diff(a: DataFrame, b: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Full outer difference of keyed records: key, change (ADDED, REMOVED, UNCHANGED, or CHANGED_<first differing value>)."""
     x = a.select(*key, F.struct(*values).alias("_a"))

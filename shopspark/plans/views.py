@@ -63,7 +63,7 @@ VIEWS = {
   WHEN l_partkey % 40 = 0 THEN 'T' || CAST(l_suppkey % 12 AS STRING) || ' ; pick' WHEN l_partkey % 40 = 1 THEN 'M6'
   WHEN l_partkey % 40 = 2 THEN 'S' || CAST(500 + l_suppkey * 20 AS STRING) || ' M3' WHEN l_partkey % 40 = 3 THEN 'G91' WHEN l_partkey % 40 = 4 THEN 'G90' WHEN l_partkey % 200 = 5 THEN 'G28 X0 Y0'
   WHEN l_partkey % 200 = 6 THEN '#100 = 5' WHEN l_partkey % 40 = 7 THEN 'M5' WHEN l_partkey % 900 = 8 THEN 'M30' WHEN l_partkey % 40 = 9 THEN 'G91.1' WHEN l_partkey % 40 = 10 THEN 'G2 X' || CAST(l_suppkey % 9 AS STRING) || ' Y0 I' || CAST(l_suppkey % 7 AS STRING) || ' J0' WHEN l_partkey % 40 = 11 THEN 'G91 G3 X4 Y0 I2 J0 Z-1' WHEN l_partkey % 40 = 12 THEN 'G90 G' || CAST(81 + l_suppkey % 6 AS STRING) || ' X' || CAST(l_suppkey % 50 AS STRING) || ' Y5 Z-' || CAST(l_linenumber AS STRING) || ' R2'
-  WHEN l_partkey % 40 = 13 THEN 'G80' WHEN l_partkey % 40 = 14 THEN 'G99' WHEN l_partkey % 40 = 15 THEN 'G98' WHEN l_partkey % 40 = 16 THEN 'G18' WHEN l_partkey % 40 = 17 THEN 'G17' WHEN l_partkey % 40 = 18 THEN 'G3 X5 R9' WHEN l_partkey % 40 = 19 THEN 'G90 X1 Y2 Z3'
+  WHEN l_partkey % 40 = 13 THEN 'G80' WHEN l_partkey % 40 = 14 THEN 'G99' WHEN l_partkey % 40 = 15 THEN 'G98' WHEN l_partkey % 40 = 16 THEN 'G18' WHEN l_partkey % 40 = 17 THEN 'G17' WHEN l_partkey % 40 = 18 THEN 'G3 X5 R9' WHEN l_partkey % 40 = 19 THEN 'G90 X1 Y2 Z3' WHEN l_partkey % 80 = 20 THEN 'G92 X0 Y' || CAST(l_suppkey % 5 AS STRING) WHEN l_partkey % 80 = 21 THEN 'G95 F0.25' WHEN l_partkey % 80 = 22 THEN 'G94 F150' WHEN l_partkey % 80 = 23 THEN 'G54 G43 H1' WHEN l_partkey % 400 = 24 THEN 'G93 F9' WHEN l_partkey % 80 = 25 THEN 'G94'
   WHEN l_linenumber % 3 = 0 THEN 'G0 X' || CAST(l_suppkey % 90 AS STRING) || ' Y' || CAST(l_partkey % 70 AS STRING)
   WHEN l_linenumber % 3 = 1 THEN 'G1 X' || CAST(l_partkey % 80 AS STRING) || ' (cut) F' || CAST(100 + l_suppkey % 300 AS STRING)
   ELSE 'Y' || CAST(l_suppkey % 60 AS STRING) || ' Z-' || CAST(l_partkey % 9 AS STRING) END AS text FROM {lineitem}""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopspark.functions import nc as X
 from shopspark.functions.formulas import ALL, BASIC
 from shopspark.functions.tolerance import it_tolerance_um
-from shopspark.operators import catalog, graph, intervals, nc, validation
+from shopspark.operators import catalog, graph, intervals, linediff, nc, validation
 from shopspark.plans.rules import STEP_RULES, Rule, RuleRegistry
 from shopspark.sources import export, ingest
 from shopspark.streaming import events
@@ -61,10 +61,27 @@ def test_nc_motion_modal_and_arcs(spark):
     assert one(spark, half) == pytest.approx(math.pi) and one(spark, full) == pytest.approx(2 * math.pi)
 
 
+def test_arc_radius_needs_both_tolerances(spark):
+    zero = F.lit(0.0)
+    arc = lambda x, i: X.arc_length(zero, zero, F.lit(x), zero, F.lit(i), zero, zero, F.lit(True))
+    r = spark.range(1).select(arc(2.0005, 1.0).alias("rel"), arc(100.005, 50.0).alias("both"), arc(20.0001, 10.0).alias("ok")).first()
+    assert r.rel is None and r.both is None and abs(r.ok - 31.4159265) < 1e-4
+
+
+def test_noted_codes_and_feed_modes(spark):
+    lines = ["G21 G90 G0 X20 Y0 Z0", "G92 X0", "G1 X10 F100", "G95 F0.2", "G1 X20", "G94", "G54 G43 H1", "G1 X30 F50", "G91 G92 Y5", "G93 F3"]
+    d = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(lines)], "program_id long, line_no long, text string")
+    m = {r.line_no: r for r in nc.motion(d).collect()}
+    assert (m[2].length, m[2].px, m[3].feed_len, m[3].feed) == (None, 0.0, 10.0, 100.0)
+    assert (m[4].feed, m[4].feed_rev, m[5].feed_len, m[8].feed, m[9].py, m[9].length) == (100.0, 0.2, 10.0, 50.0, 5.0, None)
+    p = nc.programs(nc.motion(d)).first()
+    assert (p.status, p.noted, p.last_feed_rev, p.max_feed) == ("PARTIAL", "G43,G54,G92,G93,G95", 0.2, 100.0)
+
+
 def test_ordered_diff(spark):
     a = spark.createDataFrame([(1, 1, "A"), (1, 2, "B"), (1, 3, "C")], "program_id long, line_no long, text string")
     b = spark.createDataFrame([(1, 1, "A"), (1, 2, "X"), (1, 3, "C"), (1, 4, "D")], "program_id long, line_no long, text string")
-    assert sorted(r["change"] for r in nc.ordered_diff(a, b).collect()) == ["ADDED", "MODIFIED", "UNCHANGED", "UNCHANGED"]
+    assert sorted(r["change"] for r in linediff.ordered_diff(a, b).collect()) == ["ADDED", "MODIFIED", "UNCHANGED", "UNCHANGED"]
 
 
 def test_cycles_and_groups(spark):
