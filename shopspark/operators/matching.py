@@ -5,33 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .drawing import unit_name
+from .graph import _cut
+
 
 def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+#: Kinds of items that a value and a unit say enough about.
+DIMENSIONS = ["LINEAR_DIMENSION", "DIAMETER", "RADIUS", "ANGLE", "TOLERANCE", "HOLE_CALLOUT"]
+
+
+def bare(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def match_levels(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Candidate matches within a fixture by equal text (EXACT, level 1) or equal normal form (NORMALISED, level 2)."""
-    f = found.withColumn("_n", normal(F.col("raw_text")))
-    t = truth.withColumn("_n", normal(F.col("expected_text")))
-    j = f.join(t, ["fixture", "_n"])
-    return j.select("run_id", "fixture", "finding_no", "item_id", F.when(F.col("raw_text") == F.col("expected_text"), 1).otherwise(2).alias("level"))
+    """(run_id, fixture, finding_no, item_id, level): what may match within a fixture, at its best level.
+
+    1 EXACT: equal texts without outer blanks; 2 NORMALISED: equal normal forms; 3 SEMANTIC: a dimension of equal value and unit (no unit
+    on both sides is equal as well). found: run_id, fixture, finding_no, raw_text, value, unit; truth: fixture, item_id, expected_text,
+    feature_type, value, unit.
+    """
+    keys = ["run_id", "fixture", "finding_no", "item_id"]
+    f = found.select("run_id", "fixture", "finding_no", bare(F.col("raw_text")).alias("_raw"), normal(F.col("raw_text")).alias("_n"), bare(F.col("value")).alias("_v"), F.coalesce(unit_name(F.col("unit")), F.lit("")).alias("_u"))
+    t = truth.select("fixture", "item_id", "feature_type", bare(F.col("expected_text")).alias("_want"), normal(F.col("expected_text")).alias("_n"), bare(F.col("value")).alias("_v"), F.coalesce(unit_name(F.col("unit")), F.lit("")).alias("_u"))
+    text = f.join(t.select("fixture", "item_id", "_want", "_n"), ["fixture", "_n"]).select(*keys, F.when(F.col("_raw") == F.col("_want"), 1).otherwise(2).alias("level"))
+    value = f.join(t.filter(F.col("feature_type").isin(DIMENSIONS)).select("fixture", "item_id", "_v", "_u"), ["fixture", "_v", "_u"]).select(*keys, F.lit(3).alias("level"))
+    return text.unionByName(value).groupBy(*keys).agg(F.min("level").alias("level"))
 
 
 def greedy(matches: DataFrame) -> DataFrame:
-    """One-to-one matches per run: best level first, then finding order, then item. A run is a few hundred findings."""
-    import pandas as pd
-
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        used_f, used_i, rows = set(), set(), []
-        for r in df.sort_values(["level", "finding_no", "item_id"]).itertuples():
-            if r.finding_no not in used_f and (r.fixture, r.item_id) not in used_i:
-                used_f.add(r.finding_no)
-                used_i.add((r.fixture, r.item_id))
-                rows.append((r.run_id, r.fixture, r.finding_no, r.item_id, r.level))
-        return pd.DataFrame(rows, columns=["run_id", "fixture", "finding_no", "item_id", "level"])
-
-    return matches.groupBy("run_id", "fixture").applyInPandas(one, "run_id long, fixture long, finding_no long, item_id long, level int")
+    """One-to-one matches: each finding, in order of finding_no, takes its best item (level, then item_id) that is left.
+
+    In rounds without an order: every finding asks for its best item, an item is held by the first of those that ask, and every later
+    finding gives it up. An item only ever passes to an earlier finding, so what is given up is never wanted back, and when nothing is
+    given up any more, the holders are those of the order.
+    """
+    keys = ["run_id", "fixture"]
+    left = _cut(matches)
+    while True:
+        asked = left.groupBy(*keys, "finding_no").agg(F.min(F.struct("level", "item_id")).alias("best"))
+        held = asked.groupBy(*keys, F.col("best.item_id").alias("item_id")).agg(F.min("finding_no").alias("_holder"))
+        marked = _cut(left.join(held, [*keys, "item_id"], "left").withColumn("_gone", F.coalesce(F.col("finding_no") > F.col("_holder"), F.lit(False))))
+        left = marked.filter("NOT _gone").select(*keys, "finding_no", "item_id", "level")
+        if marked.filter("_gone").isEmpty():
+            best = left.groupBy(*keys, "finding_no").agg(F.min(F.struct("level", "item_id")).alias("b"))
+            return best.select(*keys, "finding_no", "b.item_id", "b.level")
 
 
 def score(found: DataFrame, truth: DataFrame, matched: DataFrame) -> DataFrame:

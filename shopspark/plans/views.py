@@ -84,8 +84,12 @@ VIEWS = {
     "v_route": """SELECT l_orderkey AS feature_id, l_partkey * 10 + l_linenumber AS route_id, CAST(l_quantity AS INT) AS score, 1 + l_suppkey % 5 AS n_ops, 1 + l_partkey % 3 AS setups,
   CASE l_suppkey % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS risk, CASE l_partkey % 4 WHEN 0 THEN 'drilling;reaming' WHEN 1 THEN 'drilling;boring;honing' WHEN 2 THEN 'milling;grinding' ELSE 'milling' END AS operations,
   l_quantity / 10 AS best_ra, 6 + l_partkey % 7 AS best_it, l_partkey % 5 <> 0 AS gdt_capable FROM {lineitem}""",
-    "v_truth": """SELECT item_id, CAST(floor(item_id / 25) AS BIGINT) AS fixture, text AS expected_text, item_id % 3 = 0 AS required FROM {benchmark}""",
-    "v_found": """SELECT r.run AS run_id, b.item_id * 10 + r.run AS finding_no, CAST(floor(b.item_id / 25) AS BIGINT) AS fixture, CASE (b.item_id + r.run) % 4 WHEN 0 THEN b.text WHEN 1 THEN replace(b.text, ' ', '  ') WHEN 2 THEN '  ' || b.text || ' ' ELSE 'none ' || b.text END AS raw_text
+    "v_partroute": """SELECT CAST(floor(l_orderkey / 4) AS BIGINT) AS part_id, l_orderkey AS feature_id, l_partkey * 10 + l_linenumber AS route_id, CAST(l_quantity AS INT) AS score, 1 + l_suppkey % 5 AS n_ops,
+  CASE WHEN l_partkey % 4 = 0 THEN 'VMC' WHEN l_partkey % 4 = 1 THEN 'HMC' WHEN l_partkey % 4 = 2 THEN 'LATHE' ELSE 'GRINDER' END AS setup_key, l_quantity > 4 AND l_suppkey % 6 <> 0 AS feasible FROM {lineitem}""",
+    "v_truth": """SELECT item_id, CAST(floor(item_id / 25) AS BIGINT) AS fixture, text AS expected_text, item_id % 3 = 0 AS required,
+  CASE item_id % 3 WHEN 0 THEN 'DIAMETER' WHEN 1 THEN 'LINEAR_DIMENSION' ELSE 'NOTE' END AS feature_type, CAST(item_id % 5 AS STRING) AS value, CASE WHEN item_id % 2 = 0 THEN 'mm' ELSE NULL END AS unit FROM {benchmark}""",
+    "v_found": """SELECT r.run AS run_id, b.item_id * 10 + r.run AS finding_no, CAST(floor(b.item_id / 25) AS BIGINT) AS fixture, CASE (b.item_id + r.run) % 4 WHEN 0 THEN b.text WHEN 1 THEN replace(b.text, ' ', '  ') WHEN 2 THEN '  ' || b.text || ' ' ELSE 'none of ' || CAST(b.item_id % 3 AS STRING) END AS raw_text,
+  CASE WHEN b.item_id % 7 = 0 THEN NULL ELSE ' ' || CAST((b.item_id + r.run) % 5 AS STRING) END AS value, CASE WHEN b.item_id % 2 = 0 THEN ' Millimeter' ELSE NULL END AS unit
   FROM {benchmark} b CROSS JOIN (SELECT DISTINCT r_regionkey % 3 AS run FROM {region}) r WHERE (b.item_id * 7 + r.run) % 5 <> 0""",
     "v_material": """SELECT p_partkey AS material_id, CASE WHEN p_partkey % 37 = 0 THEN '' ELSE p_brand || '-' || CAST(p_partkey % 1000 AS STRING) END AS designation, p_name AS alias,
   CASE p_partkey % 8 WHEN 0 THEN 'P' WHEN 1 THEN 'M' WHEN 2 THEN 'K' WHEN 3 THEN 'N' WHEN 4 THEN 'S' WHEN 5 THEN 'H' WHEN 6 THEN 'X' ELSE NULL END AS iso_group,
@@ -104,7 +108,7 @@ VIEWS = {
   CASE WHEN event_id % 71 = 0 THEN NULL ELSE CAST(value AS STRING) END AS sensor_a, CASE WHEN event_id % 73 = 0 THEN 'bad' ELSE '1' END AS sensor_b FROM {events}""",
     "v_weartest": """SELECT l_orderkey * 10 + l_linenumber AS case_no, l_partkey AS k, CASE l_partkey % 7 WHEN 0 THEN 'NEW' WHEN 1 THEN 'WORN' WHEN 2 THEN 'new' ELSE 'NEW' END AS tool_condition, CASE l_suppkey % 5 WHEN 0 THEN 'TiAlN' WHEN 1 THEN 'NONE' WHEN 2 THEN 'TiAlN' WHEN 3 THEN 'AlCrN' ELSE 'paint' END AS coating,
   CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE CAST(l_linenumber - 1 AS STRING) END AS replicate, CAST(l_quantity - 2 AS STRING) AS vc, CASE WHEN l_partkey % 17 = 0 THEN 'NaN' ELSE CAST(l_tax AS STRING) END AS fz, CASE WHEN l_partkey % 19 = 0 THEN '' ELSE '0.4' END AS ap, CAST(l_discount AS STRING) AS rq FROM {lineitem}""",
-    "v_token": """SELECT l_orderkey AS drawing_id, l_partkey * 10 + l_linenumber AS token_id, l_suppkey AS s, CASE l_partkey % 14 WHEN 0 THEN 'M' || CAST(3 + l_suppkey % 30 AS STRING) || 'x1.5' WHEN 1 THEN 'm' || CAST(3 + l_suppkey % 30 AS STRING) || ' - 6H' WHEN 2 THEN '1/4-20 UNC-2B' WHEN 3 THEN 'G1/2 A'
+    "v_token": """SELECT l_orderkey AS drawing_id, l_partkey * 10 + l_linenumber AS token_id, l_suppkey AS s, CASE l_partkey % 14 WHEN 0 THEN 'M' || CAST(3 + l_suppkey % 30 AS STRING) || CASE WHEN l_suppkey % 2 = 0 THEN 'x1.5' ELSE '×1,25–6H-LH' END WHEN 1 THEN 'm' || CAST(3 + l_suppkey % 30 AS STRING) || ' - 6H' WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN '1/4-20 UNC-2B' ELSE '#10–32 UNF' END WHEN 3 THEN 'G1/2 A'
   WHEN 4 THEN '3/4 NPT' WHEN 5 THEN 'H7/g6' WHEN 6 THEN CAST(10 + l_suppkey % 90 AS STRING) || ' H' || CAST(6 + l_linenumber AS STRING) WHEN 7 THEN 'Ra ' || CAST(l_linenumber AS STRING) || ',6 um' WHEN 8 THEN 'Rz' || CAST(l_linenumber * 4 AS STRING) WHEN 9 THEN 'NO MACHINING'
   WHEN 10 THEN 'ALL DIMENSIONS IN MM' WHEN 11 THEN 'ISO 2768-m' WHEN 12 THEN 'DATUM ' || CASE l_linenumber % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END ELSE CAST(l_quantity AS STRING) || ' DEEP' END AS text,
   CAST(l_partkey % 600 AS DOUBLE) AS x, CAST(l_suppkey % 400 AS DOUBLE) AS y, l_linenumber % 3 AS page FROM {lineitem}""",

@@ -12,42 +12,43 @@ from .registry import query, r6
 
 c = F.col
 
-_RUNS = f"""{sq._MATCH}, h AS (SELECT fixture, run_id, count(DISTINCT item_id) AS tp FROM m GROUP BY ALL), fn AS (SELECT fixture, run_id, count(*) AS n_found FROM v_found GROUP BY ALL), tn AS (SELECT fixture, count(*) AS n_items FROM v_truth GROUP BY fixture),
+_RUNS = f"""{sq._MATCH}, h AS (SELECT fixture, run_id, count(*) AS tp FROM mm GROUP BY ALL), fn AS (SELECT fixture, run_id, count(*) AS n_found FROM v_found GROUP BY ALL), tn AS (SELECT fixture, count(*) AS n_items FROM v_truth GROUP BY fixture),
   sr AS (SELECT CASE WHEN fixture % 2 = 0 THEN 'CORE' ELSE 'EXTENDED' END AS class, fixture, run_id, coalesce(tp, 0) AS tp, n_found, n_items, CAST(20 + (fixture * 37 + run_id * 11) % 300 AS DOUBLE) AS seconds FROM fn JOIN tn USING (fixture) LEFT JOIN h USING (fixture, run_id)),
   cm AS (SELECT class, fixture, grouping(class, fixture) AS level, count(*) AS runs, round(sum(tp) / sum(n_items), 6) AS recall, round(sum(tp) / sum(n_found), 6) AS precision, median(seconds) AS median_s, list_sort(list(seconds))[least(CAST(floor(count(*) * 0.9) AS BIGINT), count(*) - 1) + 1] AS p90_s, max(seconds) AS worst_s FROM sr GROUP BY ROLLUP (class, fixture))"""
 
 
 def _scores(shop):
-    m = matching.greedy(matching.match_levels(shop.v_found, shop.v_truth))
+    m = sq.matched(shop)
     h = m.groupBy("fixture", "run_id").agg(F.count(F.lit(1)).alias("tp"))
     n = shop.v_found.groupBy("fixture", "run_id").agg(F.count(F.lit(1)).alias("n_found")).join(shop.v_truth.groupBy("fixture").agg(F.count(F.lit(1)).alias("n_items")), "fixture")
     d = n.join(h, ["fixture", "run_id"], "left").na.fill(0, ["tp"])
     return d.select(F.when(c("fixture") % 2 == 0, "CORE").otherwise("EXTENDED").alias("class"), "fixture", "run_id", "tp", "n_found", "n_items", (20 + (c("fixture") * 37 + c("run_id") * 11) % 300).cast("double").alias("seconds"))
 
 
-@query("campaign_totals", f"WITH {_RUNS} SELECT * FROM cm")
+@query("campaign_totals", f"WITH RECURSIVE {_RUNS} SELECT * FROM cm")
 def campaign_totals(shop):
     """Pooled scores per fixture, class and campaign."""
     return cp.campaign(_scores(shop)).withColumn("level", c("level").cast("long"))
 
 
-@query("campaign_thresholds", f"""WITH {_RUNS} SELECT class, fixture, level, 'RECALL' AS check_id, recall::DOUBLE AS value, coalesce(recall >= 0.8, false) AS ok FROM cm UNION ALL SELECT class, fixture, level, 'PRECISION', precision, coalesce(precision >= 0.85, false) FROM cm
+@query("campaign_thresholds", f"""WITH RECURSIVE {_RUNS} SELECT class, fixture, level, 'RECALL' AS check_id, recall::DOUBLE AS value, coalesce(recall >= 0.8, false) AS ok FROM cm UNION ALL SELECT class, fixture, level, 'PRECISION', precision, coalesce(precision >= 0.85, false) FROM cm
   UNION ALL SELECT class, fixture, level, 'MEDIAN_S', median_s, coalesce(median_s <= 240, false) FROM cm UNION ALL SELECT class, fixture, level, 'WORST_S', worst_s, coalesce(worst_s <= 480, false) FROM cm""")
 def campaign_thresholds(shop):
     """The limits of a campaign."""
     return cp.thresholds(cp.campaign(_scores(shop)).withColumn("level", c("level").cast("long")))
 
 
-@query("failing_items", f"WITH {sq._MATCH}, e AS (SELECT fixture, run_id, row_number() OVER (PARTITION BY fixture ORDER BY run_id) AS n FROM (SELECT DISTINCT fixture, run_id FROM v_found)) SELECT e.fixture, t.item_id, count(*) AS missed FROM e JOIN v_truth t ON t.fixture = e.fixture AND t.required WHERE n <= 3 AND NOT EXISTS (SELECT 1 FROM m WHERE m.fixture = e.fixture AND m.run_id = e.run_id AND m.item_id = t.item_id) GROUP BY e.fixture, t.item_id HAVING count(*) >= 2")
+@query("failing_items", f"WITH RECURSIVE {sq._MATCH}, e AS (SELECT fixture, run_id, row_number() OVER (PARTITION BY fixture ORDER BY run_id) AS n FROM (SELECT DISTINCT fixture, run_id FROM v_found)) SELECT e.fixture, t.item_id, count(*) AS missed FROM e JOIN v_truth t ON t.fixture = e.fixture AND t.required WHERE n <= 3 AND NOT EXISTS (SELECT 1 FROM mm WHERE mm.fixture = e.fixture AND mm.run_id = e.run_id AND mm.item_id = t.item_id) GROUP BY e.fixture, t.item_id HAVING count(*) >= 2")
 def failing_items(shop):
     """Required items that two of the first three runs miss."""
-    return cp.failing_items(shop.v_found, shop.v_truth.filter("required"), matching.match_levels(shop.v_found, shop.v_truth))
+    return cp.failing_items(shop.v_found, shop.v_truth.filter("required"), sq.matched(shop))
 
 
-@query("repeated_wrong", "SELECT fixture, lower(trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))) AS text, count(DISTINCT run_id) AS runs FROM v_found f WHERE lower(trim(regexp_replace(raw_text, '\\s+', ' ', 'g'))) <> lower(raw_text) GROUP BY ALL HAVING count(DISTINCT run_id) >= 2")
+@query("repeated_wrong", f"WITH RECURSIVE {sq._MATCH} SELECT fixture, {sq._NORMAL.format('raw_text')} AS text, count(DISTINCT run_id) AS runs FROM v_found f WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.run_id = f.run_id AND mm.fixture = f.fixture AND mm.finding_no = f.finding_no) GROUP BY ALL HAVING count(DISTINCT run_id) >= 2")
 def repeated_wrong(shop):
-    text = matching.normal(c("raw_text"))
-    return cp.repeated_wrong(shop.v_found.filter(text != F.lower("raw_text")).select("fixture", "run_id", text.alias("text")))
+    """Texts that match nothing, in two runs and more."""
+    wrong = shop.v_found.join(sq.matched(shop), ["run_id", "fixture", "finding_no"], "left_anti")
+    return cp.repeated_wrong(wrong.select("fixture", "run_id", matching.normal(c("raw_text")).alias("text")))
 
 
 _TP = f"tp AS (SELECT * FROM {sc._values(sc._TEMPLATES)} t(feature_type, route, operations, best_ra))"

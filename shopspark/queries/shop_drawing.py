@@ -8,34 +8,27 @@ from .registry import query
 c = F.col
 
 
-def _rx(p):
-    """A pattern for DuckDB, which takes the case flag apart."""
-    return (p.removeprefix("(?i)").replace("'", "''"), "'i'" if p.startswith("(?i)") else "'c'")
-
-
-def _is(p, x="trim(text)"):
-    body, flag = _rx(p)
-    return f"regexp_matches({x}, '{body}', {flag})"
-
-
-def _get(p, g):
-    body, flag = _rx(p)
-    return f"replace(regexp_extract(trim(text), '{body}', {g}, {flag}), ',', '.')"
-
-
-_PAT = dict(dr.TOKENS)
-_KIND = "CASE " + " ".join(f"WHEN {_is(p)} THEN '{k}'" for k, p in dr.TOKENS) + " END"
-_SIZE = f"CASE WHEN {_is(_PAT['THREAD_METRIC'])} THEN TRY_CAST({_get(_PAT['THREAD_METRIC'], 1)} AS DOUBLE) WHEN {_is(_PAT['FIT_SIZED'])} THEN TRY_CAST({_get(_PAT['FIT_SIZED'], 1)} AS DOUBLE) WHEN {_is(_PAT['SURFACE_FINISH'])} THEN TRY_CAST({_get(_PAT['SURFACE_FINISH'], 2)} AS DOUBLE) END"
-
-
-@query("drawing_tokens", f"SELECT drawing_id, token_id, s, {_KIND} AS kind, {_SIZE} AS size FROM v_token")
+_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+_T = "replace(replace(replace(replace(trim(text), '×', 'x'), '–', '-'), '—', '-'), ',', '.')"
+#: Lexemes (lx), their capitals (up), shape (sh) and whether they are all of the text (wh); then kind (k) and size.
+_LEX = f"""lx0 AS (SELECT *, {_T} AS t, regexp_extract_all({_T}, '{dr.LEXEME}') AS lx FROM v_token),
+  lx1 AS (SELECT *, list_transform(lx, lambda x: upper(x)) AS up, array_to_string(list_transform(lx, lambda x: CASE WHEN x[1] BETWEEN '0' AND '9' THEN 'n' WHEN x IN ('-', '/', '#') THEN x ELSE 'a' END), '') AS sh, array_to_string(lx, '') = regexp_replace(t, '[ \\t]+', '', 'g') AS wh FROM lx0),
+  tk AS (SELECT *, CASE WHEN wh AND regexp_matches(sh, '{dr.SHAPES['THREAD_METRIC']}') AND up[1] = 'M' AND (sh NOT LIKE 'anan%' OR up[3] = 'X') AND (sh NOT LIKE '%-a' OR up[-1] IN {_IN(dr.HANDS)}) THEN 'THREAD_METRIC'
+    WHEN wh AND regexp_matches(sh, '{dr.SHAPES['THREAD_UN']}') AND list_has_any(up, [{_IN(dr.UNIFIED)[1:-1]}]) THEN 'THREAD_UN' WHEN wh AND regexp_matches(sh, '{dr.SHAPES['THREAD_BSP']}') AND up[1] IN {_IN(dr.PARALLEL)} AND (sh NOT LIKE '%a' OR up[-1] IN ('A', 'B')) THEN 'THREAD_BSP'
+    WHEN wh AND regexp_matches(sh, '{dr.SHAPES['THREAD_NPT']}') AND up[-1] IN {_IN(dr.PIPE)} THEN 'THREAD_NPT' WHEN wh AND regexp_matches(sh, '{dr.SHAPES['FIT_PAIR']}') AND length(up[1]) <= 3 AND length(up[4]) <= 3 THEN 'FIT_PAIR'
+    WHEN wh AND regexp_matches(sh, '{dr.SHAPES['FIT_SIZED']}') AND (sh LIKE 'n%' OR up[1] IN {_IN(dr.DIAMETER)}) AND length(up[-2]) <= 3 THEN 'FIT_SIZED'
+    WHEN wh AND regexp_matches(sh, '{dr.SHAPES['SURFACE_FINISH']}') AND up[1] IN {_IN(dr.FINISH)} AND (sh NOT LIKE '%a' OR up[-1] IN {_IN(dr.FINISH_UNITS)}) THEN 'SURFACE_FINISH' WHEN array_to_string(up, '') IN {_IN(dr.PROHIBITED)} THEN 'NO_MACHINING' END AS k,
+    ' ' || array_to_string(regexp_extract_all(upper(text), '[A-Z]+|[0-9]+'), ' ') || ' ' AS plain FROM lx1)"""
+
+
+@query("drawing_tokens", f"WITH {_LEX} SELECT drawing_id, token_id, s, k AS kind, CASE WHEN k IN ('THREAD_METRIC', 'FIT_SIZED', 'SURFACE_FINISH') THEN TRY_CAST(list_filter(lx, lambda x: x[1] BETWEEN '0' AND '9')[1] AS DOUBLE) END AS size FROM tk")
 def drawing_tokens(shop):
-    """Thread, fit and finish tokens in their try-order."""
+    """Thread, fit and finish tokens."""
     return shop.v_token.select("drawing_id", "token_id", "s", dr.token_kind(c("text")).alias("kind"), dr.token_size(c("text")).alias("size"))
 
 
-@query("drawing_notes", f"""SELECT drawing_id, token_id, s, CASE WHEN {_is('(?i)DIMENSIONS?\\s*IN', 'text')} THEN 'UNIT' WHEN {_is('(?i)ISO\\s*2768', 'text')} THEN 'GENERAL_TOLERANCE' WHEN {_is('\\bDATUM\\s+[A-Z]\\b', 'text')} THEN 'DATUM' WHEN k LIKE 'THREAD%' THEN 'THREAD' WHEN k LIKE 'FIT%' THEN 'FIT' WHEN k IS NOT NULL THEN 'SURFACE_FINISH' ELSE 'TEXT' END AS category,
-  CASE WHEN k IS NOT NULL THEN 0.95 ELSE 0.6 END AS confidence, k IS NULL AS needs_review FROM (SELECT *, {_KIND} AS k FROM v_token)""")
+@query("drawing_notes", f"""WITH {_LEX} SELECT drawing_id, token_id, s, CASE WHEN contains(plain, ' DIMENSION IN ') OR contains(plain, ' DIMENSIONS IN ') THEN 'UNIT' WHEN contains(plain, ' ISO 2768 ') THEN 'GENERAL_TOLERANCE' WHEN regexp_matches(plain, ' DATUM [A-Z] ') THEN 'DATUM' WHEN k LIKE 'THREAD%' THEN 'THREAD' WHEN k LIKE 'FIT%' THEN 'FIT' WHEN k IS NOT NULL THEN 'SURFACE_FINISH' ELSE 'TEXT' END AS category,
+  CASE WHEN k IS NOT NULL THEN 0.95 ELSE 0.6 END AS confidence, k IS NULL AS needs_review FROM tk""")
 def drawing_notes(shop):
     """Category, confidence of the way of reading, review below 0.85."""
     d = shop.v_token.withColumn("k", dr.token_kind(c("text")))
@@ -68,9 +61,13 @@ _ASSOC = f"""{_ANN}, p AS (SELECT an.drawing_id, an.page, annotation_id, s, feat
   b AS (SELECT drawing_id, page, annotation_id, s, feature_id, max(score) AS score FROM p GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, page, annotation_id, s ORDER BY score DESC, feature_id) AS rank FROM b)"""
 
 
-def _associated(shop):
+def _annotations(shop):
     kind = F.get(F.array(F.lit("DIMENSION"), F.lit("FIT"), F.lit("THREAD"), F.lit("GDT")), (c("token_id") % 4).cast("int"))
-    an = shop.v_token.select("drawing_id", "page", F.struct("token_id", "s").alias("annotation_id"), kind.alias("kind"), "x", "y").distinct()
+    return shop.v_token.select("drawing_id", "page", F.struct("token_id", "s").alias("annotation_id"), kind.alias("kind"), "x", "y").distinct()
+
+
+def _associated(shop):
+    an = _annotations(shop)
     fe = shop.v_feature.select(c("part_id").alias("drawing_id"), (c("feature_id") % 3).cast("int").alias("page"), "feature_id", "feature_type", (c("x") * 6).alias("x"), (c("y") * 4).alias("y")).distinct()
     return dr.associated(an, fe, ["drawing_id", "page"])
 
@@ -81,10 +78,10 @@ def association_candidates(shop):
     return _associated(shop).select("drawing_id", "page", c("annotation_id.token_id").alias("annotation_id"), c("annotation_id.s").alias("s"), "feature_id", F.round("score", 6).alias("score"))
 
 
-@query("association_states", f"WITH {_ASSOC}, g AS (SELECT drawing_id, page, annotation_id, s, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(feature_id) FILTER (WHERE rank = 1) AS f FROM r WHERE rank <= 2 GROUP BY ALL) SELECT drawing_id, page, annotation_id, s, CASE WHEN s1 >= 0.7 AND (s2 IS NULL OR s2 < s1 - 0.15) THEN f END AS feature_id, CASE WHEN s1 >= 0.7 AND (s2 IS NULL OR s2 < s1 - 0.15) THEN 'AUTO_MATCHED' ELSE 'MULTIPLE_CANDIDATES' END AS state FROM g")
+@query("association_states", f"WITH {_ASSOC}, g AS (SELECT drawing_id, page, annotation_id, s, max(score) FILTER (WHERE rank = 1) AS s1, max(score) FILTER (WHERE rank = 2) AS s2, max(feature_id) FILTER (WHERE rank = 1) AS f FROM r WHERE rank <= 2 GROUP BY ALL) SELECT an.drawing_id, an.page, an.annotation_id, an.s, CASE WHEN s1 >= 0.7 AND (s2 IS NULL OR s2 < s1 - 0.15) THEN f END AS feature_id, CASE WHEN s1 IS NULL THEN 'UNRESOLVED' WHEN s1 >= 0.7 AND (s2 IS NULL OR s2 < s1 - 0.15) THEN 'AUTO_MATCHED' ELSE 'MULTIPLE_CANDIDATES' END AS state FROM (SELECT DISTINCT drawing_id, page, annotation_id, s FROM an) an LEFT JOIN g USING (drawing_id, page, annotation_id, s)")
 def association_states(shop):
     """The best is taken where it leads by enough."""
-    out = dr.association_state(_associated(shop), ["drawing_id", "page", "annotation_id"])
+    out = dr.association_state(_annotations(shop), _associated(shop), ["drawing_id", "page", "annotation_id"])
     return out.select("drawing_id", "page", c("annotation_id.token_id").alias("annotation_id"), c("annotation_id.s").alias("s"), "feature_id", "state")
 
 

@@ -97,6 +97,32 @@ def route_pareto(shop):
     return routes.pareto(r, "feature_id", "route_id", ["score"], ["n_ops", "setups"])
 
 
+@query("route_skyline", """WITH r AS (SELECT *, CASE risk WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END AS risk_no FROM v_route) SELECT feature_id, route_id, score, n_ops, setups, risk FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.feature_id = a.feature_id AND b.score >= a.score AND b.n_ops <= a.n_ops AND b.setups <= a.setups AND b.risk_no <= a.risk_no AND (b.score > a.score OR b.n_ops < a.n_ops OR b.setups < a.setups OR b.risk_no < a.risk_no))""")
+def route_skyline(shop):
+    """The frontier by score, operations, setups and risk."""
+    r = shop.v_route.withColumn("risk_no", F.when(c("risk") == "LOW", 0).when(c("risk") == "MEDIUM", 1).otherwise(2))
+    return routes.skyline(r, "feature_id", ["score"], ["n_ops", "setups", "risk_no"]).select("feature_id", "route_id", "score", "n_ops", "setups", "risk")
+
+
+_SETUPS = ["VMC", "HMC", "LATHE", "GRINDER"]
+_PLAN = """WITH st(i, name) AS (VALUES (0, 'VMC'), (1, 'HMC'), (2, 'LATHE'), (3, 'GRINDER')), ms AS (SELECT s, count(*) AS m, string_agg(name, ',' ORDER BY name) AS names FROM range(1, 16) t(s) JOIN st ON (s >> i) & 1 = 1 GROUP BY s),
+  ok AS (SELECT r.*, st.i FROM v_partroute r JOIN st ON st.name = r.setup_key WHERE feasible), nf AS (SELECT part_id, count(DISTINCT feature_id) AS n_all FROM v_partroute GROUP BY part_id), ff AS (SELECT part_id, count(DISTINCT feature_id) AS n FROM ok GROUP BY part_id),
+  fs AS (SELECT part_id, feature_id, ms.s, m, names, max(score) AS best FROM ok JOIN ms ON (ms.s >> i) & 1 = 1 GROUP BY ALL), ps AS (SELECT part_id, s, m, names, sum(best)::BIGINT - 8 * m AS total, count(*) AS n FROM fs GROUP BY ALL),
+  pl AS (SELECT ps.*, row_number() OVER (PARTITION BY part_id ORDER BY total DESC, m, s) AS rank FROM ps JOIN ff USING (part_id, n))"""
+
+
+@query("best_routes", f"{_PLAN} SELECT nf.part_id, rank, names AS setups, total, coalesce(ff.n, 0) AS n_features, n_all - coalesce(ff.n, 0) AS n_unresolved FROM nf LEFT JOIN ff USING (part_id) LEFT JOIN (SELECT * FROM pl WHERE rank <= 2) pl USING (part_id)")
+def best_routes(shop):
+    """A part's two best plans over all its features, with shared setups."""
+    return routes.best_routes(shop.v_partroute, _SETUPS, 8, 2)[0]
+
+
+@query("best_route_choices", f"{_PLAN}, ch AS (SELECT ok.part_id, feature_id, route_id, setup_key, score, row_number() OVER (PARTITION BY ok.part_id, feature_id ORDER BY score DESC, n_ops, route_id, setup_key) AS n FROM ok JOIN pl ON pl.part_id = ok.part_id AND rank = 1 AND (s >> i) & 1 = 1) SELECT part_id, feature_id, route_id, setup_key, score FROM ch WHERE n = 1")
+def best_route_choices(shop):
+    """The route that a part's best plan takes for each feature, by setup."""
+    return routes.best_routes(shop.v_partroute, _SETUPS, 8)[1].select("part_id", "feature_id", "route_id", "setup_key", "score")
+
+
 @query("route_top", "SELECT feature_id, route_id, score, n_ops, setups, rn AS rank FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY score DESC, n_ops, route_id, setups) AS rn FROM v_route) WHERE rn <= 3")
 def route_top(shop):
     return routes.top_k(shop.v_route.select("feature_id", "route_id", "score", "n_ops", "setups"), "feature_id", 3, c("score").desc(), c("n_ops"), c("route_id"), c("setups"))
@@ -119,24 +145,44 @@ def what_if(shop):
     return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), c(k).alias("total"), (c(k) - c("baseline")).alias("delta")) for k in weights])).alias("r")).select("r.*")
 
 
-_MATCH = "m AS (SELECT f.run_id, f.fixture, f.finding_no, t.item_id, CASE WHEN f.raw_text = t.expected_text THEN 1 ELSE 2 END AS level, t.required FROM v_found f JOIN v_truth t ON f.fixture = t.fixture AND lower(trim(regexp_replace(f.raw_text, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(t.expected_text, '\\s+', ' ', 'g'))))"
+_BARE = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+_NORMAL = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_UNIT = "CASE WHEN lower(trim({0})) IN ('mm', 'millimetre', 'millimeter') THEN 'mm' ELSE coalesce(lower(trim({0})), '') END"
+_DIMS = ", ".join(f"'{x}'" for x in matching.DIMENSIONS)
+#: Candidates (m), then one-to-one matches (mm): finding after finding takes the best item that is left.
+_MATCH = f"""m AS (SELECT f.run_id, f.fixture, f.finding_no, t.item_id, min(CASE WHEN {_BARE.format('f.raw_text')} = {_BARE.format('t.expected_text')} THEN 1 WHEN {_NORMAL.format('f.raw_text')} = {_NORMAL.format('t.expected_text')} THEN 2 ELSE 3 END) AS level FROM v_found f JOIN v_truth t ON f.fixture = t.fixture
+    AND ({_NORMAL.format('f.raw_text')} = {_NORMAL.format('t.expected_text')} OR (t.feature_type IN ({_DIMS}) AND {_BARE.format('f.value')} = {_BARE.format('t.value')} AND {_UNIT.format('f.unit')} = {_UNIT.format('t.unit')})) GROUP BY ALL),
+  cd AS (SELECT *, row_number() OVER (PARTITION BY run_id, fixture ORDER BY finding_no) AS k FROM (SELECT run_id, fixture, finding_no, list(item_id ORDER BY level, item_id) AS cand FROM m GROUP BY ALL)),
+  gr AS (SELECT DISTINCT run_id, fixture, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS finding_no, NULL::BIGINT AS item_id FROM cd
+    UNION ALL SELECT run_id, fixture, k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, finding_no, pick FROM (SELECT gr.run_id, gr.fixture, cd.k, gr.taken, cd.finding_no, [x FOR x IN cd.cand IF NOT list_contains(gr.taken, x)][1] AS pick FROM gr JOIN cd ON cd.run_id = gr.run_id AND cd.fixture = gr.fixture AND cd.k = gr.k + 1)),
+  mm AS (SELECT m.*, t.required FROM gr JOIN m USING (run_id, fixture, finding_no, item_id) JOIN v_truth t USING (item_id))"""
+
 
+def matched(shop):
+    return matching.greedy(matching.match_levels(shop.v_found, shop.v_truth))
 
-@query("match_levels", f"WITH {_MATCH} SELECT run_id, fixture, finding_no, item_id, level FROM m")
+
+@query("match_levels", f"WITH RECURSIVE {_MATCH} SELECT run_id, fixture, finding_no, item_id, level FROM m")
 def match_levels(shop):
+    """What may match, at EXACT, NORMALISED or SEMANTIC level."""
     return matching.match_levels(shop.v_found, shop.v_truth)
 
 
-@query("recognition_score", f"""WITH {_MATCH}, g AS (SELECT run_id, count(DISTINCT item_id) AS tp, count(DISTINCT item_id) FILTER (WHERE required) AS rq, count(DISTINCT item_id) FILTER (WHERE level = 1) AS n_exact FROM m GROUP BY run_id), f AS (SELECT run_id, count(*) AS n FROM v_found GROUP BY run_id), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE required) AS r FROM v_truth)
+@query("finding_matches", f"WITH RECURSIVE {_MATCH} SELECT run_id, fixture, finding_no, item_id, level FROM mm")
+def finding_matches(shop):
+    """One-to-one matches, also where findings compete for an item."""
+    return matched(shop)
+
+
+@query("recognition_score", f"""WITH RECURSIVE {_MATCH}, g AS (SELECT run_id, count(*) AS tp, count(*) FILTER (WHERE required) AS rq, count(*) FILTER (WHERE level = 1) AS n_exact FROM mm GROUP BY run_id), f AS (SELECT run_id, count(*) AS n FROM v_found GROUP BY run_id), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE required) AS r FROM v_truth)
   SELECT f.run_id, tp, f.n - tp AS fp, t.n - tp AS fn, t.r - rq AS critical_missed, n_exact, round(tp / CAST(f.n AS DOUBLE), 6) AS precision, round(tp / CAST(t.n AS DOUBLE), 6) AS recall FROM f JOIN g USING (run_id), t""")
 def recognition_score(shop):
-    found, truth = shop.v_found, shop.v_truth
-    return matching.score(found, truth, matching.greedy(matching.match_levels(found, truth)))
+    return matching.score(shop.v_found, shop.v_truth, matched(shop))
 
 
-@query("item_stability", f"WITH {_MATCH}, k AS (SELECT item_id, count(DISTINCT run_id) AS runs FROM m GROUP BY item_id) SELECT t.item_id, coalesce(runs, 0) AS runs, coalesce(runs, 0) = (SELECT count(DISTINCT run_id) FROM v_found) AS in_all FROM v_truth t LEFT JOIN k USING (item_id)")
+@query("item_stability", f"WITH RECURSIVE {_MATCH}, k AS (SELECT item_id, count(DISTINCT run_id) AS runs FROM mm GROUP BY item_id) SELECT t.item_id, coalesce(runs, 0) AS runs, coalesce(runs, 0) = (SELECT count(DISTINCT run_id) FROM v_found) AS in_all FROM v_truth t LEFT JOIN k USING (item_id)")
 def item_stability(shop):
-    m = matching.match_levels(shop.v_found, shop.v_truth).groupBy("item_id").agg(F.count_distinct("run_id").alias("runs"))
+    m = matched(shop).groupBy("item_id").agg(F.count_distinct("run_id").alias("runs"))
     n = shop.v_found.agg(F.count_distinct("run_id").alias("n"))
     d = shop.v_truth.select("item_id").join(m, "item_id", "left").join(n, how="cross")
     return d.select("item_id", F.coalesce("runs", F.lit(0).cast("long")).alias("runs"), (F.coalesce("runs", F.lit(0).cast("long")) == c("n")).alias("in_all"))
