@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the cluster names a folder for it; small graphs without one keep their lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, that of spark.checkpoint.dir where none is set yet; a cluster needs one that its machines share."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            return df.cache()
+            raise ValueError("spark.checkpoint.dir names no folder")
         spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    spark = df.sparkSession
+    shared_folder(spark)
     jdf = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.createDataFrame(jdf.toJavaRDD(), jdf.schema()), spark)
 

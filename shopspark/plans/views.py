@@ -98,6 +98,10 @@ VIEWS = {
   CASE p_partkey % 5 WHEN 0 THEN 'HB' WHEN 1 THEN 'HRC' WHEN 2 THEN 'HV' WHEN 3 THEN 'HX' ELSE NULL END AS hardness_scale, CAST(p_partkey % 60 - 2 AS DOUBLE) AS hardness_min, CAST(p_partkey * 3 % 70 AS DOUBLE) AS hardness_max,
   CAST(p_partkey * 13 % 4000 AS DOUBLE) AS tensile, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE CAST(p_partkey % 90 - 1 AS DOUBLE) END AS vc_min, CAST(60 + p_partkey % 90 AS DOUBLE) AS vc_max,
   CASE p_partkey % 3 WHEN 0 THEN 'turning' WHEN 1 THEN 'milling' ELSE 'drilling' END AS operation, CASE p_partkey % 2 WHEN 0 THEN 'carbide' ELSE 'hss' END AS tool_material FROM {part}""",
+    "v_report": """SELECT CAST(floor(p_partkey / 30) AS BIGINT) AS report_id, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'Turning' ELSE 'Milling' END AS operation,
+  CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CASE p_partkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'M' ELSE 'K' END END AS iso_group, CASE p_partkey % 4 WHEN 0 THEN 'carbide' WHEN 1 THEN 'hss' ELSE '' END AS tool_material,
+  CASE WHEN p_partkey % 13 = 0 THEN '-' WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 19 = 0 THEN CAST(p_size + 90 AS STRING) || '–' || CAST(p_size + 40 AS STRING) WHEN p_partkey % 5 = 0 THEN CAST(p_size + 40 AS STRING) || '–' || CAST(p_size + 90 AS STRING) || '*' ELSE CAST(p_size + 40 AS STRING) || '-' || CAST(p_size + 90 AS STRING) END AS speed,
+  '0,' || CAST(1 + p_partkey % 4 AS STRING) || '–0,' || CAST(5 + p_partkey % 4 AS STRING) AS feed, p_size FROM {part}""",
     "v_frame": """SELECT l_orderkey AS drawing_id, l_partkey * 1000 + l_linenumber AS frame_id, l_linenumber AS line_no, l_suppkey AS s, CASE l_partkey % 12 WHEN 0 THEN 'FLATNESS' WHEN 1 THEN 'STRAIGHTNESS' WHEN 2 THEN 'CIRCULARITY' WHEN 3 THEN 'CYLINDRICITY'
   WHEN 4 THEN 'PERPENDICULARITY' WHEN 5 THEN 'PARALLELISM' WHEN 6 THEN 'POSITION' WHEN 7 THEN 'CIRCULAR_RUNOUT' WHEN 8 THEN 'TOTAL_RUNOUT' WHEN 9 THEN 'CONCENTRICITY' WHEN 10 THEN 'SYMMETRY' ELSE 'PROFILE_OF_SURFACE' END AS characteristic,
   CASE l_suppkey % 4 WHEN 0 THEN 'MMC' WHEN 1 THEN 'LMC' ELSE NULL END AS modifier, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'A' || CASE WHEN l_suppkey % 2 = 0 THEN 'B' ELSE '' END END AS datums,

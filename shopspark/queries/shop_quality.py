@@ -107,7 +107,7 @@ def route_skyline(shop):
 _SETUPS = ["VMC", "HMC", "LATHE", "GRINDER"]
 _PLAN = """WITH st(i, name) AS (VALUES (0, 'VMC'), (1, 'HMC'), (2, 'LATHE'), (3, 'GRINDER')), ms AS (SELECT s, count(*) AS m, string_agg(name, ',' ORDER BY name) AS names FROM range(1, 16) t(s) JOIN st ON (s >> i) & 1 = 1 GROUP BY s),
   ok AS (SELECT r.*, st.i FROM v_partroute r JOIN st ON st.name = r.setup_key WHERE feasible), nf AS (SELECT part_id, count(DISTINCT feature_id) AS n_all FROM v_partroute GROUP BY part_id), ff AS (SELECT part_id, count(DISTINCT feature_id) AS n FROM ok GROUP BY part_id),
-  fs AS (SELECT part_id, feature_id, ms.s, m, names, max(score) AS best FROM ok JOIN ms ON (ms.s >> i) & 1 = 1 GROUP BY ALL), ps AS (SELECT part_id, s, m, names, sum(best)::BIGINT - 8 * m AS total, count(*) AS n FROM fs GROUP BY ALL),
+  fs AS (SELECT part_id, feature_id, ms.s, m, names, max(score) AS best FROM ok JOIN ms ON (ms.s >> i) & 1 = 1 GROUP BY ALL), ps AS (SELECT part_id, s, m, names, sum(best)::BIGINT - 8 * m AS total, count(*) AS n FROM fs GROUP BY part_id, s, m, names),
   pl AS (SELECT ps.*, row_number() OVER (PARTITION BY part_id ORDER BY total DESC, m, s) AS rank FROM ps JOIN ff USING (part_id, n))"""
 
 
