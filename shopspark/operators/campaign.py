@@ -69,6 +69,44 @@ def box_after(low: list[Column], high: list[Column], degrees: float, shift: tupl
     return [F.least(*[p[i] for p in corners]) for i in range(3)], [F.greatest(*[p[i] for p in corners]) for i in range(3)]
 
 
+#: Millimetres of a unit.
+UNIT_MM = {"mm": 1.0, "cm": 10.0, "m": 1000.0, "inch": 25.4}
+
+
+def rotation(axis: tuple[float, float, float], degrees: float, shift: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> list[list[float]]:
+    """The 4x4 matrix of a turn about an axis through the origin and a shift after it. Raises ValueError for an axis without direction."""
+    n = math.hypot(*axis)
+    if n == 0:
+        raise ValueError("the axis has no direction")
+    u = [v / n for v in axis]
+    k, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    skew = [[0, -u[2], u[1]], [u[2], 0, -u[0]], [-u[1], u[0], 0]]
+    turn = [[(k if i == j else 0) + (1 - k) * u[i] * u[j] + s * skew[i][j] for j in range(3)] for i in range(3)]
+    return [[*turn[i], shift[i]] for i in range(3)] + [[0.0, 0.0, 0.0, 1.0]]
+
+
+def place(m: list[list[float]], p: Column, scale: Column, w: float = 1.0) -> Column:
+    """A point (w = 1: turned, shifted, in mm) or a direction (w = 0: turned only, its length kept)."""
+    xyz = [m[i][0] * p["x"] + m[i][1] * p["y"] + m[i][2] * p["z"] for i in range(3)]
+    out = [(v * scale + m[i][3]) if w else v for i, v in enumerate(xyz)]
+    return F.when(p.isNotNull(), F.struct(*[v.alias(k) for v, k in zip(out, "xyz", strict=True)]))
+
+
+def transformed(geometry: Column, m: list[list[float]], unit: Column) -> Column:
+    """A part's geometry after the matrix (its shift in mm), in mm: struct(points, curves, surfaces) of structs.
+
+    Points are (id, at), curves (id, kind, at, along, radius) and surfaces (id, kind, at, normal, radius). Every place goes through the
+    matrix, directions through its turn alone, radii only through the unit. An unknown unit gives NULL places and radii: it is never assumed.
+    """
+    scale = F.coalesce(*[F.when(unit == k, F.lit(v)) for k, v in UNIT_MM.items()])
+    shaped = lambda way: lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), place(m, x["at"], scale).alias("at"), place(m, x[way], scale, 0.0).alias(way), (x["radius"] * scale).alias("radius"))
+    return F.struct(
+        F.transform(geometry["points"], lambda x: F.struct(x["id"].alias("id"), place(m, x["at"], scale).alias("at"))).alias("points"),
+        F.transform(geometry["curves"], shaped("along")).alias("curves"),
+        F.transform(geometry["surfaces"], shaped("normal")).alias("surfaces"),
+    )
+
+
 def adjacent_faces(edges: DataFrame) -> DataFrame:
     """(part_id, face, neighbours): faces that share an edge (part_id, face, edge_id). A face meets the edge's set of faces, made once per edge."""
     own = edges.select("part_id", "face", "edge_id").distinct()

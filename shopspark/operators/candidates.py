@@ -128,14 +128,41 @@ def locked(candidates: DataFrame, locks: DataFrame, key: str, identity: str) ->
     return candidates.join(hit, key, "left").filter(c("_one").isNull() | (c("_one") == c(identity))).drop("_one")
 
 
+#: Characters of a gram of the substring index; shorter queries are looked up by what they have.
+GRAM = 3
+
+
+def _grams(text: Column, n: Column) -> Column:
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def holding(queries: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """(q, key) for every text that holds a query: queries (q, not empty), texts (key, text); compared as they are.
+
+    Texts are indexed by their grams of 1 to GRAM characters. A query is looked up by the rarest of its grams of GRAM characters (or by
+    all of itself, if shorter), and what that finds is verified; a query with a gram that no text has finds nothing.
+    """
+    every = F.flatten(F.array(*[_grams(c("text"), F.lit(n)) for n in range(1, GRAM + 1)]))
+    index = texts.select(key, F.explode(F.array_distinct(every)).alias("gram"))
+    rarity = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    mine = queries.select("q").distinct().withColumn("gram", F.explode(F.array_distinct(_grams(c("q"), F.least(F.lit(GRAM), F.length("q"))))))
+    rare = mine.join(rarity, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(c("df").isNull()).alias("lost")).filter("lost = 0")
+    return rare.join(index, "gram").join(texts, key).filter(F.contains("text", c("q"))).select("q", key).distinct()
+
+
 def bridged(names: DataFrame, materials: DataFrame) -> DataFrame:
-    """names (raw, ...) with material_id and confidence: EXACT by normal form, else PARTIAL by the part after the designation's dash (first by group and
-    designation), else NONE. Both are equi joins on a key that is made once per material."""
-    norm = lambda x: F.upper(F.trim(x))
-    m = materials.filter("designation <> ''").select("material_id", "iso_group", "designation", norm(c("designation")).alias("_k"))
-    exact = m.groupBy("_k").agg(F.min("material_id").alias("_e"))
+    """names (raw, ...) with material_id and confidence: EXACT by normal form, else PARTIAL where the designation or the alias holds the name
+    (first by group, without one last, and designation), else NONE. Names and texts are compared without outer blanks and in lower case."""
+    norm = lambda x: F.lower(F.trim(x))
+    known = materials.filter("designation <> ''")
+    exact = known.groupBy(norm(c("designation")).alias("_k")).agg(F.min("material_id").alias("_e"))
+    out = names.withColumn("_k", norm(c("raw"))).join(exact, "_k", "left")
+    texts = known.select("material_id", F.explode(F.array(norm(c("designation")), norm(c("alias")))).alias("text")).filter("text IS NOT NULL").distinct()
+    numbered = texts.withColumn("_n", F.struct("material_id", F.xxhash64("text")))
+    asked = out.filter(c("_e").isNull() & (c("_k") != "")).select(c("_k").alias("q"))
+    hits = holding(asked, numbered.select("_n", "text"), "_n").select(c("q").alias("_k"), c("_n.material_id").alias("material_id"))
     order = F.struct(F.coalesce(c("iso_group"), F.lit("~")), c("designation"), c("material_id"))
-    part = m.groupBy(F.split_part(c("_k"), F.lit("-"), F.lit(2)).alias("_k")).agg(F.min_by("material_id", order).alias("_p"))
-    out = names.withColumn("_k", norm(c("raw"))).join(exact, "_k", "left").join(part, "_k", "left")
+    part = hits.join(known.select("material_id", "iso_group", "designation"), "material_id").groupBy("_k").agg(F.min_by("material_id", order).alias("_p"))
+    out = out.join(part, "_k", "left")
     confidence = F.when(c("_e").isNotNull(), "EXACT").when(c("_p").isNotNull(), "PARTIAL").otherwise("NONE")
     return out.withColumns({"material_id": F.coalesce("_e", "_p"), "confidence": confidence}).drop("_k", "_e", "_p")

@@ -52,6 +52,27 @@ def setup_gaps(jobs: DataFrame, matrix: DataFrame, default_s: int) -> DataFrame:
     gap = F.col("start_s") - F.col("p_end")
     return j.select("machine_id", "operation_id", gap.alias("gap_s"), need.alias("need_s"), F.when(gap < 0, "OVERLAP").when(gap < need, "SETUP_TOO_SHORT").otherwise("OK").alias("status"))
 
+def setup_spans(jobs: DataFrame, matrix: DataFrame, default_s: int, windows: DataFrame) -> DataFrame:
+    """(machine_id, operation_id, span_s, end_s, state) of each setup before a job that follows another: the setup (which ends as the job starts)
+    and the job must lie in one window of the machine. FITS, CROSSES (begins in a window and leaves it), OUTSIDE, or NO_CALENDAR.
+
+    Windows (machine_id, start_s, end_s) are merged, so only the last that begins by a span's start can hold it: one scan of both in order
+    carries its end to the spans. A setup that takes no time has no span.
+    """
+    w = W.partitionBy("machine_id").orderBy("start_s", "operation_id")
+    j = jobs.withColumn("p_key", F.lag("setup_key").over(w)).filter("p_key IS NOT NULL")
+    j = j.join(matrix, (j["p_key"] == matrix["from_key"]) & (j["setup_key"] == matrix["to_key"]), "left").withColumn("need", F.coalesce("seconds", F.lit(default_s))).filter("need > 0")
+    spans = j.select("machine_id", (F.col("start_s") - F.col("need")).alias("at"), F.lit(1).alias("kind"), "operation_id", "end_s")
+    none = F.lit(None).cast("long")
+    held = merge(windows, "machine_id", "start_s", "end_s").select("machine_id", F.col("start_s").alias("at"), F.lit(0).alias("kind"), none.alias("operation_id"), "end_s")
+    both = spans.unionByName(held)
+    scan = W.partitionBy("machine_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    closes = F.last(F.when(F.col("kind") == 0, F.col("end_s")), ignorenulls=True).over(scan)
+    both = both.withColumns({"closes": closes, "has": F.min("kind").over(W.partitionBy("machine_id")) == 0}).filter("kind = 1")
+    state = F.when(~F.col("has"), "NO_CALENDAR").when(F.col("closes") >= F.col("end_s"), "FITS").when(F.col("closes") > F.col("at"), "CROSSES").otherwise("OUTSIDE")
+    return both.select("machine_id", "operation_id", F.col("at").alias("span_s"), "end_s", state.alias("state"))
+
+
 def completeness(required: DataFrame, assigned: DataFrame, key: str) -> DataFrame:
     """Violations of a one-to-one assignment: DUPLICATE, UNKNOWN, MISSING."""
     r, a = required.select(key).distinct().withColumn("_r", F.lit(1)), assigned.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

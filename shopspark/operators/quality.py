@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -62,3 +63,27 @@ def hole_patterns(features: DataFrame) -> DataFrame:
     r = h.join(g, ["part_id", "d"]).withColumn("r", F.hypot(c("x") - c("cx"), c("y") - c("cy")))
     out = r.groupBy("part_id", "d").agg(F.first("n").alias("n"), F.avg("r").alias("radius"), F.min("r").alias("lo"), F.max("r").alias("hi"))
     return out.withColumn("circular", (c("n") >= 3) & (c("radius") > 0) & (F.try_divide(c("hi") - c("lo"), c("radius")) < 0.1))
+
+
+def pattern_types(features: DataFrame) -> DataFrame:
+    """(part_id, d, n, kind, pcd_mm, pitch_deg, pitch_mm) of the holes of a part with one rounded diameter, two at least.
+
+    CIRCULAR: three and more whose distance from their centre is over 0.5 mm and varies by less than a tenth. LINEAR: over 0.5 mm long,
+    off their principal direction by at most a hundredth of the length, and with gaps along it that vary by less than a tenth of the
+    pitch. The direction comes from the group's second moments, the gaps from the order along it. Others are NONE.
+    """
+    c = F.col
+    key = ["part_id", "d"]
+    h = features.filter("feature_type = 'HOLE'").select("part_id", F.round("d_mm", 1).alias("d"), c("x"), c("y")).dropna()
+    g = W.partitionBy(*key)
+    h = h.withColumns({"n": F.count(F.lit(1)).over(g), "dx": c("x") - F.avg("x").over(g), "dy": c("y") - F.avg("y").over(g)}).filter("n >= 2")
+    h = h.withColumn("turn", 0.5 * F.atan2(2 * F.sum(c("dx") * c("dy")).over(g), F.sum(c("dx") * c("dx") - c("dy") * c("dy")).over(g)))
+    h = h.withColumns({"along": c("dx") * F.cos("turn") + c("dy") * F.sin("turn"), "off": F.abs(c("dy") * F.cos("turn") - c("dx") * F.sin("turn")), "r": F.hypot("dx", "dy")})
+    h = h.withColumn("gap", c("along") - F.lag("along").over(g.orderBy("along")))
+    m = h.groupBy(*key).agg(F.first("n").alias("n"), F.avg("r").alias("r"), F.min("r").alias("r0"), F.max("r").alias("r1"), (F.max("along") - F.min("along")).alias("long"), F.max("off").alias("off"), F.min("gap").alias("g0"), F.max("gap").alias("g1"))
+    pitch = c("long") / (c("n") - 1)
+    circular = (c("n") >= 3) & (c("r") > 0.5) & (F.greatest(c("r1") - c("r"), c("r") - c("r0")) < 0.1 * c("r"))
+    linear = (c("long") > 0.5) & (c("off") <= 0.01 * c("long")) & (F.greatest(c("g1") - pitch, pitch - c("g0")) < 0.1 * pitch)
+    m = m.withColumn("kind", F.when(circular, "CIRCULAR").when(linear, "LINEAR").otherwise("NONE"))
+    only = lambda k, v: F.when(c("kind") == k, F.round(v, 3))
+    return m.select(*key, "n", "kind", only("CIRCULAR", 2 * c("r")).alias("pcd_mm"), only("CIRCULAR", 360 / c("n")).alias("pitch_deg"), only("LINEAR", pitch).alias("pitch_mm"))

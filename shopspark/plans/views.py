@@ -102,6 +102,9 @@ VIEWS = {
   CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CASE p_partkey % 3 WHEN 0 THEN 'P' WHEN 1 THEN 'M' ELSE 'K' END END AS iso_group, CASE p_partkey % 4 WHEN 0 THEN 'carbide' WHEN 1 THEN 'hss' ELSE '' END AS tool_material,
   CASE WHEN p_partkey % 13 = 0 THEN '-' WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 19 = 0 THEN CAST(p_size + 90 AS STRING) || '–' || CAST(p_size + 40 AS STRING) WHEN p_partkey % 5 = 0 THEN CAST(p_size + 40 AS STRING) || '–' || CAST(p_size + 90 AS STRING) || '*' ELSE CAST(p_size + 40 AS STRING) || '-' || CAST(p_size + 90 AS STRING) END AS speed,
   '0,' || CAST(1 + p_partkey % 4 AS STRING) || '–0,' || CAST(5 + p_partkey % 4 AS STRING) AS feed, p_size FROM {part}""",
+    "v_req": """SELECT CAST(floor(l_orderkey / 5) AS BIGINT) AS drawing_id, row_number() OVER (PARTITION BY floor(l_orderkey / 5) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS req_id, CASE WHEN l_partkey % 9 = 0 THEN 'THREAD' ELSE 'DIMENSION' END AS kind,
+  CASE l_partkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'Diameter' WHEN 2 THEN 'HOLE_DIAMETER' WHEN 3 THEN 'DEPTH' WHEN 7 THEN 'RADIUS' ELSE 'LINEAR' END AS dimension_type, l_quantity AS value,
+  CASE l_partkey % 9 WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'slot depth' ELSE NULL END WHEN 4 THEN 'Slot width' WHEN 5 THEN 'of the POCKET' WHEN 6 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'chamfer 45' ELSE 'groove' END ELSE NULL END AS note FROM {lineitem}""",
     "v_frame": """SELECT l_orderkey AS drawing_id, l_partkey * 1000 + l_linenumber AS frame_id, l_linenumber AS line_no, l_suppkey AS s, CASE l_partkey % 12 WHEN 0 THEN 'FLATNESS' WHEN 1 THEN 'STRAIGHTNESS' WHEN 2 THEN 'CIRCULARITY' WHEN 3 THEN 'CYLINDRICITY'
   WHEN 4 THEN 'PERPENDICULARITY' WHEN 5 THEN 'PARALLELISM' WHEN 6 THEN 'POSITION' WHEN 7 THEN 'CIRCULAR_RUNOUT' WHEN 8 THEN 'TOTAL_RUNOUT' WHEN 9 THEN 'CONCENTRICITY' WHEN 10 THEN 'SYMMETRY' ELSE 'PROFILE_OF_SURFACE' END AS characteristic,
   CASE l_suppkey % 4 WHEN 0 THEN 'MMC' WHEN 1 THEN 'LMC' ELSE NULL END AS modifier, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'A' || CASE WHEN l_suppkey % 2 = 0 THEN 'B' ELSE '' END END AS datums,

@@ -75,6 +75,32 @@ def moved_boxes(shop):
     return b.select("part_id", *[r6(v).alias(k) for k, v in zip(("x0", "y0", "z0", "x1", "y1", "z1"), low + high, strict=True)])
 
 
+#: A turn by 35 degrees about a tilted axis, with a shift in mm.
+_TURN = cp.rotation((1.0, 2.0, 2.0), 35.0, (10.0, -4.0, 2.5))
+_ROW = lambda i, x, y, z: " + ".join(f"({_TURN[i][j]!r}::DOUBLE) * {v}" for j, v in enumerate((x, y, z)))
+_SPOT = ", ".join(f"round(({_ROW(i, 'x', 'y', 'depth_mm')}) * sc + ({_TURN[i][3]!r}::DOUBLE), 4) AS {k}" for i, k in enumerate("xyz"))
+_WAY = ", ".join(f"round({_ROW(i, 0, 0.6, 0.8)}, 6) AS d{k}" for i, k in enumerate("xyz"))
+
+
+@query("moved_geometry", f"""WITH g AS (SELECT *, CASE part_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 25.4 WHEN 2 THEN 1000 WHEN 3 THEN 10 END::DOUBLE AS sc FROM v_feature), b AS (SELECT part_id, feature_id, d_mm, {_SPOT}, {_WAY}, sc FROM g)
+  SELECT part_id, feature_id, part AS part, x, y, z, CASE WHEN part <> 'POINT' THEN dx END AS dx, CASE WHEN part <> 'POINT' THEN dy END AS dy, CASE WHEN part <> 'POINT' THEN dz END AS dz, CASE WHEN part <> 'POINT' THEN round(d_mm / 2 * sc, 4) END AS radius FROM b, (VALUES ('POINT'), ('CURVE'), ('SURFACE')) p(part) WHERE part <> 'SURFACE' OR feature_id % 2 = 0""")
+def moved_geometry(shop):
+    """Whole parts (points, curves, surfaces) through one matrix, each in its own unit."""
+    at = F.struct("x", "y", c("depth_mm").alias("z"))
+    way = F.struct(F.lit(0.0).alias("x"), F.lit(0.6).alias("y"), F.lit(0.8).alias("z"))
+    shape = lambda kind, name: F.struct(c("feature_id").alias("id"), F.lit(kind).alias("kind"), at.alias("at"), way.alias(name), (c("d_mm") / 2).alias("radius"))
+    parts = shop.v_feature.groupBy("part_id").agg(F.struct(
+        F.collect_list(F.struct(c("feature_id").alias("id"), at.alias("at"))).alias("points"), F.collect_list(shape("CIRCLE", "along")).alias("curves"),
+        F.collect_list(F.when(c("feature_id") % 2 == 0, shape("CYLINDER", "normal"))).alias("surfaces"),
+    ).alias("g"))
+    unit = F.get(F.array(*map(F.lit, ["mm", "inch", "m", "cm", "parsec"])), (c("part_id") % 5).cast("int"))
+    out = parts.withColumn("g", cp.transformed(c("g"), _TURN, unit))
+    none = F.lit(None).cast("struct<x:double,y:double,z:double>")
+    each = lambda part, items, d, r: out.select("part_id", F.explode(items).alias("i")).select("part_id", c("i.id").alias("feature_id"), F.lit(part).alias("part"), c("i.at").alias("at"), d.alias("d"), r.alias("radius"))
+    rows = each("POINT", "g.points", none, F.lit(None).cast("double")).unionByName(each("CURVE", "g.curves", c("i.along"), c("i.radius"))).unionByName(each("SURFACE", "g.surfaces", c("i.normal"), c("i.radius")))
+    return rows.select("part_id", "feature_id", "part", *[F.round(f"at.{k}", 4).alias(k) for k in "xyz"], *[F.round(f"d.{k}", 6).alias(f"d{k}") for k in "xyz"], F.round("radius", 4).alias("radius"))
+
+
 @query("adjacent_faces", "WITH e AS (SELECT DISTINCT l_orderkey AS part_id, l_partkey AS face, l_suppkey % 3 AS edge_id FROM lineitem) SELECT a.part_id, a.face, string_agg(DISTINCT CAST(b.face AS VARCHAR), ',' ORDER BY CAST(b.face AS VARCHAR)) AS neighbours FROM e a JOIN e b ON a.part_id = b.part_id AND a.edge_id = b.edge_id AND a.face <> b.face GROUP BY a.part_id, a.face")
 def adjacent_faces(shop):
     """Faces that share an edge."""

@@ -148,11 +148,11 @@ def locked_routes(shop):
 
 
 @query("material_bridge", """WITH d AS (SELECT DISTINCT l_partkey % 2000 AS q, CASE l_partkey % 3 WHEN 0 THEN ' brand#' || CAST(10 + l_partkey % 45 AS VARCHAR) || '-' || CAST(l_partkey % 1000 AS VARCHAR) || ' ' WHEN 1 THEN CAST(l_partkey % 1000 AS VARCHAR) ELSE 'none ' || CAST(l_partkey AS VARCHAR) END AS raw FROM lineitem), n AS (SELECT *, upper(trim(raw)) AS k FROM d),
-  m AS (SELECT material_id, iso_group, designation, upper(trim(designation)) AS k, split_part(upper(trim(designation)), '-', 2) AS tail FROM v_material WHERE designation <> ''),
-  e AS (SELECT n.q, n.raw, min(material_id) AS material_id FROM n JOIN m USING (k) GROUP BY n.q, n.raw), p AS (SELECT n.q, n.raw, arg_min(material_id, {'g': coalesce(iso_group, '~'), 'd': designation, 'i': material_id}) AS material_id FROM n JOIN m ON m.tail = n.k GROUP BY n.q, n.raw)
+  m AS (SELECT material_id, iso_group, designation, upper(trim(designation)) AS k, upper(trim(alias)) AS al FROM v_material WHERE designation <> ''),
+  e AS (SELECT n.q, n.raw, min(material_id) AS material_id FROM n JOIN m USING (k) GROUP BY n.q, n.raw), u AS (SELECT DISTINCT k FROM n WHERE k <> ''), x AS (SELECT u.k, arg_min(material_id, {'g': coalesce(iso_group, '~'), 'd': designation, 'i': material_id}) AS material_id FROM u JOIN m ON contains(m.k, u.k) OR contains(m.al, u.k) GROUP BY u.k), p AS (SELECT n.q, n.raw, x.material_id FROM n JOIN x USING (k))
   SELECT n.q, n.raw, coalesce(e.material_id, p.material_id) AS material_id, CASE WHEN e.material_id IS NOT NULL THEN 'EXACT' WHEN p.material_id IS NOT NULL THEN 'PARTIAL' ELSE 'NONE' END AS confidence FROM n LEFT JOIN e ON e.q = n.q AND e.raw = n.raw LEFT JOIN p ON p.q = n.q AND p.raw = n.raw""")
 def material_bridge(shop):
-    """Exact normal form, else the first material whose number part it is, else NONE."""
+    """Exact normal form, else the first material that holds the name, else NONE."""
     i = c("l_partkey")
     raw = F.when(i % 3 == 0, F.concat(F.lit(" brand#"), (i % 45 + 10).cast("string"), F.lit("-"), (i % 1000).cast("string"), F.lit(" "))).when(i % 3 == 1, (i % 1000).cast("string")).otherwise(F.concat(F.lit("none "), i.cast("string")))
     d = shop.lineitem.select((i % 2000).alias("q"), raw.alias("raw")).distinct()

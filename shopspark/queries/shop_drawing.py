@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import drawing as dr
+from ..operators import frames as fr
 from .registry import query
 
 c = F.col
@@ -122,3 +123,27 @@ def evidence_states(shop):
     of = lambda s: ev.filter(c("side") == s).select("page", "finding_id", "value").distinct()
     out = dr.reconciled(of("AI"), of("RULE"), dr.evidence_groups(ev))
     return out.groupBy("page", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("frame_segments", """SELECT drawing_id, frame_id, line_no, s, CASE WHEN line_no % 7 = 6 THEN NULL WHEN characteristic = 'PROFILE_OF_SURFACE' THEN 'PROFILE_OF_A_SURFACE' ELSE characteristic END AS characteristic, CASE WHEN line_no % 7 <> 6 THEN tolerance END AS tolerance, CASE WHEN line_no % 7 <> 6 THEN CASE WHEN s % 3 = 0 THEN 'inch' ELSE 'mm' END END AS unit,
+  CASE WHEN line_no % 7 <> 6 THEN is_hole END AS diameter, CASE WHEN line_no % 7 <> 6 THEN modifier END AS modifier, CASE WHEN line_no % 7 <> 6 THEN coalesce(CASE length(datums) WHEN 2 THEN 'A,B' ELSE datums END, '') END AS datums,
+  CASE WHEN line_no % 7 = 6 THEN 'NO_FRAME' WHEN lower_tolerance IS NULL THEN 'NO_TOLERANCE' WHEN s % 15 = 0 THEN 'UNITS_DIFFER' WHEN lower_tolerance > tolerance THEN 'LOWER_LARGER' ELSE 'COMPOSITE' END AS state, CASE WHEN line_no % 7 <> 6 THEN lower_tolerance END AS lower_tolerance FROM v_frame""")
+def frame_segments(shop):
+    """Frames of two bands, written as text and read again."""
+    f = shop.v_frame
+    name = F.when(c("line_no") % 7 == 6, "ROUGHNESS").when(c("characteristic") == "PROFILE_OF_SURFACE", "profile of a surface").when(c("characteristic") == "POSITION", "⌖").otherwise(F.replace("characteristic", F.lit("_"), F.lit(" ")))
+    number = lambda x: F.translate(c(x).cast("decimal(12,4)").cast("string"), ".", ",")
+    datums = F.when(F.length("datums") == 2, "A-B").otherwise(c("datums"))
+    upper = F.concat_ws(" ", name, F.concat(F.when(c("is_hole"), "Ø").otherwise(""), number("tolerance")), F.when(c("s") % 3 == 0, "in"), F.when(c("modifier") == "MMC", "Ⓜ").otherwise(c("modifier")), datums)
+    lower = F.concat_ws(" ", F.concat(F.lit("Ø"), number("lower_tolerance")), F.when((c("s") % 3 == 0) & (c("s") % 15 != 0), "in"), F.lit("A"))
+    d = f.withColumn("f", fr.composite(upper, lower))
+    return d.select("drawing_id", "frame_id", "line_no", "s", "f.upper.characteristic", "f.upper.tolerance", "f.upper.unit", "f.upper.diameter", "f.upper.modifier", F.array_join("f.upper.datums", ",").alias("datums"), "f.state", F.when(c("f.upper").isNotNull(), c("f.lower.tolerance")).alias("lower_tolerance"))
+
+
+@query("recognised_features", f"""WITH d AS (SELECT drawing_id, req_id, value, CASE WHEN kind = 'THREAD' THEN 'T' WHEN dimension_type ILIKE '%diameter%' THEN 'D' WHEN dimension_type ILIKE '%depth%' THEN 'Z' ELSE 'O' END AS role, concat_ws(' ', lower(coalesce(dimension_type, '')), lower(note)) AS words FROM v_req),
+  k AS (SELECT *, row_number() OVER (PARTITION BY drawing_id, role ORDER BY req_id) AS k, count(*) FILTER (WHERE role = 'D') OVER (PARTITION BY drawing_id) AS holes FROM d)
+  SELECT drawing_id, req_id, 'THREAD' AS feature_type, 'R-FR-001' AS rule, value AS size, NULL::BIGINT AS depth_req_id, NULL::DOUBLE AS depth FROM k WHERE role = 'T' UNION ALL SELECT h.drawing_id, h.req_id, 'HOLE', 'R-FR-002', h.value, z.req_id, z.value FROM k h LEFT JOIN k z ON z.drawing_id = h.drawing_id AND z.role = 'Z' AND z.k = h.k WHERE h.role = 'D'
+  UNION ALL SELECT drawing_id, req_id, CASE {' '.join(f"WHEN contains(words, '{w}') THEN '{f}'" for w, f, _ in fr.BY_WORD)} END AS f, CASE {' '.join(f"WHEN contains(words, '{w}') THEN '{r}'" for w, _, r in fr.BY_WORD)} END, value, NULL, NULL FROM k WHERE (role = 'O' OR (role = 'Z' AND k > holes)) AND regexp_matches(words, '{'|'.join(w for w, _, _ in fr.BY_WORD)}')""")
+def recognised_features(shop):
+    """Features out of requirements, each used once, holes with their depths."""
+    return fr.recognised(shop.v_req)

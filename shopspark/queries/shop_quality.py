@@ -82,6 +82,16 @@ def hole_patterns(shop):
     return quality.hole_patterns(shop.v_feature).select("part_id", "d", "n", F.round("radius", 4).alias("radius"), F.coalesce("circular", F.lit(False)).alias("circular"))
 
 
+@query("hole_pattern_types", """WITH h AS (SELECT part_id, round(d_mm, 1) AS d, x, y FROM v_feature WHERE feature_type = 'HOLE'), g AS (SELECT part_id, d, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM h GROUP BY part_id, d HAVING count(*) >= 2), k AS (SELECT h.*, n, x - cx AS dx, y - cy AS dy FROM h JOIN g USING (part_id, d)),
+  t AS (SELECT part_id, d, 0.5 * atan2(2 * sum(dx * dy), sum(dx * dx - dy * dy)) AS turn FROM k GROUP BY part_id, d), a AS (SELECT k.*, dx * cos(turn) + dy * sin(turn) AS s, abs(dy * cos(turn) - dx * sin(turn)) AS o, sqrt(dx * dx + dy * dy) AS r FROM k JOIN t USING (part_id, d)),
+  b AS (SELECT *, s - lag(s) OVER (PARTITION BY part_id, d ORDER BY s) AS gap FROM a), m AS (SELECT part_id, d, any_value(n) AS n, avg(r) AS r, min(r) AS r0, max(r) AS r1, max(s) - min(s) AS len, max(o) AS o, min(gap) AS g0, max(gap) AS g1, (max(s) - min(s)) / (any_value(n) - 1) AS pitch FROM b GROUP BY part_id, d),
+  z AS (SELECT *, CASE WHEN n >= 3 AND r > 0.5 AND greatest(r1 - r, r - r0) < 0.1 * r THEN 'CIRCULAR' WHEN len > 0.5 AND o <= 0.01 * len AND greatest(g1 - pitch, pitch - g0) < 0.1 * pitch THEN 'LINEAR' ELSE 'NONE' END AS kind FROM m)
+  SELECT part_id, d, n, kind, CASE WHEN kind = 'CIRCULAR' THEN round(2 * r, 3) END AS pcd_mm, CASE WHEN kind = 'CIRCULAR' THEN round(360.0::DOUBLE / n, 3) END AS pitch_deg, CASE WHEN kind = 'LINEAR' THEN round(pitch, 3) END AS pitch_mm FROM z""")
+def hole_pattern_types(shop):
+    """Circular and linear hole patterns with diameter, angle and pitch."""
+    return quality.pattern_types(shop.v_feature)
+
+
 @query("route_scores", """SELECT feature_id, route_id, score, n_ops, greatest(0, least(15, CAST(trunc((15 - n_ops * 2) * 0.8) AS INT))) AS capability, CASE WHEN gdt_capable THEN 10 ELSE 5 END AS gdt, greatest(0, 10 - (setups - 1) * 3) AS setup_points, CASE risk WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN -7 ELSE -15 END AS penalty,
   CASE WHEN best_ra <= 2 THEN 1 ELSE 0 END + CASE WHEN best_it <= 9 THEN 1 ELSE 0 END + CASE WHEN gdt_capable THEN 1 ELSE 0 END AS met FROM v_route""")
 def route_scores(shop):
