@@ -24,6 +24,26 @@ def validated(df: DataFrame, errors: list[Rule], warnings: list[Rule] = ()) -> D
     return df.withColumn("is_valid", F.size("errors") == 0)
 
 
+def machine_record_rules(sep: str = ";") -> tuple[list[Rule], list[Rule]]:
+    """(errors, warnings): the 26 rules of a machine record, over its columns. A value that isn't given breaks no rule about values."""
+    c = F.col
+    blank = lambda x: F.coalesce(F.trim(c(x)) == "", F.lit(True))
+    bad = lambda *xs: F.exists(F.array(*[c(x) <= 0 for x in xs]), lambda b: F.coalesce(b, F.lit(False)))
+    yes = lambda x: F.coalesce(c(x), F.lit(False))
+    processes = F.filter(F.split(F.coalesce("processes", F.lit("")), sep), lambda x: F.trim(x) != "")
+    errors = [
+        ("V-01", blank("stable_id") | c("stable_id").rlike(r"\s")), *[(f"V-{n:02}", blank(x)) for n, x in ((2, "manufacturer"), (3, "model"), (4, "machine_type"), (5, "machine_type_code"))], ("V-06", F.size(processes) == 0),
+        ("V-07", c("axis_count").isNull() | bad("axis_count")), ("V-08", ~(yes("turning_capable") | yes("milling_capable") | yes("drilling_capable"))), ("V-09", blank("source_title")), ("V-10", blank("evidence_status")), ("V-11", bad("spindle_max_rpm")),
+        ("V-12", bad("spindle_min_rpm") | (c("spindle_min_rpm") >= c("spindle_max_rpm"))), ("V-13", bad("spindle_power_kw")), ("V-14", bad("spindle_torque_nm")), ("V-15", bad("travel_x_mm", "travel_y_mm", "travel_z_mm")), ("V-16", bad("table_length_mm", "table_width_mm")),
+        ("V-17", bad("table_load_kg")), ("V-20", bad("tool_magazine_capacity")), ("V-21", bad("rapid_traverse_mpm")), ("V-22", bad("simultaneous_axis_count") | (c("simultaneous_axis_count") > c("axis_count"))),
+    ]
+    warnings = [
+        ("V-18", ~yes("turning_capable") & (c("max_turning_diameter_mm").isNotNull() | c("max_turning_length_mm").isNotNull())), ("V-19", ~yes("turning_capable") & c("bar_capacity_mm").isNotNull()),
+        ("V-23", yes("capable_5axis_simultaneous") & ~c("simultaneous_axis_count").eqNullSafe(F.lit(5))), ("V-24", (c("machine_type_code") == "LATHE_Y") & ~yes("has_y_axis")), ("V-25", c("spindle_max_rpm").isNull()), ("V-26", c("spindle_power_kw").isNull()),
+    ]
+    return errors, warnings
+
+
 def limit_status(requested: Column, limit: Column) -> Column:
     """PASS, FAIL, or INSUFFICIENT_DATA where either is unknown."""
     return F.when(requested.isNull() | limit.isNull(), "INSUFFICIENT_DATA").when(requested > limit, "FAIL").otherwise("PASS")

@@ -24,6 +24,13 @@ VIEWS = {
   CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE CAST(30 + (s_suppkey * 7) % 70 AS DOUBLE) END AS max_tool_d,
   CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE CAST(100 + (s_suppkey * 13) % 250 AS DOUBLE) END AS max_tool_len,
   CAST(300 + (s_suppkey * 17) % 900 AS DOUBLE) AS travel_x, s_nationkey AS site FROM {supplier}""",
+    "v_machine_record": """SELECT s_suppkey AS machine_id, CASE s_suppkey % 29 WHEN 0 THEN '' WHEN 1 THEN 'M 1' WHEN 2 THEN NULL ELSE 'M-' || CAST(s_suppkey AS STRING) END AS stable_id, CASE WHEN s_suppkey % 31 = 0 THEN ' ' ELSE 'Maker' END AS manufacturer, CASE WHEN s_suppkey % 37 = 0 THEN NULL ELSE s_name END AS model,
+  CASE WHEN s_suppkey % 41 = 0 THEN '' ELSE 'LATHE' END AS machine_type, CASE s_suppkey % 5 WHEN 0 THEN 'LATHE_Y' WHEN 1 THEN 'VMC' WHEN 2 THEN NULL ELSE 'VMC5' END AS machine_type_code, CASE s_suppkey % 11 WHEN 0 THEN '' WHEN 1 THEN ' ; ' ELSE 'milling;drilling' END AS processes,
+  CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE s_suppkey % 7 - 1 END AS axis_count, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 6 END AS simultaneous_axis_count, s_suppkey % 3 = 0 AS turning_capable, s_suppkey % 3 = 1 AS milling_capable, CASE WHEN s_suppkey % 6 = 5 THEN true WHEN s_suppkey % 6 = 4 THEN NULL ELSE false END AS drilling_capable,
+  CASE WHEN s_suppkey % 17 = 0 THEN NULL ELSE s_name END AS source_title, CASE WHEN s_suppkey % 19 = 0 THEN '' ELSE 'VERIFIED' END AS evidence_status, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 131 % 9000 - 50 END AS spindle_max_rpm, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE s_suppkey * 37 % 3000 - 20 END AS spindle_min_rpm,
+  CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE CAST(s_suppkey % 30 AS DOUBLE) END AS spindle_power_kw, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE CAST(s_suppkey % 40 - 1 AS DOUBLE) END AS spindle_torque_nm, CAST(s_suppkey % 23 AS DOUBLE) AS travel_x_mm, CAST(s_suppkey % 25 AS DOUBLE) AS travel_y_mm, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE CAST(s_suppkey % 27 AS DOUBLE) END AS travel_z_mm,
+  CAST(s_suppkey % 26 AS DOUBLE) AS table_length_mm, CAST(s_suppkey % 28 AS DOUBLE) AS table_width_mm, CAST(s_suppkey % 33 - 2 AS DOUBLE) AS table_load_kg, CASE WHEN s_suppkey % 5 < 2 THEN 300.0 ELSE NULL END AS max_turning_diameter_mm, CASE WHEN s_suppkey % 5 = 1 THEN 900.0 ELSE NULL END AS max_turning_length_mm, CASE WHEN s_suppkey % 14 = 3 THEN 42.0 ELSE NULL END AS bar_capacity_mm,
+  CASE WHEN s_suppkey % 15 = 0 THEN NULL ELSE s_suppkey % 16 END AS tool_magazine_capacity, CASE WHEN s_suppkey % 18 = 0 THEN NULL ELSE CAST(s_suppkey % 21 AS DOUBLE) END AS rapid_traverse_mpm, s_suppkey % 12 = 7 AS capable_5axis_simultaneous, s_suppkey % 20 = 5 AS has_y_axis FROM {supplier}""",
     "v_tool": """SELECT p_partkey AS tool_id, p_name AS product, p_brand AS brand, CAST(2 + p_size AS DOUBLE) AS d_mm,
   CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 2 + p_partkey % 4 END AS flutes,
   CASE p_partkey % 6 WHEN 0 THEN 'P;M' WHEN 1 THEN 'P' WHEN 2 THEN 'K;P' WHEN 3 THEN 'N' WHEN 4 THEN '' ELSE 'S;H' END AS iso_groups,

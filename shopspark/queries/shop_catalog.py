@@ -94,10 +94,24 @@ def range_parse(shop):
     return s.select("plan_id", "seq", got["low"].alias("low"), F.round(got["high"], 2).alias("high"))
 
 
-@query("machine_validation", """SELECT machine_id, concat_ws(',', CASE WHEN max_rpm IS NULL THEN 'NO_MAX_RPM' END, CASE WHEN spindle_interface IS NULL THEN 'NO_INTERFACE' END, CASE WHEN travel_x > 1000 THEN 'TRAVEL_OVER_1000' END) AS errors,
-  concat_ws(',', CASE WHEN power_kw IS NULL THEN 'NO_POWER' END, CASE WHEN torque_nm < 40 THEN 'LOW_TORQUE' END) AS warnings, max_rpm IS NOT NULL AND spindle_interface IS NOT NULL AND travel_x <= 1000 AS is_valid FROM v_machine""")
+_BLANK = "coalesce(trim({0}) = '', true)"
+_ERRORS = [
+    ("V-01", f"{_BLANK.format('stable_id')} OR regexp_matches(stable_id, '\\s')"), ("V-02", _BLANK.format("manufacturer")), ("V-03", _BLANK.format("model")), ("V-04", _BLANK.format("machine_type")), ("V-05", _BLANK.format("machine_type_code")),
+    ("V-06", "len(list_filter(string_split(coalesce(processes, ''), ';'), lambda x: trim(x) <> '')) = 0"), ("V-07", "axis_count IS NULL OR axis_count <= 0"), ("V-08", "NOT (turning_capable OR milling_capable OR coalesce(drilling_capable, false))"),
+    ("V-09", _BLANK.format("source_title")), ("V-10", _BLANK.format("evidence_status")), ("V-11", "spindle_max_rpm <= 0"), ("V-12", "spindle_min_rpm <= 0 OR spindle_min_rpm >= spindle_max_rpm"), ("V-13", "spindle_power_kw <= 0"), ("V-14", "spindle_torque_nm <= 0"),
+    ("V-15", "travel_x_mm <= 0 OR travel_y_mm <= 0 OR travel_z_mm <= 0"), ("V-16", "table_length_mm <= 0 OR table_width_mm <= 0"), ("V-17", "table_load_kg <= 0"), ("V-20", "tool_magazine_capacity <= 0"), ("V-21", "rapid_traverse_mpm <= 0"), ("V-22", "simultaneous_axis_count <= 0 OR simultaneous_axis_count > axis_count"),
+]
+_WARNINGS = [
+    ("V-18", "NOT turning_capable AND (max_turning_diameter_mm IS NOT NULL OR max_turning_length_mm IS NOT NULL)"), ("V-19", "NOT turning_capable AND bar_capacity_mm IS NOT NULL"), ("V-23", "capable_5axis_simultaneous AND simultaneous_axis_count IS DISTINCT FROM 5"),
+    ("V-24", "machine_type_code = 'LATHE_Y' AND NOT has_y_axis"), ("V-25", "spindle_max_rpm IS NULL"), ("V-26", "spindle_power_kw IS NULL"),
+]
+_codes = lambda rules: "concat_ws(',', " + ", ".join(f"CASE WHEN {on} THEN '{k}' END" for k, on in rules) + ")"
+
+
+@query("machine_validation", f"SELECT *, errors = '' AS is_valid FROM (SELECT machine_id, {_codes(_ERRORS)} AS errors, {_codes(_WARNINGS)} AS warnings FROM v_machine_record)")
 def machine_validation(shop):
-    df = val.validated(shop.v_machine, [("NO_MAX_RPM", c("max_rpm").isNull()), ("NO_INTERFACE", c("spindle_interface").isNull()), ("TRAVEL_OVER_1000", c("travel_x") > 1000)], [("NO_POWER", c("power_kw").isNull()), ("LOW_TORQUE", c("torque_nm") < 40)])
+    """V1: the 26 rules of a machine record."""
+    df = val.validated(shop.v_machine_record, *val.machine_record_rules())
     return df.select("machine_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "is_valid")
 
 
