@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import round_result
+from .common import released, round_result
 
 
 #: Edges that a task contracts by itself.
@@ -54,10 +54,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         parts = -(-cur.count() // TASK_EDGES)
         if parts <= 1:
-            last = round_result(cur.coalesce(1).mapInArrow(_forest, "a long, b long"))
+            last = round_result(cur.coalesce(1).mapInArrow(released(_forest), "a long, b long"))
             maps.append(last.select("a", F.col("b").alias("m")).union(last.select("b", "b").distinct()))
             break
-        cur = round_result(cur.coalesce(parts).mapInArrow(_forest, "a long, b long"))
+        cur = round_result(cur.coalesce(parts).mapInArrow(released(_forest), "a long, b long"))
         cur = round_result(cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
         m = cur.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         for _ in range(2):

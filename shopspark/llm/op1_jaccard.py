@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import checkpointed, keyed, maybe_broadcast, read_table, same_row
+from .common import checkpointed, keyed, maybe_broadcast, read_table, released, same_row
 from .graph import components, sorted_groups
 
 SHINGLE_WORDS = 4
@@ -110,7 +110,7 @@ def _tokens(n: int):
 def common_tokens(docs: DataFrame, n: int) -> bytes:
     """Bitmap of 2^22 token slots that the order puts last: those of the most common tokens in a sample of texts."""
     sample = docs.filter(F.pmod(F.xxhash64("_h"), F.lit(HINT_SAMPLE)) == 0).select("text").distinct()
-    top = sample.mapInArrow(_tokens(n), "t long").groupBy("t").count().filter("count >= 3").orderBy(F.desc("count"), "t").limit(HINTS)
+    top = sample.mapInArrow(released(_tokens(n)), "t long").groupBy("t").count().filter("count >= 3").orderBy(F.desc("count"), "t").limit(HINTS)
     slots = np.zeros(1 << 22, bool)
     found = top.select(F.shiftrightunsigned("t", 41).alias("slot")).distinct().toArrow().column("slot").to_numpy()
     slots[found.astype(np.int64)] = True
@@ -198,7 +198,7 @@ def _full_sets(n: int):
 
 def _joined(work: DataFrame, percent: int) -> DataFrame:
     """Links found in tasks: work has task (long), cid, label, visitor, tokens."""
-    return work.select("task", "cid", "label", "visitor", "tokens").repartition("task").sortWithinPartitions("task").mapInArrow(_compare(percent), "a long, b long")
+    return work.select("task", "cid", "label", "visitor", "tokens").repartition("task").sortWithinPartitions("task").mapInArrow(released(_compare(percent)), "a long, b long")
 
 
 NOBODY = np.uint64((1 << 64) - 1)
@@ -289,14 +289,14 @@ def shared_tokens(sets: DataFrame, counts: bool = False) -> DataFrame:
     """
     total = sets.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     buckets = int(min(MOST_BUCKETS, max(1, -(-total // BUCKET_TOKENS))))
-    dealt = sets.mapInArrow(_deal(buckets), "bucket long, known boolean, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(_answer(counts), "id long, h long")
+    dealt = sets.mapInArrow(released(_deal(buckets)), "bucket long, known boolean, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(released(_answer(counts)), "id long, h long")
     return found.groupBy("id").agg(F.sum("h").alias("held") if counts else F.collect_list("h").alias("hs"))
 
 
 def set_classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Per row: size, 128-bit digest and prefix of its set, and a number; per distinct non-empty set: cid and representative."""
-    made = docs.mapInArrow(_sets(n, percent, common_tokens(docs, n)), "doc_id long, _h long, n long, d1 long, d2 long, prefix array<long>")
+    made = docs.mapInArrow(released(_sets(n, percent, common_tokens(docs, n))), "doc_id long, _h long, n long, d1 long, d2 long, prefix array<long>")
     rows = checkpointed(made.withColumn("rid", F.monotonically_increasing_id()))
     cid = F.coalesce(F.min("doc_id"), F.expr("(d1 & 4611686018427387903) | 4611686018427387904"))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h", "rid")  # of one row; a null id comes last
@@ -320,7 +320,7 @@ def links(docs: DataFrame, classes: DataFrame, some: DataFrame, n: int, percent:
     """Links (a, b: cid) that connect all representatives which links connect."""
     want = maybe_broadcast(some.select("cid", F.col("rep_id").alias("doc_id"), F.col("rep_h").alias("_h")))
     texts = docs.join(want, same_row(docs, want)).select("cid", "text").dropDuplicates(["cid"])
-    sets = checkpointed(texts.mapInArrow(_full_sets(n), "cid long, tokens array<long>"))
+    sets = checkpointed(texts.mapInArrow(released(_full_sets(n)), "cid long, tokens array<long>"))
     # Whole sets now: one that links shares the percentage of its tokens with others among those left.
     held = shared_tokens(sets.select(F.col("cid").alias("id"), "tokens"), counts=True).withColumnRenamed("id", "cid")
     some = checkpointed(some.join(held, "cid").filter(100 * F.col("held") >= percent * F.col("n")).drop("held"))

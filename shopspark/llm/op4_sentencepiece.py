@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import keyed, read_table
+from .common import keyed, read_table, released
 
 #: Path of a SentencePiece model; a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -321,7 +321,7 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
         (F.shiftleft((F.col("base") + F.col("p")).cast("long") + 1, CODE_BITS) + F.shiftleft("k", ID_BITS) + F.coalesce("id", F.lit(NO_PIECE))).alias("edge"),
         F.when(F.col("k").isNull() | ((F.col("p") == 0) & (F.col("k") == 1)), F.col("unit")).alias("unit"),
     )
-    grouped = edges.mapInArrow(_grouped(pieces.fixed, pieces.longest), "unit binary, blocks array<array<array<long>>>")
+    grouped = edges.mapInArrow(released(_grouped(pieces.fixed, pieces.longest)), "unit binary, blocks array<array<array<long>>>")
     low = (1 << CODE_BITS) - 1
 
     def into(best, node):
@@ -432,10 +432,10 @@ def _by_hash(byte_ids: np.ndarray):
 def common_units(docs: DataFrame, pieces: Pieces, most: int) -> Known:
     """The commonest units of a sample of texts, encoded over their lattice; at most ``most``, so of bounded size."""
     sample = docs.filter(F.pmod(F.xxhash64("_h"), F.lit(KNOWN_SAMPLE)) == 0).select("text")
-    counted = sample.mapInArrow(_distinct_units(pieces.joined), "h long, unit string, n long").groupBy("h").agg(F.first("unit").alias("unit"), F.sum("n").alias("n"))
+    counted = sample.mapInArrow(released(_distinct_units(pieces.joined)), "h long, unit string, n long").groupBy("h").agg(F.first("unit").alias("unit"), F.sum("n").alias("n"))
     top = counted.filter("n > 1").orderBy(F.desc("n"), "h").limit(most).repartition("h")
-    rows = top.select("unit").mapInArrow(_unit_rows_of(pieces), LATTICE)
-    got = lattice(rows, pieces).mapInArrow(_by_hash(pieces.byte_ids), "h long, ids array<int>").toArrow().combine_chunks()
+    rows = top.select("unit").mapInArrow(released(_unit_rows_of(pieces)), LATTICE)
+    got = lattice(rows, pieces).mapInArrow(released(_by_hash(pieces.byte_ids)), "h long, ids array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         none = np.zeros(0, np.int64)
         return Known(none, none, none)
@@ -456,8 +456,8 @@ def encode(docs: DataFrame, model: str = MODEL, known_units: int = KNOWN_UNITS,
     pieces = Pieces(model)
     rows = keyed(docs)
     known = common_units(rows, pieces, known_units)
-    coded = lattice(rows.mapInArrow(_ahead(pieces, known), LATTICE), pieces)
-    return coded.mapInArrow(_filled(pieces, decoded), "doc_id long, _h long, ids array<int>" + ", decoded string" * decoded)
+    coded = lattice(rows.mapInArrow(released(_ahead(pieces, known)), LATTICE), pieces)
+    return coded.mapInArrow(released(_filled(pieces, decoded)), "doc_id long, _h long, ids array<int>" + ", decoded string" * decoded)
 
 
 def texts_of(ids: pa.Array, pieces: Pieces) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import keyed, read_table, same_row
+from .common import keyed, read_table, released, same_row
 
 Q = 12
 #: Patterns overlap by half; an item of at most 1.5 PATTERN characters is one pattern. Shorter ones than MIN_CHARS are searched unedited.
@@ -284,7 +284,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         pats = patterns([(r["item_id"], r["text"]) for r in own.distinct().toLocalIterator()])
         if pats:
-            found = docs.mapInArrow(_search(PatternIndex(pats)), FOUND)
+            found = docs.mapInArrow(released(_search(PatternIndex(pats))), FOUND)
             out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 

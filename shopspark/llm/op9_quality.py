@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import held_out, maybe_broadcast, read_table
+from .common import held_out, maybe_broadcast, read_table, released
 
 NGRAM, SLOTS = 4, 1 << 16
 #: The hinge-loss fit takes at most so many labelled training rows (those with the smallest id hashes), a quarter of them for calibration.
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     y = y.filter(~held_out(F.col("_id"), 5, 0))
     text = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = text.join(maybe_broadcast(y), "_id").select("_id", "y", "text")
-    total = rows.select("y", "text").mapInArrow(_counts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    total = rows.select("y", "text").mapInArrow(released(_counts), "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     n = np.zeros((2, SLOTS))
     n[0, total.column("slot").to_numpy()], n[1, total.column("slot").to_numpy()] = total.column("n0").to_numpy(), total.column("n1").to_numpy()
     p = n + SMOOTHING
@@ -138,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
         share = (size.get(1, 0) + 1e-9) / (size.sum() + 1e-9) if len(size) else 1.0
         return QualityModel(ratio, np.zeros(SLOTS), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     chosen = F.broadcast(y.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows).select("_id"))
-    sample = rows.join(chosen, "_id").select(F.xxhash64("_id").alias("k"), "y", "text").mapInArrow(_features, "k long, y int, slots binary")
-    got = sample.repartition(1).sortWithinPartitions("k", "y", "slots").mapInArrow(_train(ratio), "w binary, b double, slope double, offset double").toArrow().to_pylist()
+    sample = rows.join(chosen, "_id").select(F.xxhash64("_id").alias("k"), "y", "text").mapInArrow(released(_features), "k long, y int, slots binary")
+    got = sample.repartition(1).sortWithinPartitions("k", "y", "slots").mapInArrow(released(_train(ratio)), "w binary, b double, slope double, offset double").toArrow().to_pylist()
     if not got:  # labels of both classes, but of no row of docs
         return QualityModel(ratio, np.zeros(SLOTS), 0.0, 0.0, 0.0)
     got = got[0]
