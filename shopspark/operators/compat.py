@@ -19,12 +19,6 @@ def interfaces(df_interface: Column, more: Column) -> Column:
     return F.array_distinct(F.concat(F.array_compact(F.array(df_interface)), items(more)))
 
 
-def candidates(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str) -> DataFrame:
-    """All triples whose machine and tool do the operation: a product, for small catalogs only."""
-    m, t, h = _catalogs(machines, tools, holders, operation)
-    return t.crossJoin(m).crossJoin(h)
-
-
 def _catalogs(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the rules read of the machines and tools that do the operation, and of the holders."""
     m = machines.filter(F.array_contains(items(F.col("processes")), operation)).select("machine_id", F.col("max_rpm").alias("m_rpm"), F.array_sort(interfaces(F.col("spindle_interface"), F.col("more_interfaces"))).alias("own"), "max_tool_d", "max_tool_len")
@@ -32,6 +26,15 @@ def _catalogs(machines: DataFrame, tools: DataFrame, holders: DataFrame, operati
     return m, t, holders.select("holder_id", F.col("max_rpm").alias("h_rpm"), "machine_interface", "tool_interface", "clamp_min", "clamp_max")
 
 
+#: Most rows of a frame that is broadcast; a longer one is joined by what the optimizer picks.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where it has at most BROADCAST_ROWS rows; counting stops there."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def verdict_counts(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
     """(verdict, rules, n) over all triples whose machine and tool do the operation.
 
@@ -46,8 +49,8 @@ def verdict_counts(machines: DataFrame, tools: DataFrame, holders: DataFrame, op
     t = t.groupBy("d_mm", "length_mm", "shank_mm", "insert_shape", _iso(iso_group).alias("r_iso"), limit("t_rpm").alias("r_rpm_t")).agg(n.alias("n_t"))
     faces = h.select("machine_interface").distinct()
     m = m.groupBy("own", "max_tool_d", "max_tool_len", limit("m_rpm").alias("r_rpm_m")).agg(n.alias("n_m"))
-    m = m.join(F.broadcast(faces), F.lit(True)).groupBy("machine_interface", _interface().alias("r_interface"), "r_rpm_m", "max_tool_d", "max_tool_len").agg(F.sum("n_m").alias("n_m"))
-    th = t.join(F.broadcast(h), F.lit(True)).groupBy("machine_interface", "d_mm", "length_mm", _shank().alias("r_shank"), "r_iso", "r_rpm_t", "r_rpm_h").agg(F.sum(c("n_t") * c("n_h")).alias("n_th"))
+    m = m.join(bounded(faces), F.lit(True)).groupBy("machine_interface", _interface().alias("r_interface"), "r_rpm_m", "max_tool_d", "max_tool_len").agg(F.sum("n_m").alias("n_m"))
+    th = t.join(bounded(h), F.lit(True)).groupBy("machine_interface", "d_mm", "length_mm", _shank().alias("r_shank"), "r_iso", "r_rpm_t", "r_rpm_h").agg(F.sum(c("n_t") * c("n_h")).alias("n_th"))
     pairs = th.join(m, th["machine_interface"].eqNullSafe(m["machine_interface"])).withColumns({"r_length": _length(), "r_diameter": _diameter()})
     return pairs.groupBy(*RULES).agg(F.sum(c("n_th") * c("n_m")).alias("n")).select(_verdict().alias("verdict"), *RULES, "n")
 
@@ -59,7 +62,7 @@ def fitting(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation
     m = m.filter(c("m_rpm") >= rpm).withColumn("machine_interface", F.explode("own"))
     h = h.filter(c("h_rpm") >= rpm)
     t = t.filter((c("t_rpm") >= rpm) & (_iso(iso_group) == "PASS"))
-    th = t.join(F.broadcast(h), _shank() == "PASS")
+    th = t.join(bounded(h), _shank() == "PASS")
     return th.join(m, "machine_interface").filter((_length() == "PASS") & (_diameter() == "PASS"))
 
 
@@ -73,10 +76,10 @@ def _known(unknown: Column, ok: Column) -> Column:
     return F.when(unknown, "UNKNOWN").when(ok, "PASS").otherwise("FAIL")
 
 
-def evaluate(triples: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
-    """The rules' statuses, and verdict: any FAIL is INCOMPATIBLE, else any UNKNOWN is INSUFFICIENT_DATA."""
+def evaluate(triples: DataFrame, iso_group: str | Column, rpm: float | Column) -> DataFrame:
+    """The rules' statuses, and verdict: any FAIL is INCOMPATIBLE, else any UNKNOWN is INSUFFICIENT_DATA. Group and speed may differ by row; a speed that is NULL is unknown."""
     c = F.col
-    limit = lambda x: _known(c(x).isNull(), c(x) >= rpm)
+    limit = lambda x: _known(c(x).isNull() | F.lit(rpm).isNull(), c(x) >= rpm)
     out = triples.withColumns({
         "r_interface": _interface(), "r_shank": _shank(), "r_length": _length(), "r_diameter": _diameter(),
         "r_iso": _iso(iso_group), "r_rpm_m": limit("m_rpm"), "r_rpm_t": limit("t_rpm"), "r_rpm_h": limit("h_rpm"),
@@ -96,7 +99,7 @@ def _diameter() -> Column:
     return _known(F.col("d_mm").isNull() | F.col("max_tool_d").isNull(), F.col("d_mm") <= F.col("max_tool_d"))
 
 
-def _iso(iso_group: str) -> Column:
+def _iso(iso_group: str | Column) -> Column:
     return _known(F.size("groups") == 0, F.array_contains("groups", iso_group))
 
 

@@ -99,8 +99,11 @@ def changes_in_order(rows: DataFrame, key: str, order: list[str], value: str) ->
 
 
 def by_precedence(values: DataFrame, key: str, order: dict[str, int]) -> DataFrame:
-    """(key, source, value, rejected): the value of the best-ranked source, and the sources passed over in order. Values that are NULL don't take part."""
+    """(key, source, value, rejected, status): the value of the best-ranked source, and the sources passed over in order. Values that are
+    NULL don't take part; a key that has no other stays, as INSUFFICIENT_DATA."""
     rank = F.coalesce(*[F.when(c("source") == s, F.lit(r)) for s, r in order.items()], F.lit(len(order)))
-    own = values.filter("value IS NOT NULL").withColumn("_r", rank)
-    out = own.groupBy(key).agg(F.min_by(F.struct("source", "value"), F.struct("_r", "source", "value")).alias("best"), F.sort_array(F.collect_list(F.struct("_r", "source", "value"))).alias("all"))
-    return out.select(key, "best.source", "best.value", F.array_join(F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["source"]), ",").alias("rejected"))
+    own = values.withColumn("_v", F.when(c("value").isNotNull(), F.struct(rank.alias("_r"), "source", "value")))
+    out = own.groupBy(key).agg(F.min("_v").alias("best"), F.sort_array(F.collect_list("_v")).alias("all"))
+    passed = F.transform(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["source"])
+    status = F.when(c("best").isNull(), "INSUFFICIENT_DATA").otherwise("RESOLVED")
+    return out.select(key, "best.source", "best.value", F.array_join(passed, ",").alias("rejected"), status.alias("status"))

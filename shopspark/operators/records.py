@@ -113,9 +113,14 @@ def _machining(operation: str = "operation") -> Column:
     return ~F.contains(F.upper(F.coalesce(c(operation), F.lit(""))), F.lit("INSPECT"))
 
 
+def _given(name: str) -> Column:
+    """A speed or feed is given where it is known and not zero."""
+    return F.coalesce(c(name), F.lit(0)) != 0
+
+
 def open_items(steps: DataFrame, uninspected: DataFrame) -> DataFrame:
     """(plan_id, category, severity, related_id): what machining steps lack, and critical characteristics without inspection."""
-    cases = [("MISSING_MACHINE", "REVIEW_REQUIRED", c("machine_id").isNull()), ("MISSING_TOOL", "REVIEW_REQUIRED", c("tool_id").isNull()), ("MISSING_PARAMETER", "ADVISORY", c("vc").isNull() & c("feed_rate").isNull())]
+    cases = [("MISSING_MACHINE", "REVIEW_REQUIRED", c("machine_id").isNull()), ("MISSING_TOOL", "REVIEW_REQUIRED", c("tool_id").isNull()), ("MISSING_PARAMETER", "ADVISORY", ~_given("vc") & ~_given("feed_rate"))]
     hits = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(k).alias("category"), F.lit(s).alias("severity"))) for k, s, on in cases]))
     own = steps.filter(_machining()).select("plan_id", c("step_id").cast("long").alias("related_id"), F.explode(hits).alias("i")).select("plan_id", "i.*", "related_id")
     lost = uninspected.select("plan_id", F.lit("MISSING_INSPECTION").alias("category"), F.lit("BLOCKING").alias("severity"), c("characteristic_id").alias("related_id"))
@@ -132,20 +137,27 @@ def completeness(steps: DataFrame) -> DataFrame:
     share = lambda on: F.coalesce(F.avg(F.when(_machining(), on.cast("int"))), F.lit(0.0))
     parts = {
         "machine": share(c("machine_id").isNotNull()), "tool": share(c("tool_id").isNotNull()), "holder": F.coalesce(F.avg(F.when(_machining(), c("holder_id").isNotNull().cast("int"))), F.lit(1.0)),
-        "parameter": share(c("vc").isNotNull()), "cycle_time": share(c("timed")), "inspection": F.avg(c("covered").cast("int")), "requirement": F.lit(1.0),
+        "parameter": share(_given("vc")), "cycle_time": share(c("timed")), "inspection": F.avg(c("covered").cast("int")), "requirement": F.lit(1.0),
     }
     out = steps.groupBy("plan_id").agg(*[v.alias(k) for k, v in parts.items()])
     mean = sum((c(k) for k in parts), F.lit(0.0)) / len(parts)
-    band = F.when(c("completeness") >= 0.95, "COMPLETE").when(c("completeness") >= 0.80, "MOSTLY_COMPLETE").when(c("completeness") >= 0.50, "PARTIALLY_COMPLETE").otherwise("INCOMPLETE")
-    return out.withColumn("completeness", mean).withColumn("band", band)
+    return out.withColumn("completeness", mean).withColumn("band", band(c("completeness")))
+
+
+def band(completeness: Column) -> Column:
+    return F.when(completeness >= 0.95, "COMPLETE").when(completeness >= 0.80, "MOSTLY_COMPLETE").when(completeness >= 0.50, "PARTIALLY_COMPLETE").otherwise("INCOMPLETE")
+
+
+def gate(blocking: Column, review: Column, band: Column, completeness: Column) -> Column:
+    held = F.when(blocking > 0, "BLOCKED").when(band == "INCOMPLETE", "INCOMPLETE").when((review > 0) | (completeness < 0.80), "REVIEW_REQUIRED")
+    return held.otherwise("READY_FOR_ENGINEERING_REVIEW")
 
 
 def release_gate(plans: DataFrame, items: DataFrame) -> DataFrame:
     """plans (plan_id, completeness, band) with blocking, review and gate."""
     n = items.groupBy("plan_id").agg(F.count_if(c("severity") == "BLOCKING").alias("blocking"), F.count_if(c("severity") == "REVIEW_REQUIRED").alias("review"))
     out = plans.join(n, "plan_id", "left").na.fill(0, ["blocking", "review"])
-    gate = F.when(c("blocking") > 0, "BLOCKED").when(c("band") == "INCOMPLETE", "INCOMPLETE").when((c("review") > 0) | (c("completeness") < 0.80), "REVIEW_REQUIRED")
-    return out.withColumn("gate", gate.otherwise("READY_FOR_ENGINEERING_REVIEW"))
+    return out.withColumn("gate", gate(c("blocking"), c("review"), c("band"), c("completeness")))
 
 
 def plan_findings(plans: DataFrame, items: DataFrame, steps: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def tool_transitions(shop):
 
 @query("calibration_values", """WITH v AS (SELECT l_orderkey AS plan_id, CASE l_linenumber % 5 WHEN 0 THEN 'USER_OVERRIDE' WHEN 1 THEN 'SHOP_MEASUREMENT' WHEN 2 THEN 'MANUFACTURER_REFERENCE' WHEN 3 THEN 'LITERATURE_REFERENCE' ELSE 'OTHER' END AS source, CASE WHEN l_partkey % 8 <> 0 THEN l_quantity END AS value FROM lineitem),
   r AS (SELECT *, CASE source WHEN 'USER_OVERRIDE' THEN 0 WHEN 'SHOP_MEASUREMENT' THEN 1 WHEN 'MANUFACTURER_REFERENCE' THEN 2 WHEN 'LITERATURE_REFERENCE' THEN 3 ELSE 4 END AS k FROM v WHERE value IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY k, source, value) AS i FROM r)
-  SELECT plan_id, min_by(source, i) AS source, min_by(value, i) AS value, coalesce(string_agg(source, ',' ORDER BY i) FILTER (WHERE i > 1), '') AS rejected FROM n GROUP BY plan_id""")
+  SELECT plan_id, min_by(source, i) AS source, min_by(value, i) AS value, coalesce(string_agg(source, ',' ORDER BY i) FILTER (WHERE i > 1), '') AS rejected, 'RESOLVED' AS status FROM n GROUP BY plan_id UNION ALL SELECT plan_id, NULL, NULL, '', 'INSUFFICIENT_DATA' FROM v GROUP BY plan_id HAVING count(value) = 0""")
 def calibration_values(shop):
     """The value of the best source, and the sources passed over."""
     order = {"USER_OVERRIDE": 0, "SHOP_MEASUREMENT": 1, "MANUFACTURER_REFERENCE": 2, "LITERATURE_REFERENCE": 3}
