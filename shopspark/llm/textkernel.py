@@ -22,6 +22,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Unit positions that fit beside 37 bits of a hash into one sort key.
+POSITIONS = 1 << 27
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about ``limit`` bytes of text each, at least one row."""
     n, text = batch.num_rows, batch.column(column)
@@ -136,20 +140,34 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:m], left[w - 1 : w - 1 + m])
 
 
+def _super_windows_by_parts(grams: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """super_windows() over parts of POSITIONS / 2 windows, which overlap by the units of a window less one.
+
+    A run that passes the end of a part goes on as a second one with the same minimiser; each window stays in one run.
+    """
+    step = max(POSITIONS // 2, 1)
+    found = []
+    for a in range(0, int(bounds[-1]) - window + 1, step):
+        own = np.clip(bounds - a, 0, step + window - 1)
+        text, first, last, at, h = super_windows(grams[a : a + step + window - k], own, window, k)
+        found.append((text, first + a, last + a, at + a, h))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def super_windows(grams: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of consecutive windows that share the position of their minimiser.
 
     grams: hash of the k units from each position; bounds: unit index where each text begins, and the end.
-    A run has at most window-k+1 windows. Returns text index, first and last window start, minimiser
+    A run has at most window-k+1 windows. A chunk of POSITIONS units and more (one very long text) is taken in parts. Returns text index, first and last window start, minimiser
     position (all as unit indexes of the chunk) and the minimiser's hash.
     """
     empty = np.zeros(0, np.int64)
     total = int(bounds[-1])
     if total < window or not len(grams):
         return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    if total >= 1 << 27:
-        raise ValueError("a single text of more than 2^27 units")
-    low = np.uint64((1 << 27) - 1)
+    if total >= POSITIONS:
+        return _super_windows_by_parts(grams, bounds, window, k)
+    low = np.uint64(POSITIONS - 1)
     key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     at = (sliding_min(key, window - k + 1) & low).astype(np.int64)  # equal hashes: the leftmost
     del key

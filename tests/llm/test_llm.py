@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shopspark.llm import op1_jaccard, op2_substring, op3_brown, op4_sentencepiece, op5_exact, op6_suffix, op7_pii, op8_decontam, op9_quality, op10_chat
+from shopspark.llm import op1_jaccard, op2_substring, op3_brown, op4_sentencepiece, op5_exact, op6_suffix, op7_pii, op8_decontam, op9_quality, op10_chat, textkernel
 from shopspark.llm.common import keyed
 from shopspark.llm.graph import components
 from shopspark.llm.semicrf import SemiCRF, tokens
@@ -445,3 +445,71 @@ def test_reply_trees(spark):
 
 def test_keyed_ignores_other_columns(spark, rows):
     assert keyed(table(spark, rows)).columns == ["doc_id", "text", "_h"]
+
+
+def test_super_windows_of_a_text_longer_than_a_sort_key(monkeypatch):
+    r = np.random.default_rng(3)
+    buf = r.integers(97, 100, 5000).astype(np.uint8)
+    bounds = np.array([0, 40, 40, 4700, 5000])
+    window, k = 35, 4
+    grams = textkernel.byte_gram_hashes(buf, k)
+    whole = textkernel.super_windows(grams, bounds, window, k)
+    monkeypatch.setattr(textkernel, "POSITIONS", 512)
+    parts = textkernel.super_windows(grams, bounds, window, k)
+
+    def windows(found):  # start: (text, hash of its minimiser)
+        return sorted((w, t, h) for t, first, last, _, h in zip(*(x.tolist() for x in found), strict=True) for w in range(first, last + 1))
+
+    assert windows(parts) == windows(whole)
+    assert [w for w, *_ in windows(parts)] == [i for a, b in zip(bounds, bounds[1:]) for i in range(a, b - window + 1)]
+    assert all(f <= a + window and f <= b and p >= f for a, b, p, f in zip(parts[1], parts[2], parts[3], parts[1]))
+
+
+def test_very_long_texts(spark):
+    """Texts of some hundred KB beside short ones: sets, windows, digests, passages and scores of the whole text."""
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(5000)]
+    text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    long = text(40_000)
+    words = long.split()
+    near = list(words)
+    for k in range(0, len(near), 400):
+        near[k] = "zz"
+    item = text(40)
+    rows = [(1, long), (2, " ".join(near)), (3, text(40_000)), (4, " ".join(words[20_000:20_050])), (5, long.upper()), (6, "short"), (7, text(30_000) + " " + item + " " + text(30_000))]
+    docs = table(spark, rows)
+
+    def shingles(t):
+        w = lower(t).split()
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)}
+
+    a, b = shingles(long), shingles(rows[1][1])
+    assert 100 * len(a & b) >= 85 * len(a | b)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in op1_jaccard.jaccard_components(docs).collect()}
+    assert got == {i: (len(shingles(t)), 1 if i in (1, 2, 5) else i) for i, t in rows}
+
+    units = [t.split() for _, t in rows]
+    want = {i: (n, gone, kept) for (i, _), (n, gone, kept) in zip(rows, brute_repeats(units, 35, " ".join))}
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in op2_substring.remove_repeated_words(docs).collect()}
+    assert got == want
+
+    data = [rows[0], rows[3], (8, long[100_000:150_000])]
+    out = {x["doc_id"]: (x["n_bytes"], x["n_removed"], bytes(x["kept"])) for x in op6_suffix.remove_repeated_bytes(table(spark, data)).collect()}
+    seen, gone = {}, {}
+    for i, t in data:
+        for p in range(len(t) - 199):
+            seen.setdefault(t[p : p + 200], []).append((i, p))
+    for at in seen.values():
+        for i, p in at if len(at) > 1 else []:
+            gone.setdefault(i, set()).update(range(p, p + 200))
+    assert out == {i: (len(t), len(gone.get(i, ())), "".join(x for p, x in enumerate(t) if p not in gone.get(i, ())).encode()) for i, t in data}
+
+    stay = {x["doc_id"]: x["keep_id"] for x in op5_exact.deduplicate(docs).collect()}
+    assert stay == {1: 5, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+
+    found = {x["doc_id"]: list(x["items"]) for x in op8_decontam.contaminated(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert found == {i: [9] if i == 7 else [] for i, _ in rows}
+
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    scores = {x["doc_id"]: x["score"] for x in op9_quality.score_quality(docs, labels).collect()}
+    assert len(scores) == len(rows) and all(0 <= s <= 1 for s in scores.values())
