@@ -477,7 +477,8 @@ def texts_of(ids: pa.Array, pieces: Pieces) -> pa.Array:
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with a column decoded: the texts of its ids."""
+    """encoded with a column decoded: the texts of its ids (null or no ids: the empty text). Other columns and repeated rows
+    stay, but for a column that is already named decoded, which is replaced. An empty table gives an empty result."""
     pieces = Pieces(model)
     decoder = F.arrow_udf(lambda ids: texts_of(ids, pieces), "string")
     return encoded.withColumn("decoded", decoder(F.col("ids")))

@@ -1,12 +1,11 @@
-"""Suffix-array dedup: repeated byte strings, found by induced sorting of suffixes with their common prefixes.
-
-The table's suffixes are dealt to shards by the minimiser of their first 200 bytes. A shard is sorted by
-induction, as suffix arrays are: the suffixes that start at minimisers play the sampled ("S*") suffixes and
-are sorted first, by recursive naming of 8-byte blocks; every other suffix of the shard is one byte longer
-than one already in order, so each round derives the next order from the last one by a stable pass over the
-preceding byte, and its common-prefix values by range minima. The queue of suffix tuples between text and
-shards is Spark's sort shuffle, which spills to disk; a shard's kernel holds a few MB at a time, so a shard
-may be far larger than memory.
+"""Suffix-array dedup: repeated byte strings, found by sorting suffixes with their common prefixes in shards.
+
+The table's suffixes are dealt to shards by the minimiser of their first 200 bytes; Spark's sort shuffle, which spills to
+disk, is the queue between texts and shards. A shard's kernel takes whole minimisers, a few MB at a time. It sorts the
+suffixes that start at the minimisers by refining ranks of 8-byte blocks, with their common prefixes; every other suffix of
+the shard is one byte longer than one already in order, so each round derives the next order from the last one by a stable
+pass over the preceding byte, and its common prefixes by range minima. This is not external induced sorting: ranks are
+refined in memory, nothing recurses over names, and no queue holds every suffix of the table (README says why).
 """
 
 from __future__ import annotations

@@ -305,7 +305,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark passage."""
+    """The rows of docs, with all their columns, that hold no benchmark passage; repeated rows stay or go together.
+
+    Null and empty texts hold none and stay, rows without an id are judged by their text like others. With an empty benchmark
+    all rows stay; an empty table gives an empty result.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bad = find_passages(keyed(docs), benchmark).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash")).distinct()
     return docs.join(bad, (F.xxhash64(text) == bad["_hash"]) & docs["doc_id"].cast("long").eqNullSafe(bad["_id"]), "left_anti")

@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     """Fit on the labelled rows of docs whose crc32(doc_id) mod 5 isn't 0.
 
     Rows with conflicting or null labels teach nothing. Without labels of both classes the score is the share of 1
-    (1 without any label). The log-count ratios take all labelled rows, the hinge fit at most ``fit_rows``.
+    (1 without any label). The log-count ratios take all labelled rows, the hinge fit at most ``fit_rows`` (those with the least hash
+    of their id), and of these as many as have FIT_SLOTS features together.
     """
     y = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"), F.max("quality").alias("z")).filter("y = z").select(F.col("doc_id").alias("_id"), "y")
     y = y.filter(~held_out(F.col("_id"), 5, 0))
@@ -199,7 +200,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold; order, ids and repeated rows stay as they are.
+
+    Null and empty texts get the score of a text without features, like score_quality(); null ids count as the text '' for the
+    held-out share and are judged like others. Without any label every row scores about 1 and stays (see fit()). An empty table
+    gives an empty result. Columns named like those of the model are no input and pass unchanged.
+    """
     return docs.filter(fit(docs, labels).column(F.col("text")) >= threshold)
 
 
