@@ -17,29 +17,30 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier (fitted on the labelled ones among docs) doesn't reject."""
+    """Documents that the classifier (fitted on the labelled ones among docs) doesn't reject; see op9_quality.keep_good for nulls."""
     return op9_quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
+    """Of equal texts the document with the largest doc_id, of repeated rows one; a null text counts as empty; see op5_exact.survivors."""
     return op5_exact.survivors(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id; rows without an id stay."""
+    """Of each component of near duplicates the document with the smallest doc_id; rows without an id stay, and so do null and
+    empty texts, which link with nothing. A row goes with every row of its id: the stages before leave one row per id and text."""
     found = op1_jaccard.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none and stay."""
     return op8_decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece ids, their number, and whether decoding gives the text back."""
+    """doc_id, piece ids, their number, and whether decoding gives the text back; a null text counts as empty and has no ids."""
     out = op4_sentencepiece.encode(docs, decoded=True)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("_h")).alias("lossless"))
 
