@@ -142,17 +142,22 @@ def _count(unit: Unit):
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, hot_limit: int = HOT_LIMIT) -> DataFrame:
-    """doc_id, _h, start, length (units) of every run of windows that also start elsewhere. docs: keyed()."""
+    """doc_id, _h, start, length (units) of every run of windows that also start elsewhere. docs: keyed().
+
+    AQE splits a frequent key only between plain exchanges. So the minimisers found twice are written before they meet their
+    places, and the fingerprints found twice, whose input would have to be made again for that, meet theirs under another key
+    than the one they were counted by.
+    """
     hits = docs.mapInArrow(_find(unit), HITS)
     repeated = hits.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot_limit).alias("hot"))
-    hits = hits.join(checkpointed(repeated), "anchor")  # written, so that AQE can split a frequent minimiser's side of the join
+    hits = hits.join(checkpointed(repeated), "anchor")
     by_doc = hits.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("anchor", "at", "hot")).alias("hits"))
     packed = docs.join(by_doc, same_row(docs, by_doc)).select(docs["doc_id"], docs["_h"], "text", "hits").mapInArrow(_pack(unit), PACKED)
     cold = packed.filter(F.col("payload").isNotNull()).select("doc_id", "_h", "anchor", "at", "payload")
     spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_count(unit), SPANS)
-    each = packed.filter(F.col("w1").isNotNull()).select("doc_id", "_h", F.shiftright("at", 32).cast("int").alias("s"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("doc_id", "_h", (F.col("s") + F.col("i")).alias("start"), "w.w1", "w.w2")
-    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hot = each.join(twice, ["w1", "w2"]).select("doc_id", "_h", "start", F.lit(unit.window).alias("length"))
+    each = packed.filter(F.col("w1").isNotNull()).select("doc_id", "_h", F.shiftright("at", 32).cast("int").alias("s"), F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("doc_id", "_h", (F.col("s") + F.col("i")).alias("start"), "w.w1", "w.w2", F.bitwise_not("w.w2").alias("v2"))
+    twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", F.bitwise_not("w2").alias("v2"))  # other keys than the count's, so exchanged again
+    hot = each.join(twice, ["w1", "v2"]).select("doc_id", "_h", "start", F.lit(unit.window).alias("length"))
     return spans.unionByName(hot)
 
 
