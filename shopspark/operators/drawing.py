@@ -142,37 +142,6 @@ def association_state(annotations: DataFrame, ranked: DataFrame, keys: list[str]
     return g.select(*keys, F.when(auto, c("feature_id")).alias("feature_id"), F.when(c("s1").isNull(), "UNRESOLVED").when(auto, "AUTO_MATCHED").otherwise("MULTIPLE_CANDIDATES").alias("state"))
 
 
-def size_score(asked: Column, own: Column) -> Column:
-    """1 within 0.1, 0.8 within 0.5, 0.5 within 2, 0.2 within 10 (mm), else 0; 0.5 where a size isn't known."""
-    gap = F.abs(asked - own)
-    return F.when(gap.isNull(), 0.5).when(gap <= 0.1, 1.0).when(gap <= 0.5, 0.8).when(gap <= 2, 0.5).when(gap <= 10, 0.2).otherwise(0.0)
-
-
-def pair_score(kind: Column, feature_type: Column, asked: Column, own: Column, source: Column) -> Column:
-    """Weighted: type 0.4, size 0.4, the source's confidence 0.2."""
-    return 0.4 * suits(kind, feature_type) + 0.4 * size_score(asked, own) + 0.2 * source
-
-
-def fused(requirements: DataFrame, features: DataFrame) -> DataFrame:
-    """(part_id, req_id, feature_id, score, state) per requirement: AUTO_MATCHED, MULTIPLE_CANDIDATES or UNRESOLVED.
-
-    The score reads only type and size, so features of a part that agree in both are one candidate with a count, and so are requirements:
-    groups are paired, not rows. requirements: part_id, req_id, kind, size, source; features: part_id, feature_id, feature_type, size.
-    """
-    f = features.groupBy("part_id", "feature_type", c("size").alias("own")).agg(F.min("feature_id").alias("feature_id"), F.count(F.lit(1)).alias("n"))
-    want = ["part_id", "kind", "size", "source"]
-    r = requirements.select(*want).distinct()
-    j = r.join(f, "part_id", "left").withColumn("score", F.round(pair_score(c("kind"), c("feature_type"), c("size"), c("own"), c("source")), 6))
-    top = j.withColumn("rank", F.row_number().over(W.partitionBy(*want).orderBy(c("score").desc_nulls_last(), "feature_id"))).filter("rank <= 2")
-    g = top.groupBy(*want).agg(F.max(F.when(c("rank") == 1, c("score"))).alias("score"), F.max(F.when(c("rank") == 1, F.when(c("n") > 1, c("score")))).alias("twin"), F.max(F.when(c("rank") == 2, c("score"))).alias("s2"), F.max(F.when(c("rank") == 1, c("feature_id"))).alias("feature_id"))
-    second = F.coalesce("twin", "s2")
-    state = F.when(F.coalesce(c("score"), F.lit(0.0)) < AUTO_SCORE, "UNRESOLVED").when(second.isNotNull() & (c("score") - second < AUTO_GAP), "MULTIPLE_CANDIDATES").otherwise("AUTO_MATCHED")
-    g = g.withColumn("state", state).withColumn("feature_id", F.when(c("state") != "UNRESOLVED", c("feature_id")))
-    a, b = requirements.alias("a"), g.alias("b")
-    on = [c(f"a.{k}").eqNullSafe(c(f"b.{k}")) for k in want]
-    return a.join(b, on, "left").select("a.part_id", "a.req_id", "b.feature_id", "b.score", "b.state")
-
-
 def link_state(events: DataFrame) -> DataFrame:
     """(requirement_id, feature_id, status) after review events (requirement_id, event_id, ts, action, feature_id): the last of confirm, reassign
     (makes a link where none is) and mark_drawing_only decides; a confirmation of another feature than the link's doesn't count."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drawing as dr
 from ..operators import frames as fr
+from ..operators import fusion as fu
 from .registry import query
 
 c = F.col
@@ -86,17 +87,55 @@ def association_states(shop):
     return out.select("drawing_id", "page", c("annotation_id.token_id").alias("annotation_id"), c("annotation_id.s").alias("s"), "feature_id", "state")
 
 
-_FUSE = f"""rq AS (SELECT DISTINCT plan_id AS part_id, characteristic_id AS req_id, s, char_type AS kind, CASE WHEN s % 3 = 0 THEN NULL ELSE nominal / 5 END AS size, CASE s % 2 WHEN 0 THEN 0.95 ELSE 0.6 END AS source FROM v_char), ff AS (SELECT part_id, feature_id, feature_type, d_mm AS own FROM v_feature),
-  sc AS (SELECT rq.*, feature_id, feature_type, own, CASE WHEN own IS NOT NULL THEN round(0.4 * {_suits('kind', 'feature_type')} + 0.4 * CASE WHEN size IS NULL OR own IS NULL THEN 0.5 WHEN abs(size - own) <= 0.1 THEN 1 WHEN abs(size - own) <= 0.5 THEN 0.8 WHEN abs(size - own) <= 2 THEN 0.5 WHEN abs(size - own) <= 10 THEN 0.2 ELSE 0 END + 0.2 * source, 6) END AS score FROM rq LEFT JOIN ff USING (part_id)),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY part_id, req_id, s, kind, size, source ORDER BY score DESC NULLS LAST, feature_id) AS rank FROM sc), tp AS (SELECT part_id, req_id, s, kind, size, source, max(score) FILTER (WHERE rank = 1) AS score, max(score) FILTER (WHERE rank = 2) AS s2 FROM rk WHERE rank <= 2 GROUP BY ALL)"""
+_FE = """SELECT DISTINCT part_id, feature_id, CASE feature_id % 11 WHEN 0 THEN 'THROUGH_HOLE' WHEN 1 THEN 'BLIND_HOLE' WHEN 2 THEN 'HOLE' WHEN 3 THEN 'OPEN_SLOT' WHEN 4 THEN 'CLOSED_POCKET' WHEN 5 THEN 'PLANAR_FACE'
+    WHEN 6 THEN 'OUTER_DIAMETER' WHEN 7 THEN 'INNER_DIAMETER' WHEN 8 THEN 'CHAMFER' WHEN 9 THEN 'FILLET' ELSE 'BOSS' END AS feature_type,
+  CASE WHEN feature_id % 11 IN (0, 1, 2, 6, 7, 10) THEN d_mm END AS diameter, CASE WHEN feature_id % 11 IN (3, 4) THEN d_mm END AS width, CASE WHEN feature_id % 11 = 5 THEN depth_mm END AS length FROM {v_feature}"""
+#: Every 19th part's requirements name a part without features, which leaves features without requirements.
+_RQ = """SELECT DISTINCT CASE WHEN plan_id % 19 = 0 THEN -plan_id ELSE plan_id END AS part_id, characteristic_id, s, CASE WHEN s % 11 = 0 THEN 'NOTE' WHEN s % 11 = 1 THEN 'FIT' WHEN s % 11 = 2 THEN 'DATUM' WHEN s % 37 = 3 THEN NULL
+    WHEN char_type = 'GDT' THEN 'GDT_FCF' ELSE char_type END AS kind, CASE WHEN s % 7 = 4 THEN NULL ELSE 0.5 + CAST(s % 11 AS DOUBLE) / 20 END AS source,
+  CASE WHEN s % 13 = 5 THEN 'as shown' ELSE CASE s % 4 WHEN 0 THEN 'Ø' WHEN 1 THEN 'W ' WHEN 2 THEN 'diam. ' ELSE '' END || CAST(CAST(floor(nominal / 5) AS BIGINT) AS STRING) || ',' || CAST(CAST(floor(nominal) AS BIGINT) % 5 * 2 AS STRING) || CASE s % 3 WHEN 0 THEN ' depth' ELSE '' END END AS value FROM {v_char}"""
+_SEVEN = "CASE " + " ".join(f"WHEN kind = '{k}' AND feature_type = '{f}' THEN {v}" for k, own in fu.SUITS.items() for f, v in own.items()) + f" ELSE {fu.OTHER} END"
+_FUSED = f"""fe AS ({_FE.format(v_feature='v_feature')}), rq AS ({_RQ.format(v_char='v_char')}),
+  pr AS (SELECT *, CAST(nullif(regexp_extract(replace(value, ',', '.'), '[0-9]+(\\.[0-9]+)?', 0), '') AS DOUBLE) AS asked, coalesce(value LIKE '%Ø%' OR lower(value) LIKE '%diam%', false) AS dia FROM rq),
+  ow AS (SELECT pr.*, feature_id, feature_type, CASE WHEN kind = 'DIMENSION' AND NOT dia THEN coalesce(diameter, width, length) ELSE diameter END AS own FROM pr JOIN fe USING (part_id) WHERE kind NOT IN ('NOTE', 'TITLE_FIELD', 'UNKNOWN', 'GENERAL_TOLERANCE')),
+  sc AS (SELECT *, round(0.25 * {_SEVEN} + 0.25 * CASE WHEN asked IS NULL THEN 0.5 WHEN kind IN ('SURFACE_FINISH', 'GDT_FCF') THEN 0.6 WHEN kind = 'DATUM' OR own IS NULL THEN 0.4 WHEN round(abs(asked - own), 9) <= 0.1 THEN 1
+      WHEN round(abs(asked - own), 9) <= 0.5 THEN 0.85 WHEN round(abs(asked - own), 9) <= 2 THEN 0.6 WHEN round(abs(asked - own), 9) <= 10 THEN 0.3 ELSE 0.1 END + 0.2 + 0.05 * coalesce(source, 0.5), 6) AS score FROM ow),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY part_id, characteristic_id, s, kind, source, value ORDER BY score DESC, feature_id) AS rank FROM sc),
+  tp AS (SELECT part_id, characteristic_id, s, kind, value, max(score) FILTER (WHERE rank = 1) AS score, max(score) FILTER (WHERE rank = 2) AS second, string_agg(feature_id::VARCHAR, ',' ORDER BY rank) AS candidates, max(feature_id) FILTER (WHERE rank = 1) AS best FROM rk WHERE rank <= 3 GROUP BY ALL),
+  lk AS (SELECT pr.part_id, pr.characteristic_id AS req_id, pr.s, score, candidates, best, CASE WHEN pr.kind = 'DIMENSION' THEN CASE WHEN dia THEN 'DIAMETER' WHEN lower(pr.value) LIKE '%depth%' THEN 'DEPTH' WHEN pr.value LIKE '%W%' THEN 'WIDTH' ELSE 'LINEAR' END END AS role,
+      CASE WHEN score IS NULL THEN 'DRAWING_ONLY' WHEN score < 0.7 THEN 'UNRESOLVED' WHEN coalesce(round(score - second, 6) < 0.15, false) THEN 'MULTIPLE_CANDIDATES' ELSE 'AUTO_MATCHED' END AS state
+    FROM pr LEFT JOIN tp ON tp.part_id = pr.part_id AND tp.characteristic_id = pr.characteristic_id AND tp.s = pr.s AND tp.kind IS NOT DISTINCT FROM pr.kind AND tp.value IS NOT DISTINCT FROM pr.value),
+  lo AS (SELECT DISTINCT part_id, feature_id, feature_type, k.part_id IS NOT NULL AND feature_type NOT IN ('CHAMFER', 'FILLET', 'EDGE_BREAK') AS asks FROM fe LEFT JOIN (SELECT DISTINCT part_id FROM rq) k USING (part_id)
+    WHERE NOT EXISTS (SELECT 1 FROM lk WHERE lk.state = 'AUTO_MATCHED' AND lk.part_id = fe.part_id AND lk.best = fe.feature_id) AND (k.part_id IS NULL OR feature_type <> 'PLANAR_FACE'))"""
+
+
+def _fusion(shop):
+    requirements = shop.spark.sql(_RQ, v_char=shop.v_char).select("part_id", F.struct("characteristic_id", "s").alias("req_id"), "kind", "value", "source")
+    features = shop.spark.sql(_FE, v_feature=shop.v_feature)
+    return requirements, features, fu.links(requirements, features)
+
+
+@query("fusion_states", f"WITH {_FUSED} SELECT part_id, req_id, s, role, score, CASE WHEN state = 'MULTIPLE_CANDIDATES' THEN candidates END AS candidates, CASE WHEN state IN ('AUTO_MATCHED', 'MULTIPLE_CANDIDATES') THEN best END AS feature_id, state FROM lk")
+def fusion_states(shop):
+    """Requirements of a part met with its features by a score of seven parts."""
+    several = F.when(c("state") == "MULTIPLE_CANDIDATES", F.array_join("candidates", ","))
+    return _fusion(shop)[2].select("part_id", c("req_id.characteristic_id").alias("req_id"), c("req_id.s").alias("s"), "role", "score", several.alias("candidates"), "feature_id", "state")
 
 
-@query("fusion_states", f"WITH {_FUSE} SELECT part_id, req_id, s, score, CASE WHEN coalesce(score, 0) < 0.7 THEN 'UNRESOLVED' WHEN s2 IS NOT NULL AND score - s2 < 0.15 THEN 'MULTIPLE_CANDIDATES' ELSE 'AUTO_MATCHED' END AS state FROM tp")
-def fusion_states(shop):
-    """Requirements of a part met with its features."""
-    r = shop.v_char.select(c("plan_id").alias("part_id"), F.struct("characteristic_id", "s").alias("req_id"), c("char_type").alias("kind"), F.when(c("s") % 3 != 0, c("nominal") / 5).alias("size"), F.when(c("s") % 2 == 0, 0.95).otherwise(0.6).alias("source")).distinct()
-    f = shop.v_feature.select("part_id", "feature_id", "feature_type", c("d_mm").alias("size"))
-    return dr.fused(r, f).select("part_id", c("req_id.characteristic_id").alias("req_id"), c("req_id.s").alias("s"), "score", "state")
+@query("unasked_features", f"WITH {_FUSED} SELECT part_id, feature_id, feature_type, asks FROM lo")
+def unasked_features(shop):
+    """Features that no requirement is matched with."""
+    return fu.leftovers(*_fusion(shop))
+
+
+@query("fusion_outcomes", f"""WITH {_FUSED}, r AS (SELECT part_id, count(*) AS n_requirements, count(*) FILTER (WHERE state = 'AUTO_MATCHED') AS n_matched, count(*) FILTER (WHERE state = 'MULTIPLE_CANDIDATES') AS n_multiple, count(*) FILTER (WHERE state = 'UNRESOLVED') AS n_unresolved, count(*) FILTER (WHERE state IN ('UNRESOLVED', 'DRAWING_ONLY')) AS n_drawing_only FROM lk GROUP BY part_id),
+  f AS (SELECT part_id, count(DISTINCT feature_id) AS n_features FROM fe GROUP BY part_id), u AS (SELECT part_id, count(*) AS n_cad_only, count(*) FILTER (WHERE asks) AS n_asks FROM lo GROUP BY part_id),
+  d AS (SELECT part_id, coalesce(n_requirements, 0) AS n_requirements, coalesce(n_features, 0) AS n_features, coalesce(n_matched, 0) AS n_matched, coalesce(n_multiple, 0) AS n_multiple, coalesce(n_unresolved, 0) AS n_unresolved, coalesce(n_drawing_only, 0) AS n_drawing_only, coalesce(n_cad_only, 0) AS n_cad_only, coalesce(n_asks, 0) AS n_asks FROM r FULL JOIN f USING (part_id) LEFT JOIN u USING (part_id))
+  SELECT part_id, n_requirements, n_features, n_matched, n_multiple, n_drawing_only, n_cad_only, n_multiple + n_unresolved + n_asks AS n_ambiguities, CASE WHEN n_requirements = 0 THEN 'CAD_ONLY' WHEN n_matched = 0 THEN 'DRAWING_ONLY' WHEN n_drawing_only = 0 AND n_cad_only = 0 THEN 'FULL' ELSE 'PARTIAL' END AS completeness FROM d""")
+def fusion_outcomes(shop):
+    """How complete the fusion of each part is."""
+    requirements, features, linked = _fusion(shop)
+    return fu.outcomes(linked, features, fu.leftovers(requirements, features, linked))
 
 
 @query("link_states", """WITH e AS (SELECT user_id AS requirement_id, event_id, ts, CASE event_type WHEN 'click' THEN 'confirm' WHEN 'view' THEN 'reassign' WHEN 'error' THEN 'mark_drawing_only' ELSE 'comment' END AS action, CAST(floor(value) AS BIGINT) % 3 AS feature_id FROM events),
