@@ -14,19 +14,35 @@ c = F.col
 LEAST_RECALL, LEAST_PRECISION, MOST_WORST_S, MOST_MEDIAN_S = 0.80, 0.85, 480.0, 240.0
 
 
-def p90(x: Column) -> Column:
-    """The element at int(0.9 n) of the sorted values (the last one at most), not interpolated."""
-    s = F.sort_array(F.collect_list(x))
-    return F.get(s, F.least(F.floor(F.size(s) * 0.9).cast("int"), F.size(s) - 1))
+#: Levels of a campaign's ROLLUP: what stays of (class, fixture), and its grouping id.
+LEVELS = [(("class", "fixture"), 0), (("class",), 1), ((), 3)]
+
+
+def at_share(counts: DataFrame, group: list[str], value: str, share: float = 0.9) -> DataFrame:
+    """(group, at) of counts (group, value, n): the element at int(share n) of the sorted values, the last one at most, not interpolated.
+
+    Values come with their counts, so the largest group sorts its distinct values only.
+    """
+    w = W.partitionBy(*group)
+    d = counts.withColumns({"_upto": F.sum("n").over(w.orderBy(value)), "_all": F.sum("n").over(w)})
+    index = F.least(F.floor(c("_all") * share), c("_all") - 1)
+    return d.filter(c("_upto") > index).groupBy(*group).agg(F.min(value).alias("at"))
 
 
 def campaign(scores: DataFrame) -> DataFrame:
     """ROLLUP over (class, fixture) of run scores (class, fixture, run_id, tp, n_found, n_items, seconds): pooled recall and precision, times, runs."""
     out = scores.rollup("class", "fixture").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("runs"), F.round(F.try_divide(F.sum("tp"), F.sum("n_items")), 6).alias("recall"), F.round(F.try_divide(F.sum("tp"), F.sum("n_found")), 6).alias("precision"),
-        F.median("seconds").alias("median_s"), p90(c("seconds")).alias("p90_s"), F.max("seconds").alias("worst_s"),
+        F.median("seconds").alias("median_s"), F.max("seconds").alias("worst_s"),
     )
-    return out
+    keys = ["class", "fixture", "level"]
+    own = lambda k, kept: (c(k) if k in kept else F.lit(None).cast(scores.schema[k].dataType)).alias(k)
+    each = F.explode(F.array(*[F.struct(own("class", kept), own("fixture", kept), F.lit(n).cast("long").alias("level")) for kept, n in LEVELS]))
+    times = scores.filter("seconds IS NOT NULL").groupBy("class", "fixture", "seconds").agg(F.count(F.lit(1)).alias("n")).select(each.alias("g"), "seconds", "n").select("g.*", "seconds", "n")
+    p = at_share(times.groupBy(*keys, "seconds").agg(F.sum("n").alias("n")), keys, "seconds").alias("p")
+    o = out.alias("o")
+    d = o.join(p, [c(f"o.{k}").eqNullSafe(c(f"p.{k}")) for k in keys], "left")
+    return d.select(*[f"o.{x}" for x in ("class", "fixture", "level", "runs", "recall", "precision", "median_s")], c("p.at").alias("p90_s"), "o.worst_s")
 
 
 def thresholds(totals: DataFrame) -> DataFrame:

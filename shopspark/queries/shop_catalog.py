@@ -238,15 +238,20 @@ def json_export(shop):
     return m.select("machine_id", F.to_json(F.struct("machine_id", "machine_type", "max_rpm")).alias("json"))
 
 
-@query("text_inventory", """WITH t AS (SELECT n_regionkey AS k, n_nationkey, n_name FROM nation)
-  SELECT k, count(*) AS vertices, 0::BIGINT AS normals, 0::BIGINT AS texcoords, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS faces, string_agg(n_name, ',' ORDER BY n_name) AS names FROM t GROUP BY k""")
+@query("text_inventory", """WITH t AS (SELECT p_partkey // 16 AS k, p_partkey AS p, p_name || ' ' || p_partkey AS name FROM part)
+  SELECT k, count(*) AS vertices, count(*) FILTER (WHERE p % 3 = 0) AS normals, count(*) FILTER (WHERE p % 5 = 0) AS texcoords, count(*) FILTER (WHERE p % 2 = 0) AS faces, string_agg(name, ',' ORDER BY name) AS names FROM t GROUP BY k""")
 def text_inventory(shop):
-    part = F.concat(F.lit("o "), c("n_name"), F.lit("\nv 0 0 1\n"), F.when(c("n_nationkey") % 2 == 0, "f 1 2 3\n").otherwise(""))
-    return ingest.mesh_inventory(shop.nation.groupBy(c("n_regionkey").alias("k")).agg(F.array_join(F.collect_list(part), "").alias("text")), "k")
+    """Meshes of up to sixteen objects each, over all parts."""
+    own = lambda n, text: F.when(c("p_partkey") % n == 0, text).otherwise("")
+    part = F.concat(F.lit("o "), c("p_name"), F.lit(" "), c("p_partkey").cast("string"), F.lit("\nv 0 0 1\n"), own(3, "vn 0 0 1\n"), own(5, "vt 0 1\n"), own(2, "f 1 2 3\n"))
+    return ingest.mesh_inventory(shop.part.groupBy(F.expr("p_partkey div 16").alias("k")).agg(F.array_join(F.collect_list(part), "").alias("text")), "k")
 
 
-@query("markdown_tables", """SELECT n_regionkey AS k, 1::BIGINT AS table_no, rn + 1 AS row_no, i AS col_no, CASE i WHEN 0 THEN n_name ELSE CAST(n_nationkey AS VARCHAR) END AS value FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn FROM nation) CROSS JOIN (VALUES (0), (1)) v(i)
-  UNION ALL SELECT r_regionkey, 1, 1, i, CASE i WHEN 0 THEN 'name' ELSE 'key' END FROM region CROSS JOIN (VALUES (0), (1)) v(i) WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""")
+@query("markdown_tables", """WITH t AS (SELECT p_partkey // 16 AS k, p_partkey AS p, p_name || ' ' || p_partkey AS name FROM part)
+  SELECT k, 1::BIGINT AS table_no, rn + 1 AS row_no, i AS col_no, CASE i WHEN 0 THEN name ELSE CAST(p AS VARCHAR) END AS value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY name) AS rn FROM t) CROSS JOIN (VALUES (0), (1)) v(i)
+  UNION ALL SELECT k, 1, 1, i, CASE i WHEN 0 THEN 'name' ELSE 'key' END FROM (SELECT DISTINCT k FROM t) CROSS JOIN (VALUES (0), (1)) v(i)""")
 def markdown_tables(shop):
-    rows = shop.nation.groupBy(c("n_regionkey").alias("k")).agg(F.sort_array(F.collect_list(F.concat(F.lit("| "), c("n_name"), F.lit(" | "), c("n_nationkey").cast("string"), F.lit(" |")))).alias("r"))
+    """The cells of tables of up to sixteen rows each, over all parts."""
+    row = F.concat(F.lit("| "), c("p_name"), F.lit(" "), c("p_partkey").cast("string"), F.lit(" | "), c("p_partkey").cast("string"), F.lit(" |"))
+    rows = shop.part.groupBy(F.expr("p_partkey div 16").alias("k")).agg(F.sort_array(F.collect_list(row)).alias("r"))
     return ingest.markdown_cells(rows.select("k", F.concat(F.lit("# Title\n| name | key |\n|---|:--|\n"), F.array_join("r", "\n"), F.lit("\n\nend")).alias("text")), "k")

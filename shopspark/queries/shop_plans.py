@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from ..operators import graph, quality, schedules
 from ..operators import plan_documents as pd
 from ..operators import records as rec
+from ..sources import export
 from .registry import query, r6
 from .shop_quality import _INSP
-from .shop_records import _CRIT, _ITEMS, _LOST, _PARTS, _covered, _critical
+from .shop_records import _CRIT, _ITEMS, _LOST, _PARTS, _covered, _critical, _items
 
 c = F.col
 
@@ -152,3 +153,56 @@ def schedule_violations(shop):
     windows = shop.v_window.select("machine_id", (c("start_h") * 3600).alias("start_s"), (c("end_h") * 3600 + 7200).alias("end_s"))
     matrix = shop.spark.createDataFrame(_CHANGES, "from_key string, to_key string, seconds long")
     return schedules.violations(sql(_REQUIRED, "orders"), sql(_ASSIGNED, "orders"), sql(_ELIGIBLE, "orders"), sql(_SHOPS, "customer"), sql(_BEFORE, "orders"), windows, matrix, 900, _MAKESPAN)
+
+
+def _cells(columns):
+    """A CSV line in SQL, out of SQL texts of its cells."""
+    guard = lambda x: f"coalesce(CASE WHEN regexp_matches({x}, '^[=+\\-@\\t\\r]') THEN chr(39) || {x} ELSE {x} END, '')"
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({guard(x)}, '[,\"\\r\\n]') THEN '\"' || replace({guard(x)}, '\"', '\"\"') || '\"' ELSE {guard(x)} END" for x in columns.values()) + ")"
+
+
+def _export_sql(ctes, source, order, columns):
+    return f"""WITH {ctes}, x AS (SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY {order}) AS line_no, {_cells(columns)} AS line FROM {source})
+  SELECT plan_id, line_no, line FROM x UNION ALL SELECT DISTINCT plan_id, 0, '{','.join(columns)}' FROM x"""
+
+
+_TEXT = lambda x: f"CAST({x} AS STRING)"
+_MILLI = lambda x: f"CAST(CAST({x} AS DECIMAL(18, 3)) AS STRING)"
+#: Header and cells of each export; the same expressions in both engines.
+_OPERATION_CELLS = {x: _TEXT(x) for x in ("op_number", "operation_type", "machine_id", "tool_id", "holder_id")} | {"vc_m_min": _MILLI("vc"), "feed_mm_min": _MILLI("feed_rate"), "parameter_source": _SOURCE, "feature_id": _TEXT("feature_id"), "notes": "CASE WHEN k % 3 = 0 THEN '-check \"vc\", ' || coalesce(operation, '') END"}
+_CHAR_CELLS = {"char_id": _TEXT("characteristic_id"), "char_type": "char_type", "criticality": "level", "specification": f"CASE WHEN s % 6 = 0 THEN '=' ELSE '' END || {_MILLI('nominal')}"}
+_INSPECTION_CELLS = _CHAR_CELLS | {"stage": "'FINAL'", "gage_suggestion": "gage", "frequency": "CASE level WHEN 'CRITICAL' THEN 'EVERY_PART' WHEN 'MAJOR' THEN '1_IN_5' ELSE '1_IN_20' END"}
+_CONTROL_CELLS = {"operation_name": "'FINAL'"} | _CHAR_CELLS | {
+    "gage_suggestion": "gage", "reaction_plan": "CASE level WHEN 'KEY_CHARACTERISTIC' THEN 'STOP_AND_REVIEW' WHEN 'CRITICAL' THEN 'SEGREGATE' ELSE 'REMEASURE' END",
+    "responsibility": "CASE WHEN level IN ('KEY_CHARACTERISTIC', 'CRITICAL') THEN 'QC' ELSE 'OPERATOR' END",
+}
+_ITEM_CELLS = {"category": "category", "severity": "severity", "related_id": _TEXT("related_id"), "status": "'OPEN'"}
+_IN_ORDER = "characteristic_id, s, level, nominal, gage"
+
+
+def _lines(df, order, columns):
+    return export.csv_lines(df, "plan_id", [F.asc_nulls_last(x.strip()) for x in order.split(",")], {k: F.expr(v) for k, v in columns.items()})
+
+
+@query("export_operations", _export_sql(_OPS, "op", "op_number", _OPERATION_CELLS))
+def export_operations(shop):
+    """The operations of a plan as CSV."""
+    return _lines(_operations(shop), "op_number", _OPERATION_CELLS)
+
+
+@query("export_inspection", _export_sql(_INSP, "lv", _IN_ORDER, _INSPECTION_CELLS))
+def export_inspection(shop):
+    """The inspection plan as CSV."""
+    return _lines(quality.inspection_plan(shop.v_char), _IN_ORDER, _INSPECTION_CELLS)
+
+
+@query("export_control_plan", _export_sql(f"{_INSP}, kl AS (SELECT * REPLACE ({_KEY} AS level) FROM lv)", "kl", _IN_ORDER, _CONTROL_CELLS))
+def export_control_plan(shop):
+    """The control plan as CSV."""
+    return _lines(quality.inspection_plan(shop.v_char).withColumn("level", F.expr(_KEY)), _IN_ORDER, _CONTROL_CELLS)
+
+
+@query("export_open_items", _export_sql(f"{_CRIT}, {_LOST}, {_ITEMS}", "it", "category, severity, related_id", _ITEM_CELLS))
+def export_open_items(shop):
+    """The open items of a plan as CSV."""
+    return _lines(_items(shop), "category, severity, related_id", _ITEM_CELLS)
