@@ -143,3 +143,68 @@ def audit(*violations: tuple[str, DataFrame, str]) -> DataFrame:
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+#: Limits of the verdict on a campaign; failing drawings and runs with one wrong text that are too many.
+LEAST_DIM_RECALL, LEAST_TEXT_PRECISION, MOST_FAILURES, MOST_CORRECTIONS, LEAST_GAIN, MOST_FAILING = 0.70, 0.75, 0.20, 0.40, 0.15, 2
+
+
+def run_scores(runs: DataFrame, found: DataFrame, truth: DataFrame, matched: DataFrame, reviews: DataFrame, dimensions: list[str]) -> DataFrame:
+    """One row per run (fixture, run_id): hits, misses and false finds, the same of dimensions, missed required dimensions, reviews by action.
+
+    accepted_wrong counts accepted findings that match nothing. runs: fixture, run_id; found: fixture, run_id, finding_no, value, unit;
+    truth: fixture, item_id, feature_type, required; matched: fixture, run_id, finding_no, item_id; reviews: fixture, run_id, finding_no,
+    action. A finding looks like a dimension where it has a value and a unit. Runs without findings, items or reviews count zeros.
+    """
+    run, key = ["fixture", "run_id"], ["fixture", "run_id", "finding_no"]
+    dim = F.coalesce(c("feature_type").isin(dimensions), F.lit(False))
+    need = F.coalesce(c("required"), F.lit(False))
+    n = lambda on, name: F.count_if(on).alias(name)
+    items = truth.groupBy("fixture").agg(F.count(F.lit(1)).alias("n_items"), n(dim, "n_dims"), n(dim & need, "n_required"))
+    hits = matched.join(truth.select("fixture", "item_id", "feature_type", "required"), ["fixture", "item_id"]).groupBy(*run).agg(F.count(F.lit(1)).alias("tp"), n(dim, "dim_tp"), n(dim & need, "required_tp"))
+    known = matched.select(*key, F.lit(True).alias("_hit")).distinct()
+    looks, wrong = c("value").isNotNull() & c("unit").isNotNull(), c("_hit").isNull()
+    finds = found.join(known, key, "left").groupBy(*run).agg(n(looks, "n_dim_looking"), n(wrong, "fp"), n(wrong & looks, "dim_fp"))
+    does = lambda x: c("action") == x
+    acts = reviews.join(known, key, "left").groupBy(*run).agg(n(does("ACCEPT"), "accepted"), n(does("EDIT"), "edited"), n(does("REJECT"), "rejected"), n(does("ACCEPT") & wrong, "accepted_wrong"))
+    d = runs.select(*run).distinct().join(items, "fixture", "left")
+    for more in (hits, finds, acts):
+        d = d.join(more, run, "left")
+    d = d.na.fill(0)
+    return d.select(*run, "tp", (c("n_items") - c("tp")).alias("fn"), "fp", "dim_tp", (c("n_dims") - c("dim_tp")).alias("dim_fn"), "dim_fp", (c("n_required") - c("required_tp")).alias("critical_missed"), "n_dim_looking", "accepted", "edited", "rejected", "accepted_wrong")
+
+
+def verdicts(runs: DataFrame, failing: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(check_id, value, state): P1 to P7 and RECALL_GAIN of a campaign as PASS, FAIL or INSUFFICIENT_DATA.
+
+    P1: core drawings with failing items; P2: recall of dimensions, core; P3: precision, core, and no wrong text in several runs; P4: share of
+    refused and failed jobs; P5: median time of good jobs, and the worst; P6: share of edits and rejections, core; P7: accepted wrong ones;
+    RECALL_GAIN: what crops of the first drawing below P2's limit gain in recall of dimensions. Crops take part in P7 and the gain alone.
+    runs: run_scores with class (CORE or another), parent (the fixture that a crop is of; NULL: a whole drawing), seconds, good and refused;
+    failing: fixture; wrong: any row is a text that several runs give. A campaign without runs has INSUFFICIENT_DATA, but PASS in P7.
+    """
+    core, whole = (c("class") == "CORE") & c("parent").isNull(), c("parent").isNull()
+    of = lambda on, x: F.coalesce(F.sum(F.when(on, c(x))), F.lit(0))
+    share = lambda a, b: F.round(F.try_divide(a, b), 6)
+    good = F.when(whole & c("good"), c("seconds"))
+    totals = runs.agg(
+        F.count_if(core).alias("n_core"), share(of(core, "dim_tp"), of(core, "dim_tp") + of(core, "dim_fn")).alias("P2"), share(of(core, "tp"), of(core, "tp") + of(core, "fp")).alias("P3"),
+        share(of(whole, "refused") + F.count_if(whole & ~c("good") & (c("refused") == 0)), F.count_if(whole)).alias("P4"), F.median(good).alias("P5"), F.max(good).alias("worst"),
+        share(of(core, "edited") + of(core, "rejected"), of(core, "accepted") + of(core, "edited") + of(core, "rejected")).alias("P6"), F.coalesce(F.sum("accepted_wrong"), F.lit(0)).alias("P7"),
+    )
+    lost = runs.filter(core).select("fixture").distinct().join(failing.select("fixture").distinct(), "fixture").agg(F.count(F.lit(1)).alias("P1"))
+    several = wrong.agg((F.count(F.lit(1)) > 0).alias("several"))
+    recall = lambda on: share(of(on, "dim_tp"), of(on, "dim_tp") + of(on, "dim_fn"))
+    gains = runs.groupBy(F.coalesce("parent", "fixture").alias("drawing")).agg(recall(whole).alias("own"), recall(~whole).alias("crop"))
+    gain = gains.filter((c("own") < LEAST_DIM_RECALL) & c("crop").isNotNull()).agg(F.min_by(F.round(c("crop") - c("own"), 6), "drawing").alias("gain"))
+    d = totals.crossJoin(lost).crossJoin(several).crossJoin(gain)  # one row each
+    state = lambda unknown, ok: F.when(unknown, "INSUFFICIENT_DATA").when(ok, "PASS").otherwise("FAIL")
+    none = F.lit(False)
+    cases = [
+        ("P1", c("P1"), state(c("n_core") == 0, c("P1") < MOST_FAILING)), ("P2", c("P2"), state(c("P2").isNull(), c("P2") >= LEAST_DIM_RECALL)),
+        ("P3", c("P3"), state(c("P3").isNull() & ~c("several"), F.coalesce(c("P3") >= LEAST_TEXT_PRECISION, none) & ~c("several"))),
+        ("P4", c("P4"), state(c("P4").isNull(), c("P4") <= MOST_FAILURES)), ("P5", c("P5"), state(c("P5").isNull(), (c("P5") <= MOST_MEDIAN_S) & (c("worst") <= MOST_WORST_S))),
+        ("P6", c("P6"), state(c("P6").isNull(), c("P6") <= MOST_CORRECTIONS)), ("P7", c("P7"), state(none, c("P7") == 0)), ("RECALL_GAIN", c("gain"), state(c("gain").isNull(), c("gain") >= LEAST_GAIN)),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("check_id"), v.cast("double").alias("value"), s.alias("state")) for k, v, s in cases]))
+    return d.select(each.alias("t")).select("t.*")

@@ -51,6 +51,52 @@ def repeated_wrong(shop):
     return cp.repeated_wrong(wrong.select("fixture", "run_id", matching.normal(c("raw_text")).alias("text")))
 
 
+_DIM = f"t.feature_type IN ({sq._DIMS})"
+_ACTION = "CASE WHEN finding_no % 3 = 0 THEN NULL WHEN finding_no % 4 < 2 THEN 'ACCEPT' WHEN finding_no % 4 = 2 THEN 'EDIT' ELSE 'REJECT' END"
+_SCORED = f"""{sq._MATCH}, it AS (SELECT fixture, count(*) AS n_items, count(*) FILTER (WHERE {_DIM}) AS n_dims, count(*) FILTER (WHERE {_DIM} AND required) AS n_required FROM v_truth t GROUP BY fixture),
+  hi AS (SELECT mm.fixture, mm.run_id, count(*) AS tp, count(*) FILTER (WHERE {_DIM}) AS dim_tp, count(*) FILTER (WHERE {_DIM} AND t.required) AS required_tp FROM mm JOIN v_truth t ON t.fixture = mm.fixture AND t.item_id = mm.item_id GROUP BY ALL),
+  fo AS (SELECT f.fixture, f.run_id, count(*) FILTER (WHERE f.value IS NOT NULL AND f.unit IS NOT NULL) AS n_dim_looking, count(*) FILTER (WHERE k.item_id IS NULL) AS fp, count(*) FILTER (WHERE k.item_id IS NULL AND f.value IS NOT NULL AND f.unit IS NOT NULL) AS dim_fp,
+    count(*) FILTER (WHERE f.action = 'ACCEPT') AS accepted, count(*) FILTER (WHERE f.action = 'EDIT') AS edited, count(*) FILTER (WHERE f.action = 'REJECT') AS rejected, count(*) FILTER (WHERE f.action = 'ACCEPT' AND k.item_id IS NULL) AS accepted_wrong
+    FROM (SELECT *, {_ACTION} AS action FROM v_found) f LEFT JOIN mm k USING (run_id, fixture, finding_no) GROUP BY ALL),
+  rs AS (SELECT fixture, run_id, coalesce(tp, 0) AS tp, coalesce(n_items, 0) - coalesce(tp, 0) AS fn, fp, coalesce(dim_tp, 0) AS dim_tp, coalesce(n_dims, 0) - coalesce(dim_tp, 0) AS dim_fn, dim_fp, coalesce(n_required, 0) - coalesce(required_tp, 0) AS critical_missed, n_dim_looking, accepted, edited, rejected, accepted_wrong
+    FROM fo LEFT JOIN it USING (fixture) LEFT JOIN hi USING (fixture, run_id))"""
+
+
+def _run_scores(shop):
+    reviews = shop.v_found.select("fixture", "run_id", "finding_no", F.expr(_ACTION).alias("action"))
+    return cp.run_scores(shop.v_found, shop.v_found, shop.v_truth, sq.matched(shop), reviews, matching.DIMENSIONS)
+
+
+@query("run_scores", f"WITH RECURSIVE {_SCORED} SELECT * FROM rs")
+def run_scores(shop):
+    """Hits, misses, dimensions and reviews of each run."""
+    return _run_scores(shop)
+
+
+_RUN_FACTS = {
+    "class": "CASE WHEN fixture % 5 = 4 THEN 'CROP' WHEN fixture % 2 = 0 THEN 'CORE' ELSE 'EXTENDED' END", "parent": "CASE WHEN fixture % 5 = 4 THEN fixture - 1 END",
+    "seconds": "CASE WHEN fixture % 7 <> 3 THEN CAST(20 + (fixture * 37 + run_id * 11) % 300 AS DOUBLE) END", "good": "(fixture + run_id) % 9 <> 0", "refused": "CASE WHEN (fixture + run_id) % 13 = 0 THEN 1 ELSE 0 END",
+}
+_DRAWINGS = "SELECT DISTINCT fixture FROM e JOIN v_truth t USING (fixture) WHERE n <= 3 AND t.required AND NOT EXISTS (SELECT 1 FROM mm WHERE mm.fixture = e.fixture AND mm.run_id = e.run_id AND mm.item_id = t.item_id) GROUP BY fixture, t.item_id HAVING count(*) >= 2"
+
+
+@query("campaign_verdicts", f"""WITH RECURSIVE {_SCORED}, ra AS (SELECT rs.*, {", ".join(f"{v} AS {k}" for k, v in _RUN_FACTS.items())} FROM rs), co AS (SELECT * FROM ra WHERE class = 'CORE' AND parent IS NULL), wh AS (SELECT * FROM ra WHERE parent IS NULL),
+  e AS (SELECT fixture, run_id, row_number() OVER (PARTITION BY fixture ORDER BY run_id) AS n FROM (SELECT DISTINCT fixture, run_id FROM v_found)), bad AS ({_DRAWINGS}),
+  wr AS (SELECT fixture, {sq._NORMAL.format('raw_text')} AS text FROM v_found f WHERE NOT EXISTS (SELECT 1 FROM mm WHERE mm.run_id = f.run_id AND mm.fixture = f.fixture AND mm.finding_no = f.finding_no) GROUP BY ALL HAVING count(DISTINCT run_id) >= 2),
+  gn AS (SELECT coalesce(parent, fixture) AS drawing, round(sum(dim_tp) FILTER (WHERE parent IS NULL) / nullif(sum(dim_tp + dim_fn) FILTER (WHERE parent IS NULL), 0), 6) AS own, round(sum(dim_tp) FILTER (WHERE parent IS NOT NULL) / nullif(sum(dim_tp + dim_fn) FILTER (WHERE parent IS NOT NULL), 0), 6) AS crop FROM ra GROUP BY ALL),
+  v AS (SELECT (SELECT count(DISTINCT fixture) FROM co JOIN bad USING (fixture)) AS p1, (SELECT count(*) FROM co) AS n_core, (SELECT round(sum(dim_tp) / nullif(sum(dim_tp + dim_fn), 0), 6) FROM co) AS p2, (SELECT round(sum(tp) / nullif(sum(tp + fp), 0), 6) FROM co) AS p3, (SELECT count(*) > 0 FROM wr) AS several,
+    (SELECT round((sum(refused) + count(*) FILTER (WHERE NOT good AND refused = 0)) / nullif(count(*), 0), 6) FROM wh) AS p4, (SELECT median(seconds) FROM wh WHERE good) AS p5, (SELECT max(seconds) FROM wh WHERE good) AS worst,
+    (SELECT round(sum(edited + rejected) / nullif(sum(accepted + edited + rejected), 0), 6) FROM co) AS p6, (SELECT coalesce(sum(accepted_wrong), 0) FROM ra) AS p7, (SELECT round(crop - own, 6) FROM gn WHERE own < 0.7 AND crop IS NOT NULL ORDER BY drawing LIMIT 1) AS gain)
+  SELECT 'P1' AS check_id, p1::DOUBLE AS value, CASE WHEN n_core = 0 THEN 'INSUFFICIENT_DATA' WHEN p1 < 2 THEN 'PASS' ELSE 'FAIL' END AS state FROM v UNION ALL SELECT 'P2', p2, CASE WHEN p2 IS NULL THEN 'INSUFFICIENT_DATA' WHEN p2 >= 0.7 THEN 'PASS' ELSE 'FAIL' END FROM v
+  UNION ALL SELECT 'P3', p3, CASE WHEN p3 IS NULL AND NOT several THEN 'INSUFFICIENT_DATA' WHEN p3 >= 0.75 AND NOT several THEN 'PASS' ELSE 'FAIL' END FROM v UNION ALL SELECT 'P4', p4, CASE WHEN p4 IS NULL THEN 'INSUFFICIENT_DATA' WHEN p4 <= 0.2 THEN 'PASS' ELSE 'FAIL' END FROM v
+  UNION ALL SELECT 'P5', p5, CASE WHEN p5 IS NULL THEN 'INSUFFICIENT_DATA' WHEN p5 <= 240 AND worst <= 480 THEN 'PASS' ELSE 'FAIL' END FROM v UNION ALL SELECT 'P6', p6, CASE WHEN p6 IS NULL THEN 'INSUFFICIENT_DATA' WHEN p6 <= 0.4 THEN 'PASS' ELSE 'FAIL' END FROM v
+  UNION ALL SELECT 'P7', p7::DOUBLE, CASE WHEN p7 = 0 THEN 'PASS' ELSE 'FAIL' END FROM v UNION ALL SELECT 'RECALL_GAIN', gain, CASE WHEN gain IS NULL THEN 'INSUFFICIENT_DATA' WHEN gain >= 0.15 THEN 'PASS' ELSE 'FAIL' END FROM v""")
+def campaign_verdicts(shop):
+    """The checks P1 to P7 of a campaign, and what crops gain."""
+    runs = _run_scores(shop).withColumns({k: F.expr(v) for k, v in _RUN_FACTS.items()})
+    return cp.verdicts(runs, failing_items(shop), repeated_wrong(shop))
+
+
 _TP = f"tp AS (SELECT * FROM {sc._values(sc._TEMPLATES)} t(feature_type, route, operations, best_ra))"
 
 

@@ -38,3 +38,37 @@ def test_campaign_times(spark):
         known = sorted(s for s in all_ if s is not None)
         want[key] = (len(all_), known[min(int(0.9 * len(known)), len(known) - 1)] if known else None, max(known, default=None))
     assert got == want
+
+
+def test_verdicts_of_small_campaigns(spark):
+    cols = "fixture long, run_id long, tp long, fn long, fp long, dim_tp long, dim_fn long, accepted long, edited long, rejected long, accepted_wrong long, class string, parent long, seconds double, good boolean, refused long"
+    none = spark.createDataFrame([], "fixture long")
+
+    def states(rows, failing=none, wrong=none):
+        return {x["check_id"]: (x["value"], x["state"]) for x in campaign.verdicts(spark.createDataFrame(rows, cols), failing, wrong).collect()}
+
+    good = [(1, r, 8, 2, 2, 7, 3, 6, 2, 2, 0, "CORE", None, 100.0 + r, True, 0) for r in range(3)]
+    got = states(good)
+    assert {k: s for k, (_, s) in got.items()} == {f"P{i}": "PASS" for i in range(1, 8)} | {"RECALL_GAIN": "INSUFFICIENT_DATA"}
+    assert (got["P2"][0], got["P3"][0], got["P5"][0], got["P6"][0]) == (0.7, 0.8, 101.0, 0.4)
+    poor = [(f, r, 1, 9, 9, 1, 9, 1, 4, 4, 1, "CORE", None, 500.0, r > 0, int(r == 1)) for f in (2, 3) for r in range(3)]
+    crop = [(4, 0, 5, 5, 0, 5, 5, 0, 0, 0, 0, "CROP", 2, 9999.0, False, 5)]
+    both = spark.createDataFrame([(2,), (3,), (3,)], "fixture long")
+    got = states(poor + crop, both)
+    assert {k: s for k, (_, s) in got.items()} == {f"P{i}": "FAIL" for i in range(1, 8)} | {"RECALL_GAIN": "PASS"}
+    assert got["P1"][0] == 2 and got["P4"][0] == round(4 / 6, 6) and got["P5"][0] == 500.0 and got["P7"][0] == 6 and got["RECALL_GAIN"][0] == 0.4
+    assert states(good, wrong=both)["P3"] == (0.8, "FAIL")
+    got = states([])
+    assert {k for k, (_, s) in got.items() if s == "INSUFFICIENT_DATA"} == {"P1", "P2", "P3", "P4", "P5", "P6", "RECALL_GAIN"} and got["P7"] == (0.0, "PASS")
+
+
+def test_reviews_of_runs(spark):
+    runs = spark.createDataFrame([(1, 1), (1, 2), (5, 1)], "fixture long, run_id long")
+    found = spark.createDataFrame([(1, 1, 1, "3", "mm"), (1, 1, 2, "4", None), (1, 1, 3, None, "mm"), (1, 1, 4, "9", "mm")], "fixture long, run_id long, finding_no long, value string, unit string")
+    truth = spark.createDataFrame([(1, 1, "DIAMETER", True), (1, 2, "RADIUS", True), (1, 3, "NOTE", True), (1, 4, "DIAMETER", None)], "fixture long, item_id long, feature_type string, required boolean")
+    matched = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 2, 3)], "fixture long, run_id long, finding_no long, item_id long")
+    reviews = spark.createDataFrame([(1, 1, 1, "ACCEPT"), (1, 1, 3, "ACCEPT"), (1, 1, 4, "REJECT"), (1, 1, 2, "EDIT"), (1, 1, 2, None)], "fixture long, run_id long, finding_no long, action string")
+    out = campaign.run_scores(runs, found, truth, matched, reviews, ["DIAMETER", "RADIUS"])
+    got = {(x["fixture"], x["run_id"]): tuple(x)[2:] for x in out.collect()}
+    assert out.columns[2:] == ["tp", "fn", "fp", "dim_tp", "dim_fn", "dim_fp", "critical_missed", "n_dim_looking", "accepted", "edited", "rejected", "accepted_wrong"]
+    assert got == {(1, 1): (2, 2, 2, 1, 2, 1, 1, 2, 2, 1, 1, 1), (1, 2): (0, 4, 0, 0, 3, 0, 2, 0, 0, 0, 0, 0), (5, 1): (0,) * 12}
