@@ -52,25 +52,28 @@ def role(kind: Column, value: Column) -> Column:
 
 
 def suits(kind: Column, feature_type: Column) -> Column:
-    cases = [F.when((kind == k) & (feature_type == f), F.lit(v)) for k, own in SUITS.items() for f, v in own.items()]
-    return F.coalesce(*cases, F.lit(OTHER))
+    own = F.coalesce(*[F.when(kind == k, F.create_map(*[F.lit(x) for pair in own.items() for x in pair])) for k, own in SUITS.items()])
+    return F.coalesce(F.try_element_at(own, feature_type), F.lit(OTHER))
 
 
-def size_share(kind: Column, asked: Column, own: Column) -> Column:
+def size_gap(asked: Column, own: Column) -> Column:
+    return F.round(F.abs(asked - own), 9)
+
+
+def size_share(kind: Column, asked: Column, gap: Column) -> Column:
     """How well sizes agree: by distance; kinds without a size and sides that tell none have fixed shares."""
-    gap = F.round(F.abs(asked - own), 9)
     out = F.when(asked.isNull(), NO_NUMBER)
     for k, v in SIZELESS.items():
         out = out.when(kind == k, v)
-    out = out.when(~kind.isin("DIMENSION", "THREAD", "FIT") | own.isNull(), NO_SIZE)
+    out = out.when(~kind.isin("DIMENSION", "THREAD", "FIT") | gap.isNull(), NO_SIZE)
     for within, v in NEAR:
         out = out.when(gap <= within, v)
     return out.otherwise(FAR)
 
 
-def score(kind: Column, asked: Column, source: Column, feature_type: Column, own: Column) -> Column:
+def score(kind: Column, asked: Column, source: Column, feature_type: Column, gap: Column) -> Column:
     """The weighted sum of the seven parts, to six digits."""
-    parts = {k: F.lit(v) for k, v in UNTOLD.items()} | {"type": suits(kind, feature_type), "size": size_share(kind, asked, own), "source": source}
+    parts = {k: F.lit(v) for k, v in UNTOLD.items()} | {"type": suits(kind, feature_type), "size": size_share(kind, asked, gap), "source": source}
     return F.round(sum((F.lit(w) * parts[k] for k, w in WEIGHTS.items()), F.lit(0.0)), 6)
 
 
@@ -79,21 +82,27 @@ def _first(df: DataFrame, by: list, mark: str) -> DataFrame:
     return df.withColumn(mark, F.row_number().over(W.partitionBy(*by).orderBy("feature_id")))
 
 
-def links(requirements: DataFrame, features: DataFrame) -> DataFrame:
-    """One row per requirement: part_id, req_id, role, score, candidates (best first, ties by id), feature_id, state.
+#: Most feature rows of a part whose features go with its requirements as one array.
+SMALL_PART = 64
 
-    AUTO_MATCHED: the best scores 0.70 and the second at least 0.15 less; MULTIPLE_CANDIDATES: another comes nearer (feature_id is the
-    best all the same); UNRESOLVED: none scores 0.70; DRAWING_ONLY: a note and the like (or NULL kind), or a part without features.
-    requirements: part_id, req_id, kind, value (text), source (its confidence; NULL: 0.5); features: part_id, feature_id, feature_type,
-    diameter, width, length. Diameters, threads and fits are compared with the diameter, other dimensions with the first size there is.
 
-    Pairs of a whole part aren't formed. Beyond 10 mm all features of a type score alike, so features are met through cells of 10 mm, and
-    of the others only the first of each type take part; of features (and requirements) that agree in type and size, the first stand for all.
-    """
-    r = requirements.select("part_id", "req_id", "kind", "value", F.coalesce(c("source"), F.lit(0.5)).alias("source"))
-    r = r.withColumns({"asked": number(c("value")), "role": role(c("kind"), c("value"))})
-    r = r.withColumn("measure", F.when((c("kind") == "DIMENSION") & ~diametral(c("value")), "ANY").otherwise("DIAMETER"))
-    r = r.withColumn("open", ~F.coalesce(c("kind").isin(DRAWING_KINDS), F.lit(True)))
+def _best_of_few(r: DataFrame, features: DataFrame) -> DataFrame:
+    """r with score, second and candidates out of its part's features, which are few: they come as one array a part."""
+    few = features.select("part_id", "feature_id", "feature_type", "diameter", "width", "length").repartition("part_id").distinct()
+    few = few.groupBy("part_id").agg(F.collect_list(F.struct("feature_id", "feature_type", "diameter", "width", "length")).alias("_few"))
+    own = lambda f: F.when(c("measure") == "ANY", F.coalesce(f["diameter"], f["width"], f["length"])).otherwise(f["diameter"])
+    each = F.array_distinct(F.transform("_few", lambda f: F.struct(f["feature_id"].alias("id"), f["feature_type"].alias("type"), own(f).alias("own"))))
+    each = F.transform(each, lambda f: F.struct(f["id"].alias("id"), f["type"].alias("type"), size_gap(c("asked"), f["own"]).alias("gap")))
+    scored = F.transform(each, lambda f: F.struct((-score(c("kind"), c("asked"), c("source"), f["type"], f["gap"])).alias("s"), f["id"].alias("id")))
+    d = r.join(few, "part_id", "left").withColumn("_best", F.when(c("open"), F.slice(F.sort_array(scored), 1, KEPT))).drop("_few")
+    at = lambda k: -F.get("_best", F.lit(k))["s"]
+    return d.withColumns({"score": at(0), "second": at(1), "candidates": F.transform("_best", lambda x: x["id"])}).drop("_best")
+
+
+def _best_of_many(r: DataFrame, features: DataFrame) -> DataFrame:
+    """The same by cells of sizes, for parts of any number of features. Pairs of a whole part aren't formed. Beyond 10 mm all features
+    of a type score alike, so features are met through cells of 10 mm, and of the others only the first of each type take part; of
+    features (and requirements) that agree in type and size, the first stand for all."""
     want = ["part_id", "kind", "asked", "source", "measure"]
     asked = r.filter("open").select(*want).distinct()
 
@@ -108,16 +117,40 @@ def links(requirements: DataFrame, features: DataFrame) -> DataFrame:
     sized = asked.filter(c("asked").isNotNull() & c("kind").isin("DIMENSION", "THREAD", "FIT")).withColumn("cell", cell("asked"))
     cols = [*want, "feature_id", "feature_type", "own"]
     met = sized.join(near, ["part_id", "measure", "cell"]).select(*cols).unionByName(asked.join(lot, ["part_id", "measure"]).select(*cols)).distinct()
-    met = met.withColumn("score", score(c("kind"), c("asked"), c("source"), c("feature_type"), c("own")))
+    met = met.withColumn("score", score(c("kind"), c("asked"), c("source"), c("feature_type"), size_gap(c("asked"), c("own"))))
     rank = F.row_number().over(W.partitionBy(*want).orderBy(c("score").desc(), "feature_id"))
     best = met.withColumn("rank", rank).filter(c("rank") <= KEPT)
     at = lambda k, x: F.max(F.when(c("rank") == k, c(x)))
     g = best.groupBy(*want).agg(at(1, "score").alias("score"), at(2, "score").alias("second"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature_id"))), lambda x: x["feature_id"]).alias("candidates"))
     a, b = r.alias("a"), g.alias("b")
-    d = a.join(b, [c(f"a.{k}").eqNullSafe(c(f"b.{k}")) for k in want] + [c("a.open")], "left")
+    return a.join(b, [c(f"a.{k}").eqNullSafe(c(f"b.{k}")) for k in want] + [c("a.open")], "left").select("a.*", "score", "second", "candidates")
+
+
+def links(requirements: DataFrame, features: DataFrame) -> DataFrame:
+    """One row per requirement: part_id, req_id, role, score, candidates (best first, ties by id), feature_id, state.
+
+    AUTO_MATCHED: the best scores 0.70 and the second at least 0.15 less; MULTIPLE_CANDIDATES: another comes nearer (feature_id is the
+    best all the same); UNRESOLVED: none scores 0.70; DRAWING_ONLY: a note and the like (or NULL kind), or a part without features.
+    requirements: part_id, req_id, kind, value (text), source (its confidence; NULL: 0.5); features: part_id, feature_id, feature_type,
+    diameter, width, length. Diameters, threads and fits are compared with the diameter, other dimensions with the first size there is.
+
+    Features of a part of at most SMALL_PART rows go to its requirements at once, so both sides are shuffled once by part; those of larger
+    parts are met through cells of sizes.
+    """
+    r = requirements.select("part_id", "req_id", "kind", "value", F.coalesce(c("source"), F.lit(0.5)).alias("source"))
+    r = r.withColumns({"asked": number(c("value")), "role": role(c("kind"), c("value"))})
+    r = r.withColumn("measure", F.when((c("kind") == "DIMENSION") & ~diametral(c("value")), "ANY").otherwise("DIAMETER"))
+    r = r.withColumn("open", ~F.coalesce(c("kind").isin(DRAWING_KINDS), F.lit(True)))
+
+    large = features.groupBy("part_id").agg(F.count(F.lit(1)).alias("n")).filter(c("n") > SMALL_PART).select("part_id")
+    if large.isEmpty():
+        d = _best_of_few(r, features)
+    else:
+        of = lambda df, how: df.join(large, "part_id", how)
+        d = _best_of_few(of(r, "left_anti"), of(features, "left_anti")).unionByName(_best_of_many(of(r, "left_semi"), of(features, "left_semi")))
     close = F.coalesce(F.round(c("score") - c("second"), 6) < AUTO_GAP, F.lit(False))
     state = F.when(c("score").isNull(), "DRAWING_ONLY").when(c("score") < AUTO_SCORE, "UNRESOLVED").when(close, "MULTIPLE_CANDIDATES").otherwise("AUTO_MATCHED")
-    d = d.select("a.part_id", "a.req_id", "a.role", "score", "candidates", state.alias("state"))
+    d = d.select("part_id", "req_id", "role", "score", "candidates", state.alias("state"))
     return d.withColumn("feature_id", F.when(c("state").isin("AUTO_MATCHED", "MULTIPLE_CANDIDATES"), F.element_at("candidates", 1)))
 
 

@@ -110,8 +110,9 @@ _FUSED = f"""fe AS ({_FE.format(v_feature='v_feature')}), rq AS ({_RQ.format(v_c
 
 
 def _fusion(shop):
-    requirements = shop.spark.sql(_RQ, v_char=shop.v_char).select("part_id", F.struct("characteristic_id", "s").alias("req_id"), "kind", "value", "source")
-    features = shop.spark.sql(_FE, v_feature=shop.v_feature)
+    rows = lambda sql, **view: shop.spark.sql(sql.replace("SELECT DISTINCT", "SELECT", 1), **view).repartition("part_id").distinct()
+    requirements = rows(_RQ, v_char=shop.v_char).select("part_id", F.struct("characteristic_id", "s").alias("req_id"), "kind", "value", "source")
+    features = rows(_FE, v_feature=shop.v_feature)
     return requirements, features, fu.links(requirements, features)
 
 

@@ -64,3 +64,26 @@ def test_fusion_is_the_loop_over_all_pairs(spark):
     out = {x["part_id"]: x["completeness"] for x in fu.outcomes(linked, f, left).collect()}
     assert out[7] == "CAD_ONLY" and out[8] == "DRAWING_ONLY" and out[9] == "PARTIAL" and set(out) == {0, 1, 2, 7, 8, 9}
     assert fu.links(q.limit(0), f).count() == 0 and fu.links(q, f.limit(0)).filter("state <> 'DRAWING_ONLY'").count() == 0
+
+
+def test_small_parts_are_shuffled_once_a_side(spark):
+    f = spark.createDataFrame([(p, i, "HOLE", 5.0 + i, None, None) for p in range(50) for i in range(4)], "part_id long, feature_id long, feature_type string, diameter double, width double, length double")
+    q = spark.createDataFrame([(p, i, "DIMENSION", f"Ø{5 + i}", 1.0) for p in range(50) for i in range(4)], "part_id long, req_id long, kind string, value string, source double")
+    linked = fu.links(q, f)
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Generate" not in plan
+    assert all(x["candidates"][0] == x["req_id"] and len(x["candidates"]) == 3 for x in linked.collect())
+
+
+def test_small_and_large_parts_agree(spark):
+    """The rows of a part in both ways."""
+    r = random.Random(7)
+    size = lambda: r.choice([None, round(r.uniform(0, 30), 1)])
+    f = spark.createDataFrame([(p, i, r.choice(["HOLE", "BOSS", "FILLET", None]), size(), size(), size()) for p in range(20) for i in range(r.randrange(8)) for _ in range(2)], "part_id long, feature_id long, feature_type string, diameter double, width double, length double")
+    q = spark.createDataFrame([(p, i, r.choice([*fu.SUITS, "NOTE", None]), r.choice(["Ø", ""]) + str(round(r.uniform(0, 30), 1)), 0.9) for p in range(21) for i in range(6)], "part_id long, req_id long, kind string, value string, source double")
+    few = sorted(map(str, fu.links(q, f).collect()))
+    small, fu.SMALL_PART = fu.SMALL_PART, 0
+    try:
+        assert few == sorted(map(str, fu.links(q, f).collect()))
+    finally:
+        fu.SMALL_PART = small
