@@ -139,7 +139,7 @@ _BARE = lambda sql: sql.replace("{", "").replace("}", "")
 
 
 @query("schedule_violations", f"""WITH a AS ({_BARE(_ASSIGNED)}), rq AS (SELECT operation_id, max(duration_s) AS duration_s FROM ({_BARE(_REQUIRED)}) GROUP BY 1), el AS (SELECT DISTINCT * FROM ({_BARE(_ELIGIBLE)})), mc AS (SELECT DISTINCT * FROM ({_BARE(_SHOPS)})), pr AS (SELECT DISTINCT * FROM ({_BARE(_BEFORE)})),
-  w0 AS ({_WINDOWS}), w1 AS (SELECT *, max(end_s) OVER (PARTITION BY machine_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w0), w2 AS (SELECT *, sum(CASE WHEN start_s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY machine_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS g FROM w1), w AS (SELECT machine_id, min(start_s) AS s, max(end_s) AS e FROM w2 GROUP BY machine_id, g),
+  w0 AS (SELECT DISTINCT * FROM ({_WINDOWS})), w1 AS (SELECT *, max(end_s) OVER (PARTITION BY machine_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w0), w2 AS (SELECT *, sum(CASE WHEN start_s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY machine_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS g FROM w1), w AS (SELECT machine_id, min(start_s) AS s, max(end_s) AS e FROM w2 GROUP BY machine_id, g),
   q AS (SELECT a.*, count(*) OVER (PARTITION BY operation_id) AS copies, max(end_s) OVER w AS reach, lag(end_s) OVER v AS p_end, lag(setup_key) OVER v AS p_key FROM a WINDOW w AS (PARTITION BY machine_id, start_s IS NULL OR end_s IS NULL ORDER BY start_s NULLS FIRST, operation_id, end_s, setup_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY machine_id, start_s IS NULL OR end_s IS NULL ORDER BY start_s NULLS FIRST, operation_id, end_s, setup_key)),
   j AS (SELECT q.*, rq.operation_id IS NOT NULL AS asked, duration_s, mc.machine_id IS NOT NULL AS there, el.machine_id IS NOT NULL AS may, coalesce(sec, 900) AS need FROM q LEFT JOIN rq USING (operation_id) LEFT JOIN mc ON mc.machine_id = q.machine_id LEFT JOIN el ON el.operation_id = q.operation_id AND el.machine_id = q.machine_id LEFT JOIN (VALUES {_ROWS}) mx(f, t, sec) ON f = p_key AND t = setup_key)
   SELECT 'DUPLICATE' AS check_id, operation_id, machine_id FROM j WHERE copies > 1 UNION ALL SELECT 'UNKNOWN', operation_id, machine_id FROM j WHERE NOT asked UNION ALL SELECT 'UNKNOWN_MACHINE', operation_id, machine_id FROM j WHERE NOT there UNION ALL SELECT 'INELIGIBLE', operation_id, machine_id FROM j WHERE asked AND there AND NOT may
