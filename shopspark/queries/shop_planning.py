@@ -50,7 +50,7 @@ _MATRIX = "(VALUES ('K1', 'K2', 1800), ('K2', 'K1', 2400), ('K1', 'K3', 7200), (
 
 @query("setup_spans", """WITH j AS (SELECT operation_id, machine_id, (operation_id % 700 * 3) * 3600 + 1800 AS start_s, (operation_id % 700 * 3) * 3600 + 1800 + 600 * (1 + machine_id % 20) AS end_s, setup_key FROM v_job),
   p AS (SELECT *, lag(setup_key) OVER (PARTITION BY machine_id ORDER BY start_s, operation_id) AS p_key FROM j), q AS (SELECT *, CASE WHEN p_key = 'K1' AND setup_key = 'K2' THEN 2400 WHEN p_key = 'K2' AND setup_key = 'K1' THEN 0 ELSE 900 END AS need FROM p WHERE p_key IS NOT NULL),
-  w AS (SELECT machine_id, start_h * 3600 AS s, end_h * 3600 AS e FROM v_window WHERE machine_id % 10 <> 3), x AS (SELECT *, max(e) OVER (PARTITION BY machine_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w), y AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY machine_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM x),
+  w AS (SELECT DISTINCT machine_id, start_h * 3600 AS s, end_h * 3600 AS e FROM v_window WHERE machine_id % 10 <> 3), x AS (SELECT *, max(e) OVER (PARTITION BY machine_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM w), y AS (SELECT *, sum(CASE WHEN s <= pe THEN 0 ELSE 1 END) OVER (PARTITION BY machine_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM x),
   m AS (SELECT machine_id, min(s) AS s, max(e) AS e FROM y GROUP BY machine_id, g), r AS (SELECT q.machine_id, operation_id, start_s - need AS span_s, end_s FROM q WHERE need > 0)
   SELECT r.*, CASE WHEN NOT EXISTS (SELECT 1 FROM m WHERE m.machine_id = r.machine_id) THEN 'NO_CALENDAR' WHEN EXISTS (SELECT 1 FROM m WHERE m.machine_id = r.machine_id AND m.s <= span_s AND end_s <= m.e) THEN 'FITS' WHEN EXISTS (SELECT 1 FROM m WHERE m.machine_id = r.machine_id AND m.s <= span_s AND span_s < m.e) THEN 'CROSSES' ELSE 'OUTSIDE' END AS state FROM r""")
 def setup_spans(shop):
