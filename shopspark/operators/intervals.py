@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .spread import parts, spread
+
+
 def merge(df: DataFrame, key: str, start: str = "start_h", end: str = "end_h") -> DataFrame:
     """Unions of overlapping and touching intervals per key (gaps and islands)."""
     df = df.filter(F.col(start) < F.col(end))
@@ -17,7 +20,8 @@ def merge(df: DataFrame, key: str, start: str = "start_h", end: str = "end_h") -
 
 def subtract(windows: DataFrame, holes: DataFrame, key: str, start: str = "start_h", end: str = "end_h") -> DataFrame:
     """What is left of merged windows without the holes: boundary events, and stretches covered by a window and by no hole."""
-    a, b = merge(windows, key, start, end), merge(holes, key, start, end)
+    n = parts(windows, holes)
+    a, b = merge(spread(windows, key, n=n), key, start, end), merge(spread(holes, key, n=n), key, start, end)
     event = lambda d, w, h: d.select(key, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(w).alias("w"), F.lit(h).alias("h")), F.struct(F.col(end).alias("at"), F.lit(-w).alias("w"), F.lit(-h).alias("h")))).alias("e")).select(key, "e.*")
     e = event(a, 1, 0).unionByName(event(b, 0, 1)).groupBy(key, "at").agg(F.sum("w").alias("w"), F.sum("h").alias("h"))
     o = W.partitionBy(key).orderBy("at")

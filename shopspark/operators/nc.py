@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import nc as X
+from .spread import spread
 
 AXES = ["x", "y", "z"]
 #: Fixed values, in tenths: codes that are noted and not carried out (cutter and length compensation, offsets, shift, feed modes).
@@ -22,9 +23,10 @@ def motion(lines: DataFrame) -> DataFrame:
     or in relative mode. Holes that are measured in part (pecking, tapping, unknown initial level) are skipped as well, but add
     what is known. G92 sets the position without a move. A feed counts as mm/min under G94 only; under G95 it is feed_rev (mm), and
     under G93 it has no meaning by itself. noted has the codes of a line that are read but not carried out, in tenths. Everything is a
-    window over a program's lines in order.
+    window over a program's lines in order; a dozen sorts of wide rows follow one another in a task, so lines are spread by their number.
     """
     c = F.col
+    lines = spread(lines, "program_id")
     b = X.clean(c("text"))
     d = lines.withColumn("b", F.when(X.is_macro(c("text")), "").otherwise(b)).withColumns({"g": X.codes(c("b"), "G"), "m": X.codes(c("b"), "M")})
     w = W.partitionBy("program_id").orderBy("line_no")

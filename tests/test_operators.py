@@ -183,3 +183,14 @@ def test_arcs_cycles_and_decimal_codes(spark):
     assert moves[11]["skipped"] and moves[11]["length"] is None and moves[12]["skipped"] and moves[12]["length"] is None
     total = nc.programs(nc.motion(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "program_id long, line_no long, text string"))).first()
     assert total["status"] == "PARTIAL" and total["feed_mm"] == near(10 * math.pi + 10 + 12 + 10 + 4)
+
+
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    from shopspark.operators import intervals, nc, spread
+
+    monkeypatch.setattr(spread, "ROWS", 50)
+    lines = spark.range(1000).selectExpr("id % 90 AS program_id", "id AS line_no", "'G1 X' || id AS text")
+    assert nc.motion(lines).rdd.getNumPartitions() == 20
+    w = spark.range(1000).selectExpr("id % 90 AS machine_id", "id * 10 AS start_h", "id * 10 + 6 AS end_h")
+    left = intervals.subtract(w, w.selectExpr("machine_id", "start_h + 2 AS start_h", "start_h + 3 AS end_h"), "machine_id")
+    assert left.rdd.getNumPartitions() == 20 and left.count() == 2000
