@@ -146,23 +146,24 @@ def holding(queries: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     index = texts.select(key, F.explode(F.array_distinct(every)).alias("gram"))
     rarity = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     mine = queries.select("q").distinct().withColumn("gram", F.explode(F.array_distinct(_grams(c("q"), F.least(F.lit(GRAM), F.length("q"))))))
-    rare = mine.join(rarity, "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(c("df").isNull()).alias("lost")).filter("lost = 0")
-    return rare.join(index, "gram").join(texts, key).filter(F.contains("text", c("q"))).select("q", key).distinct()
+    rare = mine.join(rarity.hint("merge"), "gram", "left").groupBy("q").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count_if(c("df").isNull()).alias("lost")).filter("lost = 0")
+    return rare.hint("merge").join(index.hint("merge"), "gram").join(texts.hint("merge"), key).filter(F.contains("text", c("q"))).select("q", key).distinct()
 
 
 def bridged(names: DataFrame, materials: DataFrame) -> DataFrame:
     """names (raw, ...) with material_id and confidence: EXACT by normal form, else PARTIAL where the designation or the alias holds the name
-    (first by group, without one last, and designation), else NONE. Names and texts are compared without outer blanks and in lower case."""
+    (first by group, without one last, and designation), else NONE. Names and texts are compared without outer blanks and in lower case.
+    Materials may be many, and an estimate of what was exploded or grouped out of them is no bound, so they are merged and never broadcast."""
     norm = lambda x: F.lower(F.trim(x))
     known = materials.filter("designation <> ''")
     exact = known.groupBy(norm(c("designation")).alias("_k")).agg(F.min("material_id").alias("_e"))
-    out = names.withColumn("_k", norm(c("raw"))).join(exact, "_k", "left")
+    out = names.withColumn("_k", norm(c("raw"))).join(exact.hint("merge"), "_k", "left")
     texts = known.select("material_id", F.explode(F.array(norm(c("designation")), norm(c("alias")))).alias("text")).filter("text IS NOT NULL").distinct()
     numbered = texts.withColumn("_n", F.struct("material_id", F.xxhash64("text")))
     asked = out.filter(c("_e").isNull() & (c("_k") != "")).select(c("_k").alias("q"))
     hits = holding(asked, numbered.select("_n", "text"), "_n").select(c("q").alias("_k"), c("_n.material_id").alias("material_id"))
     order = F.struct(F.coalesce(c("iso_group"), F.lit("~")), c("designation"), c("material_id"))
-    part = hits.join(known.select("material_id", "iso_group", "designation"), "material_id").groupBy("_k").agg(F.min_by("material_id", order).alias("_p"))
-    out = out.join(part, "_k", "left")
+    part = hits.join(known.select("material_id", "iso_group", "designation").hint("merge"), "material_id").groupBy("_k").agg(F.min_by("material_id", order).alias("_p"))
+    out = out.join(part.hint("merge"), "_k", "left")
     confidence = F.when(c("_e").isNotNull(), "EXACT").when(c("_p").isNotNull(), "PARTIAL").otherwise("NONE")
     return out.withColumns({"material_id": F.coalesce("_e", "_p"), "confidence": confidence}).drop("_k", "_e", "_p")
