@@ -171,11 +171,31 @@ def reconciled(machine: DataFrame, rule: DataFrame, groups: DataFrame) -> DataFr
     return g.select("page", "grp", state.alias("state"))
 
 
+#: Most rows of a page whose groups are formed in one row.
+SMALL_PAGE = 64
+
+
 def evidence_groups(edges: DataFrame) -> DataFrame:
     """(page, side, finding_id, grp) of (page, side, finding_id, source_id): findings that share a source object on a page, directly or through others."""
     from .graph import groups
 
+    large = edges.groupBy("page").agg(F.count(F.lit(1)).alias("n")).filter(c("n") > SMALL_PAGE).select("page")
+    if large.isEmpty():
+        return _groups_of_few(edges)
+    many = edges.join(large, "page", "left_semi")
     node = F.xxhash64("page", "side", "finding_id")
-    e = edges.select("page", "side", "finding_id", F.xxhash64("page", F.lit("source"), "source_id").alias("a"), node.alias("b"))
+    e = many.select("page", "side", "finding_id", F.xxhash64("page", F.lit("source"), "source_id").alias("a"), node.alias("b"))
     label = groups(e.select("a", "b"))
-    return e.select("page", "side", "finding_id", c("b").alias("node")).distinct().join(label, "node").select("page", "side", "finding_id", "grp")
+    found = e.select("page", "side", "finding_id", c("b").alias("node")).distinct().join(label, "node").select("page", "side", "finding_id", "grp")
+    return found.unionByName(_groups_of_few(edges.join(large, "page", "left_anti")))
+
+
+def _groups_of_few(edges: DataFrame) -> DataFrame:
+    """The same of pages with few rows: the findings of each source object in turn merge the groups of their page that they meet."""
+    e = edges.select("page", "side", "finding_id", "source_id").repartition("page").distinct()
+    e = e.groupBy("page", "source_id").agg(F.collect_list(F.struct("side", "finding_id")).alias("own")).groupBy("page").agg(F.collect_list("own").alias("each"))
+    meet = lambda known, own: F.filter(known, lambda g: F.arrays_overlap(g, own))
+    apart = lambda known, own: F.filter(known, lambda g: ~F.arrays_overlap(g, own))
+    merged = F.aggregate("each", F.filter("each", lambda g: F.lit(False)), lambda known, own: F.concat(apart(known, own), F.array(F.array_distinct(F.concat(own, F.flatten(meet(known, own)))))))
+    g = e.select("page", F.explode(merged).alias("g")).select("page", "g", F.explode("g").alias("x"))
+    return g.select("page", "x.side", "x.finding_id", F.array_min(F.transform("g", lambda x: F.xxhash64(c("page"), x["side"], x["finding_id"]))).alias("grp"))
