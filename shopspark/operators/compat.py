@@ -55,17 +55,40 @@ def verdict_counts(machines: DataFrame, tools: DataFrame, holders: DataFrame, op
     return pairs.groupBy(*RULES).agg(F.sum(c("n_th") * c("n_m")).alias("n")).select(_verdict().alias("verdict"), *RULES, "n")
 
 
-def fitting(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
-    """The COMPATIBLE triples: each rule that reads one catalog, or tool and holder, is applied before the machines are met by an equi join on the interface."""
+def _fitting_sides(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float) -> tuple[DataFrame, DataFrame]:
+    """Tools with holders, and machines by interface, after each rule that reads one catalog, or tool and holder."""
     c = F.col
     m, t, h = _catalogs(machines, tools, holders, operation)
     m = m.filter(c("m_rpm") >= rpm).withColumn("machine_interface", F.explode("own"))
     h = h.filter(c("h_rpm") >= rpm)
     t = t.filter((c("t_rpm") >= rpm) & (_iso(iso_group) == "PASS"))
-    th = t.join(bounded(h), _shank() == "PASS")
+    return t.join(bounded(h), _shank() == "PASS"), m
+
+
+def fitting(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float) -> DataFrame:
+    """The COMPATIBLE triples: each rule that reads one catalog, or tool and holder, is applied before the machines are met by an equi join on the interface."""
+    th, m = _fitting_sides(machines, tools, holders, operation, iso_group, rpm)
     return th.join(m, "machine_interface").filter((_length() == "PASS") & (_diameter() == "PASS"))
 
 
+def ranked_fitting(machines: DataFrame, tools: DataFrame, holders: DataFrame, operation: str, iso_group: str, rpm: float, limit: int, margin: Column, reference: Column) -> DataFrame:
+    """``ranked`` over ``fitting``, without its triples; margin is of a machine (m_rpm), reference of a tool (tool_id).
+
+    Limits of machines (few values) meet the counts of tools and holders by length, diameter and reference, which tells each machine's number of triples by
+    reference. Each such cell has a triple at least, so the first ``limit`` cells hold the first ``limit`` triples, and only those are formed.
+    """
+    th, m = _fitting_sides(machines, tools, holders, operation, iso_group, rpm)
+    th, m = th.withColumn("reference", reference), m.withColumn("margin", margin)
+    bounds = ["machine_interface", "max_tool_len", "max_tool_d"]
+    sizes = th.groupBy("machine_interface", "length_mm", "d_mm", "reference").agg(F.count(F.lit(1)).alias("n"))
+    fit = m.select(*bounds).distinct().join(sizes, "machine_interface").filter((_length() == "PASS") & (_diameter() == "PASS")).groupBy(*bounds, "reference").agg(F.sum("n").alias("n"))
+    cells = m.join(fit, bounds).groupBy("machine_id", "margin", "reference").agg(F.sum("n").alias("n"))
+    first = cells.orderBy(*_order(), "machine_id").limit(limit).select("machine_id", F.col("margin").alias("_margin"), "reference")
+    own = m.join(F.broadcast(first), "machine_id").filter(F.col("margin").eqNullSafe(F.col("_margin"))).drop("_margin")
+    rows = th.join(F.broadcast(own), ["machine_interface", "reference"]).filter((_length() == "PASS") & (_diameter() == "PASS"))
+    return _with_ranks(rows, cells.groupBy("margin", "reference").agg(F.sum("n").alias("n")), limit)
+
+
 def interface_pairs(machines: DataFrame, holders: DataFrame) -> DataFrame:
     """Only the pairs that fit: an equi join on the exploded interfaces instead of a product."""
     m = machines.select("machine_id", F.explode(interfaces(F.col("spindle_interface"), F.col("more_interfaces"))).alias("machine_interface"))
@@ -117,17 +140,23 @@ def _shank() -> Column:
     return shank
 
 
+def _order() -> list[Column]:
+    return [F.col("margin").desc_nulls_last(), F.col("reference").desc()]
+
+
 def ranked(df: DataFrame, limit: int) -> DataFrame:
     """Ranks by (margin desc, NULL last, reference desc): equal keys tie, the next key is one rank on; first ``limit`` rows.
 
     The distinct keys are ranked apart (margins are rounded, so they are few), and the rows are cut by an ordered limit, so no
     window runs over all rows. ahead says why a key stands before the next distinct one.
     """
-    key = [F.col("margin").desc_nulls_last(), F.col("reference").desc()]
-    keys = df.groupBy("margin", "reference").agg(F.count(F.lit(1)).alias("n"))
-    w = W.orderBy(*key)
+    return _with_ranks(df, df.groupBy("margin", "reference").agg(F.count(F.lit(1)).alias("n")), limit)
+
+
+def _with_ranks(df: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    w = W.orderBy(*_order())
     keys = keys.withColumn("rank", F.dense_rank().over(w)).withColumn("m2", F.lead("margin").over(w)).withColumn("r2", F.lead("reference").over(w))
     ahead = F.when(F.col("m2").isNotNull() & (F.col("margin") > F.col("m2")), "HIGHER_RPM_MARGIN").when(F.col("margin").isNotNull() & F.col("m2").isNull() & F.col("r2").isNotNull(), "RPM_MARGIN_KNOWN").when(F.col("reference") > F.col("r2"), "REFERENCE_GUIDANCE")
     keys = keys.select(F.col("margin").alias("_m"), F.col("reference").alias("_r"), "rank", (F.col("n") > 1).alias("tied"), ahead.alias("ahead"))
-    top = df.orderBy(*key, "machine_id", "holder_id", "tool_id").limit(limit)
+    top = df.orderBy(*_order(), "machine_id", "holder_id", "tool_id").limit(limit)
     return top.join(keys, top["margin"].eqNullSafe(F.col("_m")) & (top["reference"] == F.col("_r"))).drop("_m", "_r")

@@ -211,8 +211,9 @@ def compatibility(shop):
   d AS (SELECT DISTINCT rank, margin, reference FROM r), nx AS (SELECT rank, margin, reference, lead(margin) OVER (ORDER BY rank) AS m2, lead(reference) OVER (ORDER BY rank) AS r2 FROM d)
   SELECT machine_id, tool_id, holder_id, r.margin, rank, tied, CASE WHEN m2 IS NOT NULL AND nx.margin > m2 THEN 'HIGHER_RPM_MARGIN' WHEN r2 IS NOT NULL AND nx.reference > r2 THEN 'REFERENCE_GUIDANCE' END AS ahead FROM r JOIN nx USING (rank) WHERE pos <= 200""")
 def ranked_selection(shop):
-    df = compat.fitting(shop.v_machine, shop.v_tool, shop.v_holder, **_REQUEST).withColumn("margin", F.round((c("m_rpm") - 9000) / c("m_rpm"), 6)).withColumn("reference", c("tool_id") % 2)
-    return compat.ranked(df, 200).select("machine_id", "tool_id", "holder_id", "margin", "rank", "tied", "ahead")
+    margin = F.round((c("m_rpm") - 9000) / c("m_rpm"), 6)
+    df = compat.ranked_fitting(shop.v_machine, shop.v_tool, shop.v_holder, **_REQUEST, limit=200, margin=margin, reference=c("tool_id") % 2)
+    return df.select("machine_id", "tool_id", "holder_id", "margin", "rank", "tied", "ahead")
 
 
 @query("selection_rollup", f"WITH {_TRIPLES} SELECT count(*) AS evaluated, count(*) FILTER (WHERE verdict = 'COMPATIBLE') AS compatible, count(*) FILTER (WHERE verdict = 'INCOMPATIBLE') AS incompatible, CASE WHEN count(*) FILTER (WHERE verdict = 'COMPATIBLE') > 0 THEN 'RANKED' WHEN count(*) FILTER (WHERE verdict = 'INSUFFICIENT_DATA') > count(*) FILTER (WHERE verdict = 'INCOMPATIBLE') THEN 'INSUFFICIENT_DATA' ELSE 'NO_COMPATIBLE' END AS state FROM ev")

@@ -102,3 +102,54 @@ def test_equal_windows_are_no_matter_of_chance(spark, tmp_path, name):
     cols = ", ".join(sorted(r[0] for r in con.sql("describe want").fetchall()))
     for a, b in (("want", "got"), ("got", "want")):
         assert con.sql(f"select count(*) from (select {cols} from {a} except all select {cols} from {b})").fetchall() == [(0,)]
+
+
+def test_ranked_without_triples_is_ranked_over_them(spark):
+    from shopspark.operators import compat
+    from shopspark.plans.views import Shop
+
+    shop = Shop(spark, SF.replace("sf0.001", "sf0.01"))
+    request = dict(operation="milling", iso_group="P", rpm=9000)
+    margin, reference = F.round((F.col("m_rpm") - 9000) / F.col("m_rpm"), 2), F.col("tool_id") % 2
+    cols = ["machine_id", "tool_id", "holder_id", "margin", "rank", "tied", "ahead"]
+    sides = (shop.v_machine.union(shop.v_machine.limit(5)), shop.v_tool, shop.v_holder)
+    whole = compat.fitting(*sides, **request).withColumns({"margin": margin, "reference": reference})
+    for limit in (1, 7, 60, 100_000):
+        got = compat.ranked_fitting(*sides, **request, limit=limit, margin=margin, reference=reference)
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, compat.ranked(whole, limit).select(cols).collect()))
+        assert got.count() > 0
+
+
+def test_materials_are_never_broadcast(spark):
+    from shopspark.operators import candidates as ca
+    from shopspark.plans.views import Shop
+
+    shop = Shop(spark, SF)
+    d = ca.bridged(shop.lineitem.selectExpr("l_partkey AS q", "cast(l_partkey AS string) AS raw").distinct(), shop.v_material)
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_of_small_and_large_pages_agrees(spark):
+    import random
+
+    from shopspark.operators import drawing as dr
+
+    r = random.Random(3)
+    rows = [(p, r.choice(["AI", "RULE"]), r.randrange(12), r.choice([None, *range(9)])) for p in range(40) for _ in range(r.randrange(1, 14))]
+    ev = spark.createDataFrame(rows, "page long, side string, finding_id long, source_id long")
+
+    def parted():
+        out = defaultdict(set)
+        for x in dr.evidence_groups(ev).collect():
+            out[x["page"], x["grp"]].add((x["side"], x["finding_id"]))
+        return sorted((p, sorted(v)) for (p, _), v in out.items())
+
+    assert "Scan ExistingRDD[page" in dr.evidence_groups(ev)._jdf.queryExecution().executedPlan().toString()  # no checkpoint
+    few = parted()
+    small = dr.SMALL_PAGE
+    try:
+        for at in (0, 6):
+            dr.SMALL_PAGE = at
+            assert few == parted()
+    finally:
+        dr.SMALL_PAGE = small
