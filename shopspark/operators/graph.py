@@ -1,11 +1,14 @@
-"""Dependency graphs and groups by repeated joins."""
+"""Dependency graphs and groups by repeated joins; graphs of few nodes in one row each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Most rows (edges count twice) of a plan that is worked out in one row, where its nodes are the bits of a long.
+SMALL_PLAN = 62
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, that of spark.checkpoint.dir where none is set yet; a cluster needs one that its machines share."""
@@ -25,8 +28,66 @@ def _cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(jdf.toJavaRDD(), jdf.schema()), spark)
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """Plans that go the general way: those of many rows, and those without an id, whose edges meet none."""
+    n = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.filter((F.col("n") > SMALL_PLAN) | F.col("plan_id").isNull()).select(F.col("plan_id").alias("_large"))
+
+
+def _of(df: DataFrame, large: DataFrame, how: str) -> DataFrame:
+    return df.join(large, df["plan_id"].eqNullSafe(large["_large"]), how)
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
+
+
+def _has(bits: Column, k: Column) -> Column:
+    return F.getbit(bits, k) == 1
+
+
+def _any(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+
+def _marks(picked: Column, end: str) -> Column:
+    """Bits of the nodes at this end of the picked edges."""
+    return _any(F.transform(picked, lambda x: _bit(F.array_position("nodes", x[end]) - 1)))
+
+
+def _with(x: Column, f) -> Column:
+    """f of x, which is worked out once and not again in each turn of a loop of f."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _packed(edges: DataFrame) -> DataFrame:
+    """(plan_id, e, nodes, reach): a plan's edges, its nodes in order, and for each node the bits of those that paths from it lead to. Each
+    node in turn hands on what it reaches to those that reach it."""
+    g = edges.select("plan_id", "src", "dst").repartition("plan_id").groupBy("plan_id").agg(F.collect_set(F.struct("src", "dst")).alias("e"))
+    g = g.withColumn("own", F.filter("e", lambda x: x["src"].isNotNull() & x["dst"].isNotNull()))
+    g = g.withColumn("nodes", F.array_sort(F.array_distinct(F.flatten(F.transform("own", lambda x: F.array(x["src"], x["dst"]))))))
+    direct = F.transform("nodes", lambda n: _marks(F.filter("own", lambda x: x["src"] == n), "dst"))
+    through = lambda reach, k: F.transform(reach, lambda r: F.when(_has(r, k), r.bitwiseOR(F.get(reach, k))).otherwise(r))
+    return g.select("plan_id", "e", "nodes", F.aggregate(F.sequence(F.lit(0), F.size("nodes") - 1), direct, through).alias("reach"))
+
+
+def _ancestors_of_few(edges: DataFrame) -> DataFrame:
+    s, d = (edges.schema[k].dataType for k in ("src", "dst"))
+    behind = lambda n, r: F.transform(F.filter("nodes", lambda _, j: _has(r, j)), lambda m: F.struct(n.cast(s).alias("src"), m.cast(d).alias("dst")))
+    loose = F.filter("e", lambda x: x["src"].isNull() | x["dst"].isNull())  # edges that lead on to nothing
+    return _packed(edges).select("plan_id", F.explode(F.concat(loose, F.flatten(F.zip_with("nodes", "reach", behind)))).alias("x")).select("plan_id", "x.*")
+
+
 def ancestors(edges: DataFrame) -> DataFrame:
-    """Transitive closure (plan_id, src, dst): in each round only the paths that the last one found are lengthened, on both sides, so the
+    """Transitive closure (plan_id, src, dst). Plans of few edges are worked out in one row; larger ones in rounds of joins."""
+    large = _large(edges.union(edges))
+    if large.isEmpty():
+        return _ancestors_of_few(edges)
+    return _ancestors_of_few(_of(edges, large, "left_anti")).union(_ancestors_of_many(_of(edges, large, "left_semi")))
+
+
+def _ancestors_of_many(edges: DataFrame) -> DataFrame:
+    """The same in rounds: in each only the paths that the last one found are lengthened, on both sides, so the
     number of rounds is the logarithm of the longest path; it ends when a round finds nothing new."""
     paths = fresh = _cut(edges.select("plan_id", "src", "dst").distinct())
     join = lambda x, y: x.alias("a").join(y.alias("b"), (F.col("a.plan_id") == F.col("b.plan_id")) & (F.col("a.dst") == F.col("b.src"))).select("a.plan_id", "a.src", "b.dst")
@@ -38,16 +99,57 @@ def ancestors(edges: DataFrame) -> DataFrame:
         paths = _cut(paths.union(fresh))
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """(plan_id, node) on or behind a cycle of (plan_id, src, dst): the nodes that reach themselves, and what they reach."""
-    paths = ancestors(edges)
+def _cyclic_of_few(edges: DataFrame) -> DataFrame:
+    behind = _any(F.transform("reach", lambda r, i: F.when(_has(r, i), r).otherwise(0)))
+    nodes = _with(behind, lambda bits: F.filter("nodes", lambda _, j: _has(bits, j)))
+    return _packed(edges).select("plan_id", F.explode(nodes).alias("node")).withColumn("node", F.col("node").cast(edges.schema["dst"].dataType))
+
+
+def _cyclic_of_many(edges: DataFrame) -> DataFrame:
+    paths = _ancestors_of_many(edges)
     ring = paths.filter("src = dst").select("plan_id", "src")
     return paths.join(ring, ["plan_id", "src"], "left_semi").select("plan_id", F.col("dst").alias("node")).distinct()
 
 
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """(plan_id, node) on or behind a cycle of (plan_id, src, dst): the nodes that reach themselves, and what they reach."""
+    large = _large(edges.union(edges))
+    if large.isEmpty():
+        return _cyclic_of_few(edges)
+    return _cyclic_of_few(_of(edges, large, "left_anti")).union(_cyclic_of_many(_of(edges, large, "left_semi")))
+
+
+def _levels_of_few(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The levels of plans with few nodes, in layers: the nodes that all before them are done with, round by round."""
+    kind = nodes.schema["node"].dataType
+    e = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("plan_id", F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.lit(False).alias("own"))
+    own = nodes.select("plan_id", F.col("node").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(True).alias("own"))
+    g = e.union(own).repartition("plan_id").groupBy("plan_id").agg(F.collect_set(F.struct("src", "dst", "own")).alias("e"))
+    g = g.withColumn("nodes", F.array_sort(F.transform(F.filter("e", lambda x: x["own"]), lambda x: x["src"]))).filter(F.size("nodes") > 0)
+    known = lambda n, x: ~x["own"] & (x["dst"] == n) & (F.array_position("nodes", x["src"]) > 0)
+    before = F.transform("nodes", lambda n: _marks(F.filter("e", lambda x: known(n, x)), "src"))
+    more = lambda before, done: _any(F.transform(before, lambda b, j: F.when(b.bitwiseAND(done) == b, _bit(j)).otherwise(0)))
+    layers = lambda before: F.aggregate("nodes", F.array(F.lit(0).cast("long")), lambda s, _: F.array_append(s, more(before, F.element_at(s, -1))))
+    at = lambda done: F.transform("nodes", lambda n, j: F.struct(n.alias("node"), (F.size(F.filter(done, lambda m: ~_has(m, j))) - 1).alias("level")))
+    level = _with(_with(before, layers), at)
+    g = _cut(g.select("plan_id", level.alias("each"), F.size("nodes").alias("n")))
+    if not g.filter(F.exists("each", lambda x: x["level"] >= F.col("n"))).isEmpty():
+        raise ValueError("the graph has a cycle")
+    return g.select("plan_id", F.explode("each").alias("x")).select("plan_id", "x.*")
+
+
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(plan_id, node, level): length of the longest path that leads to each node. Raises ValueError where the graph has a cycle: a level
-    of as many steps as its graph has nodes can't be."""
+    """(plan_id, node, level): length of the longest path that leads to each node. Raises ValueError where the graph has a cycle. Plans of few
+    nodes and edges are worked out in one row; larger ones in rounds of joins."""
+    large = _large(edges.select("plan_id").union(nodes.select("plan_id")))
+    if large.isEmpty():
+        return _levels_of_few(edges, nodes)
+    of = lambda how: (_of(edges, large, how), _of(nodes, large, how))
+    return _levels_of_few(*of("left_anti")).union(_levels_of_many(*of("left_semi")))
+
+
+def _levels_of_many(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same in rounds. A level of as many steps as its graph has nodes can't be."""
     direct = edges.select("plan_id", "src", "dst").distinct()
     size = nodes.select("plan_id", "node").distinct().groupBy("plan_id").agg(F.count(F.lit(1)).alias("_n"))
     most = size.agg(F.max("_n")).first()[0] or 0

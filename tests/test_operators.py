@@ -150,6 +150,36 @@ def test_chains_cycles_and_levels(spark):
         graph.levels(bad, bad.select("plan_id", bad["src"].alias("node")).union(bad.select("plan_id", "dst")).distinct())
 
 
+def test_small_graphs_take_no_rounds(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import types as T
+
+    r = random.Random(4)
+    rows = [(p, r.randrange(6), r.randrange(6)) for p in range(40) for _ in range(r.randrange(1, 9))]
+    shape = T.StructType([T.StructField("plan_id", T.LongType()), T.StructField("src", T.IntegerType()), T.StructField("dst", T.LongType())])
+    e = spark.createDataFrame([*rows, (7, None, 2), (7, 3, None)], shape)
+    for many in ("_ancestors_of_many", "_cyclic_of_many", "_levels_of_many"):
+        monkeypatch.setattr(graph, many, None)
+    paths = set(rows)
+    while more := {(p, a, d) for p, a, b in paths for q, x, d in rows if (p, b) == (q, x)} - paths:
+        paths |= more
+    got = graph.ancestors(e)
+    assert got.schema == shape or [f.dataType for f in got.schema] == [f.dataType for f in shape]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, paths | {(7, None, 2), (7, 3, None)}))
+    ring = {(p, a) for p, a, b in paths if a == b}
+    assert sorted(map(tuple, graph.cyclic_nodes(e).collect())) == sorted({(p, b) for p, a, b in paths if (p, a) in ring})
+    up = {x for x in rows if x[1] < x[2]}
+    nodes = sorted({(p, n) for p, a, b in up for n in (a, b) if n != 3} | {(p, 77) for p in range(40)})
+    level = dict.fromkeys(nodes, 0)
+    for _ in range(6):
+        for p, a, b in sorted(up):
+            if (p, a) in level and (p, b) in level:
+                level[p, b] = max(level[p, b], level[p, a] + 1)
+    got = graph.levels(spark.createDataFrame(sorted(up), shape), spark.createDataFrame(nodes, "plan_id long, node long"))
+    assert sorted(map(tuple, got.collect())) == sorted((*k, v) for k, v in level.items())
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_status_replay_against_a_loop(spark, block):
     import random
