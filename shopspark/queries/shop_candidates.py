@@ -51,10 +51,12 @@ def machine_candidates(shop):
 def tool_candidates(shop):
     """The best three tools of each operation and material for a 12 mm feature."""
     from ..operators.catalog import items
+    from ..operators.spread import spread
 
     want = shop.v_step.filter("iso_group IS NOT NULL").select("operation", "iso_group").distinct()
-    t = shop.v_tool.select("tool_id", "d_mm", items(c("iso_groups")).alias("gs"), F.explode(items(c("operations"))).alias("operation"))
-    s = want.join(t, "operation").select("operation", "iso_group", "tool_id", ca.tool_score(c("d_mm"), F.lit(12.0), c("gs"), c("iso_group")).alias("score"))
+    tools = spread(shop.v_tool.select("tool_id", "d_mm", "iso_groups", "operations"), "tool_id")  # a task sorts several candidates of each; wants are few
+    t = tools.select("tool_id", "d_mm", items(c("iso_groups")).alias("gs"), F.explode(items(c("operations"))).alias("operation"))
+    s = t.join(F.broadcast(want), "operation").select("operation", "iso_group", "tool_id", ca.tool_score(c("d_mm"), F.lit(12.0), c("gs"), c("iso_group")).alias("score"))
     return ca.best(s, ["operation", "iso_group"], "tool_id", 3)
 
 

@@ -224,3 +224,11 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     w = spark.range(1000).selectExpr("id % 90 AS machine_id", "id * 10 AS start_h", "id * 10 + 6 AS end_h")
     left = intervals.subtract(w, w.selectExpr("machine_id", "start_h + 2 AS start_h", "start_h + 3 AS end_h"), "machine_id")
     assert left.rdd.getNumPartitions() == 20 and left.count() == 2000
+
+
+def test_tools_stay_spread_where_wants_are_few(spark):
+    from shopspark.queries import ENTRIES
+
+    plan = ENTRIES["tool_candidates"].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    join = next(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+    assert "BuildRight" in join and "REPARTITION_BY_NUM" in plan  # the tools aren't broadcast to the task that holds the wants
