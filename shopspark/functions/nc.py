@@ -12,17 +12,19 @@ NUMBER = r"([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))"
 
 def clean(text: Column) -> Column:
     """Upper case, without (comments) and what follows a semicolon."""
-    return F.upper(F.regexp_replace(F.regexp_replace(text, r"\([^)]*\)", " "), ";.*$", ""))
+    plain = F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, r"\([^)]*\)", " ")).otherwise(text)
+    return F.upper(F.when(F.contains(plain, F.lit(";")), F.regexp_replace(plain, ";.*$", "")).otherwise(plain))
 
 
 def word(block: Column, letter: str) -> Column:
-    """Value of the last word with this letter; NULL without one."""
-    return F.try_element_at(F.regexp_extract_all(block, F.lit(letter + r"\s*" + NUMBER), F.lit(1)), F.lit(-1)).try_cast("double")
+    """Value of the last word with this letter; NULL without one. Only blocks that hold the letter are searched."""
+    return F.when(F.contains(block, F.lit(letter)), F.try_element_at(F.regexp_extract_all(block, F.lit(letter + r"\s*" + NUMBER), F.lit(1)), F.lit(-1)).try_cast("double"))
 
 
 def codes(block: Column, letter: str) -> Column:
     """All numbers of G or M words in tenths, so that G91.1 (911) isn't G91 (910)."""
-    return F.transform(F.regexp_extract_all(block, F.lit(letter + r"\s*" + NUMBER), F.lit(1)), lambda x: F.round(x.try_cast("double") * 10).cast("int"))
+    found = F.transform(F.regexp_extract_all(block, F.lit(letter + r"\s*" + NUMBER), F.lit(1)), lambda x: F.round(x.try_cast("double") * 10).cast("int"))
+    return F.when(F.contains(block, F.lit(letter)), found).when(block.isNotNull(), F.array().cast("array<int>"))
 
 
 def last_of(numbers: Column, *wanted: int) -> Column:

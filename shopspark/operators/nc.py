@@ -22,16 +22,17 @@ def motion(lines: DataFrame) -> DataFrame:
     skipped: a move whose start isn't known in an axis that it changes, an arc by radius or with unequal radii, cycles G86-G89
     or in relative mode. Holes that are measured in part (pecking, tapping, unknown initial level) are skipped as well, but add
     what is known. G92 sets the position without a move. A feed counts as mm/min under G94 only; under G95 it is feed_rev (mm), and
-    under G93 it has no meaning by itself. noted has the codes of a line that are read but not carried out, in tenths. Everything is a
-    window over a program's lines in order; a dozen sorts of wide rows follow one another in a task, so lines are spread by their number.
+    under G93 it has no meaning by itself. noted has the codes of a line that are read but not carried out, in tenths; end is set on the
+    line that ends the program. Everything is a window over a program's lines in order: they are spread by their number and sorted once,
+    before anything is read out of them, and no window asks for another order.
     """
     c = F.col
-    lines = spread(lines, "program_id")
+    lines = spread(lines.select("program_id", "line_no", "text"), "program_id").sortWithinPartitions("program_id", "line_no")
     b = X.clean(c("text"))
     d = lines.withColumn("b", F.when(X.is_macro(c("text")), "").otherwise(b)).withColumns({"g": X.codes(c("b"), "G"), "m": X.codes(c("b"), "M")})
     w = W.partitionBy("program_id").orderBy("line_no")
     to_here = w.rowsBetween(W.unboundedPreceding, 0)
-    end = F.min(F.when(X.last_of(c("m"), 2, 30).isNotNull(), c("line_no"))).over(W.partitionBy("program_id"))
+    end = F.min(F.when(X.last_of(c("m"), 2, 30).isNotNull(), c("line_no"))).over(to_here)
     d = d.withColumn("end", end).filter(c("end").isNull() | (c("line_no") <= c("end")))
     kept = lambda x: F.last(x, ignorenulls=True).over(to_here)
     g = c("g")
@@ -49,23 +50,24 @@ def motion(lines: DataFrame) -> DataFrame:
     d = d.withColumn("hole", F.coalesce(cycle & ~c("relative") & ~c("home") & (c("wx").isNotNull() | c("wy").isNotNull()), F.lit(False)))
     d = d.withColumns({"depth": kept(F.when(cycle, c("wz"))), "level": kept(F.when(cycle, c("wr")))})
 
-    def placed(d: DataFrame, a: str, at: Column, base: Column, out: str) -> DataFrame:
-        """Position of an axis: lines that fix it (at) begin a group with base (NULL: unknown), to which relative steps add."""
-        step = F.when(c("relative") & ~c("home"), F.coalesce(f"w{a}", F.lit(0.0))).otherwise(0.0)
-        d = d.withColumn(f"k{out}", F.sum(at.cast("int")).over(to_here))
-        group = W.partitionBy("program_id", f"k{out}").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-        start = F.first(F.when(at, base)).over(group)  # the group's first line fixes the axis, or (home, program start) leaves it unknown
-        return d.withColumn(f"p{out}", start + F.sum(step).over(group)).withColumn(f"s{out}", F.lag(f"p{out}").over(w))
+    # Relative steps so far: below a metre in whole millionths of a um, so that differences of sums are exact; longer ones apart.
+    step = {a: F.when(c("relative") & ~c("home"), F.coalesce(f"w{a}", F.lit(0.0))).otherwise(0.0) for a in AXES}
+    short = {a: F.abs(x) < 1000 for a, x in step.items()}
+    d = d.withColumns({f"near_{a}": F.sum(F.when(short[a], F.rint(step[a] * 1e9).cast("long")).otherwise(F.lit(0).cast("long"))).over(to_here) for a in AXES} | {f"far_{a}": F.sum(F.when(short[a], 0.0).otherwise(step[a])).over(to_here) for a in AXES})
+
+    def placed(d: DataFrame, at: dict[str, tuple[str, Column, Column]]) -> DataFrame:
+        """Positions of axes (out: axis, at, base): the last line that fixes it (at) has base (NULL: unknown), to which the steps since add."""
+        d = d.withColumns({f"k{out}": F.last(F.when(on, F.struct(base.alias("p"), c(f"near_{a}").alias("near"), c(f"far_{a}").alias("far"))), ignorenulls=True).over(to_here) for out, (a, on, base) in at.items()})
+        d = d.withColumns({f"p{out}": c(f"k{out}.p") + ((c(f"near_{a}") - c(f"k{out}.near")) / 1e9 + (c(f"far_{a}") - c(f"k{out}.far"))) for out, (a, _, _) in at.items()})
+        return d.withColumns({f"s{out}": F.lag(f"p{out}").over(w) for out in at})
 
     said = lambda a: c(f"w{a}").isNotNull() & ~c("relative")
     own = lambda a: F.when(~c("home") & ~c("relative"), c(f"w{a}"))
-    for a in ("x", "y"):
-        d = placed(d, a, c("home") | said(a), own(a), a)
     # A hole leaves the axis at the level (G99) or where the cycle began (G98): first without the latter, to know where that was.
     sets = c("home") | (said("z") & ~c("hole"))
-    d = placed(d, "z", sets | (c("hole") & c("stays")), F.when(c("hole"), c("level")).otherwise(own("z")), "a")
+    d = placed(d, {a: (a, c("home") | said(a), own(a)) for a in ("x", "y")} | {"a": ("z", sets | (c("hole") & c("stays")), F.when(c("hole"), c("level")).otherwise(own("z")))})
     d = d.withColumn("initial", F.last(F.when(c("begins"), F.struct(c("sa").alias("z"))), ignorenulls=True).over(to_here)["z"])
-    d = placed(d, "z", sets | c("hole"), F.when(c("hole"), F.when(c("stays"), c("level")).otherwise(F.coalesce("initial", "level"))).otherwise(own("z")), "z")
+    d = placed(d, {"z": ("z", sets | c("hole"), F.when(c("hole"), F.when(c("stays"), c("level")).otherwise(F.coalesce("initial", "level"))).otherwise(own("z")))})
 
     moved = [c(f"w{a}").isNotNull() for a in AXES]
     is_move = F.coalesce((moved[0] | moved[1] | moved[2]) & ~c("home") & ~c("shift") & (c("mode").between(0, 3) | c("mode").between(81, 89)), F.lit(False))

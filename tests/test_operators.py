@@ -226,6 +226,17 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     assert left.rdd.getNumPartitions() == 20 and left.count() == 2000
 
 
+def test_motion_sorts_once(spark):
+    from shopspark.operators import nc
+
+    lines = spark.range(1000).selectExpr("id % 90 AS program_id", "id AS line_no", "'G1 X' || id AS text")
+    plan = nc.motion(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and nc.motion(lines).count() == 1000
+    text = ["G21 G90 X0.1 Y0 Z0", "G91 G1 X900000000000.5", "X0.1", "G90 X0.1", "G91 X0.1", "X0.2", "G20 X0.1"]
+    moves = {r["line_no"]: r for r in nc.motion(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "program_id long, line_no long, text string")).collect()}
+    assert [moves[i]["px"] for i in (3, 4, 5, 6)] == [pytest.approx(x, abs=1e-9) for x in (0.1, 0.2, 0.4, 2.94)]  # long steps before don't blur later ones
+
+
 def test_tools_stay_spread_where_wants_are_few(spark):
     from shopspark.queries import ENTRIES
 
