@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .spread import parts, spread
+
 c = F.col
 
 #: The series and words that name a kind of token, and the units of a finish.
@@ -27,6 +29,8 @@ SUITS = {
 }
 REACH_PT, NEAR_WEIGHT, TYPE_WEIGHT = 72.0, 0.6, 0.4
 AUTO_SCORE, AUTO_GAP = 0.70, 0.15
+#: Most rows of a page whose groups or pairs are formed at once.
+SMALL_PAGE = 64
 
 
 def lexemes(text: Column) -> Column:
@@ -114,10 +118,41 @@ def suits(kind: Column, feature_type: Column) -> Column:
 def associated(annotations: DataFrame, features: DataFrame, page: list[str], k: int = 5) -> DataFrame:
     """(page, annotation_id, feature_id, score, rank): the k best features on an annotation's page by nearness (72 pt) and type.
 
-    Far features still score by their type. So those within reach are met through cells of the reach's size, and of the far ones only the
-    first k of each type of the page, which score alike, take part: no pairs of a whole page are formed. annotations: page, annotation_id,
-    kind, x, y; features: page, feature_id, feature_type, x, y.
+    Far features still score by their type. Pages with at most SMALL_PAGE rows of features send these as one array to their annotations.
+    Larger pages are worked out in parts: features within reach are met through cells of the reach's size, and of the far ones only the
+    first k of each type of the page, which score alike, take part, so no pairs of a whole page are formed. annotations: page,
+    annotation_id, kind, x, y, where rows of one annotation_id differ in no more than kind, x and y; features: page, feature_id,
+    feature_type, x, y.
     """
+    large = features.groupBy(*page).agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") > SMALL_PAGE).select(*page)
+    if large.isEmpty():
+        return _ranked(_associated_with_few(annotations, features, page), page, k)
+    of = lambda d, how: d.join(large, page, how)
+    both = _associated_by_cells(of(annotations, "left_semi"), of(features, "left_semi"), page, k)
+    return _ranked(both.unionByName(_associated_with_few(of(annotations, "left_anti"), of(features, "left_anti"), page)), page, k)
+
+
+def _ranked(scored: DataFrame, page: list[str], k: int) -> DataFrame:
+    """The k best of (page, annotation_id, feature_id, score)."""
+    rank = F.row_number().over(W.partitionBy(*page, "annotation_id").orderBy(c("score").desc(), "feature_id"))
+    return scored.withColumn("rank", rank).filter(c("rank") <= k)
+
+
+def _score(kind: Column, feature_type: Column, distance: Column) -> Column:
+    near = NEAR_WEIGHT * (1 - distance / REACH_PT) + TYPE_WEIGHT * suits(kind, feature_type)
+    return F.when(distance < REACH_PT, near).otherwise(TYPE_WEIGHT * suits(kind, feature_type))
+
+def _associated_with_few(annotations: DataFrame, features: DataFrame, page: list[str]) -> DataFrame:
+    """Scores of all pairs of a page with few features: both sides are shuffled once, by page, and what follows keeps to it. Several sorts
+    follow one another in a task, so rows are spread by their number."""
+    keys, n = [*page, "annotation_id"], parts(annotations, features)
+    few = spread(features.select(*page, "feature_id", "feature_type", "x", "y"), *page, n=n).groupBy(*page).agg(F.collect_list(F.struct("feature_id", "feature_type", "x", "y")).alias("_few"))
+    pairs = spread(annotations.select(*keys, "kind", "x", "y"), *page, n=n).join(few.hint("merge"), page).withColumn("_f", F.explode("_few"))
+    score = _score(c("kind"), c("_f.feature_type"), F.hypot(c("x") - c("_f.x"), c("y") - c("_f.y")))
+    return pairs.select(*keys, c("_f.feature_id").alias("feature_id"), score.alias("score")).groupBy(*keys, "feature_id").agg(F.max("score").alias("score"))
+
+
+def _associated_by_cells(annotations: DataFrame, features: DataFrame, page: list[str], k: int) -> DataFrame:
     cell = lambda v: F.floor(c(v) / REACH_PT)
     a = annotations.withColumns({"cx": cell("x"), "cy": cell("y")})
     spread = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -128,9 +163,7 @@ def associated(annotations: DataFrame, features: DataFrame, page: list[str], k:
     first = a.join(near, [*page, "cx", "cy"]).filter(distance < REACH_PT).select(*keys, "feature_id", (NEAR_WEIGHT * (1 - distance / REACH_PT) + TYPE_WEIGHT * suits(c("kind"), c("feature_type"))).alias("score"))
     lot = f.withColumn("_n", F.row_number().over(W.partitionBy(*page, "feature_type").orderBy("feature_id"))).filter(c("_n") <= k)
     far = a.join(lot, page).select(*keys, "feature_id", (TYPE_WEIGHT * suits(c("kind"), c("feature_type"))).alias("score"))
-    both = first.unionByName(far).groupBy(*keys, "feature_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(c("score").desc(), "feature_id"))
-    return both.withColumn("rank", rank).filter(c("rank") <= k)
+    return first.unionByName(far).groupBy(*keys, "feature_id").agg(F.max("score").alias("score"))
 
 
 def association_state(annotations: DataFrame, ranked: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,7 +171,8 @@ def association_state(annotations: DataFrame, ranked: DataFrame, keys: list[str]
     MULTIPLE_CANDIDATES; UNRESOLVED where no feature is on the page."""
     g = ranked.filter("rank <= 2").groupBy(*keys).agg(F.max(F.when(c("rank") == 1, c("score"))).alias("s1"), F.max(F.when(c("rank") == 2, c("score"))).alias("s2"), F.max(F.when(c("rank") == 1, c("feature_id"))).alias("feature_id"))
     auto = (c("s1") >= AUTO_SCORE) & (c("s2").isNull() | (c("s2") < c("s1") - AUTO_GAP))
-    g = annotations.select(*keys).distinct().join(g, keys, "left")
+    open_ = annotations.select(*keys, *[F.lit(None).cast(g.schema[x].dataType).alias(x) for x in ("s1", "s2", "feature_id")])
+    g = open_.unionByName(g).groupBy(*keys).agg(*[F.max(x).alias(x) for x in ("s1", "s2", "feature_id")])
     return g.select(*keys, F.when(auto, c("feature_id")).alias("feature_id"), F.when(c("s1").isNull(), "UNRESOLVED").when(auto, "AUTO_MATCHED").otherwise("MULTIPLE_CANDIDATES").alias("state"))
 
 
@@ -171,10 +205,6 @@ def reconciled(machine: DataFrame, rule: DataFrame, groups: DataFrame) -> DataFr
     return g.select("page", "grp", state.alias("state"))
 
 
-#: Most rows of a page whose groups are formed in one row.
-SMALL_PAGE = 64
-
-
 def evidence_groups(edges: DataFrame) -> DataFrame:
     """(page, side, finding_id, grp) of (page, side, finding_id, source_id): findings that share a source object on a page, directly or through others."""
     from .graph import groups

@@ -65,12 +65,12 @@ _ASSOC = f"""{_ANN}, p AS (SELECT an.drawing_id, an.page, annotation_id, s, feat
 
 def _annotations(shop):
     kind = F.get(F.array(F.lit("DIMENSION"), F.lit("FIT"), F.lit("THREAD"), F.lit("GDT")), (c("token_id") % 4).cast("int"))
-    return shop.v_token.select("drawing_id", "page", F.struct("token_id", "s").alias("annotation_id"), kind.alias("kind"), "x", "y").distinct()
+    return shop.v_token.select("drawing_id", "page", F.struct("token_id", "s").alias("annotation_id"), kind.alias("kind"), "x", "y")
 
 
 def _associated(shop):
     an = _annotations(shop)
-    fe = shop.v_feature.select(c("part_id").alias("drawing_id"), (c("feature_id") % 3).cast("int").alias("page"), "feature_id", "feature_type", (c("x") * 6).alias("x"), (c("y") * 4).alias("y")).distinct()
+    fe = shop.v_feature.select(c("part_id").alias("drawing_id"), (c("feature_id") % 3).cast("int").alias("page"), "feature_id", "feature_type", (c("x") * 6).alias("x"), (c("y") * 4).alias("y"))
     return dr.associated(an, fe, ["drawing_id", "page"])
 
 

@@ -36,3 +36,19 @@ def test_drawing_tokens(spark):
     }
     d = spark.createDataFrame([(t,) for t in want], "t string").select("t", drawing.token_kind(F.col("t")).alias("k"), drawing.token_size(F.col("t")).alias("n"))
     assert {x.t: (x.k, x.n) for x in d.collect()} == want
+
+
+def test_pages_of_few_features_are_shuffled_once(spark, monkeypatch):
+    from shopspark.operators import drawing as dr
+
+    a = spark.range(200).selectExpr("id % 9 AS page", "id AS annotation_id", "element_at(array('FIT', 'THREAD', 'GDT'), int(id % 3) + 1) AS kind", "double(id * 37 % 300) AS x", "double(id * 11 % 200) AS y")
+    f = spark.range(150).selectExpr("id % 8 AS page", "id AS feature_id", "element_at(array('HOLE', 'SHAFT', 'THREADED_HOLE'), int(id * 7 % 3) + 1) AS feature_type", "double(id * 53 % 300) AS x", "double(id * 29 % 200) AS y")
+    rows = lambda: {tuple(r) for r in dr.associated(a, f, ["page"]).selectExpr("page", "annotation_id", "feature_id", "round(score, 9) AS score", "rank").collect()}
+    few = rows()
+    assert dr.associated(a, f, ["page"])._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    monkeypatch.setattr(dr, "SMALL_PAGE", 0)  # all pages by cells
+    assert rows() == few and len(few) > 800
+    monkeypatch.setattr(dr, "SMALL_PAGE", 18)  # some pages this way, some that
+    assert rows() == few
+    state = dr.association_state(a, dr.associated(a, f, ["page"]), ["page", "annotation_id"])
+    assert state.count() == 200 and state.filter("state = 'UNRESOLVED'").select("page").distinct().collect() == [(8,)]
