@@ -49,6 +49,6 @@ def life_sheet(shop):
     names = {k.replace("_", " ").title(): k for k in LIFE}
     rows = sheets.read_sheet(shop.spark, path, list(names), "sensor").withColumnsRenamed(names)
     rules = [("DEPTH_NOT_POSITIVE", c("adoc") > 0), ("HARDNESS_NOT_POSITIVE", c("hardness") > 0), ("COUNTDOWN_NEGATIVE", c("countdown") >= 0)]
-    good, bad = sheets.checked(rows, LIFE, rules, sensors=True)
-    reasons = bad.select(F.get_json_object("row", "$.event_id").cast("long").alias("event_id"), "reason")
-    return good.filter(F.size("sensors") == SENSORS).select("event_id", F.lit(None).cast("string").alias("reason")).unionByName(reasons)
+    d = sheets.judged(rows, LIFE, rules, sensors=True)
+    d = d.filter((F.size("sensors") == SENSORS) | c("reason").isNotNull())
+    return d.select(c("_text_event_id").cast("long").alias("event_id"), "reason")

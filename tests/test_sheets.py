@@ -60,3 +60,12 @@ def test_report_by_hand(spark):
         ("Milling/1/1", "depth_of_cut"): ("milling", "P", "in", 3.0, 3.0, None, None),
         ("Milling/1/2", "cutting_speed"): ("milling", None, "m/min", 7.0, 7.0, None, "NO_SCOPE"),
     }
+
+
+def test_rows_are_judged_in_one_pass(spark):
+    from shopspark.queries import ENTRIES
+
+    d = ENTRIES["life_sheet"].build(spark, "/root/testdata/sf0.001")
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert d.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
