@@ -5,15 +5,21 @@ longest common subsequence, so they cut a program into gaps that can be solved o
 Gaps of up to ``cells`` pairs of lines are solved exactly by a fold. Longer ones are cut further by the lines that are
 unique within them: those that follow each other on both sides are runs, and the heaviest chain of runs that rises on
 both sides stays. Then equal lines are told apart by their occurrence, and the same is done with these.
+
+Lines are shuffled once by program for all of this but the rounds over longer gaps, which take these gaps' lines alone. A gap is
+named by the first revision's place of the anchor before it, so gaps that a round doesn't touch keep their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from .graph import shared_folder
+from .spread import spread
 
 c = F.col
 #: Pairs of lines of a gap that is solved exactly; runs that a round chains in a longer gap (the next round takes more).
@@ -22,29 +28,31 @@ _GAP = ["program_id", "gap"]
 
 
 def _gaps(lines: DataFrame) -> DataFrame:
-    """The gap of each line: how many anchors of its side stand before it or are itself."""
-    to_here = W.partitionBy("program_id", "side").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("gap", F.sum(c("anchor").cast("long")).over(to_here))
+    """The lines, cut by their anchors, with the pairs of lines of the gap that a line is in (or opens)."""
+    to_here = W.partitionBy(*_GAP, "side").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    anchor = F.when(c("mate").isNotNull(), F.when(c("side") == "a", c("pos")).otherwise(c("mate")))
+    d = lines.withColumn("_new", F.coalesce(F.max(anchor).over(to_here), c("gap")))
+    n = lambda s: F.count_if((c("side") == s) & c("mate").isNull()).over(W.partitionBy(*_GAP, "_new"))
+    return d.withColumn("pairs", n("a") * n("b")).select("program_id", "side", "pos", "text", c("_new").alias("gap"), "mate", "pairs")
 
 
 def _met(lines: DataFrame, key: list[str]) -> DataFrame:
     """lines with how often a line's key stands on both sides of its gap (_na, _nb), and the first and last place of it on the other side."""
     same = W.partitionBy(*_GAP, *key)
-    count = lambda s: F.count_if((c("side") == s) & ~c("anchor")).over(same)
-    at = lambda f, s: f(F.when((c("side") == s) & ~c("anchor"), c("pos"))).over(same)
+    count = lambda s: F.count_if(c("side") == s).over(same)
+    at = lambda f, s: f(F.when(c("side") == s, c("pos"))).over(same)
     low, high = (F.when(c("side") == "a", at(f, "b")).otherwise(at(f, "a")) for f in (F.min, F.max))
     return lines.withColumns({"_na": count("a"), "_nb": count("b"), "_low": low, "_high": high})
 
 
-def _undisputed(lines: DataFrame) -> DataFrame:
-    """Anchors among the lines of open gaps: unique on both sides, and crossed by no pair of equal lines."""
-    d = _met(lines, ["text"])
-    shown = lambda x: F.when(~c("anchor"), c(x))
+def _undisputed(lines: DataFrame, cells: int) -> DataFrame:
+    """Whole programs, cut at the lines that are unique on both sides and crossed by no pair of equal lines, where they have more than ``cells`` pairs of lines."""
+    n = lambda s: F.count_if(c("side") == s).over(W.partitionBy(*_GAP))
     ahead = W.partitionBy(*_GAP, "side").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     behind = W.partitionBy(*_GAP, "side").orderBy(c("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
-    before, after = F.max(shown("_high")).over(ahead), F.min(shown("_low")).over(behind)
-    free = (c("_na") == 1) & (c("_nb") == 1) & c("open") & ~c("anchor") & (before.isNull() | (before < c("_low"))) & (after.isNull() | (after > c("_low")))
-    return d.withColumn("anchor", c("anchor") | F.coalesce(free, F.lit(False))).select(*lines.columns)
+    d = _met(lines.withColumn("_open", n("a") * n("b") > cells), ["text"]).withColumn("_after", F.min("_low").over(behind)).withColumn("_before", F.max("_high").over(ahead))
+    free = (c("_na") == 1) & (c("_nb") == 1) & c("_open") & (c("_before").isNull() | (c("_before") < c("_low"))) & (c("_after").isNull() | (c("_after") > c("_low")))
+    return _gaps(d.withColumn("mate", F.when(free, c("_low"))))
 
 
 def _heaviest(runs: Column) -> Column:
@@ -72,35 +80,26 @@ def _after(runs: Column, s: Column, r: Column) -> Column:
 
 
 def _chained(lines: DataFrame, key: list[str], most: int) -> DataFrame:
-    """Anchors among the lines of open gaps that are unique by ``key`` on both sides: those of the heaviest rising chain of runs.
+    """Lines of open gaps, cut at those that are unique by ``key`` on both sides: those of the heaviest rising chain of runs.
 
     A run is a stretch of such lines that follow each other on both sides. A gap's ``most`` longest runs take part.
     """
+    lines = spread(lines.select(*_GAP, "side", "pos", "text"), *_GAP)
+    if "occ" in key:  # which of the equal lines of a side within its gap a line is
+        lines = lines.withColumn("occ", F.row_number().over(W.partitionBy(*_GAP, "side", "text").orderBy("pos")))
     d = _met(lines, key)
-    pairs = d.filter((c("side") == "a") & (c("_na") == 1) & (c("_nb") == 1) & c("open") & ~c("anchor")).select(*_GAP, c("pos").alias("i"), c("_low").alias("j"))
+    unique = (c("_na") == 1) & (c("_nb") == 1)
+    pairs = d.filter((c("side") == "a") & unique).select(*_GAP, c("pos").alias("i"), c("_low").alias("j"))
     rank = lambda x, *more: F.row_number().over(W.partitionBy(*_GAP, *more).orderBy(x))
     ranked = pairs.withColumn("ri", rank("i")).withColumn("off", rank("j") - c("ri"))
     ranked = ranked.withColumn("run", c("ri") - rank("ri", "off"))
     runs = ranked.groupBy(*_GAP, "off", "run").agg(F.min("i").alias("i"), F.max("i").alias("i_end"), F.min("j").alias("j"), F.max("j").alias("j_end"), F.count(F.lit(1)).alias("w"))
     runs = runs.withColumn("n", F.row_number().over(W.partitionBy(*_GAP).orderBy(c("w").desc(), "i"))).filter(c("n") <= most)
-    lists = runs.groupBy(*_GAP).agg(F.array_sort(F.collect_list(F.struct("i", "j", "j_end", "w"))).alias("runs"))
-    chosen = lists.withColumn("k", F.explode(_heaviest(c("runs")))).select(*_GAP, F.get("runs", c("k"))["i"].alias("first"))
-    taken = runs.join(chosen.withColumnRenamed("first", "i"), [*_GAP, "i"], "left_semi").select(*_GAP, "off", "run")
-    both = ranked.join(taken, [*_GAP, "off", "run"], "left_semi")
-    hit = both.select("program_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), c("i").alias("pos")), F.struct(F.lit("b").alias("side"), c("j").alias("pos")))).alias("x")).select("program_id", "x.*", F.lit(True).alias("_hit"))
-    return lines.join(hit, ["program_id", "side", "pos"], "left").withColumn("anchor", c("anchor") | F.coalesce("_hit", F.lit(False))).drop("_hit")
-
-
-def _numbered(lines: DataFrame) -> DataFrame:
-    """occ: which of the equal lines of a side within its gap a line is."""
-    return lines.withColumn("occ", F.row_number().over(W.partitionBy(*_GAP, "side", "anchor", "text").orderBy("pos")))
-
-
-def _opened(lines: DataFrame, cells: int) -> DataFrame:
-    """open: the line's gap has more than ``cells`` pairs of lines."""
-    w = W.partitionBy(*_GAP)
-    n = lambda s: F.count_if((c("side") == s) & ~c("anchor")).over(w)
-    return _cut(_gaps(lines).withColumn("open", n("a") * n("b") > cells))
+    lists = runs.groupBy(*_GAP).agg(F.array_sort(F.collect_list(F.struct("i", "j", "j_end", "w", "i_end"))).alias("runs"))
+    taken = lists.select(*_GAP, F.transform(_heaviest(c("runs")), lambda k: F.get("runs", k)).alias("taken"))
+    at = F.when(c("side") == "a", c("pos")).otherwise(c("_low"))
+    hit = unique & F.exists("taken", lambda r: at.between(r["i"], r["i_end"]))
+    return _gaps(d.join(taken, _GAP, "left").withColumn("mate", F.when(hit, c("_low"))))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -129,15 +128,34 @@ def _common(a: Column, b: Column) -> Column:
     return F.transform(F.array(table), back)[0]
 
 
-def _solved(lines: DataFrame) -> DataFrame:
-    """The lines with the anchors that the exact fold finds in the gaps that aren't open."""
+def _aligned(lines: DataFrame) -> DataFrame:
+    """(program_id, a, b) structs of pos and text: the lines of gaps of few pairs side by side, the common ones first, then the k-th of both between them."""
     side = lambda s: F.array_sort(F.collect_list(F.when(c("side") == s, F.struct("pos", "text"))))
     texts = lambda x: F.transform(x, lambda y: y["text"])
-    g = lines.filter(~c("anchor") & ~c("open")).groupBy(*_GAP).agg(side("a").alias("a"), side("b").alias("b"))
-    g = g.withColumns({"ta": texts("a"), "tb": texts("b")}).filter(F.arrays_overlap("ta", "tb"))
-    p = g.withColumn("p", F.explode(_common(c("ta"), c("tb")))).select("program_id", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.get("a", c("p.i") - 1)["pos"].alias("pos")), F.struct(F.lit("b").alias("side"), F.get("b", c("p.j") - 1)["pos"].alias("pos")))).alias("x"))
-    found = p.select("program_id", "x.side", "x.pos", F.lit(True).alias("_hit"))
-    return lines.join(found, ["program_id", "side", "pos"], "left").withColumn("anchor", c("anchor") | F.coalesce("_hit", F.lit(False))).drop("_hit")
+    g = lines.groupBy(*_GAP).agg(side("a").alias("a"), side("b").alias("b"))
+    g = g.withColumns({"ta": texts("a"), "tb": texts("b")})
+    cut = lambda i, j: F.array(F.struct(i.cast("int").alias("i"), j.cast("int").alias("j")))
+    common = F.when(F.arrays_overlap("ta", "tb"), F.reverse(_common(c("ta"), c("tb")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    g = g.withColumn("cuts", F.concat(cut(F.lit(1), F.lit(1)), common, cut(F.size("a") + 1, F.size("b") + 1)))
+    at = lambda k, x: F.get("cuts", k)[x]
+    part = lambda s, x, k: F.slice(s, at(k - 1, x), at(k, x) - at(k - 1, x))
+    rows = F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.arrays_zip(part("a", "i", k), part("b", "j", k))))
+    line = "struct<pos:bigint,text:string>"
+    return g.select("program_id", F.explode(rows.cast(f"array<struct<a:{line},b:{line}>>")).alias("x")).select("program_id", "x.*")
+
+
+def _side_by_side(lines: DataFrame) -> DataFrame:
+    """As ``_aligned``, for gaps of any length that keep no common line: the k-th of both."""
+    k = F.row_number().over(W.partitionBy(*_GAP, "side").orderBy("pos"))
+    side = lambda s: F.max(F.when(c("side") == s, F.struct("pos", "text"))).alias(s)
+    return spread(lines.select(*_GAP, "side", "pos", "text"), *_GAP).withColumn("k", k).groupBy(*_GAP, "k").agg(side("a"), side("b")).select("program_id", "a", "b")
+
+
+def _kept(lines: DataFrame) -> DataFrame:
+    """The lines, written to the shared folder."""
+    path = f"{shared_folder(lines.sparkSession)}/linediff-{uuid.uuid4().hex}"
+    lines.write.parquet(path)
+    return lines.sparkSession.read.schema(lines.schema).parquet(path)
 
 
 def ordered_diff(a: DataFrame, b: DataFrame, cells: int = CELLS, runs: int = RUNS) -> DataFrame:
@@ -147,28 +165,31 @@ def ordered_diff(a: DataFrame, b: DataFrame, cells: int = CELLS, runs: int = RUN
     gone and the k-th that came are MODIFIED, what is over is REMOVED or ADDED. Pairs of programs of at most ``cells`` pairs of lines, and
     gaps of that size between anchors, keep as many lines as possible. A program on one side only is all removed or added; a null text is empty.
     """
-    place = F.row_number().over(W.partitionBy("program_id").orderBy("line_no")).cast("long")
-    side = lambda d, s: d.select("program_id", F.lit(s).alias("side"), place.alias("pos"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))
-    lines = side(a, "a").unionByName(side(b, "b")).withColumn("anchor", F.lit(False))
-    lines = _opened(lines, cells)
-
-    def open_gaps() -> tuple[int, int]:
-        n = lines.agg(F.count_if(c("open") & ~c("anchor")), F.count_if("anchor")).first()
-        return n[0], n[1]
-
-    left, known = open_gaps()
-    rules = [_undisputed, lambda d: _chained(d, ["text"], runs), lambda d: _chained(_numbered(d), ["text", "occ"], runs).drop("occ")]
-    for rule in rules:
-        while left:  # a rule goes on while it finds anchors
-            lines = _opened(rule(lines).drop("open", "gap"), cells)
-            left, now = open_gaps()
-            if now == known or rule is rules[0]:
-                break
-            known = now
-    lines = _cut(_gaps(_solved(lines).drop("gap")))
-    order = F.when(c("anchor"), 0).otherwise(F.row_number().over(W.partitionBy(*_GAP, "side", "anchor").orderBy("pos")))
-    lines = lines.withColumn("k", order)
-    one = lambda s: lines.filter(c("side") == s).select(*_GAP, "k", c("pos").alias(f"{s}_line"), c("text").alias(f"text_{s}"))
-    both = one("a").join(one("b"), [*_GAP, "k"], "full")
-    change = F.when(c("b_line").isNull(), "REMOVED").when(c("a_line").isNull(), "ADDED").when(c("k") == 0, "UNCHANGED").otherwise("MODIFIED")
-    return both.select("program_id", change.alias("change"), "a_line", "b_line", "text_a", "text_b")
+    side = lambda d, s: d.select("program_id", F.lit(s).alias("side"), "line_no", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    place = F.row_number().over(W.partitionBy("program_id", "side").orderBy("line_no")).cast("long")
+    lines = spread(side(a, "a").unionByName(side(b, "b")), "program_id").select("program_id", "side", place.alias("pos"), "text", F.lit(0).cast("long").alias("gap"))
+    unsolved = c("mate").isNull() & (c("pairs") > cells)
+    lines, done = _kept(_undisputed(lines, cells)), []
+    left = lines.filter(unsolved).count()
+    for key in (["text"], ["text", "occ"]):
+        found = 1
+        while left and found:  # a rule goes on while it finds anchors
+            done.append(lines.filter(~unsolved))
+            lines = _kept(_chained(lines.filter(unsolved), key, runs))
+            left, found = lines.agg(F.count_if(unsolved), F.count("mate")).first()
+    own = F.struct("pos", "text")
+    none = F.lit(None).cast(lines.select(own.alias("x")).schema["x"].dataType)
+    ready = lines.filter(~unsolved)
+    for d in done:
+        ready = ready.unionByName(d)
+    kept = ready.filter((c("side") == "a") & c("mate").isNotNull()).select("program_id", own.alias("a"), F.struct(c("mate").alias("pos"), "text").alias("b"))
+    alone = ready.filter(c("mate").isNull() & (c("pairs") == 0)).select("program_id", F.when(c("side") == "a", own).otherwise(none).alias("a"), F.when(c("side") == "b", own).otherwise(none).alias("b"))
+    out = [kept.withColumn("same", F.lit(True)), alone.withColumn("same", F.lit(False)), _aligned(ready.filter(c("mate").isNull() & (c("pairs") > 0))).withColumn("same", c("a.text") == c("b.text"))]
+    if left:
+        out.append(_side_by_side(lines.filter(unsolved)).withColumn("same", F.lit(False)))
+    change = F.when(c("b").isNull(), "REMOVED").when(c("a").isNull(), "ADDED").when(c("same"), "UNCHANGED").otherwise("MODIFIED")
+    show = lambda d: d.select("program_id", change.alias("change"), c("a.pos").alias("a_line"), c("b.pos").alias("b_line"), c("a.text").alias("text_a"), c("b.text").alias("text_b"))
+    rows = show(out[0])
+    for d in out[1:]:
+        rows = rows.unionByName(show(d))
+    return rows

@@ -88,3 +88,10 @@ def test_long_pair(spark):
     got = {r["change"]: r["count"] for r in linediff.ordered_diff(a, b).groupBy("change").count().collect()}
     assert got["UNCHANGED"] >= 0.97 * n and got.get("MODIFIED", 0) >= 100 and time.time() - began < 300
     assert got["UNCHANGED"] + got.get("MODIFIED", 0) + got["REMOVED"] == n
+
+
+def test_lines_are_shuffled_once_for_closed_gaps(spark, pairs):
+    """Anchors and lines without a counterpart are told where they stand; only gaps with lines on both sides are grouped."""
+    a, b = pairs
+    plan = linediff.ordered_diff(table(spark, a), table(spark, b))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
