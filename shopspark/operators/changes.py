@@ -78,16 +78,15 @@ def comparability(schema_a: Column, schema_b: Column, profile_a: Column, profile
 def summary(programs: DataFrame, lines: DataFrame, findings: DataFrame, coverage: DataFrame, config: DataFrame) -> DataFrame:
     """One row per program of both revisions: counts of changes, program and configuration status, severity, re_review and its reasons.
 
-    lines: program_id, change; findings, coverage and config as above. Each table is aggregated before it is joined.
+    lines: program_id, added, removed; findings, coverage and config as above. Each table is aggregated before it is joined.
     """
     n = lambda v: F.count_if(c("change") == v)
     blocking = F.count_if((c("change") == "FINDING_ADDED") & (c("severity") == "BLOCKING") | (c("change") == "FINDING_SEVERITY_CHANGED") & (c("severity") == "BLOCKING"))
-    l = lines.groupBy("program_id").agg(n("ADDED").alias("added"), n("REMOVED").alias("removed"))  # noqa: E741
     f = findings.groupBy("program_id").agg(n("FINDING_ADDED").alias("findings_added"), n("FINDING_RESOLVED").alias("findings_resolved"), blocking.alias("new_blocking"))
     v = coverage.groupBy("program_id").agg(F.count_if((c("change") == "FEATURE_NEWLY_DETECTED") & (c("state") == "UNSUPPORTED")).alias("new_unsupported"))
     k = config.groupBy("program_id").agg(F.count_if("changed").alias("fields_changed"))
     d = programs.select("program_id").distinct()
-    for part in (l, f, v, k):
+    for part in (lines, f, v, k):
         d = d.join(part, "program_id", "left")
     d = d.na.fill(0)
     program, conf = (c("added") + c("removed")) > 0, c("fields_changed") > 0

@@ -124,6 +124,16 @@ def line_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("program_id", "text", "occurrence", F.when(F.col("_b").isNull(), "REMOVED").when(F.col("_a").isNull(), "ADDED").otherwise("UNCHANGED").alias("change"))
 
 
+def line_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(program_id, added, removed): the lines of ``line_diff`` by program, from the number of equal lines of a side instead of numbered ones."""
+    c = F.col
+    side = lambda d, k: d.select("program_id", F.trim("text").alias("text"), F.lit(k).alias("n"))
+    n = side(a, -1).unionByName(side(b, 1)).groupBy("program_id", "text").agg(F.sum(F.when(c("program_id").isNotNull() & c("text").isNotNull(), c("n"))).alias("n"), F.count_if(c("n") > 0).alias("b"), F.count_if(c("n") < 0).alias("a"))
+    # a line without a text or program has no counterpart
+    added, removed = F.greatest(F.coalesce("n", "b"), F.lit(0)), F.greatest(F.coalesce(-c("n"), "a"), F.lit(0))
+    return n.groupBy("program_id").agg(F.sum(added).alias("added"), F.sum(removed).alias("removed"))
+
+
 def record_diff(a: DataFrame, b: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Full outer difference of keyed records: key, change (ADDED, REMOVED, UNCHANGED, or CHANGED_<first differing value>)."""
     x = a.select(*key, F.struct(*values).alias("_a"))

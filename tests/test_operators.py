@@ -243,3 +243,11 @@ def test_tools_stay_spread_where_wants_are_few(spark):
     plan = ENTRIES["tool_candidates"].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     join = next(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
     assert "BuildRight" in join and "REPARTITION_BY_NUM" in plan  # the tools aren't broadcast to the task that holds the wants
+
+
+def test_line_counts_are_those_of_the_line_diff(spark):
+    """Repeated lines, blanks around them, lines without text and programs of one revision only."""
+    a = spark.createDataFrame([(1, 1, "G0"), (1, 2, "G0 "), (1, 3, None), (1, 4, "M5"), (2, 1, "G1"), (None, 1, "G1"), (4, 1, "x"), (4, 2, None)], "program_id long, line_no long, text string")
+    b = spark.createDataFrame([(1, 1, "G0"), (1, 2, None), (1, 3, "M6"), (1, 4, "M6"), (3, 1, "G1"), (None, 1, "G1"), (4, 1, "x"), (4, 2, " x"), (4, 3, "x")], "program_id long, line_no long, text string")
+    want = {r[0]: (r[1], r[2]) for r in nc.line_diff(a, b).groupBy("program_id").agg(F.count_if(F.col("change") == "ADDED"), F.count_if(F.col("change") == "REMOVED")).collect()}
+    assert {r["program_id"]: (r["added"], r["removed"]) for r in nc.line_counts(a, b).collect()} == want
