@@ -101,15 +101,37 @@ def _known(unknown: Column, ok: Column) -> Column:
 
 def evaluate(triples: DataFrame, iso_group: str | Column, rpm: float | Column) -> DataFrame:
     """The rules' statuses, and verdict: any FAIL is INCOMPATIBLE, else any UNKNOWN is INSUFFICIENT_DATA. Group and speed may differ by row; a speed that is NULL is unknown."""
-    c = F.col
-    limit = lambda x: _known(c(x).isNull() | F.lit(rpm).isNull(), c(x) >= rpm)
     out = triples.withColumns({
         "r_interface": _interface(), "r_shank": _shank(), "r_length": _length(), "r_diameter": _diameter(),
-        "r_iso": _iso(iso_group), "r_rpm_m": limit("m_rpm"), "r_rpm_t": limit("t_rpm"), "r_rpm_h": limit("h_rpm"),
+        "r_iso": _iso(iso_group), "r_rpm_m": _limit("m_rpm", rpm), "r_rpm_t": _limit("t_rpm", rpm), "r_rpm_h": _limit("h_rpm", rpm),
     })
     return out.withColumn("verdict", _verdict())
 
 
+def held_rules(iso_group: str | Column, rpm: float | Column) -> list[Column]:
+    """Statuses of the rules that read tool and holder alone."""
+    return [_shank(), _iso(iso_group), _limit("t_rpm", rpm), _limit("h_rpm", rpm)]
+
+
+def machine_rules(rpm: float | Column) -> list[Column]:
+    """Statuses of the rules that read the machine."""
+    return [_interface(), _length(), _diameter(), _limit("m_rpm", rpm)]
+
+
+def worst(*rules: Column) -> Column:
+    """2 where a rule is FAIL, else 1 where one is UNKNOWN, else 0; the greatest of two parts' is that of all their rules."""
+    return F.greatest(*[F.when(r == "FAIL", 2).when(r == "UNKNOWN", 1).otherwise(0).cast("byte") for r in rules])
+
+
+def said(worst: Column) -> Column:
+    """The verdict of ``worst``, as ``evaluate`` gives it."""
+    return F.when(worst == 2, "INCOMPATIBLE").when(worst == 1, "INSUFFICIENT_DATA").otherwise("COMPATIBLE")
+
+
+def _limit(x: str, rpm: float | Column) -> Column:
+    return _known(F.col(x).isNull() | F.lit(rpm).isNull(), F.col(x) >= rpm)
+
+
 def _interface() -> Column:
     return _known(F.size("own") == 0, F.array_contains("own", F.col("machine_interface")))
 

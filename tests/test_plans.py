@@ -118,6 +118,23 @@ def test_process_plan(spark):
     assert plan_documents.process_plans(planned.limit(0), faults).count() == 0
 
 
+def test_steps_move_twice(spark):
+    """Once to their tools and once to their machines, where catalogs are too large to be broadcast; holders and scopes are counted and broadcast."""
+    machines = spark.createDataFrame([(1, "milling", 8000, "BT40", "", 80.0, 200.0)], "machine_id long, processes string, max_rpm int, spindle_interface string, more_interfaces string, max_tool_d double, max_tool_len double")
+    tools = spark.createDataFrame([(5, 10.0, "P;M", "milling", 10.0, 100.0, 9000, None)], "tool_id long, d_mm double, iso_groups string, operations string, shank_mm double, length_mm double, max_rpm int, insert_shape string")
+    holders = spark.createDataFrame([(9, "BT40", "ER32", 3.0, 20.0, 12000)], "holder_id long, machine_interface string, tool_interface string, clamp_min double, clamp_max double, max_rpm int")
+    references = spark.createDataFrame([(1, "milling", "P", 1.0, 2.0)], "record_id long, operation string, iso_group string, min_value double, max_value double")
+    steps = spark.createDataFrame([(1, 1, "Milling", "P", 1, 5, 9, 100.0)], "plan_id long, step_id long, operation string, iso_group string, machine_id long, tool_id long, holder_id long, vc double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        planned = plan_documents.step_plans(steps, machines, tools, holders, references)
+        assert planned._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+        assert [tuple(r) for r in planned.select("state", "reasons", "n_references").collect()] == [("PLANNED", [], 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_keys_without_values_stay(spark):
     rows = [(1, "B", 2.0), (1, "A", None), (1, "C", 3.0), (2, "A", None), (3, None, 5.0)]
     got = {tuple(r) for r in costing.by_precedence(spark.createDataFrame(rows, "k int, source string, value double"), "k", {"A": 0, "B": 1, "C": 2}).collect()}
