@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import compat, costing
 from . import records as rec
 from .catalog import items
+from .spread import spread
 
 c = F.col
 
@@ -69,10 +70,13 @@ def header(ops: DataFrame, chars: DataFrame, critical: DataFrame, covered: DataF
     counted, not made: those of a step's feature by an equi join of counts, those of the whole plan by a product of counts.
     """
     has = lambda x: F.coalesce(c(x), F.lit(0)) != 0
-    o = ops.groupBy("plan_id").agg(
-        F.count(F.lit(1)).alias("n_operations"), F.count_distinct("setup").alias("n_setups"), F.count_distinct("tool_id").alias("n_tools"), F.count_distinct("machine_id").alias("n_machines"),
-        F.count_if(has("vc") | has("feed_rate")).alias("n_parameters"), F.sum("content").alias("route"),
-    )
+    # the first row of each id is counted, as several counts of distinct values would shuffle every row several times
+    ids = {"setup": "n_setups", "tool_id": "n_tools", "machine_id": "n_machines"}
+    rows = ops.select("plan_id", *ids, (has("vc") | has("feed_rate")).alias("_given"), "content")
+    rows = spread(rows, "plan_id")
+    for x, n in ids.items():
+        rows = rows.withColumn(n, c(x).isNotNull() & (F.row_number().over(W.partitionBy("plan_id", x).orderBy(x)) == 1))
+    o = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_operations"), *[F.count_if(n).alias(n) for n in ids.values()], F.count_if("_given").alias("n_parameters"), F.sum("content").alias("route"))
     ch = chars.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_characteristics"), F.sum("content").alias("requirements"))
     crit = critical.groupBy("plan_id", "feature_id").agg(F.count(F.lit(1)).alias("k"))
     own = ops.groupBy("plan_id", "feature_id").agg(F.count(F.lit(1)).alias("m")).join(crit, ["plan_id", "feature_id"]).groupBy("plan_id").agg(F.sum(c("k") * c("m")).alias("own"))

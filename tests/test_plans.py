@@ -135,6 +135,17 @@ def test_steps_move_twice(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_rows_of_a_plan_are_not_multiplied(spark):
+    """Distinct setups, tools and machines of a plan are counted without a copy of each row for each of them."""
+    rows = [(1, i, i, None, "milling", 4 + i % 2, None if i % 3 == 0 else i % 5, 6, 7, 90.0, 10.0, True, True, None) for i in range(1, 31)]
+    ops = plan_documents.operations(spark.createDataFrame(rows, STEP).withColumn("setup_number", F.col("step_id") % 3), ["sequence_index"]).withColumn("content", F.lit(1).cast("long"))
+    none = spark.createDataFrame([], "plan_id long, characteristic_id long, feature_id long")
+    head = plan_documents.header(ops, spark.createDataFrame([], "plan_id long, content long"), none, none.drop("feature_id"))
+    want = ops.agg(F.count_distinct("setup"), F.count_distinct("tool_id"), F.count_distinct("machine_id")).first()
+    assert tuple(head.select("n_setups", "n_tools", "n_machines").first()) == tuple(want)
+    assert "Expand" not in head._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys_without_values_stay(spark):
     rows = [(1, "B", 2.0), (1, "A", None), (1, "C", 3.0), (2, "A", None), (3, None, 5.0)]
     got = {tuple(r) for r in costing.by_precedence(spark.createDataFrame(rows, "k int, source string, value double"), "k", {"A": 0, "B": 1, "C": 2}).collect()}
